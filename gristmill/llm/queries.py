@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import language_id, packing, quality, token_files, url_filter, warc
+from gristmill.llm import language_id, packing, pii, quality, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 QUERIES = {
     "op1_language_bits": op1_language_bits,
     "op2_warc_shards": op2_warc_shards,
@@ -48,6 +53,7 @@ QUERIES = {
     "op5_cost_packing": op5_cost_packing,
     "op6_elias_fano_tokens": op6_elias_fano_tokens,
     "op7_url_trees": op7_url_trees,
+    "op9_disclosure_pii": op9_disclosure_pii,
 }
 
 #: DuckDB SQL with the same rows, where SQL can express the query.
