@@ -71,7 +71,7 @@ def _writer(out_dir: str, roll_bytes: int, level: int, date: str):
         fs, root = open_fs(out_dir)
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs.create_dir(f"{root}/_temporary", recursive=True)
-        done, seq, out = [], 0, None
+        done, seq, out, mark = [], 0, None, (None, None, None)
 
         def close():
             nonlocal out, seq
@@ -80,7 +80,11 @@ def _writer(out_dir: str, roll_bytes: int, level: int, date: str):
             seq, out = seq + 1, None
 
         for batch in slices(batches, ("payload",)):
-            for page_id, url, payload, refers_to, revisit in zip(*(column(batch, c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "revisit")), strict=True):
+            for page_id, digest, url, payload, refers_to, revisit in zip(*(column(batch, c).to_pylist() for c in ("page_id", "digest", "url", "payload", "refers_to", "revisit")), strict=True):
+                if revisit:
+                    mark = (page_id, digest, refers_to)
+                    continue
+                revisit, refers_to = mark[:2] == (page_id, digest), mark[2]
                 if out is None:
                     name = f"part-{shard:05d}-{seq:05d}.warc.gz"
                     temp = f"{name}.{attempt}.tmp"
@@ -124,8 +128,10 @@ def write_warc(
     file follow from the rows, `partitions` and `roll_bytes`. Of rows with equal payloads of at
     least `min_revisit_bytes` the one with the largest id is the response and the others revisit
     it; several rows that share that largest id are all responses. Shorter payloads are responses.
-    The digest groups are counted with partial aggregates and joined over `salts` copies of the
-    few repeated digests, so a payload that a third of the rows have does not meet in one task.
+    The digest groups are counted with partial aggregates and joined, without payloads, over
+    `salts` copies of the few repeated digests, so a payload that a third of the rows have does not
+    meet in one task. The join's outcome is sorted in just before the rows that it marks, so the
+    payloads are shuffled once.
 
     Null html is an empty payload, a null URL leaves out the target header, a null id leaves out
     the id header and is a response only where no row with an id has its payload. An empty table
@@ -139,18 +145,18 @@ def write_warc(
         F.col(url_col).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.unhex(F.sha1("payload")))
+    keys = rows.select("page_id", "digest", F.length("payload").alias("size")).where(F.col("size") >= min_revisit_bytes)
     groups = (
-        rows.where(F.length("payload") >= min_revisit_bytes)
-        .groupBy("digest", F.length("payload").alias("size"))
+        keys.groupBy("digest", "size")
         .agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
         .where("n > 1 and last is not null")
         .select("digest", "size", "last", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
-    rows = rows.withColumns({"size": F.length("payload"), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")})
-    joined = rows.join(groups, ["digest", "size", "salt"], "left")
-    revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    shaped = joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
-    ordered = shaped.repartitionByRange(partitions or shuffle_partitions(spark), "page_id", "digest", "url").sortWithinPartitions("page_id", "digest", "url")
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
+    marks = salted.join(groups, ["digest", "size", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("last"))).select("page_id", "digest", F.col("last").alias("refers_to"))
+    none = {"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary"), "revisit": F.lit(True)}
+    both = rows.withColumns({"refers_to": F.lit(None).cast("long"), "revisit": F.lit(False)}).unionByName(marks.withColumns(none))
+    ordered = both.repartitionByRange(partitions or shuffle_partitions(spark), "page_id", "digest").sortWithinPartitions("page_id", "digest", F.desc("revisit"), "url")
     listed = ordered.mapInArrow(_writer(out_dir, roll_bytes, level, date), MANIFEST)
     entries = [r.asDict() for r in listed.collect()]  # one row per file of roll_bytes
     commit_files(spark, out_dir, sorted(entries, key=lambda e: (e["shard"], e["seq"])))
