@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import language_id, packing, pii, quality, token_files, url_filter, warc
+from gristmill.llm import language_id, ngram_jaccard, packing, pii, quality, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), min_revisit_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_jaccard_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op4_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_bits": op1_language_bits,
     "op2_warc_shards": op2_warc_shards,
+    "op3_jaccard_product": op3_jaccard_product,
     "op4_kneser_ney_bands": op4_kneser_ney_bands,
     "op5_cost_packing": op5_cost_packing,
     "op6_elias_fano_tokens": op6_elias_fano_tokens,
