@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import column, slices, texts
+from gristmill.llm.common import column, slices
 from gristmill.llm.tokens import DROPS_SPACE, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long, sequence_cost double"
@@ -137,8 +137,8 @@ def _packer(path: str, size: int, end_id: int, linear: float, quadratic: float,
             for at in range(0, out.num_rows, 4096):
                 yield out.slice(at, 4096)
 
-        for batch in slices(batches, ("text",)):
-            for doc, x in zip(column(batch, "doc_id").to_pylist(), enc.encode(texts(column(batch, "text"))), strict=True):
+        for batch in slices(batches, ("text",), 16 << 20):
+            for doc, x in zip(column(batch, "doc_id").to_pylist(), enc.encode(column(batch, "text")), strict=True):
                 ids.append(x + tail)
                 docs.append(doc)
                 held += len(x) // 4 + 1

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import column, commit_files, open_fs, scratch, shuffle_partitions, slices, texts
+from gristmill.llm.common import column, commit_files, open_fs, scratch, shuffle_partitions, slices
 from gristmill.llm.tokens import KEEPS_SPACE, encoder
 
 MAGIC = b"GMEF1\n"
@@ -134,8 +134,8 @@ def _writer(path: str, out_dir: str, end_id: int, width: int, roll_tokens: int):
             done.append((shard, seq, f"{name}.ids.{attempt}", f"{name}.idx.{attempt}", f"{name}.ids", f"{name}.idx", len(docs), sum(lengths)))
             seq, out = seq + 1, None
 
-        for batch in slices(batches, ("text",)):
-            for doc, x in zip(column(batch, "doc_id").to_pylist(), enc.encode(texts(column(batch, "text"))), strict=True):
+        for batch in slices(batches, ("text",), 16 << 20):
+            for doc, x in zip(column(batch, "doc_id").to_pylist(), enc.encode(column(batch, "text")), strict=True):
                 if out is None:
                     name = f"part-{shard:05d}-{seq:05d}"
                     out, docs, lengths, held = fs.open_output_stream(f"{root}/_temporary/{name}.ids.{attempt}", compression=None, buffer_size=1 << 20), [], [], 0

@@ -5,29 +5,41 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 DROPS_SPACE, KEEPS_SPACE = "drops", "keeps"
+STOPS = frozenset(".,;:!?")
 _encoders: dict[tuple, Encoder] = {}
 
 
 class Encoder:
     """Encodes text as the tokenizer does, piece by piece.
 
-    No token of the two supported kinds of tokenizer spans a single space between two characters
-    that are not white space, except that a byte-level token may begin with it. A text is cut there
-    and each distinct piece is encoded once while the cache has room. Where a piece is empty or
-    touches other white space, a byte-level tokenizer gets the whole text instead.
+    Two kinds of tokenizer are supported: those that drop white space and lower the case, and
+    mark the last token of a word; and byte-level ones, where a word's first token may begin with
+    the space before it. No token spans a single space between two other characters otherwise, so
+    a text is cut there and each distinct piece is encoded once while it stays in the cache.
+    Where a piece is empty or touches other white space, a byte-level tokenizer gets the whole text.
+
+    The cache has two generations of `generation` pieces at most; a piece found in the old one
+    moves to the young one, so frequent pieces stay and memory is bounded.
     """
 
-    def __init__(self, path: str, spaces: str, max_pieces: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, spaces: str, generation: int = 400_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keeps, self.max_pieces, self.longest = spaces == KEEPS_SPACE, max_pieces, longest
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {} if self.keeps else self.first
+        self.keeps, self.generation, self.longest = spaces == KEEPS_SPACE, generation, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        mark = vocabulary and [i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.keeps else t.endswith("</w>"))]
+        self.edge[mark] = True
+        self.stops = {c: self.raw([c])[0] for c in STOPS}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -36,40 +48,102 @@ class Encoder:
     def whole(self, piece: str) -> bool:
         return not self.keeps or bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
 
-    def learn(self, pieces: set[str], cache: dict, lead: str) -> None:
-        good = [p for p in pieces if self.whole(p)]
-        for p in pieces:
-            cache[p] = None
-        for at in range(0, len(good), 4096):
-            some = good[at : at + 4096]
-            cache.update(zip(some, self.raw([lead + p for p in some]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.first) + len(self.later) > self.max_pieces:
-            self.first.clear()
-            self.later.clear()
-        split = [t.split(" ") for t in texts]
-        self.learn({s[0] for s in split if s[0] not in self.first and len(s[0]) <= self.longest}, self.first, "")
-        later = self.later
-        self.learn({p for s in split for p in s[1:] if p not in later and len(p) <= self.longest}, later, " " if self.keeps else "")
+    def alpha(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of letters only, each one word, encoded in runs and cut at the word marks."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 2048):
+            some = pieces[at : at + 2048]
+            ids = np.frombuffer(self.raw([" " + " ".join(some)])[0], "<u4")
+            marks = np.flatnonzero(self.edge[ids])
+            if len(marks) != len(some):
+                out += self.raw([" " + p for p in some])
+                continue
+            cuts = (np.append(marks, len(ids)) if self.keeps else np.append(0, marks + 1)) * 4
+            data, cuts = ids.tobytes(), cuts.tolist()
+            out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def ids_of(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of distinct pieces that follow a space; None where only the whole text decides."""
+        if len(self.young) > self.generation:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = list(map(young.get, pieces))
+        miss = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(miss, map(old.get, [pieces[i] for i in miss]), strict=True):
+            if ids is not None:
+                out[i] = young[pieces[i]] = ids
+        words, stops, others = [], [], []
+        for i in miss:
+            if out[i] is None:
+                p = pieces[i]
+                if p.isalpha():
+                    words.append((i, p))
+                elif p[-1:] in STOPS and p[:-1].isalpha():
+                    stops.append((i, p[:-1]))
+                elif self.whole(p):
+                    others.append(i)
+        if not self.keeps:
+            words, stops = self.lower(words, others), self.lower(stops, others)
+        known = {s: young.get(s) for _, s in words}
+        known |= {s: young.get(s) for _, s in stops}
+        todo = [s for s, ids in known.items() if ids is None]
+        known.update(zip(todo, self.alpha(todo), strict=True))
+        for i, s in words:
+            out[i] = known[s]
+        for i, s in stops:
+            out[i] = known[s] + self.stops[pieces[i][-1]]
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
+            for i, ids in zip(some, self.raw([" " + pieces[i] for i in some]), strict=True):
+                out[i] = ids
+        young.update((pieces[i], out[i]) for i in miss if out[i] is not None and len(pieces[i]) <= self.longest)
+        return out
+
+    def lower(self, pairs: list[tuple[int, str]], others: list[int]) -> list[tuple[int, str]]:
+        """Lower-cased ASCII words; those whose lower case is not letters alone go to `others`."""
         out = []
-        for text, s in zip(texts, split, strict=True):
-            parts = [self.first.get(s[0])]
-            parts += map(later.get, s[1:])
-            if None in parts:
-                out.append(self.mended(text, s, parts))
+        for i, s in pairs:
+            if s.isascii():
+                out.append((i, s.lower()))
+            elif s.lower().isalpha():
+                out.append((i, s))
             else:
-                out.append(b"".join(parts))
+                others.append(i)
         return out
 
-    def mended(self, text: str, pieces: list[str], parts: list[bytes | None]) -> bytes:
-        missing = [i for i, p in enumerate(parts) if p is None]
-        if not all(self.whole(pieces[i]) for i in missing):
-            return self.raw([text])[0]
-        for i, ids in zip(missing, self.raw([(" " if i and self.keeps else "") + pieces[i] for i in missing]), strict=True):
-            parts[i] = ids
-        return b"".join(parts)
+    def encode(self, col: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text of a column; a null is empty."""
+        lists = pc.split_pattern(pc.fill_null(col.cast(pa.large_string()), ""), pattern=" ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        at = at - at[0]
+        coded = lists.flatten().dictionary_encode()
+        index, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        ids = self.ids_of(pieces)
+        unknown = np.fromiter((x is None for x in ids), bool, len(ids))
+        n, first, ids = len(col), len(ids), [x or b"" for x in ids]
+        if self.keeps:  # no space before the first piece
+            leads = index[at[:-1]]
+            ids += self.raw([pieces[i] for i in leads.tolist()])
+            touch = np.fromiter((bool(p) and p[-1].isspace() for p in (pieces[i] for i in leads.tolist())), bool, n) if n else np.zeros(0, bool)
+            index[at[:-1]] = np.arange(first, first + n)
+            unknown = np.concatenate([unknown, touch])
+        if unknown.any():
+            count = np.concatenate([[0], np.cumsum(unknown[index])])
+            mixed = np.flatnonzero(count[at[1:]] > count[at[:-1]])
+            blank = len(ids)
+            ids.append(b"")
+            for i, whole in zip(mixed.tolist(), self.raw([col[i].as_py() or "" for i in mixed.tolist()]), strict=True):
+                index[at[i] : at[i + 1]] = blank
+                index[at[i]] = len(ids)
+                ids.append(whole)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        length = size[index]
+        ends = np.cumsum(length)
+        spread = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[index] - (ends - length), length)
+        data, bounds = flat[spread].tobytes(), (np.concatenate([[0], ends])[at] * 4).tolist()
+        return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def encoder(path: str, spaces: str) -> Encoder:
