@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import language_id, ngram_jaccard, packing, pii, quality, token_files, url_filter, warc
+from gristmill.llm import decontam, language_id, ngram_jaccard, packing, pii, quality, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", "lcs", "lcs_share", "answered")
+
+
 QUERIES = {
     "op1_language_bits": op1_language_bits,
     "op2_warc_shards": op2_warc_shards,
@@ -59,6 +64,7 @@ QUERIES = {
     "op6_elias_fano_tokens": op6_elias_fano_tokens,
     "op7_url_trees": op7_url_trees,
     "op9_disclosure_pii": op9_disclosure_pii,
+    "op10_latent_decontamination": op10_latent_decontamination,
 }
 
 #: DuckDB SQL with the same rows, where SQL can express the query.
