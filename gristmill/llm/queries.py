@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontam, language_id, ngram_jaccard, packing, pii, quality, token_files, url_filter, warc
+from gristmill.llm import decontam, language_id, ngram_jaccard, packing, pii, quality, suffix_dedup, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_cost_packing": op5_cost_packing,
     "op6_elias_fano_tokens": op6_elias_fano_tokens,
     "op7_url_trees": op7_url_trees,
+    "op8_bucket_pointers": op8_bucket_pointers,
     "op9_disclosure_pii": op9_disclosure_pii,
     "op10_latent_decontamination": op10_latent_decontamination,
 }
