@@ -15,6 +15,7 @@ from gristmill.llm.counting import PACKED, KeyCounts, packed_rows
 BUCKET_BITS = 6
 SHIFT = 64 - BUCKET_BITS
 CELL_BITS = 14  # of weights per bucket
+PROFILE = 256  # parts of a set whose sizes bound its overlaps
 POSTINGS = "bucket int, size long, tokens binary, docs binary, sizes binary"
 
 
@@ -171,24 +172,19 @@ def _runs(batches):
         yield bucket, tokens, docs, sizes.astype(np.int64), first, length
 
 
-def _pairs_batch(a: np.ndarray, b: np.ndarray, names=("a", "b")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=list(names))
-
-
 def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distinct pairs, the smaller first."""
     two = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
     return np.unique(two, axis=0)
 
 
-def _candidates(percent: int, small: int, pivots: int):
-    """All pairs of short runs; in long runs each set against a few pivots, the same in all runs.
-
-    Pairs whose sizes alone rule out a link are left out.
-    """
+def _products(percent: int, small: int, pivots: int):
+    """Candidate pairs (run null, a, b): all of short runs, and in long runs each set against a few
+    pivots, the same in all runs. Pairs whose sizes alone rule out a link are left out. The members
+    of long runs follow as (run, set, size)."""
 
     def run(batches):
-        for _, _, docs, sizes, first, length in _runs(batches):
+        for _, tokens, docs, sizes, first, length in _runs(batches):
             left, right = [], []
 
             def add(a, b):
@@ -210,19 +206,11 @@ def _candidates(percent: int, small: int, pivots: int):
             if left:
                 pairs = _ordered(np.concatenate(left), np.concatenate(right))
                 for i in range(0, len(pairs), 1 << 16):
-                    yield _pairs_batch(pairs[i : i + (1 << 16), 0], pairs[i : i + (1 << 16), 1])
-
-    return run
-
-
-def _members(small: int):
-    """The members of long runs: run, set, size."""
-
-    def run(batches):
-        for _, tokens, docs, sizes, first, length in _runs(batches):
+                    part = pairs[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["run", "a", "b"])
             long = np.repeat(length > small, length)
             if long.any():
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[long].view(np.int64)), pa.array(docs[long]), pa.array(sizes[long])], names=["run", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[long].view(np.int64)), pa.array(docs[long]), pa.array(sizes[long])], names=["run", "a", "b"])
 
     return run
 
@@ -268,48 +256,63 @@ def _overlaps(percent: int):
     return run
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col: str, bit_words: int = 1 << 16) -> DataFrame:
-    """The pairs whose overlap count reaches the bound; overlaps are counted over the whole sets.
+def gather_sets(docs: DataFrame, ends: DataFrame, k: int, text_col: str, bit_words: int = 1 << 16) -> tuple[DataFrame, str]:
+    """A table of the sets whose fingerprints `ends` has, each once.
 
     The table of 64 * bit_words bits only spares the shuffle sets that no pair needs.
     """
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp")))
     low = F.col("fp").bitwiseAND(bit_words * 64 - 1)
-    words_ = ends.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 63 as int))")).alias("bits")).collect()  # bit_words at most
+    found = ends.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 63 as int))")).alias("bits")).collect()  # bit_words at most
     table = np.zeros(bit_words, np.uint64)
-    for r in words_:
+    for r in found:
         table[r["w"]] = np.uint64(r["bits"] & (1 << 64) - 1)
-    bits = spark.sparkContext.broadcast(table)
-    sets = docs.select(text_col).mapInArrow(_sets(k, text_col, bits), "fp long, tokens binary").groupBy("fp").agg(F.first("tokens").alias("tokens"))
-    sets, path = write_table(sets, "jaccard-sets")
+    sets = docs.select(text_col).mapInArrow(_sets(k, text_col, spark.sparkContext.broadcast(table)), "fp long, tokens binary")
+    return write_table(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose overlap count over the whole sets reaches the bound."""
     joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("tb")), "b")
-    links, _ = write_table(joined.select("a", "b", "ta", "tb").mapInArrow(_overlaps(percent), "a long, b long"), "jaccard-links")
-    drop_path(spark, path)
-    return links
+    return write_table(joined.select("a", "b", "ta", "tb").mapInArrow(_overlaps(percent), "a long, b long"), "jaccard-links")[0]
+
+
+def _profiles(batches):
+    """How many n-grams of each set fall in each of PROFILE parts."""
+    for batch in slices(batches, ("tokens",)):
+        rows = [np.bincount((np.frombuffer(t, np.uint64) >> np.uint64(20)).astype(np.int64) % PROFILE, minlength=PROFILE).astype(np.int32).tobytes() for t in column(batch, "tokens").to_pylist()]
+        yield pa.RecordBatch.from_arrays([column(batch, "fp"), pa.array(rows, pa.binary())], names=["fp", "profile"])
 
 
-def cross_pairs(members: DataFrame, comps: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Pairs within the long runs whose ends are in different components so far.
+def cross_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Pairs within the long runs whose ends are in different components so far and may yet link.
 
-    Runs of one component have none. Runs are cut into blocks by set, and a task meets two
-    blocks, so no run gathers in one task; members of the run's largest component meet only the
-    members of others, not each other.
+    Runs of one component have none. Runs are cut into blocks by set, and a task meets two blocks,
+    so no run gathers in one task. The overlap of two sets is at most the sum of the smaller counts
+    over the parts of their profiles; pairs that this bound or their sizes rule out are left out.
     """
     known = members.join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     open_runs = known.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("run", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     rows = known.join(open_runs, "run").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets.mapInArrow(_profiles, "fp long, profile binary"), "fp")
     sides = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = sides.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "component")
+    keyed = sides.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "component", "profile")
 
     def pair(key, table):
         i, j = key[1].as_py(), key[2].as_py()
-        block_, fp, n, comp = (table.column(c).to_numpy() for c in ("block", "fp", "n", "component"))
-        p, q = np.flatnonzero(block_ == i), np.flatnonzero(block_ == j)
-        x, y = np.repeat(p, len(q)), np.tile(q, len(p))
-        ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-        pairs = _ordered(fp[x[ok]], fp[y[ok]])
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        side, fp, n, comp = (table.column(c).to_numpy() for c in ("block", "fp", "n", "component"))
+        profile = np.stack([np.frombuffer(x, np.int32) for x in table.column("profile").to_pylist()])
+        p, q = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        left, right = [], []
+        for x in p.tolist():
+            ok = (comp[q] != comp[x]) & (100 * np.minimum(n[q], n[x]) >= percent * np.maximum(n[q], n[x]))
+            y = q[ok]
+            bound = np.minimum(profile[y], profile[x]).sum(axis=1)
+            y = y[bound * (100 + percent) >= percent * (n[y] + n[x])]
+            left.append(np.full(len(y), fp[x], np.int64))
+            right.append(fp[y])
+        pairs = _ordered(np.concatenate(left), np.concatenate(right)) if left else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return keyed.groupBy("run", "i", "j").applyInArrow(pair, "a long, b long").distinct()
 
@@ -340,19 +343,21 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     known = rows.where("doc_id is not null")
     table = spark.sparkContext.broadcast(weights(known, k, "text"))
     n = min(1 << BUCKET_BITS, shuffle_partitions(spark))
-    posted, posted_path = write_table(known.select("text").mapInArrow(_postings(k, "text", percent, table), POSTINGS), "jaccard-postings")
-    spread = posted.repartition(n, "bucket")
-    pairs, pairs_path = write_table(spread.mapInArrow(_candidates(percent, small, pivots), "a long, b long").distinct(), "jaccard-pairs")
-    members, members_path = write_table(spread.mapInArrow(_members(small), "run long, fp long, n long"), "jaccard-runs")
-    drop_path(spark, posted_path)
-    links = verify(known, pairs, k, percent, "text")
+    spread = known.select("text").mapInArrow(_postings(k, "text", percent, table), POSTINGS).repartition(n, "bucket")
+    product, product_path = write_table(spread.mapInArrow(_products(percent, small, pivots), "run long, a long, b long"), "jaccard-product")
+    pairs, pairs_path = write_table(product.where("run is null").select("a", "b").distinct(), "jaccard-pairs")
+    members = product.where("run is not null").select("run", F.col("a").alias("fp"), F.col("b").alias("n"))
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(members.select("fp"))
+    sets, sets_path = gather_sets(known, ends, k, "text")
+    links = verify(pairs, sets, percent)
     comps = components(links)
     if not members.isEmpty():
-        rest, rest_path = write_table(cross_pairs(members, comps, percent).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
+        rest, rest_path = write_table(cross_pairs(members, comps, sets, percent).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
         if not rest.isEmpty():
-            comps = components(links.union(verify(known, rest, k, percent, "text")))
+            comps = components(links.union(verify(rest, sets, percent)))
         drop_path(spark, rest_path)
-    drop_path(spark, pairs_path, members_path)
+    drop_path(spark, sets_path)
+    drop_path(spark, pairs_path, product_path)
     own = described.where("fp is not null and doc_id is not null")
     classes = own.groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     by_id = own.select("fp", "doc_id")  # rows of one id are one document
