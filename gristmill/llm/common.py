@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import tempfile
 import uuid
@@ -85,6 +86,18 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return fs, path.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """While jobs run inside, Arrow batches of at most `rows` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -92,7 +105,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 # ------------------------------------------------------------------ text batches
 
 
-def slices(batches, text_cols: tuple[str, ...], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches, text_cols: tuple[str, ...], max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of each slice take at most max_bytes; one row at least."""
     for batch in batches:
         if batch.num_rows == 0:

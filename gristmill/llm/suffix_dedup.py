@@ -1,7 +1,7 @@
 """Removal of repeated byte strings by bucket-pointer refinement.
 
-Positions are put into buckets by their first 16 bytes; buckets that one document alone has are
-settled. What remains is refined by the bucket identifiers at later offsets, 16, 32 and 34 bytes
+Positions are put into buckets by their first 24 bytes; buckets that one document alone has are
+settled. What remains is refined by the bucket identifiers at later offsets, 24 and 26 bytes
 on, to buckets of equal 50-byte strings. Only positions in unsettled buckets are refined.
 """
 
@@ -13,25 +13,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as pads
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import byte_table, column, drop_path, mix, open_fs, scratch, shuffle_partitions, slices, utf8, window_hash, write_table
+from gristmill.llm.common import byte_table, column, drop_path, mix, open_fs, scratch, shuffle_partitions, slices, small_batches, utf8, window_hash, write_table
 
-Q = 16  # bytes of an initial bucket
+Q = 24  # bytes of an initial bucket
 LAST = np.int64(2**63 - 1)
 PACKED = "bucket int, block int, size long, check long, keys binary, marks binary"
 FLAGS = "block int, bucket int, size long, check long, bits binary"
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all `length`-byte strings inside texts, the anchor of each, and the bucket
-    identifiers of all positions.
+def anchors(raw: np.ndarray, off: np.ndarray, length: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all `length`-byte strings inside texts but those to skip, the anchor of each, and the
+    bucket identifiers of all positions.
 
-    The anchor of a string is the leftmost of its 16-byte substrings with the least hash, so equal
-    strings have equal anchors at equal places, and about one position in eighteen is an anchor.
+    The anchor of a string is the leftmost of its 24-byte substrings with the least hash, so equal
+    strings have equal anchors at equal places, and about one position in fourteen is an anchor.
     """
     bucket = window_hash(byte_table(5)[raw], Q)
     span = length - Q + 1
@@ -47,8 +48,10 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     rest = span - width
     least = np.minimum(packed[: len(packed) - rest], packed[rest:]) if rest else packed
     inside = np.ones(n, bool)
-    for cut in off[1:-1]:
+    for cut in off[1:-1].tolist():
         inside[max(0, cut - length + 1) : cut] = False
+    for i in np.flatnonzero(skip).tolist():
+        inside[off[i] : off[i + 1]] = False
     starts = np.flatnonzero(inside)
     return starts, (least[:n][starts] & low).astype(np.int64), bucket
 
@@ -64,53 +67,76 @@ def refined(bucket: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 class Block:
-    """The documents of one input split, kept as Arrow batches of at most 4 MB of text."""
+    """The documents of one input split, kept as Arrow batches of at most 1 MB of text."""
 
     def __init__(self, batches, length: int):
-        self.parts = list(slices(batches, ("text",)))
+        self.parts = list(slices(batches, ("text",), 1 << 20))
         self.length = length
         ids = [pc.fill_null(column(b, "doc_id"), int(LAST)).to_numpy() for b in self.parts]
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        self.copy = np.zeros(len(self.ids), bool)
+        self.ranked, rank = np.unique(self.ids, return_inverse=True)
+        self.rank = rank.astype(np.int32)
         self.check = int(np.bitwise_xor.reduce(mix(self.ids.astype(np.uint64) + np.arange(len(self.ids), dtype=np.uint64)), initial=np.uint64(0)) >> np.uint64(1))
 
+    def text_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct texts' identifiers, the smallest id of each, and each document's place among them."""
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b].tobytes()) for p in self.parts for raw, off in [utf8(column(p, "text"))] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), np.uint64, len(self.ids))
+        return grouped(keys, self.ids, np.minimum)
+
+    def drop_copies(self, least: np.ndarray, place: np.ndarray, smaller: np.ndarray) -> None:
+        """Mark the documents whose whole text a document with a smaller id has."""
+        self.copy = smaller[place] | (least[place] < self.ids)
+
     def strings(self):
-        """For each batch: its place among the ids, bytes, offsets, starts, anchors, buckets."""
+        """For each batch: its place among the ids, bytes, offsets, starts, anchors, buckets; copies have no strings."""
         before = 0
         for b in self.parts:
             raw, off = utf8(column(b, "text"))
-            yield before, raw, off, *anchors(raw, off, self.length)
+            yield before, raw, off, *anchors(raw, off, self.length, self.copy[before : before + b.num_rows])
             before += b.num_rows
 
-    def anchor_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct anchor buckets and whether one document has each, or more."""
-        keys, ids = [], []
+    def anchor_keys(self) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The distinct anchor buckets, whether one document has each, or more, and for each batch its
+        anchors with their places among the buckets."""
+        keys, ids, places = [], [], []
         for before, _, off, _, anchor, bucket in self.strings():
             at = np.unique(anchor)
             keys.append(bucket[at])
             ids.append(self.ids[before + np.searchsorted(off, at, side="right") - 1])
+            places.append(at)
         if not keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-        key, first, (least, most) = grouped(np.concatenate(keys), np.concatenate(ids), np.minimum, np.maximum)
-        return key, 1 + (least != most).astype(np.uint8)
-
-    def string_keys(self, keys: np.ndarray, shared: np.ndarray):
-        """For each batch its strings in unsettled buckets: place, bytes, offsets, starts, identifiers."""
-        for before, raw, off, starts, anchor, bucket in self.strings():
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint8), []
+        key, (least, most), place = grouped(np.concatenate(keys), np.concatenate(ids), np.minimum, np.maximum, flat=False)
+        cuts = np.cumsum([len(p) for p in places])[:-1]
+        return key, 1 + (least != most).astype(np.uint8), list(zip(places, np.split(place, cuts), strict=True))
+
+    def string_keys(self, places: list, shared: np.ndarray):
+        """For each batch its strings in unsettled buckets: starts, ranks of the documents' ids, identifiers."""
+        for (before, _, off, starts, anchor, bucket), (at, place) in zip(self.strings(), places, strict=True):
             known = np.zeros(len(bucket), bool)
-            at = np.unique(anchor)
-            known[at] = shared[np.searchsorted(keys, bucket[at])]
+            known[at] = shared[place]
             some = starts[known[anchor]]
-            yield before, raw, off, some, refined(bucket, some, self.length)
+            doc = before + np.searchsorted(off, some, side="right") - 1
+            yield some.astype(np.int32), self.rank[doc], refined(bucket, some, self.length)
 
 
-def grouped(keys: np.ndarray, values: np.ndarray, *how) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys in order, the first place of each, and reductions of their values."""
+def grouped(keys: np.ndarray, values: np.ndarray, *how, flat: bool = True):
+    """Distinct keys in order, reductions of their values, and each entry's place among the keys."""
     if not len(keys):
-        return keys, np.zeros(0, np.int64), [values for _ in how]
+        out = [values for _ in how]
+        return keys, out[0] if flat else out, np.zeros(0, np.int64)
     order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], first, [f.reduceat(values, first) for f in how]
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    first = np.flatnonzero(new)
+    ordered = ordered[first]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    values = values[order]
+    del order, new
+    out = [f.reduceat(values, first) for f in how]
+    return ordered, out[0] if flat else out, place
 
 
 def pack(block: int, check: int, keys: np.ndarray, marks: np.ndarray, shift: int):
@@ -198,10 +224,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     """Remove each byte covered by a `length`-byte string that a document with a smaller id has too.
 
     Texts are their UTF-8 bytes; strings never cross documents and are judged on the input. Each
-    input split is a block. A first pass sends the distinct anchor buckets of each block around and
-    gets a bit back for each: whether two documents have it. A second does so for the identifiers
+    input split is a block. A first pass sends the identifiers of whole texts around and gets a bit
+    back for each: whether a smaller document has it, which settles copies. A second does so for the
+    distinct anchor buckets of each block: whether two documents have it. A third for the identifiers
     of the strings in such buckets, each with the block's smallest id: whether another block has a
-    smaller one. A third removes. So what moves are distinct keys per block, no key, document or
+    smaller one. A last one removes. So what moves are distinct keys per block, no key, document or
     group of copies is a hot spot, texts are never shuffled, and a lost task is done again alike. A
     table that is not a plain file scan is written first, which fixes its splits. Identifiers have
     64 bits.
@@ -211,44 +238,73 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     gives no rows. Only the two named columns are read. Returns doc_id and RESULT; `with_text` adds
     the kept bytes.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with small_batches(docs.sparkSession):
+        return _remove_repeats(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), length, with_text)
+
+
+def _remove_repeats(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
+    spark = rows.sparkSession
     if not is_scan(rows):
         rows, _ = write_table(rows, "repeat-docs")
     n = shuffle_partitions(spark)
     shift = 64 - max(6, (n - 1).bit_length())
 
-    def first(batches):
+    def copies(batches):
         block = Block(batches, length)
-        yield from pack(TaskContext.get().partitionId(), block.check, *block.anchor_keys(), shift)
+        keys, least, _ = block.text_keys()
+        yield from pack(TaskContext.get().partitionId(), block.check, keys, least, shift)
+
+    copies_path = write_flags(rows.mapInArrow(copies, PACKED), in_a_smaller_document, n, "repeat-copies")
+
+    def originals(batches) -> tuple[int, Block]:
+        number, block = TaskContext.get().partitionId(), Block(batches, length)
+        keys, least, place = block.text_keys()
+        block.drop_copies(least, place, read_flags(copies_path, number, block.check, n, len(keys)))
+        return number, block
+
+    def first(batches):
+        number, block = originals(batches)
+        keys, marks, _ = block.anchor_keys()
+        yield from pack(number, block.check, keys, marks, shift)
 
     shared_path = write_flags(rows.mapInArrow(first, PACKED), in_two_documents, n, "repeat-anchors")
 
     def local(batches):
-        number, block = TaskContext.get().partitionId(), Block(batches, length)
-        keys, _ = block.anchor_keys()
-        parts = list(block.string_keys(keys, read_flags(shared_path, number, block.check, n, len(keys))))
-        ids = [block.ids[before + np.searchsorted(off, some, side="right") - 1] for before, _, off, some, _ in parts]
-        key = np.concatenate([p[4] for p in parts]) if parts else np.zeros(0, np.uint64)
-        own, _, (least,) = grouped(key, np.concatenate(ids) if ids else np.zeros(0, np.int64), np.minimum)
-        return number, block, parts, ids, own, least
+        number, block = originals(batches)
+        keys, _, places = block.anchor_keys()
+        starts, ranks, found = [], [], []
+        for some, rank, key in block.string_keys(places, read_flags(shared_path, number, block.check, n, len(keys))):
+            starts.append(some)
+            ranks.append(rank)
+            found.append(key)
+        del keys, places
+        key, rank = (np.concatenate(found), np.concatenate(ranks)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        del found
+        own, least, place = grouped(key, rank, np.minimum)
+        return number, block, starts, ranks, own, least, place
 
     def second(batches):
-        number, block, _, _, own, least = local(batches)
-        yield from pack(number, block.check, own, least, shift)
+        number, block, _, _, own, least, _ = local(batches)
+        yield from pack(number, block.check, own, block.ranked[least], shift)
 
     smaller_path = write_flags(rows.mapInArrow(second, PACKED), in_a_smaller_document, n, "repeat-strings")
 
     def third(batches):
-        number, block, parts, ids, own, least = local(batches)
+        number, block, starts, ranks, own, least, place = local(batches)
         smaller = read_flags(smaller_path, number, block.check, n, len(own))
-        for batch, (_, raw, off, some, key), mine in zip(block.parts, parts, ids, strict=True):
-            at = np.searchsorted(own, key)
+        del own
+        cuts = np.cumsum([len(x) for x in starts])[:-1]
+        before = 0
+        for batch, some, mine, at in zip(block.parts, starts, ranks, np.split(place, cuts) if starts else [], strict=True):
+            raw, off = utf8(column(batch, "text"))
             hit = some[smaller[at] | (least[at] < mine)]
             edge = np.zeros(len(raw) + 1, np.int32)
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + length, -1)
             gone = np.cumsum(edge[:-1]) > 0
+            for i in np.flatnonzero(block.copy[before : before + batch.num_rows] & (off[1:] - off[:-1] >= length)).tolist():
+                gone[off[i] : off[i + 1]] = True
+            before += batch.num_rows
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
             cuts = off[(off > 0) & (off < len(raw))]
@@ -259,5 +315,5 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * with_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
     out, _ = write_table(rows.mapInArrow(third, f"doc_id long, {RESULT}" + ", kept binary" * with_text), "repeat-result")
-    drop_path(spark, shared_path, smaller_path)
+    drop_path(spark, copies_path, shared_path, smaller_path)
     return out
