@@ -296,18 +296,54 @@ def walk(node: Node, at: Place) -> Iterator[dict]:
             yield from walk(child, here)
 
 
+def descend(node: Node, *roles: str) -> Iterator[Node]:
+    """All elements below that have one of the roles, in document order."""
+    for child in node.children:
+        if child.role in roles:
+            yield child
+        yield from descend(child, *roles)
+
+
+def title_of(root: Node, html: bool) -> str:
+    """The first title with text: the header's main title, any title statement, the source's title."""
+    if html:
+        found = [root.find("title")]
+    else:
+        header = root.find("teiHeader")
+        statements = [t for s in (descend(header, "titleStmt") if header else ()) for t in s.children if t.role == "title"]
+        sources = [t for s in (descend(header, "analytic") if header else ()) for t in s.children if t.role == "title"]
+        found = [t for t in statements if t.attrs.get("type") == "main"] + statements + sources
+    return next((text for t in found if t and (text := node_text(t))), "")
+
+
+def abstracts_of(root: Node) -> Iterator[tuple[Node, str]]:
+    """Abstract candidates: the header's abstracts and front divisions whose attributes name one."""
+    header, front = root.find("teiHeader"), root.find("text", "front")
+    named = [d for d in (descend(front, "div") if front else ()) if "abstract" in fold(" ".join(d.attrs.values()))]
+    for node in [*(descend(header, "abstract") if header else ()), *named]:
+        paragraphs = list(descend(node, "p"))
+        texts = [t for p in paragraphs if (t := node_text(p)) and classify(t, "main")[1] != "noise"] if paragraphs else [node_text(node)]
+        if text := "\n\n".join(filter(None, texts)):
+            yield node, text
+
+
 def document_blocks(source: str | None, html: bool = False) -> list[dict]:
-    """Title and body blocks of a document; a document without a body is a ValueError."""
+    """Title, abstract candidates and body blocks of a document; without a body it is a ValueError.
+
+    An abstract candidate has its language as source_type.
+    """
     if source is None:
         raise ValueError("no document")
     root = parse_html(source) if html else parse_xml(source)
     body = root.find("body") if html else root.find("text", "body")
     if body is None:
         raise ValueError("no body element")
-    title = root.find("title")
-    text = node_text(title) if title else ""
-    head = [_block(title, "title", text, "main", "title", Place("main", 1, ()))] if text else []
-    return head + list(walk(body, Place("main", 2, ())))
+    top, out = Place("main", 1, ()), []
+    if text := title_of(root, html):
+        out.append(_block(Node("title"), "title", text, "main", "title", top))
+    for node, text in () if html else abstracts_of(root):
+        out.append(_block(node, "abstract_candidate", text, "main", "abstract", top) | {"source_type": node.attrs.get("lang", "")})
+    return out + list(walk(body, Place("main", 2, ())))
 
 
 def blocks_of(docs: DataFrame, id_col: str, source_col: str, html: bool = False) -> DataFrame:

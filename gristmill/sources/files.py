@@ -70,6 +70,29 @@ def read_documents(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (
     return rows.where(F.col("file_path").rlike(rf"({pattern})\z")).select(name.alias("article_id"), "source")
 
 
+def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> list[str]:
+    """The names in a folder that have one of the suffixes, sorted; on any file system that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isFile()] if fs.exists(where) else []
+    return sorted(n for n in names if n.lower().endswith(suffixes))
+
+
+def resolve_file(spark: SparkSession, folder: str, article: str, suffixes: tuple[str, ...]) -> str:
+    """The file of an article: its exact name, the same in another case, or the only one that begins so.
+
+    Otherwise an error lists what there is.
+    """
+    names = list_files(spark, folder, suffixes)
+    for test in (lambda n: any(n == article + s for s in suffixes), lambda n: any(n.lower() == (article + s).lower() for s in suffixes), lambda n: n.lower().startswith(article.lower())):
+        found = [n for n in names if test(n)]
+        if len(found) == 1:
+            return f"{folder}/{found[0]}"
+        if found:
+            raise FileNotFoundError(f"{article} is ambiguous: {', '.join(found)}")
+    raise FileNotFoundError(f"no file for {article} among: {', '.join(names) or 'none'}")
+
+
 # -------------------------------------------------------------------------------- sinks
 
 

@@ -50,7 +50,7 @@ def test_both_classifiers_agree(spark, t):
     assert tuple(got) == bl.classify(t, "main")
 
 
-TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><title>A title</title></teiHeader><text><body>
+TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><titleStmt><title>A title</title></titleStmt></teiHeader><text><body>
 <div><head>Intro</head><p>First <ref type="bibr">[1]</ref>words<hi>bold </hi>end.</p>
 <list type="ordered"><item>one</item><item>two</item></list><figure><head>Fig</head></figure>
 <div><head>Deep</head><quote>said</quote><note>lost<p>kept</p></note></div></div>
@@ -176,3 +176,45 @@ def test_ngrams_and_nearest(spark):
     assert got == {"one": 1, "two": 2, "one two": 1, "two two": 1}
     empty = spark.createDataFrame([], "i long, v array<float>")
     assert tp.cosine_topk(empty, "i", "v", F.col("i") == 0, 3).count() == 0
+
+
+ARTICLE = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title type="main">Green homes</title></titleStmt></fileDesc>
+<profileDesc><abstract xml:lang="en"><p>{a}</p></abstract></profileDesc></teiHeader><text><front><div type="abstract"><p>Short one.</p></div></front>
+<body><div><head>Results</head><p>{b}</p><p>{b}</p><p>{a}</p><figure><head>F</head></figure></div></body></text></TEI>"""
+
+
+def test_article_report(spark):
+    from gristmill.operators import articles
+
+    abstract = "In this paper we present a method. " + "It saves energy in many homes by careful rules. " * 8
+    body = "The rules were applied to forty homes for one year and the savings were large enough to matter."
+    rows = spark.createDataFrame([("a", ARTICLE.format(a=abstract.strip(), b=body)), ("b", "<TEI><text><body><p>Only this.</p></body></text></TEI>")], "id string, x string")
+    got = {r.id: r for r in articles.report(bl.blocks_of(rows, "id", "x"), "id").collect()}
+    a = got["a"]
+    assert a.title == "Green homes" and a.abstract == abstract.strip() and [c.score for c in a.candidates] == [9.5, -2.0]
+    assert (a.main_blocks, a.discarded_blocks, a.block_kinds, a.discard_reasons) == (2, 3, {"heading": 1, "paragraph": 1}, {"duplicate_content": 2, "figure_content": 1})
+    assert got["b"].warnings == ["abstract_not_found", "abstract_not_selected"] and not got["b"].title_found
+
+
+def test_labelling(spark):
+    from gristmill.operators import labelling as lab
+
+    samples = spark.createDataFrame([(1, 1, "s2", "n", "t2"), (1, 1, "s1", "n", "t1")], "topic_id int, batch_id int, sample_id string, topic_name string, topic_text string")
+    contexts = spark.createDataFrame([(1, "name", "sum", "cat_1", "high"), (2, "name", "sum", "Cat", "high"), (3, "name", None, "cat", "high"), (4, "n", "s", "cat", "huge")], "topic_id int, llm_topic_name string, topic_summary string, green_category string, global_green_relevance string")
+    assert [r.v for r in contexts.select("topic_id", lab.context_verdict(F.col("topic_id")).alias("v")).orderBy("topic_id").collect()] == [None, "not_snake_case", "missing_topic_summary", "relevance"]
+    prompt = lab.batch_prompts(samples, contexts).first().prompt
+    assert "[1]\nsample_id: s1\ntopic_name: n\ntopic_text: t1\n\n[2]\nsample_id: s2" in prompt and prompt.endswith("Preserve every sample_id exactly.")
+    assert lab.topic_prompts(samples).first().prompt.startswith("Topic id: 1\nAutomatic topic name: n\nNumber of representative samples: 2")
+    labels = spark.createDataFrame([("s1", "high", True), ("s1", "high", True), ("x", "odd", None)], "sample_id string, green_relevance string, keep_for_rag boolean")
+    assert {(r.sample_id, r.problem) for r in lab.label_problems(samples, labels).collect()} == {("s2", "missing"), ("x", "extra"), ("s1", "repeated"), ("x", "relevance"), ("x", "keep_for_rag")}
+
+
+def test_resolve_file(spark, tmp_path):
+    for n in ("article_1.tei.xml", "Article_2.xml", "article_30.xml", "article_31.xml", "x.txt"):
+        (tmp_path / n).write_text("<TEI/>")
+    found = lambda a: files.resolve_file(spark, f"file://{tmp_path}", a, (".tei.xml", ".xml")).rpartition("/")[2]
+    assert [found(a) for a in ("article_1", "article_2", "article_30")] == ["article_1.tei.xml", "Article_2.xml", "article_30.xml"]
+    for bad in ("article_3", "article_9"):
+        with pytest.raises(FileNotFoundError):
+            found(bad)
+    assert files.read_documents(spark, f"file://{tmp_path}/*.xml").count() == 4
