@@ -56,7 +56,9 @@ def docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", "source", F.col("text").alias("t"))
 
 
-T = F.col("t")
+def text():
+    """The text column of `docs` and `lines`."""
+    return F.col("t")
 
 # ------------------------------------------------------------------------- normalising
 
@@ -80,12 +82,12 @@ def _tidy_sql(x: str) -> str:
 
 @query(f"SELECT doc_id, md5({_tidy_sql('text')}) AS text_md5 FROM documents")
 def normalize_text(spark, d):
-    return docs(spark, d).select("doc_id", F.md5(tx.tidy(T)).alias("text_md5"))
+    return docs(spark, d).select("doc_id", F.md5(tx.tidy(text())).alias("text_md5"))
 
 
 @query(rf"""SELECT doc_id, md5({sql_strip(r"regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g')")}) AS text_md5 FROM documents""")
 def clean_pdf_text(spark, d):
-    return docs(spark, d).select("doc_id", F.md5(tx.clean_pdf_text(T)).alias("text_md5"))
+    return docs(spark, d).select("doc_id", F.md5(tx.clean_pdf_text(text())).alias("text_md5"))
 
 
 @query(r"""SELECT page_id, 'article_' || regexp_replace(regexp_extract(url, '([^/?#]+)/?(?:[?#].*)?$', 1), '(?i)(\.grobid)?(\.tei)?\.(xml|pdf|html)\z|\.tei\z', '') AS article_id FROM pages""")
@@ -123,12 +125,12 @@ def page_concat(spark, d):
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, {WORDS_SQL} AS words FROM d")
 def word_counts(spark, d):
-    return docs(spark, d).select("doc_id", tx.word_count(T).alias("words"))
+    return docs(spark, d).select("doc_id", tx.word_count(text()).alias("words"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, round({RATIO_SQL}, 6) AS ratio FROM d")
 def numeric_ratio(spark, d):
-    return docs(spark, d).select("doc_id", F.round(tx.numeric_ratio(T), 6).alias("ratio"))
+    return docs(spark, d).select("doc_id", F.round(tx.numeric_ratio(text()), 6).alias("ratio"))
 
 
 LINES_SQL = f"list_filter(list_transform(string_split(t, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '')"
@@ -139,13 +141,13 @@ m AS (SELECT doc_id, length(t) AS num_chars, {WORDS_SQL} AS num_words, len(lines
 SELECT doc_id, num_chars, num_words, num_lines, round(CASE WHEN num_lines > 0 THEN short::DOUBLE / num_lines ELSE 1 END, 3) AS short_line_ratio, num_chars < 2000 AS looks_empty,
 (num_chars < 2000 OR (num_lines > 0 AND short::DOUBLE / num_lines > 0.65)) AS may_be_bad_extraction FROM m""")
 def pdf_quality_report(spark, d):
-    return docs(spark, d).select("doc_id", *(c.alias(n) for n, c in tx.pdf_quality(T).items()))
+    return docs(spark, d).select("doc_id", *(c.alias(n) for n, c in tx.pdf_quality(text()).items()))
 
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, {DEFINITION_SQL} AS definition, {QUESTION_SQL} AS question, {CAPTION_SQL} AS caption, {CHART_SQL} AS chart, {NOISE_SQL} AS noise FROM d")
 def block_flags(spark, d):
     tests = {"definition": tx.is_definition, "question": tx.is_question, "caption": tx.is_caption, "chart": tx.is_chart, "noise": tx.is_noise}
-    return docs(spark, d).select("doc_id", *(f(T).alias(n) for n, f in tests.items()))
+    return docs(spark, d).select("doc_id", *(f(text()).alias(n) for n, f in tests.items()))
 
 
 WARNINGS_SQL = f"""concat_ws(',', CASE WHEN {WORDS_SQL} >= 1200 THEN 'very_long_block' END, CASE WHEN {WORDS_SQL} >= 80 AND NOT contains('.!?;:', right(t, 1)) THEN 'missing_terminal_punctuation' END,
@@ -154,30 +156,30 @@ CASE WHEN {RATIO_SQL} >= 0.25 THEN 'high_numeric_density' END, CASE WHEN regexp_
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, {WARNINGS_SQL} AS warnings FROM d")
 def block_warnings(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(tx.block_warnings(T), ",").alias("warnings"))
+    return docs(spark, d).select("doc_id", F.array_join(tx.block_warnings(text()), ",").alias("warnings"))
 
 
 @query(f"""WITH {DOCS_SQL}, w AS (SELECT lang, unnest(string_split({WARNINGS_SQL}, ',')) AS w FROM d)
 SELECT lang, string_agg(DISTINCT w, ',' ORDER BY w) AS warnings FROM w WHERE w <> '' GROUP BY lang""")
 def doc_warnings(spark, d):
-    each = docs(spark, d).select("lang", F.explode(tx.block_warnings(T)).alias("w"))
+    each = docs(spark, d).select("lang", F.explode(tx.block_warnings(text())).alias("w"))
     return each.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("warnings"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, {CLASSIFY_SQL} AS verdict FROM d")
 def classify_blocks(spark, d):
-    category, reason = tx.classify_block(T, parent())
+    category, reason = tx.classify_block(text(), parent())
     return docs(spark, d).select("doc_id", F.concat_ws(":", category, reason).alias("verdict"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, {SCORE_SQL} AS score FROM d")
 def abstract_score(spark, d):
-    return docs(spark, d).select("doc_id", tx.abstract_score(T, F.col("lang")).alias("score"))
+    return docs(spark, d).select("doc_id", tx.abstract_score(text(), F.col("lang")).alias("score"))
 
 
 @query(f"WITH {DOCS_SQL}, s AS (SELECT source, doc_id, {SCORE_SQL} AS score FROM d) SELECT source, max(score) AS score, arg_max(doc_id, struct_pack(s := score, i := -doc_id)) AS doc_id FROM s GROUP BY source")
 def best_candidate(spark, d):
-    scored = docs(spark, d).select("source", "doc_id", tx.abstract_score(T, F.col("lang")).alias("score"))
+    scored = docs(spark, d).select("source", "doc_id", tx.abstract_score(text(), F.col("lang")).alias("score"))
     return scored.groupBy("source").agg(F.max("score").alias("score"), F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"))
 
 
@@ -185,7 +187,7 @@ def best_candidate(spark, d):
 g AS (SELECT source, max(score) FILTER (rn = 1) AS best, max(score) FILTER (rn = 2) AS second FROM s GROUP BY source)
 SELECT source, best, best - second AS gap, CASE WHEN best < 0 THEN 'low_confidence' WHEN best - second <= 1.5 THEN 'ambiguous' ELSE 'ok' END AS verdict FROM g""")
 def best_candidate_gap(spark, d):
-    scored = docs(spark, d).select("source", tx.abstract_score(T, F.col("lang")).alias("score")).groupBy("source", "score").agg(F.count("*").alias("n"))
+    scored = docs(spark, d).select("source", tx.abstract_score(text(), F.col("lang")).alias("score")).groupBy("source", "score").agg(F.count("*").alias("n"))
     two = scored.groupBy("source").agg(F.max("score").alias("best"), F.max_by("n", "score").alias("ties"))
     second = scored.join(two, "source").where("score < best").groupBy("source").agg(F.max("score").alias("below"))
     out = two.join(second, "source", "left").withColumn("second", F.when(F.col("ties") > 1, F.col("best")).otherwise(F.col("below")))
@@ -201,7 +203,7 @@ TITLE_LIST = ", ".join(f"'{t}'" for t in tx.EXCLUDED_TITLES)
 SELECT doc_id, CASE WHEN len(list_filter([{TITLE_LIST}], lambda x: heading = x OR starts_with(heading, x || ' '))) > 0 THEN 'discard' WHEN starts_with(heading, 'box ') OR starts_with(heading, 'case study ')
 OR heading IN ({", ".join(f"'{t}'" for t in tx.SUPPLEMENTARY_TITLES)}) THEN 'supplementary' ELSE 'main' END AS class FROM h""")
 def heading_class(spark, d):
-    heading = F.when(F.col("doc_id") % 4 == 0, "references").when(F.col("doc_id") % 4 == 1, "box 1").otherwise(tx.fold_heading(F.split_part(T, F.lit("\n"), F.lit(1))))
+    heading = F.when(F.col("doc_id") % 4 == 0, "references").when(F.col("doc_id") % 4 == 1, "box 1").otherwise(tx.fold_heading(F.split_part(text(), F.lit("\n"), F.lit(1))))
     return docs(spark, d).select("doc_id", tx.heading_class(heading).alias("class"))
 
 
@@ -210,8 +212,8 @@ def heading_class(spark, d):
 
 def lines(spark, d):
     """The non-empty lines of all documents as blocks: doc_id, ordinal, lang, t."""
-    cut = docs(spark, d).select("doc_id", "lang", "source", F.posexplode(F.split(T, "\n")).alias("ordinal", "t"))
-    return cut.withColumn("t", tx.strip(T)).where("t <> ''").withColumn("ordinal", F.col("ordinal").cast("long"))
+    cut = docs(spark, d).select("doc_id", "lang", "source", F.posexplode(F.split(text(), "\n")).alias("ordinal", "t"))
+    return cut.withColumn("t", tx.strip(text())).where("t <> ''").withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 LINE_SQL = f"""b AS (SELECT doc_id, lang, source, ordinal - 1 AS ordinal, t, {PARENT_SQL} AS parent FROM (SELECT doc_id, lang, source, unnest(range(1, len(l) + 1)) AS ordinal, unnest(l) AS t FROM
@@ -220,7 +222,7 @@ LINE_SQL = f"""b AS (SELECT doc_id, lang, source, ordinal - 1 AS ordinal, t, {PA
 
 @query(f"""WITH {LINE_SQL} SELECT doc_id, ordinal, md5(trim({FOLD_SQL.format("t")})) AS fingerprint, CASE WHEN length(trim({FOLD_SQL.format("t")})) >= 80 AND row_number() OVER (PARTITION BY doc_id, md5(trim({FOLD_SQL.format("t")})) ORDER BY ordinal) > 1 THEN 'duplicate_content' ELSE 'kept' END AS verdict FROM b""")
 def block_dedupe(spark, d):
-    folded = tx.fold_heading(T)
+    folded = tx.fold_heading(text())
     rows = lines(spark, d).select("doc_id", "ordinal", F.md5(folded).alias("fingerprint"), F.length(folded).alias("n"))
     again = F.row_number().over(Window.partitionBy("doc_id", "fingerprint").orderBy("ordinal")) > 1
     return rows.select("doc_id", "ordinal", "fingerprint", F.when((F.col("n") >= 80) & again, "duplicate_content").otherwise("kept").alias("verdict"))
@@ -230,8 +232,8 @@ def block_dedupe(spark, d):
 q AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (category = 'main') AS main, count(*) FILTER (category = 'discard') AS discarded, sum(length(t)) FILTER (category = 'main') AS main_chars, sum(length(t)) AS chars FROM c GROUP BY doc_id)
 SELECT doc_id, blocks, main, discarded, coalesce(main_chars, 0)::BIGINT AS main_chars, round(coalesce(main_chars, 0)::DOUBLE / chars, 4) AS main_ratio, main = 0 AS no_main FROM q""")
 def block_quality_report(spark, d):
-    category, _ = tx.classify_block(T, parent())
-    rows = lines(spark, d).select("doc_id", F.length(T).alias("n"), category.alias("category"))
+    category, _ = tx.classify_block(text(), parent())
+    rows = lines(spark, d).select("doc_id", F.length(text()).alias("n"), category.alias("category"))
     main = F.col("category") == "main"
     out = rows.groupBy("doc_id").agg(
         F.count("*").alias("blocks"), F.count_if(main).alias("main"), F.count_if(F.col("category") == "discard").alias("discarded"), F.sum(F.when(main, F.col("n")).otherwise(0)).alias("main_chars"), F.sum("n").alias("chars"), (~F.bool_or(main)).alias("no_main")
@@ -241,7 +243,7 @@ def block_quality_report(spark, d):
 
 @query(f"""WITH {LINE_SQL}, c AS (SELECT lang, {CLASSIFY_SQL} AS v, count(*) AS n FROM b GROUP BY 1, 2) SELECT lang, string_agg(v || '=' || n, ',' ORDER BY v) AS counts FROM c GROUP BY lang""")
 def block_kind_counts(spark, d):
-    category, reason = tx.classify_block(T, parent())
+    category, reason = tx.classify_block(text(), parent())
     counts = lines(spark, d).groupBy("lang", F.concat_ws(":", category, reason).alias("v")).agg(F.count("*").alias("n"))
     kinds = F.map_from_entries(F.array_sort(F.collect_list(F.struct("v", "n"))))
     shown = F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
@@ -251,7 +253,7 @@ def block_kind_counts(spark, d):
 @query(f"""WITH {LINE_SQL}, r AS (SELECT doc_id, ordinal, CASE WHEN ordinal = 0 THEN '## ' || t WHEN length(t) < 35 THEN '> ' || t ELSE t END AS line FROM b)
 SELECT doc_id, md5(string_agg(line, chr(10) || chr(10) ORDER BY ordinal)) AS markdown_md5 FROM r GROUP BY doc_id""")
 def render_markdown(spark, d):
-    line = F.when(F.col("ordinal") == 0, F.concat(F.repeat(F.lit("#"), F.lit(2)), F.lit(" "), T)).when(F.length(T) < 35, F.concat(F.lit("> "), T)).otherwise(T)
+    line = F.when(F.col("ordinal") == 0, F.concat(F.repeat(F.lit("#"), F.lit(2)), F.lit(" "), text())).when(F.length(text()) < 35, F.concat(F.lit("> "), text())).otherwise(text())
     rows = lines(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("rows"))
     return rows.select("doc_id", F.md5(F.array_join(F.transform("rows", lambda r: r["line"]), "\n\n")).alias("markdown_md5"))
 
