@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import json
 import tempfile
 import uuid
@@ -106,7 +107,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def slices(batches, text_cols: tuple[str, ...], max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of each slice take at most max_bytes; one row at least."""
+    """Cut Arrow batches so that the texts of each slice take at most max_bytes; one row at least.
+
+    At the end the memory that the task has freed goes back to the system: the worker lives on.
+    """
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -121,6 +125,14 @@ def slices(batches, text_cols: tuple[str, ...], max_bytes: int = 1 << 20) -> Ite
             to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library and Arrow can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import column, drop_path, shuffle_partitions, slices, texts, window_hash, write_table
+from gristmill.llm.common import column, drop_path, shuffle_partitions, slices, small_batches, texts, window_hash, write_table
 from gristmill.llm.counting import PACKED, KeyCounts, packed_rows, sum_counts
 
 ORDERS = (3, 4)
@@ -168,7 +168,8 @@ def train(
     buckets = 1 << BUCKET_BITS
     if not langs:
         return LanguageFilter([], np.zeros((1 << row_bits, 1), np.uint64), np.zeros(0), 0, row_bits)
-    counted, path = write_table(sum_counts(rows.mapInArrow(_count(langs), PACKED), min(buckets, shuffle_partitions(docs.sparkSession)), SHIFT), "lang-counts")
+    with small_batches(docs.sparkSession):
+        counted, path = write_table(sum_counts(rows.mapInArrow(_count(langs), PACKED), min(buckets, shuffle_partitions(docs.sparkSession)), SHIFT), "lang-counts")
 
     def add_up(batches):
         total = np.zeros(len(langs), np.int64)

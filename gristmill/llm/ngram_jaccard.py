@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import LOWER, byte_table, column, drop_path, mix, range_hash, shuffle_partitions, slices, utf8, window_hash, words, write_table
+from gristmill.llm.common import LOWER, byte_table, column, drop_path, mix, range_hash, shuffle_partitions, slices, small_batches, utf8, window_hash, words, write_table
 from gristmill.llm.components import components
 from gristmill.llm.counting import PACKED, KeyCounts, packed_rows
 
@@ -49,6 +49,24 @@ def fingerprint2(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=1) >> 1
 
 
+def profile(tokens: np.ndarray) -> bytes:
+    """How many n-grams of a set fall in each of PROFILE parts, 255 standing for as many or more."""
+    return np.minimum(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % PROFILE, minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def may_link(pa_: np.ndarray, pb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sizes and profiles of two sets allow a link: the overlap is at most the sum of the
+    smaller counts over the parts, where no count is cut."""
+    most = np.minimum(pa_, pb).sum(axis=1, dtype=np.int64)
+    cut = (pa_ == 255).any(axis=1) | (pb == 255).any(axis=1)
+    sizes = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    return sizes & (cut | (most * (100 + percent) >= percent * (na + nb)))
+
+
+def profiles(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, PROFILE)
+
+
 def min_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
@@ -113,7 +131,7 @@ def _describe(k: int, id_col: str, text_col: str):
         for batch in slices(batches, (text_col,)):
             sets = shingle_sets(column(batch, text_col), k)
             cols = [pa.array([len(t) for t in sets], pa.int64()), *(pa.array([f(t) if len(t) else None for t in sets], pa.int64()) for f in (fingerprint, fingerprint2))]
-            yield pa.RecordBatch.from_arrays([column(batch, id_col), *cols], names=["doc_id", "n_shingles", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([column(batch, id_col), *cols, pa.array([profile(t) for t in sets], pa.binary())], names=["doc_id", "n_shingles", "fp", "fp2", "profile"])
 
     return run
 
@@ -242,7 +260,7 @@ def _sets(k: int, text_col: str, bits):
 
 def _overlaps(percent: int):
     def run(batches):
-        for batch in slices(batches, ("ta", "tb"), 8 << 20):
+        for batch in slices(batches, ("ta", "tb"), 4 << 20):
             keep = []
             for ta, tb in zip(column(batch, "ta").to_pylist(), column(batch, "tb").to_pylist(), strict=True):
                 x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
@@ -277,58 +295,98 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return write_table(joined.select("a", "b", "ta", "tb").mapInArrow(_overlaps(percent), "a long, b long"), "jaccard-links")[0]
 
 
-def _profiles(batches):
-    """How many n-grams of each set fall in each of PROFILE parts."""
-    for batch in slices(batches, ("tokens",)):
-        rows = [np.bincount((np.frombuffer(t, np.uint64) >> np.uint64(20)).astype(np.int64) % PROFILE, minlength=PROFILE).astype(np.int32).tobytes() for t in column(batch, "tokens").to_pylist()]
-        yield pa.RecordBatch.from_arrays([column(batch, "fp"), pa.array(rows, pa.binary())], names=["fp", "profile"])
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose profiles allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n = [column(batch, c).to_numpy() for c in ("na", "nb")]
+                mask = pa.array(may_link(profiles(column(batch, "pa")), profiles(column(batch, "pb")), *n, percent))
+                yield pa.RecordBatch.from_arrays([column(batch, "a").filter(mask), column(batch, "b").filter(mask)], names=["a", "b"])
+
+    one = nodes.select(F.col("fp").alias("a"), F.col("n_shingles").alias("na"), F.col("profile").alias("pa"))
+    two = nodes.select(F.col("fp").alias("b"), F.col("n_shingles").alias("nb"), F.col("profile").alias("pb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+def _groups(batches, keys: tuple[str, ...]):
+    """The runs of equal keys of sorted batches, whole, one at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = np.stack([column(batch, k).to_numpy() for k in keys], axis=1)
+        cuts = np.flatnonzero((cols[1:] != cols[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            key = tuple(cols[a])
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def cross_pairs(members: DataFrame, comps: DataFrame, nodes: DataFrame, percent: int, best: bool, block: int = 256) -> DataFrame:
     """Pairs within the long runs whose ends are in different components so far and may yet link.
 
-    Runs of one component have none. Runs are cut into blocks by set, and a task meets two blocks,
-    so no run gathers in one task. The overlap of two sets is at most the sum of the smaller counts
-    over the parts of their profiles; pairs that this bound or their sizes rule out are left out.
+    Runs of one component have none, and of runs with the same members one is enough. Runs are cut
+    into blocks by set, and a group of rows has two blocks, so no run gathers in one place. With
+    `best` each set has one partner of each group at most, the likeliest by its profile; without,
+    all pairs that their profiles allow.
     """
     known = members.join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    open_runs = known.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("run", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    rows = known.join(open_runs, "run").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    rows = rows.join(sets.mapInArrow(_profiles, "fp long, profile binary"), "fp")
+    facts = [F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), F.bit_xor("fp").alias("s1"), F.bit_xor(F.xxhash64("fp")).alias("s2")]
+    open_runs = known.groupBy("run").agg(*facts).where("x <> y").groupBy("m", "s1", "s2").agg(F.min("run").alias("run")).select("run", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    rows = known.join(open_runs, "run").join(nodes.select("fp", "profile"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     sides = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     keyed = sides.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "component", "profile")
+    ordered = keyed.repartition(shuffle_partitions(members.sparkSession), "run", "i", "j").sortWithinPartitions("run", "i", "j")
+
+    def run(batches):
+        left, right, held = [], [], 0
+        for (_, i, j), table in _groups(batches, ("run", "i", "j")):
+            side, fp, n, comp = (table.column(c).to_numpy() for c in ("block", "fp", "n", "component"))
+            prof = profiles(table.column("profile"))
+            p, q = np.flatnonzero(side == i), np.flatnonzero(side == j)
+            for x in p.tolist():
+                y = q[comp[q] != comp[x]]
+                if i == j:
+                    y = y[y > x]
+                y = y[may_link(prof[y], prof[x][None, :], n[y], n[x], percent)] if len(y) else y
+                if best and len(y) > 1:
+                    gap = n[y] + n[x] - 2 * np.minimum(prof[y], prof[x]).sum(axis=1, dtype=np.int64)
+                    y = y[[int(np.argmin(gap))]]
+                left.append(np.full(len(y), fp[x], np.int64))
+                right.append(fp[y])
+                held += len(y)
+            if held > 1 << 19:
+                pairs = _ordered(np.concatenate(left), np.concatenate(right))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                left, right, held = [], [], 0
+        if held:
+            pairs = _ordered(np.concatenate(left), np.concatenate(right))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    def pair(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        side, fp, n, comp = (table.column(c).to_numpy() for c in ("block", "fp", "n", "component"))
-        profile = np.stack([np.frombuffer(x, np.int32) for x in table.column("profile").to_pylist()])
-        p, q = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        left, right = [], []
-        for x in p.tolist():
-            ok = (comp[q] != comp[x]) & (100 * np.minimum(n[q], n[x]) >= percent * np.maximum(n[q], n[x]))
-            y = q[ok]
-            bound = np.minimum(profile[y], profile[x]).sum(axis=1)
-            y = y[bound * (100 + percent) >= percent * (n[y] + n[x])]
-            left.append(np.full(len(y), fp[x], np.int64))
-            right.append(fp[y])
-        pairs = _ordered(np.concatenate(left), np.concatenate(right)) if left else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return keyed.groupBy("run", "i", "j").applyInArrow(pair, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 # -------------------------------------------------------------------------------- operator
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 32, pivots: int = 8) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 3, pivots: int = 2) -> DataFrame:
     """Group documents by links of Jaccard similarity percent / 100 or more of their shingle sets.
 
     Equal sets are one node from the start, so copies are never paired. Of every other set the n -
     ceil(percent n / 100) + 1 rarest n-grams are kept: two linked sets share one of those. Postings
     are multiplied by blocks of n-grams into candidate pairs that their sizes allow, and overlap
     counts over the whole sets decide them. In runs of more than `small` sets every set first
-    meets `pivots` common ones; what the links so far leave in different components then meets in
-    full, block by block, so no link between components is missed.
+    meets `pivots` common ones. What the links so far leave in different components then meets its
+    likeliest partners, and what that leaves meets in full, block by block, so no link between
+    components is missed. Pairs that sizes or profiles rule out are not counted.
 
     A null or wordless text has an empty set: n_shingles 0, linked with nothing. Rows without an id
     are counted but take no part in links; their component is null. Rows that share an id are one
@@ -337,27 +395,39 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     Returns doc_id, n_shingles, component_id: the smallest id reachable by links, its own included.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described, _ = write_table(rows.mapInArrow(_describe(k, "doc_id", "text"), "doc_id long, n_shingles long, fp long, fp2 long"), "jaccard-docs")
+    with small_batches(docs.sparkSession):
+        return _jaccard_groups(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), k, percent, small, pivots)
+
+
+def _jaccard_groups(rows: DataFrame, k: int, percent: int, small: int, pivots: int) -> DataFrame:
+    spark = rows.sparkSession
+    described, _ = write_table(rows.mapInArrow(_describe(k, "doc_id", "text"), "doc_id long, n_shingles long, fp long, fp2 long, profile binary"), "jaccard-docs")
     known = rows.where("doc_id is not null")
     table = spark.sparkContext.broadcast(weights(known, k, "text"))
     n = min(1 << BUCKET_BITS, shuffle_partitions(spark))
     spread = known.select("text").mapInArrow(_postings(k, "text", percent, table), POSTINGS).repartition(n, "bucket")
     product, product_path = write_table(spread.mapInArrow(_products(percent, small, pivots), "run long, a long, b long"), "jaccard-product")
-    pairs, pairs_path = write_table(product.where("run is null").select("a", "b").distinct(), "jaccard-pairs")
+    nodes, nodes_path = write_table(described.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("profile").alias("profile")), "jaccard-nodes")
     members = product.where("run is not null").select("run", F.col("a").alias("fp"), F.col("b").alias("n"))
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(members.select("fp"))
-    sets, sets_path = gather_sets(known, ends, k, "text")
-    links = verify(pairs, sets, percent)
-    comps = components(links)
-    if not members.isEmpty():
-        rest, rest_path = write_table(cross_pairs(members, comps, sets, percent).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
-        if not rest.isEmpty():
-            comps = components(links.union(verify(rest, sets, percent)))
-        drop_path(spark, rest_path)
-    drop_path(spark, sets_path)
-    drop_path(spark, pairs_path, product_path)
+    candidates = plausible(product.where("run is null").select("a", "b").distinct(), nodes, percent)
+    links, tried, paths = None, None, [product_path, nodes_path]
+    comps = spark.createDataFrame([], "node long, component long")
+    for step in ("first", "best", "all"):
+        if step != "first":
+            if members.isEmpty():
+                break
+            candidates = cross_pairs(members, comps, nodes, percent, best=step == "best").join(tried, ["a", "b"], "left_anti")
+        pairs, path = write_table(candidates, "jaccard-pairs")
+        paths.append(path)
+        tried = pairs if tried is None else tried.union(pairs)
+        if not pairs.isEmpty():
+            ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b"))
+            sets, sets_path = gather_sets(known, ends, k, "text")
+            new = verify(pairs, sets, percent)
+            links = new if links is None else links.union(new)
+            comps = components(links)
+            drop_path(spark, sets_path)
+    drop_path(spark, *paths)
     own = described.where("fp is not null and doc_id is not null")
     classes = own.groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     by_id = own.select("fp", "doc_id")  # rows of one id are one document
