@@ -105,11 +105,11 @@ def pack(lengths: list[int], size: int, linear: float, quadratic: float) -> tupl
     return pieces, caps, cost
 
 
-def _packer(path: str, size: int, end_id: int, linear: float, quadratic: float, block_tokens: int, with_ids: bool):
+def _packer(path: str, size: int, end_id: int, linear: float, quadratic: float, block_tokens: int, with_ids: bool, batch_bytes: int, cached: int | None):
     tail = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc, base, held, ids, docs = encoder(path, DROPS_SPACE), TaskContext.get().partitionId() << 36, 0, [], []
+        enc, base, held, ids, docs = encoder(path, DROPS_SPACE, cached), TaskContext.get().partitionId() << 36, 0, [], []
 
         def emit():
             nonlocal base
@@ -137,7 +137,7 @@ def _packer(path: str, size: int, end_id: int, linear: float, quadratic: float,
             for at in range(0, out.num_rows, 4096):
                 yield out.slice(at, 4096)
 
-        for batch in slices(batches, ("text",), 16 << 20):
+        for batch in slices(batches, ("text",), batch_bytes):
             for doc, x in zip(column(batch, "doc_id").to_pylist(), enc.encode(column(batch, "text")), strict=True):
                 ids.append(x + tail)
                 docs.append(doc)
@@ -147,6 +147,7 @@ def _packer(path: str, size: int, end_id: int, linear: float, quadratic: float,
                     held, ids, docs = 0, [], []
         if ids:
             yield from emit()
+        enc.trim()
 
     return run
 
@@ -162,6 +163,8 @@ def pack_documents(
     with_ids: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
+    batch_bytes: int = 16 << 20,
+    cached: int | None = None,
 ) -> DataFrame:
     """Pack all documents into sequences of at most `size` ids, one row per piece.
 
@@ -173,8 +176,9 @@ def pack_documents(
     A null or empty text is the end id alone; null and repeated ids are kept as they are and each
     row is a document of its own; an empty table gives no rows. A document of any length is cut
     over as many sequences as it needs. Only the two named columns are read. With `with_ids` the
-    pieces carry their ids.
+    pieces carry their ids. A worker encodes `batch_bytes` of text at a time and keeps two generations
+    of `cached` words; less of either costs time and saves memory.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = PIECES + ", ids array<int>" * with_ids
-    return rows.mapInArrow(_packer(tokenizer, size, end_id, linear, quadratic, block_tokens, with_ids), schema)
+    return rows.mapInArrow(_packer(tokenizer, size, end_id, linear, quadratic, block_tokens, with_ids, batch_bytes, cached), schema)

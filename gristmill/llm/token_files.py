@@ -147,6 +147,7 @@ def _writer(path: str, out_dir: str, end_id: int, width: int, roll_tokens: int):
                     close()
         if out is not None:
             close()
+        enc.trim()
         if done:
             kinds = [pa.int32(), pa.int32()] + [pa.string()] * 4 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])

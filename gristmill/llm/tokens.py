@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,14 @@ class Encoder:
     moves to the young one, so frequent pieces stay and memory is bounded.
     """
 
-    def __init__(self, path: str, spaces: str, generation: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, spaces: str, generation: int | None = None, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keeps, self.generation, self.longest = spaces == KEEPS_SPACE, generation, longest
+        self.keeps, self.longest = spaces == KEEPS_SPACE, longest
+        self.generation = generation or (400_000 if self.keeps else 250_000)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -63,69 +65,82 @@ class Encoder:
             out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
-    def ids_of(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of distinct pieces that follow a space; None where only the whole text decides."""
+    def known(self, units: list[str], encode) -> list[bytes]:
+        """Ids of distinct units, from the cache or by `encode`, which gets a list of those not in it."""
         if len(self.young) > self.generation:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        out = list(map(young.get, pieces))
+        out = list(map(self.young.get, units))
         miss = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(miss, map(old.get, [pieces[i] for i in miss]), strict=True):
-            if ids is not None:
-                out[i] = young[pieces[i]] = ids
-        words, stops, others = [], [], []
-        for i in miss:
-            if out[i] is None:
-                p = pieces[i]
-                if p.isalpha():
-                    words.append((i, p))
-                elif p[-1:] in STOPS and p[:-1].isalpha():
-                    stops.append((i, p[:-1]))
-                elif self.whole(p):
-                    others.append(i)
+        names = [units[i] for i in miss]
+        found = list(map(self.old.get, names))
+        todo = [u for u, ids in zip(names, found, strict=True) if ids is None]
+        fresh = iter(encode(todo))
+        found = [next(fresh) if ids is None else ids for ids in found]
+        for i, ids in zip(miss, found, strict=True):
+            out[i] = ids
+        if max(map(len, names), default=0) > self.longest:
+            self.young.update((u, ids) for u, ids in zip(names, found, strict=True) if len(u) <= self.longest)
+        else:
+            self.young.update(zip(names, found, strict=True))
+        return out
+
+    def ids_of(self, pieces: pa.Array) -> list[bytes | None]:
+        """Ids of distinct pieces that follow a space; None where only the whole text decides.
+
+        A word of letters and a stop after it are two units; equal words are one unit.
+        """
+        last = pc.utf8_slice_codeunits(pieces, -1)
+        stopped = pc.and_(pc.is_in(last, value_set=pa.array(sorted(STOPS), pieces.type)), pc.greater(pc.utf8_length(pieces), 1))
+        stem = pc.if_else(stopped, pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
+        simple = pc.utf8_is_alpha(stem)
         if not self.keeps:
-            words, stops = self.lower(words, others), self.lower(stops, others)
-        known = {s: young.get(s) for _, s in words}
-        known |= {s: young.get(s) for _, s in stops}
-        todo = [s for s, ids in known.items() if ids is None]
-        known.update(zip(todo, self.alpha(todo), strict=True))
-        for i, s in words:
-            out[i] = known[s]
-        for i, s in stops:
-            out[i] = known[s] + self.stops[pieces[i][-1]]
-        for at in range(0, len(others), 4096):
-            some = others[at : at + 4096]
-            for i, ids in zip(some, self.raw([" " + pieces[i] for i in some]), strict=True):
-                out[i] = ids
-        young.update((pieces[i], out[i]) for i in miss if out[i] is not None and len(pieces[i]) <= self.longest)
+            odd = pc.match_substring(stem, "İ")  # the one letter whose lower case is not letters alone
+            wide = pc.and_(simple, pc.invert(pc.string_is_ascii(stem)))
+            if not unicodedata.is_normalized("NFC", " ".join(stem.filter(wide).to_pylist())):
+                odd = pc.or_(odd, pa.array([not unicodedata.is_normalized("NFC", x) for x in stem.to_pylist()]))
+            simple = pc.and_not(simple, odd)
+        at, coded = np.flatnonzero(simple.to_numpy(zero_copy_only=False)), stem.filter(simple).dictionary_encode()
+        words = self.known(coded.dictionary.to_pylist(), self.alpha)
+        out: list[bytes | None] = [None] * len(pieces)
+        for i, w in zip(at.tolist(), coded.indices.to_pylist(), strict=True):
+            out[i] = words[w]
+        with_stop = np.flatnonzero(pc.and_(simple, stopped).to_numpy(zero_copy_only=False))
+        for i, c in zip(with_stop.tolist(), last.take(pa.array(with_stop)).to_pylist(), strict=True):
+            out[i] += self.stops[c]
+        rest = np.flatnonzero(~simple.to_numpy(zero_copy_only=False))
+        names = pieces.take(pa.array(rest)).to_pylist()
+        good = [(i, p) for i, p in zip(rest.tolist(), names, strict=True) if self.whole(p)]
+        for (i, _), ids in zip(good, self.known([p for _, p in good], self.spaced), strict=True):
+            out[i] = ids
         return out
 
-    def lower(self, pairs: list[tuple[int, str]], others: list[int]) -> list[tuple[int, str]]:
-        """Lower-cased ASCII words; those whose lower case is not letters alone go to `others`."""
+    def spaced(self, pieces: list[str]) -> list[bytes]:
         out = []
-        for i, s in pairs:
-            if s.isascii():
-                out.append((i, s.lower()))
-            elif s.lower().isalpha():
-                out.append((i, s))
-            else:
-                others.append(i)
+        for at in range(0, len(pieces), 4096):
+            out += self.raw([" " + p for p in pieces[at : at + 4096]])
         return out
 
+    def trim(self) -> None:
+        """Drop the old generation, for what the worker does next."""
+        self.old = {}
+
     def encode(self, col: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text of a column; a null is empty."""
-        lists = pc.split_pattern(pc.fill_null(col.cast(pa.large_string()), ""), pattern=" ")
+        whole = pc.fill_null(col.cast(pa.large_string()), "")
+        if not self.keeps:  # neither case nor the kind of white space matters
+            whole = pc.ascii_lower(pc.replace_substring(whole, pattern="\n", replacement=" "))
+        lists = pc.split_pattern(whole, pattern=" ")
         at = lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         coded = lists.flatten().dictionary_encode()
-        index, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        index, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         ids = self.ids_of(pieces)
         unknown = np.fromiter((x is None for x in ids), bool, len(ids))
         n, first, ids = len(col), len(ids), [x or b"" for x in ids]
         if self.keeps:  # no space before the first piece
-            leads = index[at[:-1]]
-            ids += self.raw([pieces[i] for i in leads.tolist()])
-            touch = np.fromiter((bool(p) and p[-1].isspace() for p in (pieces[i] for i in leads.tolist())), bool, n) if n else np.zeros(0, bool)
+            leads = pieces.take(pa.array(index[at[:-1]])).to_pylist()
+            ids += self.raw(leads)
+            touch = np.fromiter((bool(p) and p[-1].isspace() for p in leads), bool, n)
             index[at[:-1]] = np.arange(first, first + n)
             unknown = np.concatenate([unknown, touch])
         if unknown.any():
@@ -141,14 +156,17 @@ class Encoder:
         flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
         length = size[index]
         ends = np.cumsum(length)
-        spread = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[index] - (ends - length), length)
+        kind = np.int32 if len(ends) and ends[-1] < 1 << 31 and len(flat) < 1 << 31 else np.int64
+        spread = np.repeat((begin[index] - (ends - length)).astype(kind), length)
+        spread += np.arange(len(spread), dtype=kind)
         data, bounds = flat[spread].tobytes(), (np.concatenate([[0], ends])[at] * 4).tolist()
         return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def encoder(path: str, spaces: str) -> Encoder:
+def encoder(path: str, spaces: str, generation: int | None = None) -> Encoder:
     """The encoder of this Python worker; its cache serves later tasks too."""
-    key = (path, spaces)
+    key = (path, spaces, generation)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, spaces)
+        _encoders.clear()
+        _encoders[key] = Encoder(path, spaces, generation)
     return _encoders[key]
