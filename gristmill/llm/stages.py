@@ -20,9 +20,10 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(gone, id_col, "left_anti").select(docs.columns)
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
-    """Drop documents without a letter and those where no language stands out."""
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter and those where no language has more than its equal share."""
     model = language_id.train(docs)
+    min_score = 1.0 / max(2, len(model.langs))
     judged = language_id.identify(docs, model, lang_out="_lang_pred", score_out="_lang_score")
     rejected = (F.col("_lang_pred") == language_id.UNDETERMINED) | (F.col("_lang_score") < min_score)
     return judged.where(~rejected).select(docs.columns)
@@ -53,5 +54,5 @@ def sanitise_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
+    """Pack what is left into sequences of 2048 ids; workers have the other stages' memory to carry."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1, batch_bytes=4 << 20, cached=100_000)
