@@ -41,7 +41,7 @@ def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def fingerprint(tokens: np.ndarray) -> int:
-    """63 bits that stand for a set where its size and members do; see `node` for its use."""
+    """63 bits that name a set of n-grams; the node of all texts that have it."""
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1
 
 
