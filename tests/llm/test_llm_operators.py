@@ -453,6 +453,26 @@ def test_leaks(spark, sf, edge, empty):
     assert decontam.find_leaks(edge, bench).count() == 0 and decontam.find_leaks(empty, bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def plant(spark, sf, items, seed):
+    """Documents of the small table, each with an item's words 40 words after its start, by item id."""
+    rnd = random.Random(seed)
+    hosts = [r.text.split() for r in table(spark, sf, "documents").where("length(text) > 800").orderBy("doc_id").limit(40).collect()]
+    rows = []
+    for i, w in items:
+        host = rnd.choice(hosts)
+        rows.append((i, " ".join(host[:40] + w + host[40:90])))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("rewritten", [False, True])
+def test_leaks_without_their_beginning(spark, sf, rewritten):
+    bench = table(spark, sf.replace("0.001", "0.1"), "benchmark")
+    items = [(r.item_id, r.text.split()) for r in bench.orderBy("item_id").collect()]
+    rest = [(i, [f"other{i}x{k}" for k in range(len(w) * 3 // 10 * rewritten)] + w[len(w) * 3 // 10 :]) for i, w in items]
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(plant(spark, sf, rest, 12), bench).collect()}
+    assert {(i, i) for i, _ in items} <= found
+
+
 def test_lcs():
     rnd = random.Random(8)
     for _ in range(200):
