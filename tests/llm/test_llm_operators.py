@@ -473,6 +473,18 @@ def test_leaks_without_their_beginning(spark, sf, rewritten):
     assert {(i, i) for i, _ in items} <= found
 
 
+def test_short_and_edited_leaks(spark, sf):
+    rnd, words = random.Random(13), [f"w{k}" for k in range(400)]
+    items = [(n * 100 + k, rnd.sample(words, n)) for n in (1, 2, 3, 5, 6, 7, 8, 10, 14) for k in range(6)]
+    long = [(9000 + k, rnd.sample(words, 40)) for k in range(20)]
+    edited = [(i, [f"new{i}x{k}" if k % 5 == 2 else x for k, x in enumerate(w)]) for i, w in long]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items + long], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(plant(spark, sf, items + edited, 14), bench).collect()}
+    assert {(i, i) for i, _ in items + long} <= found
+    apart = [(i, " filler".join([*w, ""]).replace("filler", "filler " * 9).split()) for i, w in items if len(w) > 1]
+    assert decontam.find_leaks(plant(spark, sf, apart, 15), bench.where("item_id >= 500")).count() == 0
+
+
 def test_lcs():
     rnd = random.Random(8)
     for _ in range(200):
