@@ -248,10 +248,11 @@ def train_models(docs: DataFrame, langs: list[str | None], text_col: str, lang_c
 def bands(scored: DataFrame, lang_col: str, below: float, above: float, least: float) -> DataFrame:
     """Per language the median of the bits a symbol and a band of deviations `below` and `above` it.
 
-    The deviation is 1.4826 times the median absolute deviation, `least` bits at least. Bits are
-    counted in steps of 1/256, so a language has a few thousand rows here whatever the corpus.
+    The deviation is 1.4826 times the median absolute deviation, `least` bits at least. Each distinct
+    text counts once, by `text_hash`, so copies move neither. Bits are counted in steps of 1/256, so a language has a few thousand rows in the end whatever the corpus.
     """
-    steps = scored.where("bits is not null").groupBy(lang_col, F.round(F.col("bits") * 256).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    distinct = scored.where("bits is not null").groupBy(lang_col, "text_hash").agg(F.min("bits").alias("bits"))
+    steps = distinct.groupBy(lang_col, F.round(F.col("bits") * 256).cast("long").alias("step")).agg(F.count("*").alias("n"))
     found: dict[str | None, list[tuple[int, int]]] = {}
     for r in steps.collect():  # languages x steps
         found.setdefault(r[lang_col], []).append((r["step"], r["n"]))
@@ -279,7 +280,7 @@ def judge_quality(
     lang_col: str = "lang",
     min_words: int = 20,
     max_repeat_percent: int = 30,
-    below: float = 16.0,
+    below: float = 8.0,
     above: float = 8.0,
     least: float = 0.05,
     max_languages: int = 1024,
@@ -289,7 +290,8 @@ def judge_quality(
     A text fails the base rules with fewer than `min_words` words or more than
     `max_repeat_percent` percent of them in repeated 8-word windows. Of the others those go whose
     bits a symbol under their language's model lie outside the language's band; perplexity is two
-    to that power. The models are counted from all texts, those that fail included.
+    to that power. Models and bands count each distinct text of a language once, however many copies
+    there are; the models count those that fail too.
 
     A null text counts as empty: no words, so it fails. A null language is a language of its own.
     Every row, repeated ones too, is counted and judged by itself. An empty table gives no rows. Only the
@@ -302,7 +304,7 @@ def judge_quality(
     langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(max_languages + 1).collect()]
     if len(langs) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    model = train_models(rows, langs, "text", "lang")
+    model = train_models(rows.select("text", "lang").distinct(), langs, "text", "lang")
     index = {v: i for i, v in enumerate(langs)}
 
     def score(batches):
@@ -317,12 +319,13 @@ def judge_quality(
                 cost[at] = models[int(g)].bits(code[at])
             n = batch.num_rows
             mean = np.bincount(own, cost, n) / np.maximum(np.bincount(own, minlength=n), 1)
-            names = ["doc_id", "lang", *(x.split()[0] for x in BASE.split(", ")), "bits"]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "lang"), *(pa.array(x.astype(np.int64)) for x in base_statistics(col)), pa.array(mean)], names=names)
+            names = ["doc_id", "lang", "text_hash", *(x.split()[0] for x in BASE.split(", ")), "bits"]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "lang"), column(batch, "text_hash"), *(pa.array(x.astype(np.int64)) for x in base_statistics(col)), pa.array(mean)], names=names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     path = scratch(spark, "quality-scores")
-    rows.mapInArrow(score, f"doc_id {kind}, lang string, {BASE}, bits double").write.parquet(path)
+    keyed = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed.mapInArrow(score, f"doc_id {kind}, lang string, text_hash long, {BASE}, bits double").write.parquet(path)
     scored = spark.read.parquet(path)
     drop_path(spark, model)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

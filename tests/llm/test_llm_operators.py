@@ -215,6 +215,15 @@ def test_quality_keeps_prose_and_rejects_noise(spark, sf):
     assert sum(r.kept for r in got if r.doc_id < 10_000) >= 0.98 * sum(r.doc_id < 10_000 for r in got)
 
 
+def test_quality_bands_do_not_follow_copies(spark, sf):
+    docs = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text", "lang")
+    hot = docs.where("length(text) between 300 and 900").orderBy("doc_id").limit(1)
+    copies = hot.crossJoin(spark.range(1000)).select((F.col("id") + 100_000).alias("doc_id"), "text", "lang")
+    before, after = ({r.doc_id: r for r in quality.judge_quality(d).collect()} for d in (docs, docs.unionByName(copies)))
+    assert all((after[i].kept, round(after[i].bits, 9)) == (r.kept, round(r.bits, 9)) for i, r in before.items())
+    assert len({(round(r.bits_low, 9), round(r.bits_high, 9)) for r in (*before.values(), *after.values())}) == 1
+
+
 def test_kneser_ney_is_a_distribution():
     code, _ = quality.grams(["the cat sat on the mat. the cat ate the rat, and that was that.", "a man and a plan"])
     model = quality.fit(*np.unique(code.astype(np.uint64), return_counts=True))
