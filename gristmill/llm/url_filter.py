@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import write_table
 
+SALTS = 16  # parts of a suffix in a shuffle join
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,7 +94,7 @@ def judge_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     max_train: int = 10_000,
-    max_suffixes: int = 256,
+    broadcast_suffixes: int = 100_000,
     trees: int = 12,
     depth: int = 3,
     seed: int = 7,
@@ -103,8 +104,8 @@ def judge_urls(
     The labelled URLs that the trees learn from are those that a rule decides. At most
     `max_train` of each verdict are used, the ones with the smallest hash of the URL: that bounds
     the fit. Suffix statistics (share of the rows, mean length, mean digit ratio) are counted over
-    all rows and kept for the `max_suffixes` most frequent last labels; a rarer suffix takes the
-    mean over all rows, so the joined table has a fixed bound.
+    all rows for every last label; one without a value takes the mean over all rows. The table is
+    broadcast up to `broadcast_suffixes` labels, beyond that it is joined by a salted shuffle.
 
     Null URLs and those without `://` have empty host and path, fit no rule and are judged by the
     trees on zero features. With labelled URLs of one verdict only, or none, the trees cannot be
@@ -113,6 +114,7 @@ def judge_urls(
 
     Returns page_id, host, path, rule, verdict, block_score.
     """
+    spark = pages.sparkSession
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.withColumns({"host": host, "path": path})
@@ -120,14 +122,10 @@ def judge_urls(
     rows = rows.withColumns({"rule": rule, "given": verdict, "suffix": F.regexp_extract("host", r"([^.]*)$", 1)})
 
     slim = rows.select("suffix", F.length("url").alias("n"), F.try_divide(F.regexp_count("url", F.lit("[0-9]")), F.length("url")).alias("d"))
-    stats = (
-        slim.groupBy("suffix")
-        .agg(F.count("*").alias("rows"), F.avg("n").alias("s_length"), F.avg("d").alias("s_digits"))
-        .orderBy(F.desc("rows"), "suffix")
-        .limit(max_suffixes)
-    )
-    stats, _ = write_table(stats, "url-suffixes")  # at most max_suffixes rows
-    total = stats.agg(F.sum("rows").alias("rows"), F.avg("s_length").alias("n"), F.avg("s_digits").alias("d")).first()
+    stats = slim.groupBy("suffix").agg(F.count("*").alias("rows"), F.sum("n").alias("sum_n"), F.count("n").alias("n"), F.sum("d").alias("sum_d"), F.count("d").alias("nd"))
+    stats, _ = write_table(stats, "url-suffixes")
+    total = stats.agg(F.count("*").alias("suffixes"), F.sum("rows").alias("rows"), F.try_divide(F.sum("sum_n"), F.sum("n")).alias("n"), F.try_divide(F.sum("sum_d"), F.sum("nd")).alias("d")).first()
+    stats = stats.select("suffix", "rows", F.try_divide("sum_n", "n").alias("s_length"), F.try_divide("sum_d", "nd").alias("s_digits"))
     everything = float(total["rows"] or 1)
     suffix_features = {
         "f_suffix_share": F.coalesce(F.col("rows") / everything, F.lit(0.0)),
@@ -135,7 +133,12 @@ def judge_urls(
         "f_suffix_digits": F.coalesce("s_digits", F.lit(float(total["d"] or 0.0))),
     }
     features = lexical(F.col("url"), F.col("host"), F.col("path")) | suffix_features
-    full = rows.join(F.broadcast(stats), "suffix", "left").withColumns(features)
+    if total["suffixes"] <= broadcast_suffixes:
+        full = rows.join(F.broadcast(stats), "suffix", "left")
+    else:
+        salted = stats.crossJoin(spark.range(SALTS).select(F.col("id").alias("salt")))
+        full = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS))).join(salted, ["suffix", "salt"], "left")
+    full = full.withColumns(features)
 
     order = F.xxhash64("url", "page_id")
     labelled = [full.where(F.col("given") == v).orderBy(order, "url", "page_id").limit(max_train) for v in ("allow", "block")]

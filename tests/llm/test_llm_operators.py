@@ -353,6 +353,22 @@ def test_url_trees_learn(spark):
     assert sum((r.verdict == "allow") == bool(r.page_id % 2) for r in got) >= 36
 
 
+def test_url_suffixes_are_all_kept(spark, monkeypatch):
+    rows = [(i, f"http://a{i % 10}.s{i:03d}/b/{i % 10}") for i in range(300)] + [(1000 + i, f"http://a{i % 10}.zzzz/b/{i % 10}") for i in range(300)]
+    rules = (url_filter.Rule("allow", "s001/"), url_filter.Rule("allow", "s290/"), url_filter.Rule("block", "a1.zzzz/"))
+    pages, written, write = spark.createDataFrame(rows, "page_id long, url string"), {}, url_filter.write_table
+
+    def keep(df, name):
+        written[name] = write(df, name)
+        return written[name]
+
+    monkeypatch.setattr(url_filter, "write_table", keep)
+    first = url_filter.judge_urls(pages, rules).collect()
+    assert written["url-suffixes"][0].count() == 301
+    again = url_filter.judge_urls(pages, rules, broadcast_suffixes=0).collect()
+    assert len(first) == 600 and sorted(map(str, first)) == sorted(map(str, again))
+
+
 # --------------------------------------------------------------------------------- 8 repeats
 
 
