@@ -1,8 +1,9 @@
 """Removal of repeated byte strings by bucket-pointer refinement.
 
 Positions are put into buckets by their first 24 bytes; buckets that one document alone has are
-settled. What remains is refined by the bucket identifiers at later offsets, 24 and 26 bytes
-on, to buckets of equal 50-byte strings. Only positions in unsettled buckets are refined.
+settled. In what remains each block of documents sorts its positions by the numbers of their own
+bucket and of the bucket 24 bytes on, which gives 48-byte buckets, and then by the new numbers of
+their own bucket and of that 2 bytes on, which gives 50-byte buckets. Blocks meet by the buckets' names.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import byte_table, column, drop_path, mix, open_fs, scratch, shuffle_partitions, slices, small_batches, utf8, window_hash, write_table
 
 Q = 24  # bytes of an initial bucket
+SPLIT_BITS = 32  # a block's number has its split's number above so many bits
 LAST = np.int64(2**63 - 1)
-PACKED = "bucket int, block int, size long, check long, keys binary, marks binary"
-FLAGS = "block int, bucket int, size long, check long, bits binary"
+PACKED = "bucket int, block long, size long, check long, keys binary, marks binary"
+FLAGS = "block long, bucket int, size long, check long, bits binary"
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -56,8 +58,44 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int, skip: np.ndarray) ->
     return starts, (least[:n][starts] & low).astype(np.int64), bucket
 
 
-def refined(bucket: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Identifiers of the `length`-byte strings at some positions, from the buckets at later offsets."""
+def dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's place among the distinct keys, by a sort, and an entry that has each of these."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - 1
+    return rank, order[new]
+
+
+def refine(bucket: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the `length`-byte buckets of some positions, and a position in each bucket.
+
+    Numbers start as ranks of the Q-byte buckets. A round sorts positions by the numbers of their own
+    bucket and of that at the end of their own, and writes the new numbers over the old ones, where
+    the next round, of up to twice the depth, reads them for the positions that point there.
+    """
+    steps, depth = [], Q
+    while depth < length:
+        steps.append(min(depth, length - depth))
+        depth += steps[-1]
+    needed = [at]
+    for step in reversed(steps):
+        seen = np.zeros(len(bucket), bool)
+        seen[needed[0]] = True
+        seen[needed[0] + step] = True
+        needed.insert(0, np.flatnonzero(seen))
+    number = np.zeros(len(bucket), np.uint32)
+    rank, some = dense(bucket[needed[0]])
+    number[needed[0]] = rank
+    for step, open_ in zip(steps, needed[1:], strict=True):
+        rank, some = dense(number[open_].astype(np.uint64) << np.uint64(32) | number[open_ + step])
+        number[open_] = rank
+    return rank, needed[-1][some]
+
+
+def names(bucket: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Identifiers of the `length`-byte strings at some positions, equal in all blocks."""
     steps = [*range(0, length - Q, Q), length - Q]
     out = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
@@ -67,13 +105,14 @@ def refined(bucket: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 class Block:
-    """The documents of one input split, kept as Arrow batches of at most 1 MB of text."""
-
-    def __init__(self, batches, length: int):
-        self.parts = list(slices(batches, ("text",), 1 << 20))
-        self.length = length
-        ids = [pc.fill_null(column(b, "doc_id"), int(LAST)).to_numpy() for b in self.parts]
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    """Some documents of an input split: their ids, their bytes end to end, and offsets."""
+
+    def __init__(self, number: int, parts: list[pa.RecordBatch], length: int):
+        self.number, self.length = number, length
+        self.doc_ids = pa.concat_arrays([column(b, "doc_id") for b in parts])
+        bytes_, sizes = zip(*((raw, np.diff(off)) for raw, off in (utf8(column(b, "text")) for b in parts)), strict=True)
+        self.raw, self.off = np.concatenate(bytes_), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        self.ids = pc.fill_null(self.doc_ids, int(LAST)).to_numpy()
         self.copy = np.zeros(len(self.ids), bool)
         self.ranked, rank = np.unique(self.ids, return_inverse=True)
         self.rank = rank.astype(np.int32)
@@ -81,44 +120,62 @@ class Block:
 
     def text_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct texts' identifiers, the smallest id of each, and each document's place among them."""
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b].tobytes()) for p in self.parts for raw, off in [utf8(column(p, "text"))] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), np.uint64, len(self.ids))
+        cuts = self.off.tolist()
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(self.raw[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), np.uint64, len(self.ids))
         return grouped(keys, self.ids, np.minimum)
 
     def drop_copies(self, least: np.ndarray, place: np.ndarray, smaller: np.ndarray) -> None:
         """Mark the documents whose whole text a document with a smaller id has."""
         self.copy = smaller[place] | (least[place] < self.ids)
 
-    def strings(self):
-        """For each batch: its place among the ids, bytes, offsets, starts, anchors, buckets; copies have no strings."""
-        before = 0
-        for b in self.parts:
-            raw, off = utf8(column(b, "text"))
-            yield before, raw, off, *anchors(raw, off, self.length, self.copy[before : before + b.num_rows])
-            before += b.num_rows
-
-    def anchor_keys(self) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """The distinct anchor buckets, whether one document has each, or more, and for each batch its
-        anchors with their places among the buckets."""
-        keys, ids, places = [], [], []
-        for before, _, off, _, anchor, bucket in self.strings():
-            at = np.unique(anchor)
-            keys.append(bucket[at])
-            ids.append(self.ids[before + np.searchsorted(off, at, side="right") - 1])
-            places.append(at)
-        if not keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint8), []
-        key, (least, most), place = grouped(np.concatenate(keys), np.concatenate(ids), np.minimum, np.maximum, flat=False)
-        cuts = np.cumsum([len(p) for p in places])[:-1]
-        return key, 1 + (least != most).astype(np.uint8), list(zip(places, np.split(place, cuts), strict=True))
-
-    def string_keys(self, places: list, shared: np.ndarray):
-        """For each batch its strings in unsettled buckets: starts, ranks of the documents' ids, identifiers."""
-        for (before, _, off, starts, anchor, bucket), (at, place) in zip(self.strings(), places, strict=True):
-            known = np.zeros(len(bucket), bool)
-            known[at] = shared[place]
-            some = starts[known[anchor]]
-            doc = before + np.searchsorted(off, some, side="right") - 1
-            yield some.astype(np.int32), self.rank[doc], refined(bucket, some, self.length)
+    def anchored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the strings, their anchors, buckets of all positions; copies have no strings."""
+        return anchors(self.raw, self.off, self.length, self.copy)
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.off, at, side="right") - 1
+
+    def anchor_keys(self, anchor: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct anchor buckets, whether one document has each, or more, the anchors, and their
+        places among the buckets."""
+        at = np.unique(anchor)
+        key, (least, most), place = grouped(bucket[at], self.ids[self.document(at)], np.minimum, np.maximum, flat=False)
+        return key, 1 + (least != most).astype(np.uint8), at, place
+
+    def strings(self, shared) -> tuple[np.ndarray, ...]:
+        """Strings in unsettled buckets: starts, ranks of the documents' ids, place of each among the
+        refined buckets, and the names and least ranks of these. shared(n) has the n buckets' bits."""
+        starts, anchor, bucket = self.anchored()
+        key, _, at, place = self.anchor_keys(anchor, bucket)
+        known = np.zeros(len(bucket), bool)
+        known[at] = shared(len(key))[place]
+        starts = starts[known[anchor]]
+        del anchor, known, place, at
+        rank = self.rank[self.document(starts)]
+        if not len(starts):
+            return starts, rank, rank, np.zeros(0, np.uint64), rank
+        number, some = refine(bucket, starts, self.length)
+        name = names(bucket, some, self.length)
+        least = np.full(len(some), len(self.ranked), np.int32)
+        np.minimum.at(least, number, rank)
+        order = np.argsort(name)
+        where = np.empty(len(order), np.int32)
+        where[order] = np.arange(len(order), dtype=np.int32)
+        return starts, rank, where[number], name[order], least[order]
+
+
+def blocks(batches, length: int, block_bytes: int):
+    """The documents of a task's split as blocks of at most block_bytes of text, one document at least."""
+    split, parts, held, n = TaskContext.get().partitionId() << SPLIT_BITS, [], 0, 0
+    for part in slices(batches, ("text",), block_bytes):
+        size = pc.sum(pc.binary_length(column(part, "text"))).as_py() or 0
+        if parts and held + size > block_bytes:
+            yield Block(split + n, parts, length)
+            parts, held, n = [], 0, n + 1
+        parts.append(part)
+        held += size
+    if parts:
+        yield Block(split + n, parts, length)
 
 
 def grouped(keys: np.ndarray, values: np.ndarray, *how, flat: bool = True):
@@ -148,7 +205,7 @@ def pack(block: int, check: int, keys: np.ndarray, marks: np.ndarray, shift: int
         m = marks[a:b]
         kind = next(k for k in ("<u1", "<u4", "<i8") if m.min() >= 0 and m.max() <= np.iinfo(k).max or k == "<i8")
         rows.append((int(bucket[a]), block, b - a, check, keys[a:b].astype("<u8").tobytes(), m.astype(kind).tobytes()))
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     for i in range(0, len(rows), 64):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], names=[x.split()[0] for x in PACKED.split(", ")])
 
@@ -179,7 +236,7 @@ def meet(rule):
             ends = np.cumsum([r[1] for r in rows]).tolist()
             parts = [np.packbits(bits[a:b], bitorder="little").tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(parts, pa.binary())],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(parts, pa.binary())],
                 names=[x.split()[0] for x in FLAGS.split(", ")],
             )
 
@@ -195,9 +252,9 @@ def in_a_smaller_document(marks, first, group):
 
 
 def write_flags(packed: DataFrame, rule, partitions: int, name: str) -> str:
-    """The bits of each block, written so that its task finds them: folder block % partitions, sorted."""
+    """The bits of each block, written so that its task finds them: folder split % partitions, sorted."""
     path = scratch(packed.sparkSession, name)
-    flags = packed.repartition(partitions, "bucket").mapInArrow(meet(rule), FLAGS).withColumn("grp", F.col("block") % partitions)
+    flags = packed.repartition(partitions, "bucket").mapInArrow(meet(rule), FLAGS).withColumn("grp", F.shiftright("block", SPLIT_BITS) % partitions)
     flags.repartition(partitions, "grp").sortWithinPartitions("grp", "block", "bucket").write.partitionBy("grp").parquet(path)
     return path
 
@@ -207,10 +264,10 @@ def read_flags(path: str, block: int, check: int, partitions: int, expected: int
     if not expected:
         return np.zeros(0, bool)
     fs, root = open_fs(path)
-    table = pads.dataset(f"{root}/grp={block % partitions}", format="parquet", filesystem=fs).to_table(columns=["block", "bucket", "size", "check", "bits"], filter=pads.field("block") == block).sort_by("bucket")
+    table = pads.dataset(f"{root}/grp={(block >> SPLIT_BITS) % partitions}", format="parquet", filesystem=fs).to_table(columns=["block", "bucket", "size", "check", "bits"], filter=pads.field("block") == block).sort_by("bucket")
     sizes = table.column("size").to_pylist()
     if set(table.column("check").to_pylist()) != {check} or sum(sizes) != expected:
-        raise RuntimeError(f"input split {block} holds other documents than before")
+        raise RuntimeError(f"input split {block >> SPLIT_BITS} holds other documents than before")
     return np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")[:n] for n, b in zip(sizes, table.column("bits").to_pylist(), strict=True)]).astype(bool)
 
 
@@ -220,100 +277,88 @@ def is_scan(df: DataFrame) -> bool:
     return str(plan.nodeName()) == "Project" and plan.children().size() == 1 and str(plan.child().nodeName()).startswith("LogicalRelation") or str(plan.nodeName()).startswith("LogicalRelation")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = 2 << 20) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that a document with a smaller id has too.
 
-    Texts are their UTF-8 bytes; strings never cross documents and are judged on the input. Each
-    input split is a block. A first pass sends the identifiers of whole texts around and gets a bit
-    back for each: whether a smaller document has it, which settles copies. A second does so for the
-    distinct anchor buckets of each block: whether two documents have it. A third for the identifiers
-    of the strings in such buckets, each with the block's smallest id: whether another block has a
-    smaller one. A last one removes. So what moves are distinct keys per block, no key, document or
-    group of copies is a hot spot, texts are never shuffled, and a lost task is done again alike. A
-    table that is not a plain file scan is written first, which fixes its splits. Identifiers have
-    64 bits.
+    Texts are their UTF-8 bytes; strings never cross documents and are judged on the input. Input
+    splits are cut into blocks of at most `block_bytes` of text, one document at least, so a task's
+    memory follows neither its split nor the table, only its longest document. A first pass sends the
+    identifiers of whole texts around and gets a bit back for each: whether a smaller document has
+    it, which settles copies. A second does so for the distinct anchor buckets of each block: whether
+    two documents have it. A third for the names of the refined buckets of the strings in those, each
+    with the block's smallest id: whether another block has a smaller one. A last one removes. So
+    what moves are distinct keys per block, no key, document or group of copies is a hot spot, texts
+    are never shuffled, and a lost task is done again alike. A table that is not a plain file scan is
+    written first, which fixes its splits. Names have 64 bits.
 
     A null text is empty. Rows without an id count as larger than all others and as equal among
     themselves; so do rows that share an id: they take nothing from each other. An empty table
-    gives no rows. Only the two named columns are read. Returns doc_id and RESULT; `with_text` adds
-    the kept bytes.
+    gives no rows. Only the two named columns are read; ids are cast to long. Returns doc_id and
+    RESULT; `with_text` adds the kept bytes.
     """
     with small_batches(docs.sparkSession):
-        return _remove_repeats(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), length, with_text)
+        return _remove_repeats(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), length, with_text, block_bytes)
 
 
-def _remove_repeats(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
-    spark = rows.sparkSession
+def _remove_repeats(rows: DataFrame, length: int, with_text: bool, block_bytes: int) -> DataFrame:
+    spark, own_copy = rows.sparkSession, []
     if not is_scan(rows):
-        rows, _ = write_table(rows, "repeat-docs")
+        rows, path = write_table(rows, "repeat-docs")
+        own_copy = [path]
     n = shuffle_partitions(spark)
     shift = 64 - max(6, (n - 1).bit_length())
 
     def copies(batches):
-        block = Block(batches, length)
-        keys, least, _ = block.text_keys()
-        yield from pack(TaskContext.get().partitionId(), block.check, keys, least, shift)
+        for block in blocks(batches, length, block_bytes):
+            keys, least, _ = block.text_keys()
+            yield from pack(block.number, block.check, keys, least, shift)
 
     copies_path = write_flags(rows.mapInArrow(copies, PACKED), in_a_smaller_document, n, "repeat-copies")
 
-    def originals(batches) -> tuple[int, Block]:
-        number, block = TaskContext.get().partitionId(), Block(batches, length)
-        keys, least, place = block.text_keys()
-        block.drop_copies(least, place, read_flags(copies_path, number, block.check, n, len(keys)))
-        return number, block
+    def originals(batches):
+        for block in blocks(batches, length, block_bytes):
+            keys, least, place = block.text_keys()
+            block.drop_copies(least, place, read_flags(copies_path, block.number, block.check, n, len(keys)))
+            yield block
 
     def first(batches):
-        number, block = originals(batches)
-        keys, marks, _ = block.anchor_keys()
-        yield from pack(number, block.check, keys, marks, shift)
+        for block in originals(batches):
+            _, anchor, bucket = block.anchored()
+            keys, marks, _, _ = block.anchor_keys(anchor, bucket)
+            yield from pack(block.number, block.check, keys, marks, shift)
 
     shared_path = write_flags(rows.mapInArrow(first, PACKED), in_two_documents, n, "repeat-anchors")
 
-    def local(batches):
-        number, block = originals(batches)
-        keys, _, places = block.anchor_keys()
-        starts, ranks, found = [], [], []
-        for some, rank, key in block.string_keys(places, read_flags(shared_path, number, block.check, n, len(keys))):
-            starts.append(some)
-            ranks.append(rank)
-            found.append(key)
-        del keys, places
-        key, rank = (np.concatenate(found), np.concatenate(ranks)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        del found
-        own, least, place = grouped(key, rank, np.minimum)
-        return number, block, starts, ranks, own, least, place
+    def refined(batches):
+        for block in originals(batches):
+            yield block, *block.strings(lambda size, block=block: read_flags(shared_path, block.number, block.check, n, size))
 
     def second(batches):
-        number, block, _, _, own, least, _ = local(batches)
-        yield from pack(number, block.check, own, block.ranked[least], shift)
+        for block, _, _, _, name, least in refined(batches):
+            yield from pack(block.number, block.check, name, block.ranked[least], shift)
 
     smaller_path = write_flags(rows.mapInArrow(second, PACKED), in_a_smaller_document, n, "repeat-strings")
 
     def third(batches):
-        number, block, starts, ranks, own, least, place = local(batches)
-        smaller = read_flags(smaller_path, number, block.check, n, len(own))
-        del own
-        cuts = np.cumsum([len(x) for x in starts])[:-1]
-        before = 0
-        for batch, some, mine, at in zip(block.parts, starts, ranks, np.split(place, cuts) if starts else [], strict=True):
-            raw, off = utf8(column(batch, "text"))
-            hit = some[smaller[at] | (least[at] < mine)]
+        for block, starts, rank, place, name, least in refined(batches):
+            raw, off = block.raw, block.off
+            smaller = read_flags(smaller_path, block.number, block.check, n, len(name))
+            hit = starts[smaller[place] | (least[place] < rank)]
             edge = np.zeros(len(raw) + 1, np.int32)
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + length, -1)
             gone = np.cumsum(edge[:-1]) > 0
-            for i in np.flatnonzero(block.copy[before : before + batch.num_rows] & (off[1:] - off[:-1] >= length)).tolist():
+            for i in np.flatnonzero(block.copy & (off[1:] - off[:-1] >= length)).tolist():
                 gone[off[i] : off[i + 1]] = True
-            before += batch.num_rows
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
             cuts = off[(off > 0) & (off < len(raw))]
             begins[cuts] = gone[cuts]
             removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
             kept = [raw[a:b].tobytes() if removed[a] == removed[b] else raw[a:b][~gone[a:b]].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            cols = [column(batch, "doc_id"), pa.array(off[1:] - off[:-1]), pa.array(removed[off[1:]] - removed[off[:-1]]), pa.array(spans[off[1:]] - spans[off[:-1]]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+            cols = [block.doc_ids, pa.array(off[1:] - off[:-1]), pa.array(removed[off[1:]] - removed[off[:-1]]), pa.array(spans[off[1:]] - spans[off[:-1]]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * with_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
     out, _ = write_table(rows.mapInArrow(third, f"doc_id long, {RESULT}" + ", kept binary" * with_text), "repeat-result")
-    drop_path(spark, copies_path, shared_path, smaller_path)
+    drop_path(spark, copies_path, shared_path, smaller_path, *own_copy)
     return out
