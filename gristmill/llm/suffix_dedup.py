@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import byte_table, column, drop_path, mix, open_fs, scratch, shuffle_partitions, slices, small_batches, utf8, window_hash, write_table
+from gristmill.llm.common import byte_table, column, drop_path, give_back, mix, open_fs, scratch, shuffle_partitions, slices, small_batches, utf8, window_hash, write_table
 
 Q = 24  # bytes of an initial bucket
 SPLIT_BITS = 32  # a block's number has its split's number above so many bits
@@ -171,6 +171,7 @@ def blocks(batches, length: int, block_bytes: int):
         size = pc.sum(pc.binary_length(column(part, "text"))).as_py() or 0
         if parts and held + size > block_bytes:
             yield Block(split + n, parts, length)
+            give_back()
             parts, held, n = [], 0, n + 1
         parts.append(part)
         held += size
@@ -277,7 +278,7 @@ def is_scan(df: DataFrame) -> bool:
     return str(plan.nodeName()) == "Project" and plan.children().size() == 1 and str(plan.child().nodeName()).startswith("LogicalRelation") or str(plan.nodeName()).startswith("LogicalRelation")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = 1 << 20) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that a document with a smaller id has too.
 
     Texts are their UTF-8 bytes; strings never cross documents and are judged on the input. Input
