@@ -12,9 +12,7 @@ from gristmill.llm.common import LOWER, byte_table, column, drop_path, mix, rang
 from gristmill.llm.components import components
 from gristmill.llm.counting import PACKED, KeyCounts, packed_rows
 
-BUCKET_BITS = 6
-SHIFT = 64 - BUCKET_BITS
-CELL_BITS = 14  # of weights per bucket
+CELL_BITS = 20  # of the table of weights
 PROFILE = 256  # parts of a set whose sizes bound its overlaps
 POSTINGS = "bucket int, size long, tokens binary, docs binary, sizes binary"
 
@@ -67,14 +65,47 @@ def profiles(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, PROFILE)
 
 
-def min_overlap(n: int, percent: int) -> int:
+def min_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
+def reachable(shared: np.ndarray, la: np.ndarray, lb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether an accumulated count allows a link.
+
+    `shared` is the overlap of two prefixes over short runs; long runs, of which a set is in `la` or
+    `lb`, add at most the smaller of these. Of the set whose prefix ends first all common n-grams
+    up to there are in both prefixes, and beyond it there are min_overlap(size) - 1 more n-grams.
+    """
+    most = shared + np.minimum(la, lb) + np.maximum(min_overlap(na, percent), min_overlap(nb, percent)) - 1
+    return most * (100 + percent) >= percent * (na + nb)
+
+
+def bucket_bits(spark) -> int:
+    """N-grams are dealt by so many of their top bits: four buckets or more for each shuffle partition."""
+    return min(CELL_BITS, max(6, (4 * shuffle_partitions(spark) - 1).bit_length()))
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which links a spanning forest of them needs, the first that joins two trees each."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    keep = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+        keep.append(x != y)
+    return np.asarray(keep, bool)
+
+
 # --------------------------------------------------------- weights: which n-grams are frequent
 
 
-def _frequent(k: int, text_col: str, least: int):
+def _frequent(k: int, text_col: str, least: int, shift: int):
     """N-grams that `least` documents of this task or more have, packed."""
 
     def run(batches):
@@ -87,26 +118,30 @@ def _frequent(k: int, text_col: str, least: int):
             some = KeyCounts()
             some.add_counts(0, keys[counts >= least], counts[counts >= least])
             if (counts >= least).any():
-                yield from some.packed(SHIFT)
+                yield from some.packed(shift)
 
     return run
 
 
-def _weigh(batches):
-    """Per bucket the largest log2 count, in eighths, in each of 2**CELL_BITS cells."""
-    held: dict[int, KeyCounts] = {}
-    for batch in batches:
-        for bucket, _, keys, counts in packed_rows(batch):
-            held.setdefault(bucket, KeyCounts()).add_counts(0, keys, counts)
-    for bucket, own in held.items():
-        keys, counts = own.merged(0)
-        cells = np.zeros(1 << CELL_BITS, np.uint8)
-        np.maximum.at(cells, _cell(keys), np.minimum(np.log2(counts) * 4, 255).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["bucket", "cells"])
+def _weigh(bits: int):
+    """Per bucket the largest log2 count, in quarters, in each of its cells."""
+
+    def run(batches):
+        held: dict[int, KeyCounts] = {}
+        for batch in batches:
+            for bucket, _, keys, counts in packed_rows(batch):
+                held.setdefault(bucket, KeyCounts()).add_counts(0, keys, counts)
+        for bucket, own in held.items():
+            keys, counts = own.merged(0)
+            cells = np.zeros(1 << CELL_BITS - bits, np.uint8)
+            np.maximum.at(cells, _cell(keys) & (len(cells) - 1), np.minimum(np.log2(counts) * 4, 255).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["bucket", "cells"])
+
+    return run
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
-    return ((tokens >> np.uint64(SHIFT - CELL_BITS)) & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def weights(docs: DataFrame, k: int, text_col: str, least: int = 3) -> np.ndarray:
@@ -115,10 +150,11 @@ def weights(docs: DataFrame, k: int, text_col: str, least: int = 3) -> np.ndarra
     Any total order of the n-grams gives right results below; this one keeps what many documents
     share out of the prefixes. The table's size is fixed, whatever the corpus.
     """
-    n = min(1 << BUCKET_BITS, shuffle_partitions(docs.sparkSession))
-    rows = docs.select(text_col).mapInArrow(_frequent(k, text_col, least), PACKED).repartition(n, "bucket").mapInArrow(_weigh, "bucket int, cells binary").collect()
-    table = np.zeros((1 << BUCKET_BITS, 1 << CELL_BITS), np.uint8)
-    for r in rows:
+    spark = docs.sparkSession
+    bits = bucket_bits(spark)
+    spread = docs.select(text_col).mapInArrow(_frequent(k, text_col, least, 64 - bits), PACKED).repartition(shuffle_partitions(spark), "bucket")
+    table = np.zeros((1 << bits, 1 << CELL_BITS - bits), np.uint8)
+    for r in spread.mapInArrow(_weigh(bits), "bucket int, cells binary").collect():  # 2**20 bytes in all
         table[r["bucket"]] = np.frombuffer(r["cells"], np.uint8)
     return table.ravel()
 
@@ -136,7 +172,7 @@ def _describe(k: int, id_col: str, text_col: str):
     return run
 
 
-def _postings(k: int, text_col: str, percent: int, table):
+def _postings(k: int, text_col: str, percent: int, table, shift: int):
     """Each distinct set's rarest n-grams, enough of them that any partner shares one, packed by bucket."""
 
     def run(batches):
@@ -146,7 +182,7 @@ def _postings(k: int, text_col: str, percent: int, table):
             tokens, docs, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(tokens)
             tokens, docs, sizes = tokens[order], docs[order], sizes[order]
-            bucket = (tokens >> np.uint64(SHIFT)).astype(np.int64)
+            bucket = (tokens >> np.uint64(shift)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             rows = [(int(bucket[a]), b - a, tokens[a:b].tobytes(), docs[a:b].tobytes(), sizes[a:b].tobytes()) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(tokens)], strict=True)]
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -159,7 +195,7 @@ def _postings(k: int, text_col: str, percent: int, table):
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(fp)
-                rank = weight[((tokens >> np.uint64(SHIFT)).astype(np.int64) << CELL_BITS) | _cell(tokens)]
+                rank = weight[_cell(tokens)]
                 size = n - min_overlap(n, percent) + 1
                 pick = tokens[np.lexsort((tokens, rank))[:size]]
                 parts.append((pick, np.full(size, fp, np.int64), np.full(size, n, np.uint32)))
@@ -190,45 +226,55 @@ def _runs(batches):
         yield bucket, tokens, docs, sizes.astype(np.int64), first, length
 
 
-def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distinct pairs, the smaller first."""
+def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, the smaller first, and how often each was there."""
     two = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
-    return np.unique(two, axis=0)
+    return np.unique(two, axis=0, return_counts=True)
+
+
+PRODUCT = "run long, a long, b long, shared long"
 
 
 def _products(percent: int, small: int, pivots: int):
-    """Candidate pairs (run null, a, b): all of short runs, and in long runs each set against a few
-    pivots, the same in all runs. Pairs whose sizes alone rule out a link are left out. The members
-    of long runs follow as (run, set, size)."""
+    """The product of a block of n-grams: (run null, a, b, shared) with the overlap that the block
+    adds to a pair, over all pairs of short runs; in long runs each set meets a few pivots, with nothing
+    to add. Pairs whose sizes alone rule out a link are left out. The members of long runs follow
+    as (run, set, size, null)."""
 
     def run(batches):
         for _, tokens, docs, sizes, first, length in _runs(batches):
-            left, right = [], []
+            left, right, adds = [], [], []
 
-            def add(a, b):
+            def add(a, b, by):
                 lo, hi = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
                 ok = 100 * lo >= percent * hi
                 left.append(docs[a[ok]])
                 right.append(docs[b[ok]])
+                adds.append(np.full(int(ok.sum()), by, np.int64))
 
             for m in np.unique(length[(length > 1) & (length <= small)]).tolist():
                 starts = first[length == m]
                 i, j = np.triu_indices(m, 1)
-                add((starts[:, None] + i).ravel(), (starts[:, None] + j).ravel())
+                add((starts[:, None] + i).ravel(), (starts[:, None] + j).ravel(), 1)
             for at, m in zip(first[length > small].tolist(), length[length > small].tolist(), strict=True):
                 members = np.arange(at, at + m)
                 order = members[np.argsort(mix(docs[members].astype(np.uint64)))]
                 for p in order[:pivots]:
                     others = members[members != p]
-                    add(np.full(len(others), p), others)
+                    add(np.full(len(others), p), others, 0)
             if left:
-                pairs = _ordered(np.concatenate(left), np.concatenate(right))
-                for i in range(0, len(pairs), 1 << 16):
-                    part = pairs[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["run", "a", "b"])
+                short = np.concatenate(adds) > 0
+                a, b = np.concatenate(left), np.concatenate(right)
+                for counted in (True, False):
+                    pairs, n = _ordered(a[short == counted], b[short == counted])
+                    n = n if counted else np.zeros_like(n)
+                    for i in range(0, len(pairs), 1 << 16):
+                        part = pairs[i : i + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(n[i : i + (1 << 16)])], names=["run", "a", "b", "shared"])
             long = np.repeat(length > small, length)
             if long.any():
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[long].view(np.int64)), pa.array(docs[long]), pa.array(sizes[long])], names=["run", "a", "b"])
+                n = int(long.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[long].view(np.int64)), pa.array(docs[long]), pa.array(sizes[long]), pa.nulls(n, pa.int64())], names=["run", "a", "b", "shared"])
 
     return run
 
@@ -259,7 +305,10 @@ def _sets(k: int, text_col: str, bits):
 
 
 def _overlaps(percent: int):
+    """Of a task's pairs those whose overlap over the whole sets reaches the bound, as a spanning forest."""
+
     def run(batches):
+        left, right = [], []
         for batch in slices(batches, ("ta", "tb"), 4 << 20):
             keep = []
             for ta, tb in zip(column(batch, "ta").to_pylist(), column(batch, "tb").to_pylist(), strict=True):
@@ -268,8 +317,16 @@ def _overlaps(percent: int):
                 both.sort()
                 overlap = int((both[1:] == both[:-1]).sum())
                 keep.append(overlap * (100 + percent) >= percent * (len(x) + len(y)))
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(mask), column(batch, "b").filter(mask)], names=["a", "b"])
+            left.append(column(batch, "a").to_numpy()[np.asarray(keep, bool)])
+            right.append(column(batch, "b").to_numpy()[np.asarray(keep, bool)])
+            if sum(map(len, left)) > 1 << 18:
+                a, b = np.concatenate(left), np.concatenate(right)
+                some = spanning(a, b)
+                left, right = [a[some]], [b[some]]
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            some = spanning(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some])], names=["a", "b"])
 
     return run
 
@@ -290,24 +347,29 @@ def gather_sets(docs: DataFrame, ends: DataFrame, k: int, text_col: str, bit_wor
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose overlap count over the whole sets reaches the bound."""
+    """Links that connect what the pairs connect whose overlap count over the whole sets reaches the bound.
+
+    A task gives back a spanning forest of its links, so their number follows the sets in it,
+    not the square of a group."""
     joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("tb")), "b")
     return write_table(joined.select("a", "b", "ta", "tb").mapInArrow(_overlaps(percent), "a long, b long"), "jaccard-links")[0]
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose profiles allow a link."""
+    """The pairs whose accumulated overlaps and profiles allow a link."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                n = [column(batch, c).to_numpy() for c in ("na", "nb")]
-                mask = pa.array(may_link(profiles(column(batch, "pa")), profiles(column(batch, "pb")), *n, percent))
-                yield pa.RecordBatch.from_arrays([column(batch, "a").filter(mask), column(batch, "b").filter(mask)], names=["a", "b"])
+                na, nb, la, lb, shared = (column(batch, c).to_numpy() for c in ("na", "nb", "la", "lb", "shared"))
+                mask = reachable(shared, la, lb, na, nb, percent)
+                some = np.flatnonzero(mask)
+                mask[some] = may_link(profiles(column(batch, "pa").take(pa.array(some))), profiles(column(batch, "pb").take(pa.array(some))), na[some], nb[some], percent)
+                yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(mask)) for c in ("a", "b")], names=["a", "b"])
 
-    one = nodes.select(F.col("fp").alias("a"), F.col("n_shingles").alias("na"), F.col("profile").alias("pa"))
-    two = nodes.select(F.col("fp").alias("b"), F.col("n_shingles").alias("nb"), F.col("profile").alias("pb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+    one = nodes.select(F.col("fp").alias("a"), F.col("n_shingles").alias("na"), F.col("profile").alias("pa"), F.col("long_runs").alias("la"))
+    two = nodes.select(F.col("fp").alias("b"), F.col("n_shingles").alias("nb"), F.col("profile").alias("pb"), F.col("long_runs").alias("lb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb", "la", "lb", "shared").mapInArrow(run, "a long, b long")
 
 
 def _groups(batches, keys: tuple[str, ...]):
@@ -364,11 +426,11 @@ def cross_pairs(members: DataFrame, comps: DataFrame, nodes: DataFrame, percent:
                 right.append(fp[y])
                 held += len(y)
             if held > 1 << 19:
-                pairs = _ordered(np.concatenate(left), np.concatenate(right))
+                pairs, _ = _ordered(np.concatenate(left), np.concatenate(right))
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
                 left, right, held = [], [], 0
         if held:
-            pairs = _ordered(np.concatenate(left), np.concatenate(right))
+            pairs, _ = _ordered(np.concatenate(left), np.concatenate(right))
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
@@ -382,8 +444,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     Equal sets are one node from the start, so copies are never paired. Of every other set the n -
     ceil(percent n / 100) + 1 rarest n-grams are kept: two linked sets share one of those. Postings
-    are multiplied by blocks of n-grams into candidate pairs that their sizes allow, and overlap
-    counts over the whole sets decide them. In runs of more than `small` sets every set first
+    are multiplied by blocks of n-grams; the blocks' counts of a pair add up to the overlap of its
+    prefixes, and pairs that cannot reach the bound with what their sizes leave are discarded. For
+    the others the count goes on over the whole sets. In runs of more than `small` sets every set first
     meets `pivots` common ones. What the links so far leave in different components then meets its
     likeliest partners, and what that leaves meets in full, block by block, so no link between
     components is missed. Pairs that sizes or profiles rule out are not counted.
@@ -404,12 +467,14 @@ def _jaccard_groups(rows: DataFrame, k: int, percent: int, small: int, pivots: i
     described, _ = write_table(rows.mapInArrow(_describe(k, "doc_id", "text"), "doc_id long, n_shingles long, fp long, fp2 long, profile binary"), "jaccard-docs")
     known = rows.where("doc_id is not null")
     table = spark.sparkContext.broadcast(weights(known, k, "text"))
-    n = min(1 << BUCKET_BITS, shuffle_partitions(spark))
-    spread = known.select("text").mapInArrow(_postings(k, "text", percent, table), POSTINGS).repartition(n, "bucket")
-    product, product_path = write_table(spread.mapInArrow(_products(percent, small, pivots), "run long, a long, b long"), "jaccard-product")
-    nodes, nodes_path = write_table(described.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("profile").alias("profile")), "jaccard-nodes")
+    spread = known.select("text").mapInArrow(_postings(k, "text", percent, table, 64 - bucket_bits(spark)), POSTINGS).repartition(shuffle_partitions(spark), "bucket")
+    product, product_path = write_table(spread.mapInArrow(_products(percent, small, pivots), PRODUCT), "jaccard-product")
     members = product.where("run is not null").select("run", F.col("a").alias("fp"), F.col("b").alias("n"))
-    candidates = plausible(product.where("run is null").select("a", "b").distinct(), nodes, percent)
+    own_runs = members.groupBy("fp").agg(F.count("*").alias("long_runs"))
+    sets_of = described.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("profile").alias("profile"))
+    nodes, nodes_path = write_table(sets_of.join(own_runs, "fp", "left").withColumn("long_runs", F.coalesce("long_runs", F.lit(0))), "jaccard-nodes")
+    accumulated = product.where("run is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    candidates = plausible(accumulated, nodes, percent)
     links, tried, paths = None, None, [product_path, nodes_path]
     comps = spark.createDataFrame([], "node long, component long")
     for step in ("first", "best", "all"):
