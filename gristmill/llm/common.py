@@ -25,10 +25,12 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors see: spark.checkpoint.dir, or a local one where it is unset and Spark is local."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="gristmill-")
@@ -37,7 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, used by one call only."""
-    return f"{shared_dir(spark)}/gristmill/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once no result that reads them is needed any more."""
+    drop_path(spark, f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}")
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -106,7 +113,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 # ------------------------------------------------------------------ text batches
 
 
-def slices(batches, text_cols: tuple[str, ...], max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches, text_cols: tuple[str, ...], max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of each slice take at most max_bytes; one row at least.
 
     At the end the memory that the task has freed goes back to the system: the worker lives on.
@@ -170,6 +177,21 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _unshift(z: np.ndarray, by: int) -> np.ndarray:
+    out = z
+    for _ in range(64 // by + 1):
+        out = z ^ (out >> np.uint64(by))
+    return out
+
+
+def unmix(z: np.ndarray) -> np.ndarray:
+    """What mix made z of."""
+    with np.errstate(over="ignore"):
+        z = _unshift(z, 31) * np.uint64(pow(int(MIX_B), -1, 1 << 64))
+        z = _unshift(z, 27) * np.uint64(pow(int(MIX_A), -1, 1 << 64))
+    return _unshift(z, 30)
+
+
 def window_hash(values: np.ndarray, k: int, factor: int = 6364136223846793005) -> np.ndarray:
     """Polynomial hashes, mod 2**64, of all runs of k values, by doubling; len - k + 1 of them."""
     if len(values) < k:

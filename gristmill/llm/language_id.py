@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from gristmill.llm.common import column, drop_path, shuffle_partitions, slices, small_batches, texts, window_hash, write_table
 from gristmill.llm.counting import PACKED, KeyCounts, packed_rows, sum_counts
 
-ORDERS = (3, 4)
+ORDERS = (4, 5)
 BUCKET_BITS = 8  # the filter is built in so many parts, by the top bits of an n-gram's hash
 SHIFT = 64 - BUCKET_BITS
 PROBES = 2
@@ -64,12 +64,15 @@ def rows_of(hashes: np.ndarray, row_bits: int) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilter:
-    """table[row, word] has a bit for each language; an n-gram's languages are the AND of its rows."""
+    """table[row, word] has a bit for each language; an n-gram's languages are the AND of its rows.
+
+    `rank` orders the languages by their training n-grams, most first: it decides ties.
+    """
 
     langs: list[str]
     table: np.ndarray
     false_positive: np.ndarray
-    default: int
+    rank: np.ndarray
     row_bits: int
 
     def masks(self, hashes: np.ndarray) -> np.ndarray:
@@ -79,8 +82,9 @@ class LanguageFilter:
             out = out & self.table[rows]
         return out
 
-    def judge(self, batch_texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The language of each text and the score of the decision."""
+    def judge(self, batch_texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language of each text, the score of the decision, and the corrected share of the
+        text's n-grams that the language has."""
         orders, has = ngrams(batch_texts)
         n = len(batch_texts)
         hits, total = np.zeros((len(self.langs), n)), np.zeros(n)
@@ -94,10 +98,10 @@ class LanguageFilter:
                 hits[i] += run[first[1:]] - run[first[:-1]]
         fp = self.false_positive[:, None]
         share = np.clip((hits / np.maximum(total, 1) - fp) / np.maximum(1 - fp, 1e-9), 0, None)
-        whole = share.sum(axis=0)
-        best = np.where(whole > 0, share.argmax(axis=0), self.default)
-        score = np.where(whole > 0, share[best, np.arange(n)] / np.maximum(whole, 1e-12), 0.0)
-        return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best, has, strict=True)], np.where(has, score, 0.0)
+        best = self.rank[share[self.rank].argmax(axis=0)]
+        top, whole = share[best, np.arange(n)], share.sum(axis=0)
+        score = np.where(has & (whole > 0), top / np.maximum(whole, 1e-12), 0.0)
+        return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best, has, strict=True)], score, np.where(has, top, 0.0)
 
 
 def _count(langs: list[str]):
@@ -117,94 +121,82 @@ def _count(langs: list[str]):
     return run
 
 
-def _build(totals: list[int], row_bits: int, min_count: int, min_share: float, ratio: float):
-    words, rows = (len(totals) + 63) // 64, 1 << (row_bits - BUCKET_BITS)
-    size = np.maximum(np.asarray(totals, float), 1)
-    least = np.maximum(min_count, np.ceil(size * min_share))
+def _build(words: int, row_bits: int):
+    """The part of the filter of each bucket of n-grams; every n-gram is put in for every language that has it."""
+    rows = 1 << (row_bits - BUCKET_BITS)
 
     def run(batches):
-        parts: dict[int, list] = {}
+        parts: dict[int, np.ndarray] = {}
         for batch in batches:
-            for bucket, grp, keys, counts in packed_rows(batch):
-                parts.setdefault(bucket, []).append((grp, keys, counts))
+            for bucket, grp, keys, _ in packed_rows(batch):
+                table = parts.setdefault(bucket, np.zeros((rows, words), np.uint64))
+                for at in rows_of(keys, row_bits):
+                    np.bitwise_or.at(table, (at & (rows - 1), grp // 64), np.uint64(1 << grp % 64))
         for bucket in sorted(parts):
-            every = np.unique(np.concatenate([k for _, k, _ in parts[bucket]]))
-            top = np.zeros(len(every))
-            for g, k, c in parts[bucket]:
-                at = np.searchsorted(every, k)
-                top[at] = np.maximum(top[at], c / size[g])
-            table = np.zeros((rows, words), np.uint64)
-            for g, k, c in parts[bucket]:
-                good = (c >= least[g]) & (c / size[g] >= ratio * top[np.searchsorted(every, k)])
-                for at in rows_of(k[good], row_bits):
-                    np.bitwise_or.at(table, (at & (rows - 1), g // 64), np.uint64(1 << g % 64))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([table.astype("<u8").tobytes()], pa.binary())], names=["bucket", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([parts[bucket].astype("<u8").tobytes()], pa.binary())], names=["bucket", "part"])
 
     return run
 
 
-def train(
-    docs: DataFrame,
-    text_col: str = "text",
-    lang_col: str = "lang",
-    row_bits: int = 21,
-    min_count: int = 2,
-    min_share: float = 1e-6,
-    ratio: float = 0.4,
-    max_languages: int = 1024,
-) -> LanguageFilter:
-    """Count the n-grams of every labelled text and build the filter of all languages.
-
-    An n-gram is put in for a language where it makes up at least `min_share` of that language's
-    n-grams (and is seen `min_count` times), and is at least `ratio` times as frequent as in the
-    language that has it most. So a language puts in 1 / min_share n-grams at most, and the filter
-    has 2**row_bits rows of 64 languages each: its size does not depend on the data. Rows with a
-    null language or null text teach nothing.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_bits: int = 20, most_bits: int = 24) -> LanguageFilter:
+    """Collect the n-grams of every labelled text and build the filter of all languages.
+
+    Every n-gram of a language's texts is put in for it, so the filter returns all languages that
+    contain an n-gram. It has eight rows for each n-gram of the language that has most, at least
+    2**least_bits and at most 2**most_bits rows of 8 bytes for every 64 languages: that bounds
+    what is collected and broadcast, whatever the corpus. Where that is too few, false positives
+    grow, and the correction takes them out of the shares. Rows with a null language or null text
+    teach nothing; repeated rows teach nothing new.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(max_languages + 1).collect()]
-    if len(langs) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    buckets = 1 << BUCKET_BITS
+    langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]  # a row per language
+    buckets, n = 1 << BUCKET_BITS, shuffle_partitions(spark)
+    words = max(1, (len(langs) + 63) // 64)
     if not langs:
-        return LanguageFilter([], np.zeros((1 << row_bits, 1), np.uint64), np.zeros(0), 0, row_bits)
-    with small_batches(docs.sparkSession):
-        counted, path = write_table(sum_counts(rows.mapInArrow(_count(langs), PACKED), min(buckets, shuffle_partitions(docs.sparkSession)), SHIFT), "lang-counts")
+        return LanguageFilter([], np.zeros((1 << least_bits, words), np.uint64), np.zeros(0), np.zeros(0, np.int64), least_bits)
+    with small_batches(spark):
+        counted, path = write_table(sum_counts(rows.mapInArrow(_count(langs), PACKED), min(buckets, n), SHIFT), "lang-counts")
 
     def add_up(batches):
-        total = np.zeros(len(langs), np.int64)
+        total, distinct = np.zeros(len(langs), np.int64), np.zeros(len(langs), np.int64)
         for batch in batches:
-            for _, grp, _, counts in packed_rows(batch):
+            for _, grp, keys, counts in packed_rows(batch):
                 total[grp] += counts.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(langs)), pa.int32()), pa.array(total)], names=["grp", "n"])
+                distinct[grp] += len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(langs)), pa.int32()), pa.array(total), pa.array(distinct)], names=["grp", "n", "d"])
 
-    sums = counted.mapInArrow(add_up, "grp int, n long").groupBy("grp").agg(F.sum("n").alias("n")).collect()  # a row per language
-    totals = [0] * len(langs)
+    sums = counted.mapInArrow(add_up, "grp int, n long, d long").groupBy("grp").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect()  # a row per language
+    totals, most = np.zeros(len(langs), np.int64), 1
     for r in sums:
-        totals[r["grp"]] = int(r["n"])
-    spread = counted.repartition(min(buckets, shuffle_partitions(docs.sparkSession)), "bucket")
-    parts = spread.mapInArrow(_build(totals, row_bits, min_count, min_share, ratio), "bucket int, part binary").collect()  # 2**row_bits rows in all
-    words = (len(langs) + 63) // 64
+        totals[r["grp"]], most = r["n"], max(most, r["d"])
+    row_bits = min(most_bits, max(least_bits, (8 * most - 1).bit_length()))
+    spread = counted.repartition(min(buckets, n), "bucket")
+    parts = spread.mapInArrow(_build(words, row_bits), "bucket int, part binary").collect()  # 2**row_bits rows in all
     table = np.zeros((buckets, 1 << (row_bits - BUCKET_BITS), words), np.uint64)
     for r in parts:
         table[r["bucket"]] = np.frombuffer(r["part"], "<u8").reshape(table.shape[1:])
     table = table.reshape(-1, words)
-    drop_path(docs.sparkSession, path)
+    drop_path(spark, path)
     fill = np.array([((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
-    return LanguageFilter(langs, table, fill**PROBES, int(np.argmax(totals)), row_bits)
+    return LanguageFilter(langs, table, fill**PROBES, np.argsort(-totals, kind="stable"), row_bits)
 
 
-def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", share_out: str | None = None) -> DataFrame:
     """Add the predicted language and its score to every row, whatever its other columns.
 
     The score is the corrected share of the text's n-grams that the language has, over the sum of
-    those shares: 1 where no other language has any. A null text and one without a letter are
-    `und` with score 0. A text with letters of which no language has an n-gram takes the language
-    with most training n-grams, score 0. Columns named like the outputs are replaced. Without
-    languages to choose from every row is `und`.
+    those shares: 1 where no other language has any. `share_out` adds the share itself, which is low
+    where no language fits. Equal shares go to the language with most training n-grams, then the
+    first by name. A null text and one without a letter are `und` with score 0. A text with letters
+    of which no language has an n-gram takes the language with most, score 0. Repeated rows are
+    judged each. Columns named like the outputs are replaced. Without languages to choose from
+    every row is `und`. An empty table gives no rows.
     """
-    rows = docs.drop(*(c for c in docs.columns if c.lower() in (lang_out.lower(), score_out.lower())))
-    schema = T.StructType(rows.schema.fields + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    outputs = [(lang_out, T.StringType()), (score_out, T.DoubleType()), *([(share_out, T.DoubleType())] if share_out else [])]
+    taken = {n.lower() for n, _ in outputs}
+    rows = docs.drop(*(c for c in docs.columns if c.lower() in taken))
+    schema = T.StructType(rows.schema.fields + [T.StructField(n, t) for n, t in outputs])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = schema.names
 
@@ -212,7 +204,9 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", lan
         own = shared.value
         for batch in slices(batches, (text_col,)):
             t = texts(column(batch, text_col))
-            lang, score = own.judge(t) if own.langs else ([UNDETERMINED] * len(t), np.zeros(len(t)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
+            none = np.zeros(len(t))
+            lang, score, share = own.judge(t) if own.langs else ([UNDETERMINED] * len(t), none, none)
+            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made[: len(outputs)]], names=names)
 
     return rows.mapInArrow(run, schema)
