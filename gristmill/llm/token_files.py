@@ -77,14 +77,17 @@ class EliasFano:
             low = word >> at % 8 & (1 << self.bits) - 1
         return self.base + ((self.select(i) - i) << self.bits | low)
 
-    def all(self) -> np.ndarray:
-        """The whole sequence."""
-        if not self.n:
+    def range(self, i: int, j: int) -> np.ndarray:
+        """Elements i to j - 1, from where select finds the i-th one on; nothing else is decoded."""
+        if j <= i:
             return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.bits)
+        first, last = self.select(i), self.select(j - 1)
+        flags = np.unpackbits(np.frombuffer(self.high, np.uint8, last // 8 - first // 8 + 1, first // 8), bitorder="little")
+        ones = np.flatnonzero(flags[first % 8 : last - first // 8 * 8 + 1]) + first
+        high = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.bits)
         if self.bits:
-            rows = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits)
+            at, end = i * self.bits, j * self.bits
+            rows = np.unpackbits(np.frombuffer(self.low, np.uint8, (end + 7) // 8 - at // 8, at // 8), bitorder="little")[at % 8 :][: end - at].reshape(j - i, self.bits)
             high |= (rows.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return high.astype(np.int64) + self.base
 
@@ -196,17 +199,18 @@ def _reader(out_dir: str, with_ids: bool):
             for name, index, first in zip(*(column(batch, c).to_pylist() for c in ("file", "index", "first_token")), strict=True):
                 with fs.open_input_stream(f"{root}/{index}", compression=None) as f:
                     head, bounds, known = load_index(f.read())
-                cuts, ids = bounds.all(), [None] * head["null_ids"] + known.all().tolist()
                 kind, width = ("<u2", 2) if head["id_bytes"] == 2 else ("<u4", 4)
                 rows, held = [], 0
                 with fs.open_input_file(f"{root}/{name}") as f:
-                    for at in range(0, len(ids), 256):
-                        to = min(at + 256, len(ids))
-                        f.seek(int(cuts[at]) * width)
-                        block = np.frombuffer(f.read(int(cuts[to] - cuts[at]) * width), kind).astype("<u4")
-                        for i in range(at, to):
-                            own = block[cuts[i] - cuts[at] : cuts[i + 1] - cuts[at]]
-                            rows.append((ids[i], first + int(cuts[i]), len(own), zlib.crc32(own.tobytes())) + ((own.astype(np.int32),) if with_ids else ()))
+                    for at in range(0, head["docs"], SAMPLE):
+                        to, nulls = min(at + SAMPLE, head["docs"]), head["null_ids"]
+                        cuts = bounds.range(at, to + 1).tolist()
+                        ids = [None] * (min(to, nulls) - min(at, nulls)) + known.range(max(at, nulls) - nulls, max(to, nulls) - nulls).tolist()
+                        f.seek(cuts[0] * width)
+                        block = np.frombuffer(f.read((cuts[-1] - cuts[0]) * width), kind).astype("<u4")
+                        for doc, a, b in zip(ids, cuts[:-1], cuts[1:], strict=True):
+                            own = block[a - cuts[0] : b - cuts[0]]
+                            rows.append((doc, first + a, len(own), zlib.crc32(own.tobytes())) + ((own.astype(np.int32),) if with_ids else ()))
                         held += len(block) * with_ids
                         if len(rows) >= 4096 or held > 1 << 20:
                             yield _batch(rows, with_ids)
@@ -224,7 +228,10 @@ def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
 
 
 def read_token_files(spark: SparkSession, out_dir: str, with_ids: bool = False) -> DataFrame:
-    """One row per document from the files in the manifest, with its ids if asked for."""
+    """One row per document from the files in the manifest, with its ids if asked for.
+
+    Boundaries and document ids are decoded by select, SAMPLE documents at a time; a file's index stays encoded.
+    """
     listed = spark.read.schema("file string, index string, docs long, tokens long, first_token long").json(f"{out_dir}/MANIFEST.jsonl").where("index is not null")
     spread = listed.repartition(shuffle_partitions(spark), "file")
     return spread.mapInArrow(_reader(out_dir, with_ids), DOCS + ", ids array<int>" * with_ids)
