@@ -136,7 +136,7 @@ def judge_urls(
     if total["suffixes"] <= broadcast_suffixes:
         full = rows.join(F.broadcast(stats), "suffix", "left")
     else:
-        salted = stats.crossJoin(spark.range(SALTS).select(F.col("id").alias("salt")))
+        salted = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         full = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS))).join(salted, ["suffix", "salt"], "left")
     full = full.withColumns(features)
 
