@@ -13,14 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import EXCLUDED_TITLES, SUPPLEMENTARY_TITLES
+from gristmill.functions.text import CONTAINER_REASONS, EXCLUDED_ATTRS, EXCLUDED_TITLES, SIDEBAR, SUPPLEMENTARY_ATTRS, SUPPLEMENTARY_TITLES, TEXT_REASONS
 
-BLOCKS = "ordinal long, kind string, text string, category string, reason string, level int, section_path array<string>, source_tag string, source_type string, coords string, error string"
+BLOCKS = "ordinal long, kind string, text string, category string, reason string, level int, section_path array<string>, source_tag string, source_type string, coords string, warnings array<string>, body_chars long, error string"
 
 # ---- fixed values ------------------------------------------------------------------------
 
-EXCLUDED_ATTRS = ("references", "bibliography", "acknowledgment", "acknowledgement", "funding", "conflict", "competing-interests", "data-availability", "ethics", "supplementary-material")
-SUPPLEMENTARY_ATTRS = ("box", "boxed-text", "sidebar", "panel", "glossary", "highlights", "key-points", "questions", "trends", "case-study")
 INLINE_SKIPPED = frozenset({"figure", "table", "graphic", "figDesc", "fw", "note", "listBibl", "biblStruct"})
 LEAF_EXCLUDED = frozenset({"table", "graphic", "figDesc", "fw", "listBibl", "biblStruct"})
 VOID_TAGS = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
@@ -51,6 +49,9 @@ _FOOTER = re.compile(r".{0,100}\b(?:vol\.?|volume)\s*\d+.*\b(?:no\.?|issue)\s*\d
 _DOI = re.compile(r"(?:https?://)?doi\.org/\S+")
 _DEFINITION = re.compile(r"(?:^|[.;]\s+)[A-Z][A-Za-z0-9 ()/\-]{1,70}:")
 _YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
+_SIDEBAR = re.compile(SIDEBAR)
+#: The attributes of a container that tell its kind.
+KIND_ATTRS = ("type", "subtype", "place", "rend")
 
 
 @dataclass
@@ -108,6 +109,7 @@ class _Html(HTMLParser):
         node = Node(HTML_ROLES.get(tag, tag), {k: v or "" for k, v in attrs})
         if tag == "ol":
             node.attrs["type"] = "ordered"
+        node.attrs.setdefault("rend", " ".join(filter(None, (node.attrs.get("class"), node.attrs.get("id")))))
         self.open[-1][1].parts.append(node)
         if tag not in VOID_TAGS:
             self.open.append((tag, node))
@@ -168,26 +170,36 @@ def numeric_share(text: str) -> float:
     return sum(any(c.isdigit() for c in t) for t in tokens) / len(tokens) if tokens else 0.0
 
 
+def warnings_of(text: str) -> list[str]:
+    """What should be looked at in a block of text."""
+    n, sidebar = len(_WORDS.findall(text)), _SIDEBAR.search(text)
+    found = {
+        "very_long_block": n >= 1200,
+        "missing_terminal_punctuation": n >= 80 and not text.endswith((".", "!", "?", ";", ":")),
+        "high_numeric_density": numeric_share(text) >= 0.25,
+        "possible_embedded_sidebar": sidebar is not None and sidebar.start() > 30,
+    }
+    return [w for w, holds in found.items() if holds]
+
+
+def is_noise(text: str, n: int, low: str) -> bool:
+    return bool(not text or text.isdigit() and len(text) <= 4 or _FOOTER.fullmatch(text) or _DOI.fullmatch(text) or n <= 45 and any(m in low for m in _NOISE))
+
+
 def classify(text: str, parent: str) -> tuple[str, str]:
-    """Category and reason of a block's text under its parent's category."""
-    if parent == "discard":
-        return "discard", "inherited_discard"
-    n, low = len(_WORDS.findall(text)), text.casefold()
-    noise = not text or text.isdigit() and len(text) <= 4 or _FOOTER.fullmatch(text) or _DOI.fullmatch(text) or n <= 45 and any(m in low for m in _NOISE)
-    if noise:
-        return "discard", "noise"
-    if _CAPTION.match(text) or n <= 160 and any(m in low for m in _CREDITS):
-        return "discard", "caption"
-    if n <= 140 and len(_YEAR.findall(text)) >= 4 and numeric_share(text) >= 0.30:
-        return "discard", "chart_text"
-    if parent == "supplementary":
-        return "supplementary", "inherited_supplementary"
-    colons = text.count(":")
-    if len(_DEFINITION.findall(text)) >= 3 or colons >= 4 and colons / max(n, 1) >= 0.02:
-        return "supplementary", "definition_block"
-    if text.count("?") >= 3 and n <= 700:
-        return "supplementary", "question_block"
-    return "main", "main_text"
+    """Category and reason of a block's text under its parent's category; the first rule that holds."""
+    n, low, colons = len(_WORDS.findall(text)), text.casefold(), text.count(":")
+    rules = (
+        ("discard", lambda: parent == "discard"),
+        ("discard", lambda: is_noise(text, n, low)),
+        ("discard", lambda: _CAPTION.match(text) or n <= 160 and any(m in low for m in _CREDITS)),
+        ("discard", lambda: n <= 140 and len(_YEAR.findall(text)) >= 4 and numeric_share(text) >= 0.30),
+        ("supplementary", lambda: parent == "supplementary"),
+        ("supplementary", lambda: len(_DEFINITION.findall(text)) >= 3 or colons >= 4 and colons / max(n, 1) >= 0.02),
+        ("supplementary", lambda: text.count("?") >= 3 and n <= 700),
+        ("main", lambda: True),
+    )
+    return next((category, reason) for (category, holds), reason in zip(rules, TEXT_REASONS, strict=True) if holds())
 
 
 def excluded_title(heading: str) -> bool:
@@ -200,20 +212,23 @@ def supplementary_title(heading: str) -> bool:
     return h.startswith(("box ", "case study ")) or h in SUPPLEMENTARY_TITLES
 
 
+def kind_attrs(node: Node) -> str:
+    return fold(" ".join(node.attrs.get(k, "") for k in KIND_ATTRS))
+
+
 def container_class(node: Node, parent: str) -> tuple[str, str]:
     """Category and reason of a container by its first heading, then its attributes, else its parent's."""
     head = next((c for c in node.children if c.role == "head"), None)
-    heading = node_text(head) if head else ""
-    attrs = fold(" ".join(node.attrs.get(k, "") for k in ("type", "subtype", "n", "class", "id")))
-    if heading and excluded_title(heading):
-        return "discard", "excluded_heading"
-    if any(m in attrs for m in EXCLUDED_ATTRS):
-        return "discard", "excluded_attribute"
-    if heading and supplementary_title(heading):
-        return "supplementary", "supplementary_heading"
-    if any(m in attrs for m in SUPPLEMENTARY_ATTRS):
-        return "supplementary", "supplementary_attribute"
-    return parent, "inherited"
+    heading, attrs = fold(node_text(head)) if head else "", kind_attrs(node)
+    rules = (
+        ("discard", any(heading == t or heading.startswith(t + " ") for t in EXCLUDED_TITLES)),
+        ("discard", any(m in attrs for m in EXCLUDED_ATTRS)),
+        ("supplementary", heading.startswith(("box ", "case study "))),
+        ("supplementary", heading in SUPPLEMENTARY_TITLES),
+        ("supplementary", any(m in attrs for m in SUPPLEMENTARY_ATTRS)),
+        (parent, True),
+    )
+    return next((category, reason) for (category, holds), reason in zip(rules, CONTAINER_REASONS, strict=True) if holds)
 
 
 # ---------------------------------------------------------------------------------- walk
@@ -232,7 +247,7 @@ class Place:
 
 
 def _block(node: Node, kind: str, text: str, category: str, reason: str, at: Place) -> dict:
-    return {"kind": kind, "text": text, "category": category, "reason": reason, "level": at.level, "section_path": list(at.path), "source_tag": node.role, "source_type": node.attrs.get("type", ""), "coords": node.attrs.get("coords", "")}
+    return {"kind": kind, "text": text, "category": category, "reason": reason, "level": at.level, "section_path": list(at.path), "source_tag": node.role, "source_type": node.attrs.get("type", ""), "coords": node.attrs.get("coords", ""), "warnings": []}
 
 
 def _set_apart(node: Node, kind: str, reason: str, at: Place) -> Iterator[dict]:
@@ -242,7 +257,7 @@ def _set_apart(node: Node, kind: str, reason: str, at: Place) -> Iterator[dict]:
 
 def _flow(node: Node, kind: str, at: Place, prefix: str = "") -> Iterator[dict]:
     if text := node_text(node):
-        yield _block(node, kind, prefix + text, *classify(prefix + text, at.category), at)
+        yield _block(node, kind, prefix + text, *classify(prefix + text, at.category), at) | {"warnings": warnings_of(prefix + text)}
 
 
 def _list(node: Node, at: Place) -> Iterator[dict]:
@@ -305,32 +320,46 @@ def descend(node: Node, *roles: str) -> Iterator[Node]:
 
 
 def title_of(root: Node, html: bool) -> str:
-    """The first title with text: the header's main title, any title statement, the source's title."""
+    """The first of three titles that has text: the header's main title, its first title, the source's."""
     if html:
         found = [root.find("title")]
     else:
-        header = root.find("teiHeader")
-        statements = [t for s in (descend(header, "titleStmt") if header else ()) for t in s.children if t.role == "title"]
-        sources = [t for s in (descend(header, "analytic") if header else ()) for t in s.children if t.role == "title"]
-        found = [t for t in statements if t.attrs.get("type") == "main"] + statements + sources
+        headers = [root] if root.role == "teiHeader" else list(descend(root, "teiHeader"))
+
+        def titles(parent: str) -> list[Node]:
+            return [t for h in headers for s in descend(h, parent) for t in s.children if t.role == "title"]
+
+        stated = titles("titleStmt")
+        found = [next(iter(x), None) for x in ([t for t in stated if t.attrs.get("type") == "main"], stated, titles("analytic"))]
     return next((text for t in found if t and (text := node_text(t))), "")
 
 
 def abstracts_of(root: Node) -> Iterator[tuple[Node, str]]:
-    """Abstract candidates: the header's abstracts and front divisions whose attributes name one."""
-    header, front = root.find("teiHeader"), root.find("text", "front")
-    named = [d for d in (descend(front, "div") if front else ()) if "abstract" in fold(" ".join(d.attrs.values()))]
-    for node in [*(descend(header, "abstract") if header else ()), *named]:
+    """Abstract candidates: the header's abstracts and front divisions whose attributes name one, each once."""
+    headed = [a for h in descend(root, "teiHeader") for a in descend(h, "abstract")]
+    named = [d for t in descend(root, "text") for f in t.children if f.role == "front" for d in descend(f, "div") if "abstract" in kind_attrs(d)]
+    for node in {id(n): n for n in (*headed, *named)}.values():
         paragraphs = list(descend(node, "p"))
-        texts = [t for p in paragraphs if (t := node_text(p)) and classify(t, "main")[1] != "noise"] if paragraphs else [node_text(node)]
+        texts = [node_text(p) for p in paragraphs] if paragraphs else [node_text(node)]
+        if paragraphs:
+            texts = [t for t in texts if not is_noise(t, len(_WORDS.findall(t)), t.casefold())]
         if text := "\n\n".join(filter(None, texts)):
             yield node, text
 
 
+def all_text(node: Node) -> Iterator[str]:
+    for part in node.parts:
+        if isinstance(part, str):
+            yield part
+        else:
+            yield from all_text(part)
+
+
 def document_blocks(source: str | None, html: bool = False) -> list[dict]:
     """Title, abstract candidates and body blocks of a document; without a body it is a ValueError.
 
-    An abstract candidate has its language as source_type.
+    An abstract candidate has its language as source_type. Every block has the length of the whole
+    body's text as body_chars.
     """
     if source is None:
         raise ValueError("no document")
@@ -343,14 +372,17 @@ def document_blocks(source: str | None, html: bool = False) -> list[dict]:
         out.append(_block(Node("title"), "title", text, "main", "title", top))
     for node, text in () if html else abstracts_of(root):
         out.append(_block(node, "abstract_candidate", text, "main", "abstract", top) | {"source_type": node.attrs.get("lang", "")})
-    return out + list(walk(body, Place("main", 2, ())))
+    out += walk(body, Place("main", 2, ()))
+    size = len(normalize(" ".join(all_text(body))))
+    out = out or [_block(body, "empty", "", "discard", "empty_body", top)]
+    return [b | {"body_chars": size} for b in out]
 
 
 def blocks_of(docs: DataFrame, id_col: str, source_col: str, html: bool = False) -> DataFrame:
     """A row per block; a document that cannot be read is one row with its error."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, *(x.split()[0] for x in BLOCKS.split(", "))]
-    types = (pa.int64(), *[pa.string()] * 4, pa.int32(), pa.list_(pa.string()), *[pa.string()] * 4)
+    types = (pa.int64(), *[pa.string()] * 4, pa.int32(), pa.list_(pa.string()), *[pa.string()] * 3, pa.list_(pa.string()), pa.int64(), pa.string())
 
     def run(batches):
         for batch in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 WS_SET = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{WS_SET}]"
 INK = f"[^{WS_SET}]"
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"[\p{L}\p{N}_]+"
 YEAR = r"\A(?:19|20)[0-9]{2}\z"
 DEFINITION = rf"(?:\A|[.;]{WS}+)[A-Z][A-Za-z0-9 ()/\-]{{1,70}}:"
@@ -39,7 +41,7 @@ CHANNEL_FORMS = (
 )
 HIVE_HEATING = r"Hive Active Heating.{0,15}?(\[beta\])?\z"
 EXCLUDED_TITLES = (
-    "references", "bibliography", "acknowledgement", "acknowledgements", "acknowledgment", "acknowledgments",
+    "references", "bibliography", "acknowledgment", "acknowledgments", "acknowledgement", "acknowledgements",
     "author contributions", "authors contributions", "funding", "funding information", "conflict of interest",
     "conflicts of interest", "competing interests", "declaration of interests", "data availability",
     "data availability statement", "ethical approval", "ethics statement", "informed consent",
@@ -49,13 +51,35 @@ SUPPLEMENTARY_TITLES = (
     "glossary", "highlights", "key points", "key messages", "research highlights", "outstanding questions",
     "research questions", "trends", "sidebar", "case study",
 )
+EXCLUDED_ATTRS = (
+    "references", "bibliography", "acknowledgment", "acknowledgement", "funding", "conflict", "competing-interests",
+    "data-availability", "ethics", "supplementary-material",
+)
+SUPPLEMENTARY_ATTRS = (
+    "box", "boxed-text", "sidebar", "panel", "glossary", "highlights", "key-points", "questions", "trends", "case-study",
+)
+#: Reason codes of blocks, in the order of the rules.
+TEXT_REASONS = (
+    "discarded_parent", "boilerplate_or_noise", "figure_or_table_caption", "chart_text", "supplementary_parent",
+    "definition_block", "question_block", "main_content",
+)
+#: Reason codes of containers, in the order of the rules.
+CONTAINER_REASONS = (
+    "excluded_section", "excluded_container_type", "boxed_content", "supplementary_section",
+    "supplementary_container_type", "inherited",
+)
 
 # ----------------------------------------------------------------------- normalising
 
 
 def strip(c: Column) -> Column:
     """Without white space, in the Unicode sense, at both ends."""
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
+def single_spaced(c: Column) -> Column:
+    """Every run of white space is one blank; single blanks are not touched."""
+    return F.regexp_replace(c, rf"\x20{WS}+|[{WS_SET}&&[^\x20]]{WS}*", " ")
 
 
 def clean(c: Column) -> Column:
@@ -75,40 +99,40 @@ def normalize_name(c: Column) -> Column:
 
 
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return s.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
 
 def _nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+def _beyond_ascii(c: Column) -> Column:
+    """The text where it has other characters than ASCII, else null: only such goes to Python."""
+    return F.when(F.length(c) < F.octet_length(c), c)
+
+
 def nfkc(c: Column) -> Column:
-    return F.pandas_udf(_nfkc, "string")(c)
+    return F.coalesce(F.pandas_udf(_nfkc, "string")(_beyond_ascii(c)), c)
 
 
 def nfkc_casefold(c: Column) -> Column:
-    return F.pandas_udf(_nfkc_casefold, "string")(c)
+    return F.coalesce(F.pandas_udf(_nfkc_casefold, "string")(_beyond_ascii(c)), F.lower(c))
 
 
 def tidy(c: Column) -> Column:
     """The native part of text normalisation: invisible characters, spacing, publisher boilerplate."""
-    out = strip(F.regexp_replace(F.regexp_replace(c, ZERO_WIDTH, ""), f"{WS}+", " "))
-    for pattern in BOILERPLATE:
-        out = F.regexp_replace(out, f"(?d){pattern}", " ")
+    out = strip(single_spaced(F.regexp_replace(c, ZERO_WIDTH, "")))
+    for pattern, sign in zip(BOILERPLATE, ("journal homepage:", "all rights reserved"), strict=True):
+        out = F.when(F.contains(F.lower(out), F.lit(sign)), F.regexp_replace(out, f"(?d){pattern}", " ")).otherwise(out)
     out = F.regexp_replace(out, rf"{WS}+([,.;:!?%)\]}}])", "$1")
     out = F.regexp_replace(out, rf"([(\[{{]){WS}+", "$1")
-    return strip(F.regexp_replace(out, f"{WS}+", " "))
+    return strip(single_spaced(out))
 
 
 def normalize_text(c: Column) -> Column:
     return tidy(nfkc(c))
 
 
-def fold_heading(c: Column) -> Column:
-    """Lower case, words separated by one space: the native form, without compatibility folding."""
-    return strip(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
-
-
 def normalize_heading(c: Column) -> Column:
     return strip(F.regexp_replace(nfkc_casefold(c), r"[^\p{L}\p{N}_]+", " "))
 
@@ -119,6 +143,12 @@ def clean_pdf_text(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
 
 
+def pages_text(pages: Column) -> Column:
+    """Page texts in order as one cleaned text, each after a line that gives its number."""
+    marked = F.transform(pages, lambda p, i: F.concat(F.lit("\n\n--- PAGE "), (i + 1).cast("string"), F.lit(" ---\n\n"), F.coalesce(p, F.lit(""))))
+    return clean_pdf_text(F.array_join(marked, "\n"))
+
+
 def normalize_article_id(c: Column) -> Column:
     """A file name without known endings, prefixed by `article_`."""
     stem = F.regexp_replace(strip(c), r"(?i)(\.grobid)?(\.tei)?\.(xml|pdf|html)\z|\.tei\z", "")
@@ -139,10 +169,34 @@ def numeric_ratio(c: Column) -> Column:
     return F.when(tokens > 0, digits.cast("double") / tokens).otherwise(0.0)
 
 
-def has_any(c: Column, markers: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for m in markers:
-        out = out | F.contains(F.lower(c), F.lit(m))
+@dataclass(frozen=True)
+class Measures:
+    """What several rules ask of a text: its number of words, its colons, itself in lower case."""
+
+    words: Column
+    colons: Column
+    low: Column
+
+    @classmethod
+    def of(cls, c: Column) -> Measures:
+        return cls(word_count(c), count_char(c, ":"), F.lower(c))
+
+    @classmethod
+    def held(cls, name: str) -> Measures:
+        """Those of a column that `measures` made, so that each is computed once."""
+        return cls(F.col(f"{name}.words"), F.col(f"{name}.colons"), F.col(f"{name}.low"))
+
+
+def measures(c: Column) -> Column:
+    own = Measures.of(c)
+    return F.struct(own.words.alias("words"), own.colons.alias("colons"), own.low.alias("low"))
+
+
+def has_any(low: Column, markers: tuple[str, ...]) -> Column:
+    """Whether a lower-cased text has one of the markers."""
+    out = F.contains(low, F.lit(markers[0]))
+    for m in markers[1:]:
+        out = out | F.contains(low, F.lit(m))
     return out
 
 
@@ -150,31 +204,34 @@ def count_char(c: Column, char: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))
 
 
-def is_definition(c: Column) -> Column:
-    colons = count_char(c, ":")
-    return (F.regexp_count(c, F.lit(DEFINITION)) >= 3) | ((colons >= 4) & (colons.cast("double") / F.greatest(word_count(c), F.lit(1)) >= 0.02))
+def is_definition(c: Column, m: Measures | None = None) -> Column:
+    m = m or Measures.of(c)
+    return ((m.colons >= 3) & (F.regexp_count(c, F.lit(DEFINITION)) >= 3)) | ((m.colons >= 4) & (m.colons.cast("double") / F.greatest(m.words, F.lit(1)) >= 0.02))
 
 
-def is_question(c: Column) -> Column:
-    return (count_char(c, "?") >= 3) & (word_count(c) <= 700)
+def is_question(c: Column, m: Measures | None = None) -> Column:
+    return (count_char(c, "?") >= 3) & ((m or Measures.of(c)).words <= 700)
 
 
-def is_caption(c: Column) -> Column:
-    return c.rlike(CAPTION) | ((word_count(c) <= 160) & has_any(c, CREDITS))
+def is_caption(c: Column, m: Measures | None = None) -> Column:
+    m = m or Measures.of(c)
+    return c.rlike(CAPTION) | ((m.words <= 160) & has_any(m.low, CREDITS))
 
 
-def is_chart(c: Column) -> Column:
+def is_chart(c: Column, m: Measures | None = None) -> Column:
     years = F.size(F.filter(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), lambda w: w.rlike(YEAR)))
-    return (word_count(c) <= 140) & (years >= 4) & (numeric_ratio(c) >= 0.30)
+    return ((m or Measures.of(c)).words <= 140) & (years >= 4) & (numeric_ratio(c) >= 0.30)
 
 
-def is_noise(c: Column) -> Column:
-    return (c == "") | c.rlike(r"\A[0-9]{1,4}\z") | c.rlike(f"(?d){FOOTER}") | ((word_count(c) <= 45) & has_any(c, NOISE_MARKERS)) | c.rlike(DOI)
+def is_noise(c: Column, m: Measures | None = None) -> Column:
+    m = m or Measures.of(c)
+    footer = F.contains(m.low, F.lit("vol")) & c.rlike(f"(?d){FOOTER}")
+    return (c == "") | c.rlike(r"\A[0-9]{1,4}\z") | footer | ((m.words <= 45) & has_any(m.low, NOISE_MARKERS)) | c.rlike(DOI)
 
 
-def block_warnings(c: Column) -> Column:
+def block_warnings(c: Column, m: Measures | None = None) -> Column:
     """Array of warnings of a block of text."""
-    words = word_count(c)
+    words = (m or Measures.of(c)).words
     return F.array_compact(
         F.array(
             F.when(words >= 1200, "very_long_block"),
@@ -185,44 +242,49 @@ def block_warnings(c: Column) -> Column:
     )
 
 
-def classify_block(c: Column, parent: Column) -> tuple[Column, Column]:
-    """Category and reason of a block under its parent's category; the first rule that holds."""
-    rules = (
-        (parent == "discard", "discard", "inherited_discard"),
-        (is_noise(c), "discard", "noise"),
-        (is_caption(c), "discard", "caption"),
-        (is_chart(c), "discard", "chart_text"),
-        (parent == "supplementary", "supplementary", "inherited_supplementary"),
-        (is_definition(c), "supplementary", "definition_block"),
-        (is_question(c), "supplementary", "question_block"),
-    )
-    category, reason = F.lit("main"), F.lit("main_text")
-    for test, cat, why in reversed(rules):
-        category, reason = F.when(test, cat).otherwise(category), F.when(test, why).otherwise(reason)
-    return category, reason
+def verdict(c: Column, parent: Column, m: Measures | None = None) -> Column:
+    """category:reason of a block under its parent's category; the first rule that holds, in one pass."""
+    m = m or Measures.of(c)
+    tests = (parent == "discard", is_noise(c, m), is_caption(c, m), is_chart(c, m), parent == "supplementary", is_definition(c, m), is_question(c, m))
+    categories = ("discard",) * 4 + ("supplementary",) * 3 + ("main",)
+    out = F.lit(f"main:{TEXT_REASONS[-1]}")
+    for test, category, reason in list(zip(tests, categories, TEXT_REASONS, strict=False))[::-1]:
+        out = F.when(test, f"{category}:{reason}").otherwise(out)
+    return out
 
 
-def abstract_score(c: Column, lang: Column) -> Column:
-    words = word_count(c)
-    by_length = F.when(words.between(50, 600), 3.0).when(words.between(30, 900), 1.0).otherwise(-2.0)
+def classify_block(c: Column, parent: Column, m: Measures | None = None) -> tuple[Column, Column]:
+    """Category and reason of a block."""
+    both = verdict(c, parent, m)
+    return F.split_part(both, F.lit(":"), F.lit(1)), F.split_part(both, F.lit(":"), F.lit(2))
+
+
+def abstract_score(c: Column, lang: Column, m: Measures | None = None) -> Column:
+    m = m or Measures.of(c)
+    by_length = F.when(m.words.between(50, 600), 3.0).when(m.words.between(30, 900), 1.0).otherwise(-2.0)
     return (
         by_length
         + F.when(F.regexp_count(c, F.lit(SENTENCE_END)) >= 3, 2.0).otherwise(0.0)
-        + F.when(has_any(c, ABSTRACT_MARKERS), 4.0).otherwise(0.0)
+        + F.when(has_any(m.low, ABSTRACT_MARKERS), 4.0).otherwise(0.0)
         + F.when(F.startswith(F.lower(lang), F.lit("en")), 0.5).otherwise(0.0)
-        + F.when(is_definition(c), -7.0).otherwise(0.0)
-        + F.when(is_caption(c) | is_chart(c), -6.0).otherwise(0.0)
-        + F.when(is_question(c), -3.0).otherwise(0.0)
+        + F.when(is_definition(c, m), -7.0).otherwise(0.0)
+        + F.when(is_caption(c, m) | is_chart(c, m), -6.0).otherwise(0.0)
+        + F.when(is_question(c, m), -3.0).otherwise(0.0)
     )
 
 
-def heading_class(folded: Column) -> Column:
-    """discard, supplementary or main, by a folded heading."""
-    excluded = folded.isin(*EXCLUDED_TITLES)
+def container_verdict(heading: Column, attrs: Column, inherited: Column) -> Column:
+    """category:reason of a container by its folded heading and attributes, else its parent's category."""
+    excluded = heading.isin(*EXCLUDED_TITLES)
     for t in EXCLUDED_TITLES:
-        excluded = excluded | F.startswith(folded, F.lit(t + " "))
-    extra = F.startswith(folded, F.lit("box ")) | F.startswith(folded, F.lit("case study ")) | folded.isin(*SUPPLEMENTARY_TITLES)
-    return F.when(excluded, "discard").when(extra, "supplementary").otherwise("main")
+        excluded = excluded | F.startswith(heading, F.lit(t + " "))
+    boxed = F.startswith(heading, F.lit("box ")) | F.startswith(heading, F.lit("case study "))
+    tests = (excluded, has_any(attrs, EXCLUDED_ATTRS), boxed, heading.isin(*SUPPLEMENTARY_TITLES), has_any(attrs, SUPPLEMENTARY_ATTRS))
+    categories = ("discard",) * 2 + ("supplementary",) * 3
+    out = F.concat_ws(":", inherited, F.lit(CONTAINER_REASONS[-1]))
+    for test, category, reason in list(zip(tests, categories, CONTAINER_REASONS, strict=False))[::-1]:
+        out = F.when(test, f"{category}:{reason}").otherwise(out)
+    return out
 
 
 def pdf_quality(c: Column) -> dict[str, Column]:

@@ -23,32 +23,97 @@ def ngrams(words: Column, longest: int) -> Column:
     return F.flatten(F.array(*parts))
 
 
+# ---- fixed values: words of the rules' own vocabulary, left out of topics ------------------
+
+DOMAIN_STOP_WORDS = (
+    "rule", "rules", "action", "actions", "trigger", "triggers", "original", "smart", "home", "automation", "automations",
+    "system", "executes", "execute", "main", "important", "grouping", "similar", "title", "description", "descriptions",
+    "text", "trigger_channel", "action_channel", "channel", "channels", "app", "ifttt", "send", "sent", "receive",
+    "received", "specific", "using",
+)
+ENGLISH_STOP_WORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "also", "am", "among", "an", "and", "any", "are", "as", "at",
+    "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "could", "did", "do", "does",
+    "doing", "down", "during", "each", "ever", "every", "few", "for", "from", "further", "had", "has", "have", "having", "he",
+    "her", "here", "hers", "herself", "him", "himself", "his", "how", "if", "in", "into", "is", "it", "its", "itself", "just",
+    "may", "me", "might", "more", "most", "must", "my", "myself", "no", "nor", "not", "now", "of", "off", "on", "once", "one",
+    "only", "or", "other", "our", "ours", "ourselves", "out", "over", "own", "same", "shall", "she", "should", "since", "so",
+    "some", "such", "than", "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these", "they", "this",
+    "those", "through", "to", "too", "under", "until", "up", "upon", "us", "very", "was", "we", "were", "what", "when",
+    "where", "which", "while", "who", "whom", "whose", "why", "will", "with", "within", "without", "would", "you", "your",
+    "yours", "yourself", "yourselves",
+)
+MIN_DF, MAX_DF, LONGEST, TOP_WORDS = 4, 0.6, 3, 15
+
+
+def stop_words(general: tuple[str, ...] = ENGLISH_STOP_WORDS) -> tuple[str, ...]:
+    """The domain's words and a language's function words."""
+    return tuple(sorted({*DOMAIN_STOP_WORDS, *general}))
+
+
+def tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
+    """The words of a text in lower case that are two ASCII letters or more, between word boundaries; stop words go."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{2,}+(?![\p{L}\p{N}_])"), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
+
+
 def terms(docs: DataFrame, class_col: str, text_col: str, stop: tuple[str, ...] = (), longest: int = 1) -> DataFrame:
-    """class, term, n: how often each class has each run of up to `longest` words of two ASCII letters or more."""
-    words = F.filter(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop) if stop else F.lit(True))
+    """class, term, n: how often each class has each run of up to `longest` words; stop words are left out first."""
+    words = tokens(F.col(text_col), stop)
     return docs.select(F.col(class_col).alias("class"), F.explode(ngrams(words, longest) if longest > 1 else words).alias("term")).groupBy("class", "term").agg(F.count("*").alias("n"))
 
 
-def class_weights(tf: DataFrame, min_classes: int = 4) -> DataFrame:
+def vocabulary(tf: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
+    """term, freq: the terms of at least `min_df` classes and at most the share `max_df` of them, and their totals."""
+    classes = tf.select("class").distinct().count()
+    freq = tf.groupBy("term").agg(F.sum("n").alias("freq"), F.count("*").alias("classes"))
+    return freq.where((F.col("classes") >= min_df) & (F.col("classes") <= max_df * classes)).select("term", "freq")
+
+
+def class_weights(tf: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
     """Class-based TF-IDF: sqrt(share of the class) * ln(1 + (A - f + 0.5) / (f + 0.5)).
 
-    f is the term's total, A the mean number of terms of a class. Terms of fewer than
-    `min_classes` classes and those with f >= A are left out.
+    Over the terms of `vocabulary` alone; f is the term's total, A the mean number of terms of a
+    class. Terms with f >= A are left out.
     """
-    totals = tf.groupBy("class").agg(F.sum("n").alias("total"))
-    mean = totals.agg((F.sum("total").cast("double") / F.count("*")).alias("a"))
-    freq = tf.groupBy("term").agg(F.sum("n").alias("freq"), F.count("*").alias("classes")).where(F.col("classes") >= min_classes).drop("classes")
-    joined = tf.join(totals, "class").join(freq, "term").crossJoin(F.broadcast(mean)).where("freq < a")  # one row
-    weight = F.sqrt(F.col("n").cast("double") / F.col("total")) * F.log(1 + (F.col("a") - F.col("freq") + 0.5) / (F.col("freq") + 0.5))
+    kept = tf.join(vocabulary(tf, min_df, max_df), "term")
+    totals = kept.groupBy("class").agg(F.sum("n").alias("total"))
+    mean = float(totals.agg(F.sum("total").cast("double") / F.count("*")).first()[0] or 0.0)
+    joined = kept.join(totals, "class").where(F.col("freq") < mean)
+    weight = F.sqrt(F.col("n").cast("double") / F.col("total")) * F.log(1 + (mean - F.col("freq") + 0.5) / (F.col("freq") + 0.5))
     return joined.select("class", "term", "n", F.round(weight, 6).alias("weight"))
 
 
-def topic_names(weights: DataFrame, k: int = 4) -> DataFrame:
-    """class, name: the class and its k heaviest terms, joined by underscores."""
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("weight"), "term"))
-    top = weights.withColumn("rn", rank).where(F.col("rn") <= k)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rn", "term"))), lambda x: x["term"])
-    return top.groupBy("class").agg(F.concat_ws("_", F.col("class"), F.array_join(listed, "_")).alias("name"))
+def rerank(weights: DataFrame, docs: DataFrame, class_col: str, text_col: str, vector_col: str, stop: tuple[str, ...] = (), longest: int = LONGEST, candidates: int = 30, top: int = TOP_WORDS) -> DataFrame:
+    """class, rank, term, similarity: a class's `candidates` heaviest terms by the cosine of their vectors and the class's.
+
+    A class's vector is the mean of its documents'. Without an encoder for single words, a term's is
+    the mean over all documents that have it. Ties go to the term in order.
+    """
+    order = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("weight"), "term"))
+    heavy = weights.withColumn("at", order).where(F.col("at") <= candidates).select("class", "term")
+    vector = F.col(vector_col).cast("array<double>")
+    known = docs.where(F.col(vector_col).isNotNull())
+    center = _mean(known.select(F.col(class_col).alias("class"), vector.alias("v")), "class")
+    has = known.select(F.explode(F.array_distinct(ngrams(tokens(F.col(text_col), stop), longest))).alias("term"), vector.alias("v")).join(heavy.select("term").distinct(), "term")
+    joined = heavy.join(_mean(has, "term").withColumnRenamed("mean", "tv"), "term").join(center, "class")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cosine = F.try_divide(dot("tv", "mean"), F.sqrt(dot("tv", "tv")) * F.sqrt(dot("mean", "mean")))
+    scored = joined.select("class", "term", F.round(F.coalesce(cosine, F.lit(0.0)), 5).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("similarity"), "term"))
+    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("class", "rank", "term", "similarity")
+
+
+def _mean(rows: DataFrame, key: str) -> DataFrame:
+    """key, mean: the mean of the vectors `v`, element by element."""
+    each = rows.select(key, F.posexplode("v").alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))
+    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("mean"))
+
+
+def topic_names(ranked: DataFrame, k: int = 4) -> DataFrame:
+    """class, name: the class and the k first terms of its ranking, joined by underscores."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"])
+    return ranked.where(F.col("rank") <= k).groupBy("class").agg(F.concat_ws("_", F.col("class"), F.array_join(listed, "_")).alias("name"))
 
 
 def cluster(vectors: DataFrame, id_col: str, vector_col: str, k: int, dims: int, spread: float = 3.0, seed: int = 42) -> DataFrame:
@@ -87,13 +152,11 @@ def cosine_topk(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colu
                     continue
                 score = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ unit.T, 6)
                 score[own[:, None] == qid[None, :]] = -np.inf
-                out = []
-                for j in range(len(qid)):
-                    best = np.lexsort((own, -score[:, j]))[:k]
-                    best = best[np.isfinite(score[best, j])]
-                    out.append((np.full(len(best), qid[j]), own[best], score[best, j]))
-                a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["query_id", "id", "score"])
+                order = np.argsort(own, kind="stable")
+                score, ids_ = score[order], own[order]
+                least = np.partition(score, -k, axis=0)[-k] if len(ids_) > k else np.full(len(qid), -np.inf)
+                row, col = np.nonzero((score >= least) & np.isfinite(score))  # k per query, and ties with the last
+                yield pa.RecordBatch.from_arrays([pa.array(qid[col]), pa.array(ids_[row]), pa.array(score[row, col])], names=["query_id", "id", "score"])
 
         return rows.mapInArrow(run, "query_id long, id long, score double")
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
+from gristmill.operators import labelling as lab
 from gristmill.operators import tables as ops
+from gristmill.sources import files, storage
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores is dealt to all cores; one of more is left where it is.
+
+    Only a table that is small for the cluster has so few splits, so what moves is small too.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 CLASS_OF_REGION = {"ASIA": "smart_home", "EUROPE": "context", "AFRICA": "unknown"}
 CLASS_SQL = "CASE r_name WHEN 'ASIA' THEN 'smart_home' WHEN 'EUROPE' THEN 'context' WHEN 'AFRICA' THEN 'unknown' ELSE 'general_digital' END"
 DIM_SQL = f"dim AS (SELECT n_nationkey, n_name, {CLASS_SQL} AS class FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -42,7 +53,7 @@ scoped AS (SELECT *, CASE WHEN trigger_class = 'smart_home' AND action_class = '
 
 
 def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return named.select("n_nationkey", "n_name", ops.lookup(CLASS_OF_REGION, F.col("r_name"), F.lit("general_digital")).alias("class"))
 
 
@@ -53,7 +64,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     joined = items.join(orders, items.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     counted = joined.groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("n"))  # at most nations x nations
-    dim = F.broadcast(dimension(spark, sf_dir))
+    dim = dimension(spark, sf_dir)
     return ops.two_sided(counted, dim, "n_nationkey", "class", "c_nationkey", "s_nationkey", "trigger_class", "action_class")
 
 
@@ -89,7 +100,7 @@ NAMES_SQL = "names AS (SELECT n_name AS channel_name FROM customer JOIN nation O
 
 def channel_counts(spark, d) -> DataFrame:
     keys = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).unionByName(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
-    nation = F.broadcast(table(spark, d, "nation"))
+    nation = table(spark, d, "nation")
     return keys.groupBy("k").agg(F.count("*").alias("n")).join(nation, F.col("k") == F.col("n_nationkey")).where("n_name <> ''").groupBy(F.col("n_name").alias("channel_name")).agg(F.sum("n").alias("frequency"))
 
 
@@ -123,7 +134,7 @@ SELECT class, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents LEFT J
 def lookup_dedup_join(spark, d):
     given = spark.createDataFrame([(i, *r) for i, r in enumerate(SOURCE_CLASSES)], "ordinal int, source string, class string")
     dim = ops.keep_first(given, ["source"], ["ordinal"]).select("source", "class")
-    return table(spark, d, "documents").join(F.broadcast(dim), "source", "left").groupBy("class").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return table(spark, d, "documents").join(dim, "source", "left").groupBy("class").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("""SELECT doc_id, CASE source WHEN 'src1' THEN 'context' WHEN 'src4' THEN 'smart_home' ELSE CASE WHEN lang = 'en' THEN 'general_digital' ELSE 'unknown' END END AS class FROM documents""")
@@ -217,7 +228,7 @@ def quota_sample(spark, d):
 
 @query("SELECT r_name, string_agg(n_name, ',' ORDER BY n_nationkey) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def ordered_collect(spark, d):
-    joined = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     listed = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
     return joined.groupBy("r_name").agg(F.array_join(F.transform(listed, lambda x: x["n_name"]), ",").alias("nations"))
 
@@ -248,6 +259,57 @@ def validate_rows(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", status.alias("status"))
 
 
+@query("""WITH i AS (SELECT doc_id FROM documents WHERE lang = 'en'), l AS (SELECT doc_id, CASE quality WHEN 1 THEN 'high' ELSE 'None' END AS rel, CASE WHEN toxic = 0 THEN true END AS keep FROM labels)
+SELECT doc_id, 'missing' AS problem FROM i ANTI JOIN l USING (doc_id) UNION ALL SELECT doc_id, 'extra' FROM l ANTI JOIN i USING (doc_id) UNION ALL SELECT doc_id, 'relevance' FROM l WHERE rel NOT IN ('high', 'medium', 'low', 'none')
+UNION ALL SELECT doc_id, 'keep_for_rag' FROM l WHERE keep IS NULL UNION ALL SELECT doc_id, 'repeated' FROM l GROUP BY doc_id HAVING count(*) > 1""")
+def label_problems(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "high").otherwise("None").alias("green_relevance"), F.when(F.col("toxic") == 0, True).alias("keep_for_rag"))
+    return lab.label_problems(table(spark, d, "documents").where("lang = 'en'").select("doc_id"), labels, "doc_id")
+
+
+@query("SELECT n_nationkey FROM nation SEMI JOIN supplier ON s_nationkey = n_nationkey")
+def non_empty_groups(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    return lab.non_empty(table(spark, d, "nation").select("n_nationkey"), rows, "n_nationkey")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, lang, md5(text) AS text_md5 FROM documents")
+def csv_round_trip(spark, d):
+    """The documents as a semicolon-separated latin-1 file of a BOM-less kind, read again."""
+    path = storage.scratch(spark, "csv")
+    storage.write_delimited(table(spark, d, "documents").select("doc_id", "lang", "text"), path, encoding="ISO-8859-1")
+    back = files.read_delimited(spark, path, ["doc_id", "lang", "text"], encoding="ISO-8859-1")
+    return back.select("doc_id", "lang", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"))
+
+
+BATCHED_SQL = "b AS (SELECT *, ((rn - 1) // 100 + 1)::INT AS batch_id FROM (SELECT conv_id % 5 - 1 AS topic_id, conv_id || '/' || turn AS sample_id, role, text, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id * 1000 + turn) AS rn FROM conversations))"
+
+
+def batched_turns(spark, d):
+    rows = table(spark, d, "conversations").select((F.col("conv_id") % 5 - 1).cast("int").alias("topic_id"), F.concat_ws("/", "conv_id", "turn").alias("sample_id"), F.col("role").alias("topic_name"), F.col("text").alias("topic_text"), (F.col("conv_id") * 1000 + F.col("turn")).alias("k"))
+    return ops.assign_batches(rows, "topic_id", "k", 100)
+
+
+@query(f"WITH {BATCHED_SQL} SELECT topic_id::INT AS topic_id, batch_id, sample_id, role AS topic_name, md5(text) AS text_md5 FROM b")
+def batch_files_round_trip(spark, d):
+    """One comma-separated file per batch in a folder per topic, read again by their names."""
+    path = storage.scratch(spark, "batches")
+    storage.write_batch_files(batched_turns(spark, d), path, ["sample_id", "topic_name", "topic_text"])
+    return files.read_batches(spark, path).select("topic_id", "batch_id", "sample_id", "topic_name", F.md5(F.coalesce("topic_text", F.lit(""))).alias("text_md5"))
+
+
+@query(f"WITH {BATCHED_SQL} SELECT topic_id::INT AS topic_id, 'topic ' || topic_id AS llm_topic_name, sample_id, md5(text) AS rule_md5 FROM b")
+def json_documents_round_trip(spark, d):
+    """One pretty JSON document per batch, context and rows, read again and taken apart."""
+    path = storage.scratch(spark, "documents")
+    row = F.struct("sample_id", F.col("topic_text").alias("if_then_rule"), F.lit("low").alias("green_relevance"), F.lit(True).alias("keep_for_rag"))
+    context = F.struct("topic_id", F.concat(F.lit("topic "), "topic_id").alias("llm_topic_name"))
+    made = batched_turns(spark, d).groupBy("topic_id", "batch_id").agg(F.collect_list(row).alias("rows")).withColumn("topic_context", context)
+    storage.write_json_documents(made, path, storage.batch_name("json"), F.to_json(F.struct("topic_context", "rows")))
+    rows = files.label_rows(files.read_label_documents(spark, f"{path}/*/*.json"))
+    return rows.select("topic_context.topic_id", "topic_context.llm_topic_name", "row.sample_id", F.md5("row.if_then_rule").alias("rule_md5"))
+
+
 @query("""SELECT n_nationkey, replace(lower(n_name), ' ', '_') AS category, CASE WHEN NOT regexp_full_match(replace(lower(n_name), ' ', '_'), '[a-z][a-z0-9_]*') THEN 'not_snake_case'
 WHEN n_regionkey NOT IN (0, 1, 2, 3) THEN 'bad_enum' ELSE 'ok' END AS verdict FROM nation""")
 def validate_context(spark, d):

@@ -9,7 +9,7 @@ from gristmill.functions import blocks as bl
 from gristmill.functions import text as tx
 from gristmill.operators import tables as ops
 from gristmill.operators import topics as tp
-from gristmill.plans.relational import ORACLE, QUERIES, query, table  # noqa: F401  the registry that both modules fill
+from gristmill.plans.relational import ORACLE, QUERIES, query, spread, table  # noqa: F401  the registry that both modules fill
 
 # ------------------------------------------------------------- shared pieces of the SQL
 
@@ -37,15 +37,16 @@ CAPTION_SQL = f"(regexp_matches(t, '{tx.CAPTION}') OR ({WORDS_SQL} <= 160 AND {s
 CHART_SQL = f"({WORDS_SQL} <= 140 AND len(list_filter(regexp_extract_all(t, '{tx.WORD}'), lambda w: regexp_matches(w, '{tx.YEAR}'))) >= 4 AND {RATIO_SQL} >= 0.30)"
 NOISE_SQL = rf"(t = '' OR regexp_matches(t, '\A[0-9]{{1,4}}\z') OR regexp_matches(t, '{tx.FOOTER}') OR ({WORDS_SQL} <= 45 AND {sql_any('t', tx.NOISE_MARKERS)}) OR regexp_matches(t, '{tx.DOI}'))"
 PARENT_SQL = "CASE source WHEN 'src1' THEN 'supplementary' WHEN 'src2' THEN 'discard' ELSE 'main' END"
-CLASSIFY_SQL = f"""CASE WHEN parent = 'discard' THEN 'discard:inherited_discard' WHEN {NOISE_SQL} THEN 'discard:noise' WHEN {CAPTION_SQL} THEN 'discard:caption'
-WHEN {CHART_SQL} THEN 'discard:chart_text' WHEN parent = 'supplementary' THEN 'supplementary:inherited_supplementary' WHEN {DEFINITION_SQL} THEN 'supplementary:definition_block'
-WHEN {QUESTION_SQL} THEN 'supplementary:question_block' ELSE 'main:main_text' END"""
+CLASSIFY_SQL = f"""CASE WHEN parent = 'discard' THEN 'discard:discarded_parent' WHEN {NOISE_SQL} THEN 'discard:boilerplate_or_noise' WHEN {CAPTION_SQL} THEN 'discard:figure_or_table_caption'
+WHEN {CHART_SQL} THEN 'discard:chart_text' WHEN parent = 'supplementary' THEN 'supplementary:supplementary_parent' WHEN {DEFINITION_SQL} THEN 'supplementary:definition_block'
+WHEN {QUESTION_SQL} THEN 'supplementary:question_block' ELSE 'main:main_content' END"""
 SCORE_SQL = f"""(CASE WHEN {WORDS_SQL} BETWEEN 50 AND 600 THEN 3.0::DOUBLE WHEN {WORDS_SQL} BETWEEN 30 AND 900 THEN 1.0 ELSE -2.0 END
 + CASE WHEN {sql_count("t", tx.SENTENCE_END)} >= 3 THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN {sql_any("t", tx.ABSTRACT_MARKERS)} THEN 4.0::DOUBLE ELSE 0 END
 + CASE WHEN starts_with(lower(lang), 'en') THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN {DEFINITION_SQL} THEN -7.0::DOUBLE ELSE 0 END
 + CASE WHEN {CAPTION_SQL} OR {CHART_SQL} THEN -6.0::DOUBLE ELSE 0 END + CASE WHEN {QUESTION_SQL} THEN -3.0::DOUBLE ELSE 0 END)"""
 DOCS_SQL = f"d AS (SELECT doc_id, lang, source, text AS t, {PARENT_SQL} AS parent FROM documents)"
-FOLD_SQL = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')"
+#: Lower case is case folding on the test texts but for the sharp s.
+FOLD_SQL = r"regexp_replace(replace(lower({}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')"
 
 
 def parent():
@@ -53,15 +54,23 @@ def parent():
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", "source", F.col("text").alias("t"))
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "source", F.col("text").alias("t")))
 
 
 def text():
     """The text column of `docs` and `lines`."""
     return F.col("t")
 
-# ------------------------------------------------------------------------- normalising
 
+def measured(rows):
+    """With the measures of the text in a column of their own, so that rules share them."""
+    return rows.withColumn("m", tx.measures(text()))
+
+
+def held():
+    return tx.Measures.held("m")
+
+# ------------------------------------------------------------------------- normalising
 
 
 
@@ -82,7 +91,7 @@ def _tidy_sql(x: str) -> str:
 
 @query(f"SELECT doc_id, md5({_tidy_sql('text')}) AS text_md5 FROM documents")
 def normalize_text(spark, d):
-    return docs(spark, d).select("doc_id", F.md5(tx.tidy(text())).alias("text_md5"))
+    return docs(spark, d).select("doc_id", F.md5(tx.normalize_text(text())).alias("text_md5"))
 
 
 @query(rf"""SELECT doc_id, md5({sql_strip(r"regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g')")}) AS text_md5 FROM documents""")
@@ -113,11 +122,15 @@ def prompt_render(spark, d):
     return grouped.select("conv_id", F.md5(F.concat(head, F.array_join(lines, "\n"), F.lit("\nReturn one output row for each sample."))).alias("prompt_md5"))
 
 
-@query("SELECT conv_id, md5(string_agg('--- PAGE ' || turn || ' ---' || chr(10) || text, chr(10) ORDER BY turn, role, text)) AS text_md5, count(*) AS pages FROM conversations GROUP BY conv_id")
+CLEAN_PDF = r"regexp_replace(regexp_replace(regexp_replace({}, '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g')"
+
+
+@query(f"""WITH p AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations),
+j AS (SELECT conv_id, string_agg(chr(10) || chr(10) || '--- PAGE ' || n || ' ---' || chr(10) || chr(10) || text, chr(10) ORDER BY n) AS t, count(*) AS pages FROM p GROUP BY conv_id)
+SELECT conv_id, md5({sql_strip(CLEAN_PDF.format("t"))}) AS text_md5, pages FROM j""")
 def page_concat(spark, d):
-    pages = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    parts = F.transform(pages, lambda p: F.concat(F.lit("--- PAGE "), p["turn"].cast("string"), F.lit(" ---\n"), p["text"]))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(parts, "\n")).alias("text_md5"), F.count("*").alias("pages"))
+    pages = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("p"))
+    return pages.select("conv_id", F.md5(tx.pages_text(F.transform("p", lambda x: x["text"]))).alias("text_md5"), F.size("p").cast("long").alias("pages"))
 
 
 # ----------------------------------------------------------------------------- measures
@@ -147,7 +160,7 @@ def pdf_quality_report(spark, d):
 @query(f"WITH {DOCS_SQL} SELECT doc_id, {DEFINITION_SQL} AS definition, {QUESTION_SQL} AS question, {CAPTION_SQL} AS caption, {CHART_SQL} AS chart, {NOISE_SQL} AS noise FROM d")
 def block_flags(spark, d):
     tests = {"definition": tx.is_definition, "question": tx.is_question, "caption": tx.is_caption, "chart": tx.is_chart, "noise": tx.is_noise}
-    return docs(spark, d).select("doc_id", *(f(text()).alias(n) for n, f in tests.items()))
+    return measured(docs(spark, d)).select("doc_id", *(f(text(), held()).alias(n) for n, f in tests.items()))
 
 
 WARNINGS_SQL = f"""concat_ws(',', CASE WHEN {WORDS_SQL} >= 1200 THEN 'very_long_block' END, CASE WHEN {WORDS_SQL} >= 80 AND NOT contains('.!?;:', right(t, 1)) THEN 'missing_terminal_punctuation' END,
@@ -168,18 +181,17 @@ def doc_warnings(spark, d):
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, {CLASSIFY_SQL} AS verdict FROM d")
 def classify_blocks(spark, d):
-    category, reason = tx.classify_block(text(), parent())
-    return docs(spark, d).select("doc_id", F.concat_ws(":", category, reason).alias("verdict"))
+    return measured(docs(spark, d)).select("doc_id", tx.verdict(text(), parent(), held()).alias("verdict"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, {SCORE_SQL} AS score FROM d")
 def abstract_score(spark, d):
-    return docs(spark, d).select("doc_id", tx.abstract_score(text(), F.col("lang")).alias("score"))
+    return measured(docs(spark, d)).select("doc_id", tx.abstract_score(text(), F.col("lang"), held()).alias("score"))
 
 
 @query(f"WITH {DOCS_SQL}, s AS (SELECT source, doc_id, {SCORE_SQL} AS score FROM d) SELECT source, max(score) AS score, arg_max(doc_id, struct_pack(s := score, i := -doc_id)) AS doc_id FROM s GROUP BY source")
 def best_candidate(spark, d):
-    scored = docs(spark, d).select("source", "doc_id", tx.abstract_score(text(), F.col("lang")).alias("score"))
+    scored = measured(docs(spark, d)).select("source", "doc_id", tx.abstract_score(text(), F.col("lang"), held()).alias("score"))
     return scored.groupBy("source").agg(F.max("score").alias("score"), F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"))
 
 
@@ -187,7 +199,7 @@ def best_candidate(spark, d):
 g AS (SELECT source, max(score) FILTER (rn = 1) AS best, max(score) FILTER (rn = 2) AS second FROM s GROUP BY source)
 SELECT source, best, best - second AS gap, CASE WHEN best < 0 THEN 'low_confidence' WHEN best - second <= 1.5 THEN 'ambiguous' ELSE 'ok' END AS verdict FROM g""")
 def best_candidate_gap(spark, d):
-    scored = docs(spark, d).select("source", tx.abstract_score(text(), F.col("lang")).alias("score")).groupBy("source", "score").agg(F.count("*").alias("n"))
+    scored = measured(docs(spark, d)).select("source", tx.abstract_score(text(), F.col("lang"), held()).alias("score")).groupBy("source", "score").agg(F.count("*").alias("n"))
     two = scored.groupBy("source").agg(F.max("score").alias("best"), F.max_by("n", "score").alias("ties"))
     second = scored.join(two, "source").where("score < best").groupBy("source").agg(F.max("score").alias("below"))
     out = two.join(second, "source", "left").withColumn("second", F.when(F.col("ties") > 1, F.col("best")).otherwise(F.col("below")))
@@ -199,12 +211,21 @@ HEADING_SQL = f"trim({FOLD_SQL.format('split_part(text, chr(10), 1)')})"
 TITLE_LIST = ", ".join(f"'{t}'" for t in tx.EXCLUDED_TITLES)
 
 
-@query(f"""WITH h AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'references' WHEN 1 THEN 'box 1' ELSE {HEADING_SQL} END AS heading FROM documents)
-SELECT doc_id, CASE WHEN len(list_filter([{TITLE_LIST}], lambda x: heading = x OR starts_with(heading, x || ' '))) > 0 THEN 'discard' WHEN starts_with(heading, 'box ') OR starts_with(heading, 'case study ')
-OR heading IN ({", ".join(f"'{t}'" for t in tx.SUPPLEMENTARY_TITLES)}) THEN 'supplementary' ELSE 'main' END AS class FROM h""")
+CONTAINER_SQL = f"""CASE WHEN len(list_filter([{TITLE_LIST}], lambda x: heading = x OR starts_with(heading, x || ' '))) > 0 THEN 'discard:excluded_section'
+WHEN len(list_filter([{", ".join(f"'{t}'" for t in tx.EXCLUDED_ATTRS)}], lambda x: contains(attrs, x))) > 0 THEN 'discard:excluded_container_type'
+WHEN starts_with(heading, 'box ') OR starts_with(heading, 'case study ') THEN 'supplementary:boxed_content'
+WHEN heading IN ({", ".join(f"'{t}'" for t in tx.SUPPLEMENTARY_TITLES)}) THEN 'supplementary:supplementary_section'
+WHEN len(list_filter([{", ".join(f"'{t}'" for t in tx.SUPPLEMENTARY_ATTRS)}], lambda x: contains(attrs, x))) > 0 THEN 'supplementary:supplementary_container_type' ELSE 'main:inherited' END"""
+HEADING_CASE = "CASE doc_id % 7 WHEN 0 THEN 'References' WHEN 1 THEN 'Box 1.' WHEN 2 THEN 'Key  points' ELSE {} END"
+ATTRS_CASE = "CASE doc_id % 5 WHEN 0 THEN 'Boxed-Text' WHEN 1 THEN 'funding group' ELSE lang END"
+
+
+@query(f"""WITH h AS (SELECT doc_id, trim({FOLD_SQL.format(HEADING_CASE.format("split_part(text, chr(10), 1)"))}) AS heading, trim({FOLD_SQL.format(f"coalesce({ATTRS_CASE}, '')")}) AS attrs FROM documents)
+SELECT doc_id, {CONTAINER_SQL} AS class FROM h""")
 def heading_class(spark, d):
-    heading = F.when(F.col("doc_id") % 4 == 0, "references").when(F.col("doc_id") % 4 == 1, "box 1").otherwise(tx.fold_heading(F.split_part(text(), F.lit("\n"), F.lit(1))))
-    return docs(spark, d).select("doc_id", tx.heading_class(heading).alias("class"))
+    rows = docs(spark, d).select("doc_id", F.expr(HEADING_CASE.format("split_part(t, '\n', 1)")).alias("h"), F.expr(f"coalesce({ATTRS_CASE}, '')").alias("a"))
+    folded = rows.select("doc_id", tx.normalize_heading(F.col("h")).alias("h"), tx.normalize_heading(F.col("a")).alias("a"))
+    return folded.select("doc_id", tx.container_verdict(F.col("h"), F.col("a"), F.lit("main")).alias("class"))
 
 
 # ----------------------------------------------------------------------------- documents
@@ -222,8 +243,8 @@ LINE_SQL = f"""b AS (SELECT doc_id, lang, source, ordinal - 1 AS ordinal, t, {PA
 
 @query(f"""WITH {LINE_SQL} SELECT doc_id, ordinal, md5(trim({FOLD_SQL.format("t")})) AS fingerprint, CASE WHEN length(trim({FOLD_SQL.format("t")})) >= 80 AND row_number() OVER (PARTITION BY doc_id, md5(trim({FOLD_SQL.format("t")})) ORDER BY ordinal) > 1 THEN 'duplicate_content' ELSE 'kept' END AS verdict FROM b""")
 def block_dedupe(spark, d):
-    folded = tx.fold_heading(text())
-    rows = lines(spark, d).select("doc_id", "ordinal", F.md5(folded).alias("fingerprint"), F.length(folded).alias("n"))
+    folded = lines(spark, d).select("doc_id", "ordinal", tx.normalize_heading(text()).alias("folded"))
+    rows = folded.select("doc_id", "ordinal", F.md5("folded").alias("fingerprint"), F.length("folded").alias("n"))
     again = F.row_number().over(Window.partitionBy("doc_id", "fingerprint").orderBy("ordinal")) > 1
     return rows.select("doc_id", "ordinal", "fingerprint", F.when((F.col("n") >= 80) & again, "duplicate_content").otherwise("kept").alias("verdict"))
 
@@ -232,8 +253,8 @@ def block_dedupe(spark, d):
 q AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (category = 'main') AS main, count(*) FILTER (category = 'discard') AS discarded, sum(length(t)) FILTER (category = 'main') AS main_chars, sum(length(t)) AS chars FROM c GROUP BY doc_id)
 SELECT doc_id, blocks, main, discarded, coalesce(main_chars, 0)::BIGINT AS main_chars, round(coalesce(main_chars, 0)::DOUBLE / chars, 4) AS main_ratio, main = 0 AS no_main FROM q""")
 def block_quality_report(spark, d):
-    category, _ = tx.classify_block(text(), parent())
-    rows = lines(spark, d).select("doc_id", F.length(text()).alias("n"), category.alias("category"))
+    category, _ = tx.classify_block(text(), parent(), held())
+    rows = measured(lines(spark, d)).select("doc_id", F.length(text()).alias("n"), category.alias("category"))
     main = F.col("category") == "main"
     out = rows.groupBy("doc_id").agg(
         F.count("*").alias("blocks"), F.count_if(main).alias("main"), F.count_if(F.col("category") == "discard").alias("discarded"), F.sum(F.when(main, F.col("n")).otherwise(0)).alias("main_chars"), F.sum("n").alias("chars"), (~F.bool_or(main)).alias("no_main")
@@ -243,8 +264,7 @@ def block_quality_report(spark, d):
 
 @query(f"""WITH {LINE_SQL}, c AS (SELECT lang, {CLASSIFY_SQL} AS v, count(*) AS n FROM b GROUP BY 1, 2) SELECT lang, string_agg(v || '=' || n, ',' ORDER BY v) AS counts FROM c GROUP BY lang""")
 def block_kind_counts(spark, d):
-    category, reason = tx.classify_block(text(), parent())
-    counts = lines(spark, d).groupBy("lang", F.concat_ws(":", category, reason).alias("v")).agg(F.count("*").alias("n"))
+    counts = measured(lines(spark, d)).select("lang", tx.verdict(text(), parent(), held()).alias("v")).groupBy("lang", "v").agg(F.count("*").alias("n"))
     kinds = F.map_from_entries(F.array_sort(F.collect_list(F.struct("v", "n"))))
     shown = F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
     return counts.groupBy("lang").agg(kinds.alias("kinds")).select("lang", shown.alias("counts"))
@@ -270,37 +290,58 @@ def html_element_counts(spark, d):
 
 @query()
 def html_blocks(spark, d):
-    found = bl.blocks_of(table(spark, d, "pages"), "page_id", "html", html=True)
+    found = bl.blocks_of(spread(table(spark, d, "pages").select("page_id", "html")), "page_id", "html", html=True)
     return found.select("page_id", "ordinal", "kind", "category", "reason", "level", F.array_join("section_path", " > ").alias("section"), "text", "error")
 
 
 # -------------------------------------------------------------------------------- topics
 
-TERMS_SQL = "(SELECT source AS class, doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{2,}'), lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in', 'rule', 'action'))) AS term FROM documents)"
-CTF_SQL = f"""tf AS (SELECT class, term, count(*) AS n FROM {TERMS_SQL} GROUP BY ALL), tot AS (SELECT class, sum(n) AS total FROM tf GROUP BY class), f AS (SELECT term, sum(n) AS freq FROM tf GROUP BY term HAVING count(*) >= 4),
-avg_len AS (SELECT sum(total)::DOUBLE / count(*) AS a FROM tot),
-w AS (SELECT class, term, n, round(sqrt(n::DOUBLE / total) * ln(1 + (a - freq + 0.5) / (freq + 0.5)), 6) AS weight FROM tf JOIN tot USING (class) JOIN f USING (term), avg_len WHERE freq < a)"""
-STOP = ("the", "of", "and", "to", "in", "rule", "action")
+STOP = tp.stop_words()
+STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP)
+NGRAM_SQL = rf"""w AS MATERIALIZED (SELECT source AS class, doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}') AND x NOT IN ({STOP_SQL})) AS t FROM documents),
+terms AS MATERIALIZED (SELECT class, doc_id, unnest(t) AS term FROM w UNION ALL SELECT class, doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM w
+UNION ALL SELECT class, doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM w)"""
+CTF_SQL = f"""{NGRAM_SQL}, tf AS (SELECT class, term, count(*) AS n FROM terms GROUP BY ALL), k AS (SELECT count(DISTINCT class) AS k FROM tf),
+f AS (SELECT term, sum(n) AS freq FROM tf GROUP BY term HAVING count(*) >= {tp.MIN_DF} AND count(*) <= {tp.MAX_DF}::DOUBLE * (SELECT k FROM k)),
+tv AS (SELECT class, term, n, freq FROM tf JOIN f USING (term)), tot AS (SELECT class, sum(n) AS total FROM tv GROUP BY class), avg_len AS (SELECT sum(total)::DOUBLE / count(*) AS a FROM tot),
+weighted AS (SELECT class, term, n, round(sqrt(n::DOUBLE / total) * ln(1 + (a - freq + 0.5) / (freq + 0.5)), 6) AS weight FROM tv JOIN tot USING (class), avg_len WHERE freq < a)"""
+RANK_SQL = f"""heavy AS (SELECT class, term FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY weight DESC, term) AS pos FROM weighted) WHERE pos <= 30),
+vec AS (SELECT doc_id, source AS class, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id),
+cv AS (SELECT class, list(x ORDER BY i) AS v FROM (SELECT class, i, avg(e[i]) AS x FROM vec, range(1, 65) r(i) GROUP BY class, i) GROUP BY class),
+has AS (SELECT DISTINCT doc_id, term FROM terms WHERE term IN (SELECT term FROM heavy)),
+tvec AS (SELECT term, list(x ORDER BY i) AS v FROM (SELECT term, i, avg(e[i]) AS x FROM has JOIN vec USING (doc_id), range(1, 65) r(i) GROUP BY term, i) GROUP BY term),
+s AS (SELECT h.class, h.term, round(list_cosine_similarity(t.v, c.v), 5) AS similarity FROM heavy h JOIN tvec t USING (term) JOIN cv c ON c.class = h.class),
+ranked AS (SELECT class, row_number() OVER (PARTITION BY class ORDER BY similarity DESC, term) AS rank, term, similarity FROM s QUALIFY rank <= {tp.TOP_WORDS})"""
+
+
+def term_counts(spark, d):
+    return tp.terms(spread(table(spark, d, "documents").select("source", "text")), "source", "text", STOP, tp.LONGEST)
+
+
+@query(f"WITH {CTF_SQL} SELECT term, freq::BIGINT AS n FROM f")
+def ngram_counts(spark, d):
+    return tp.vocabulary(term_counts(spark, d)).select("term", F.col("freq").alias("n"))
 
 
-def weights(spark, d):
-    terms = tp.terms(table(spark, d, "documents"), "source", "text", STOP)
-    return tp.class_weights(terms, min_classes=4)
+@query(f"WITH {CTF_SQL} SELECT class, term, n, weight FROM weighted")
+def ctfidf(spark, d):
+    return tp.class_weights(term_counts(spark, d))
 
 
-@query(f"SELECT term, count(*) AS n FROM {TERMS_SQL} GROUP BY term HAVING count(*) >= 4")
-def ngram_counts(spark, d):
-    return tp.terms(table(spark, d, "documents"), "source", "text", STOP).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 4")
+def ranked_terms(spark, d):
+    """Each class's terms by similarity; the vectors are those of the documents of the same number."""
+    both = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    return tp.rerank(tp.class_weights(term_counts(spark, d)), both, "source", "text", "embedding", STOP)
 
 
-@query(f"WITH {CTF_SQL} SELECT class, term, n, weight FROM w")
-def ctfidf(spark, d):
-    return weights(spark, d)
+@query(f"WITH {CTF_SQL}, {RANK_SQL} SELECT class, rank, term, similarity FROM ranked")
+def topic_terms(spark, d):
+    return ranked_terms(spark, d)
 
 
-@query(f"WITH {CTF_SQL}, r AS (SELECT class, term, row_number() OVER (PARTITION BY class ORDER BY weight DESC, term) AS rn FROM w) SELECT class, class || '_' || string_agg(term, '_' ORDER BY rn) AS name FROM r WHERE rn <= 4 GROUP BY class")
-def topic_terms(spark, d):
-    return tp.topic_names(weights(spark, d), 4)
+@query(f"WITH {CTF_SQL}, {RANK_SQL} SELECT class, class || '_' || string_agg(term, '_' ORDER BY rank) AS name FROM ranked WHERE rank <= 4 GROUP BY class")
+def topic_names(spark, d):
+    return tp.topic_names(ranked_terms(spark, d))
 
 
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL")

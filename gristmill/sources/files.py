@@ -1,16 +1,11 @@
-"""File sources and sinks of the curation stages: rules, batches, label documents, articles."""
+"""File sources of the curation stages: rules, batches, label documents, articles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.operators import tables as ops
-
 CONTEXT = T.StructType([T.StructField("topic_id", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("llm_topic_name", "topic_summary", "green_category", "global_green_relevance"))])
 LABEL = T.StructType([*(T.StructField(n, T.StringType()) for n in ("sample_id", "if_then_rule", "green_relevance")), T.StructField("keep_for_rag", T.BooleanType()), T.StructField("llm_topic_name", T.StringType()), T.StructField("green_category", T.StringType())])
 BATCH_DOCUMENT = T.StructType([T.StructField("topic_context", CONTEXT), T.StructField("rows", T.ArrayType(LABEL)), T.StructField("_corrupt_record", T.StringType())])
@@ -29,9 +24,9 @@ def topic_of_path(path: Column) -> Column:
 
 
 def read_batches(spark: SparkSession, root: str) -> DataFrame:
-    """All batch files topic_*/topic_*_batch_*.csv under root, with topic_id; none at all is an error."""
+    """All batch files topic_*/topic_*_batch_*.csv under root, with topic_id and batch_id; none at all is an error."""
     found = read_delimited(spark, f"{root}/topic_*/topic_*_batch_*.csv", ["sample_id", "topic_name", "topic_text"], sep=",")
-    return found.withColumn("topic_id", topic_of_path(F.col("file_path")))
+    return found.withColumns({"topic_id": topic_of_path(F.col("file_path")), "batch_id": F.regexp_extract("file_path", r"_batch_(\d+)\.csv\z", 1).cast("int")})
 
 
 def read_label_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +59,7 @@ def final_rules(rows: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".xml",)) -> DataFrame:
     """Whole text files as (article_id, source), one row each."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("source"), F.col("_metadata.file_path").alias("file_path"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("source"), F.col("_metadata.file_path").alias("file_path"))
     pattern = "|".join(s.replace(".", r"\.") for s in suffixes)
     name = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), rf"(\.grobid)?(\.tei)?({pattern})\z", "")
     return rows.where(F.col("file_path").rlike(rf"({pattern})\z")).select(name.alias("article_id"), "source")
@@ -91,60 +86,3 @@ def resolve_file(spark: SparkSession, folder: str, article: str, suffixes: tuple
         if found:
             raise FileNotFoundError(f"{article} is ambiguous: {', '.join(found)}")
     raise FileNotFoundError(f"no file for {article} among: {', '.join(names) or 'none'}")
-
-
-# -------------------------------------------------------------------------------- sinks
-
-
-def write_batches(batched: DataFrame, root: str) -> None:
-    """Comma-separated files in topic_id=<n>/batch_id=<m>/, one file per batch."""
-    batched.repartition("topic_id", "batch_id").write.partitionBy("topic_id", "batch_id").mode("overwrite").option("header", True).option("escape", '"').csv(root)
-
-
-def write_json_lines(rows: DataFrame, path: str) -> None:
-    """One JSON object per line; an empty table leaves an empty folder in place of older files."""
-    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
-
-
-def write_markdown(blocks: DataFrame, path: str, id_col: str) -> None:
-    """A Markdown text per document and category, as folders by category."""
-    line = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("text"))).when(F.col("kind") == "quote", F.concat(F.lit("> "), F.col("text"))).otherwise(F.col("text"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda r: r["line"])
-    out = blocks.where("category in ('main', 'supplementary')").groupBy(id_col, "category").agg(F.array_join(listed, "\n\n").alias("value"))
-    out.write.mode("overwrite").partitionBy("category").json(path)
-
-
-# --------------------------------------------------------------------------- connectors
-
-
-def call_model(inputs: DataFrame, key: str, prompt: str, client: Callable[[str], str], attempts: int = 3, wait: Callable[[int], None] | None = None) -> DataFrame:
-    """key, response, error: a client's answer to each prompt, tried up to `attempts` times.
-
-    The client is any callable that executors can import; between attempts `wait` gets the number
-    of failures so far. A prompt that keeps failing is a row with its error, not a failed job.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, p in zip(pdf[key], pdf[prompt], strict=True):
-                answer, error = None, None
-                for n in range(1, attempts + 1):
-                    try:
-                        answer, error = client(p), None
-                        break
-                    except Exception as problem:  # noqa: BLE001  whatever a client raises is data here
-                        error = f"{type(problem).__name__}: {problem}"
-                        if wait and n < attempts:
-                            wait(n)
-                out.append((k, answer, error))
-            yield pd.DataFrame(out, columns=[key, "response", "error"])
-
-    kind = inputs.schema[key].dataType.simpleString()
-    return inputs.select(key, prompt).mapInPandas(run, f"{key} {kind}, response string, error string")
-
-
-def label_pending(inputs: DataFrame, done: DataFrame, key: str, prompt: str, client: Callable[[str], str], **options) -> DataFrame:
-    """Answers for the inputs that have none yet, with those there are."""
-    fresh = call_model(ops.pending(inputs, done.where("error is null"), key), key, prompt, client, **options)
-    return done.where("error is null").select(key, "response", "error").unionByName(fresh)

@@ -10,7 +10,7 @@ from gristmill.functions import blocks as bl
 from gristmill.functions import text as tx
 from gristmill.operators import tables as ops
 from gristmill.operators import topics as tp
-from gristmill.sources import files
+from gristmill.sources import connectors, files, storage
 from gristmill.streaming.incremental import collect_new
 
 
@@ -81,6 +81,33 @@ def test_tei_walk(spark):
     assert all(r.error for r in got if r.id != 1)
 
 
+WARNED = """<TEI><teiHeader><titleStmt><title type="main"></title><title>Never</title></titleStmt><analytic><title>Second</title></analytic></teiHeader><text><front><div type="abstract"><p>1234</p><p>Front abstract.</p></div></front><body>
+<div type="funding"><p>money</p></div><div rend="boxed-text"><p>extra</p></div><div><head>Glossary</head><p>word</p></div><div><head>Text</head><p>{long}</p><p>all rights reserved</p><p>Figure 1. A plot</p>
+<p>What? Why? How?</p><table>cells</table></div><div place="sidebar"><head>References to come</head><p>gone</p></div></body></text></TEI>"""
+
+
+def test_reasons_and_warnings_of_blocks():
+    long = " ".join(["word"] * 90)
+    blocks = bl.document_blocks(WARNED.format(long=long))
+    assert [b["text"] for b in blocks[:2]] == ["Second", "Front abstract."]
+    got = [(b["kind"], b["category"], b["reason"]) for b in blocks[2:]]
+    assert got == [
+        ("container", "discard", "excluded_container_type"),
+        ("paragraph", "supplementary", "supplementary_parent"),
+        ("heading", "supplementary", "supplementary_heading"),
+        ("paragraph", "supplementary", "supplementary_parent"),
+        ("heading", "main", "inherited"),
+        ("paragraph", "main", "main_content"),
+        ("paragraph", "discard", "boilerplate_or_noise"),
+        ("paragraph", "discard", "figure_or_table_caption"),
+        ("paragraph", "supplementary", "question_block"),
+        ("table", "discard", "excluded_table"),
+        ("container", "discard", "excluded_section"),
+    ]
+    assert [b["warnings"] for b in blocks if b["text"] == long] == [["missing_terminal_punctuation"]]
+    assert {b["body_chars"] for b in blocks} == {len(bl.normalize(" ".join(bl.all_text(bl.parse_xml(WARNED.format(long=long)).find("text", "body")))))}
+
+
 def test_html_walk():
     page = "<!DOCTYPE html><html><head><title>T &amp; U</title></head><body><nav>n</nav><h1>H</h1><p>a<br>b<p>c<ul><li>x<li>y</ul><script>var a='</p>';</script></body></html>"
     got = [(b["kind"], b["text"]) for b in bl.document_blocks(page, html=True)]
@@ -152,12 +179,179 @@ def test_model_connector_retries(spark):
     def client(prompt):
         if prompt == "bad":
             raise ValueError("no")
-        return prompt.upper()
+        return json.dumps({"rows": []}) if prompt == "a" else prompt
+
+    inputs = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "no json"), (4, '{"rows": [], "more": 1}'), (5, None)], "k int, p string")
+    got = {r.k: (r.response, r.error) for r in connectors.ask(inputs, "k", "p", client, connectors.BATCH_SCHEMA, backoff=0, pause=0).collect()}
+    assert got[1] == ('{"rows": []}', None) and got[2] == (None, "ValueError: no") and got[5] == (None, "no prompt")
+    assert got[3][1].startswith("not JSON") and got[4] == (None, "$.more: unknown")
+
+
+def test_strict_schema():
+    row = {"sample_id": "1", "if_then_rule": "IF a THEN b", "green_relevance": "high", "keep_for_rag": True}
+    good = {"rows": [row]}
+    assert connectors.violations(good, connectors.BATCH_SCHEMA) == []
+    for change, problem in (({"keep_for_rag": 1}, "not boolean"), ({"green_relevance": "huge"}, "not allowed"), ({"x": 1}, "unknown"), ({"sample_id": None}, "not string")):
+        assert problem in connectors.violations({"rows": [row | change]}, connectors.BATCH_SCHEMA)[0]
+    assert connectors.violations({"rows": [{}]}, connectors.BATCH_SCHEMA)[0].endswith("sample_id: missing")
+    assert connectors.violations([], connectors.BATCH_SCHEMA) == ["$: not object"]
+    context = {"topic_id": True, "llm_topic_name": "n", "topic_summary": "s", "green_category": "c", "global_green_relevance": "low"}
+    assert connectors.violations(context, connectors.CONTEXT_SCHEMA) == ["$.topic_id: not integer"]
+
+
+def test_client_settings(tmp_path):
+    dotenv = tmp_path / ".env"
+    dotenv.write_text("# a comment\nOPEN-ROUTER-KEY='from file'\n")
+    assert connectors.load_key({}, str(dotenv)) == "from file" and connectors.load_key({"OPENROUTER_API_KEY": "k"}, "none") == "k"
+    with pytest.raises(ValueError, match="no service key"):
+        connectors.load_key({}, "none")
+    (tmp_path / "p.txt").write_text(" ask this \n")
+    assert connectors.load_prompt(str(tmp_path / "p.txt")) == "ask this"
+    with pytest.raises(FileNotFoundError):
+        connectors.load_prompt(str(tmp_path / "q.txt"))
+    sent = connectors.ChatClient("k", "system", "name", connectors.BATCH_SCHEMA).request("hello")
+    assert sent["temperature"] == 0 and sent["response_format"]["json_schema"]["strict"] and [m["content"] for m in sent["messages"]] == ["system", "hello"]
+
+
+def test_extraction_service(spark):
+    def old(service, input_path, n, force, output, generateIDs=None, segmentSentences=None): ...
+    def new(service, input_path, n, force, output_path, generate_ids=None, tei_coordinates=None, consolidate_header=None): ...
+    def none(service, input_path, n, force): ...
+
+    assert connectors.service_arguments(old, "i", "o") == {"service": "processFulltextDocument", "input_path": "i", "n": 1, "force": True, "output": "o", "generateIDs": True, "segmentSentences": True}
+    got = connectors.service_arguments(new, "i", "o", 3)
+    assert got["output_path"] == "o" and got["tei_coordinates"] is True and got["consolidate_header"] is False and got["n"] == 3
+    with pytest.raises(RuntimeError, match="output_path"):
+        connectors.service_arguments(none, "i", "o")
+    with pytest.raises(ValueError, match="worker"):
+        connectors.service_arguments(old, "i", "o", 0)
+    made = connectors.make_client(lambda grobid_server, timeout=1: (grobid_server, timeout), "http://x")
+    assert made == ("http://x", 300)
+    files_ = spark.createDataFrame([("a", b"1"), ("b", b"x")], "id string, c binary")
+    out = {r.id: (r.source, r.error) for r in connectors.extract(files_, "id", "c", lambda c: f"<TEI n='{int(c)}'/>").collect()}
+    assert out["a"] == ("<TEI n='1'/>", None) and out["b"][1].startswith("ValueError")
+
+
+def test_pages_and_their_reports(spark, tmp_path):
+    (tmp_path / "article_1.pdf").write_bytes(b"one ener-\ngy|two")
+    (tmp_path / "article_2.pdf").write_bytes(b"!")
+
+    def reader(content):
+        if content == b"!":
+            raise OSError("no pages")
+        return content.decode().split("|")
+
+    got = {r.article_id: r for r in connectors.read_pages(spark, f"{tmp_path}/*.pdf", reader).collect()}
+    assert got["article_1"].text == "--- PAGE 1 ---\n\none energy\n\n--- PAGE 2 ---\n\ntwo" and got["article_2"].error == "OSError: no pages"
+    texts = spark.createDataFrame([("a", "Some words.\nMore é.")], "id string, t string")
+    assert storage.write_text_reports(texts, "id", "t", f"{tmp_path}/out") == 2
+    assert (tmp_path / "out/texts/a.txt").read_text() == "Some words.\nMore é."
+    assert json.loads((tmp_path / "out/reports/a_report.json").read_text())["num_words"] == 4
+
+
+def test_metadata_and_vectors(spark):
+    flags = dict.fromkeys(connectors.CATEGORIES, 0) | {"water_saving": 1}
+    answer = json.dumps({"article_id": "a", "source_title": "T", "year": "2024", "article_summary": "s", "normalized_green_categories_one_hot": flags})
+    docs = spark.createDataFrame([("a", "text"), ("b", "other")], "id string, t string")
+    got = {r.id: r for r in connectors.article_metadata(docs, "id", "t", lambda p: answer if "article_id: a" in p else "{}", backoff=0, pause=0).collect()}
+    assert got["a"].metadata.normalized_green_categories_one_hot == flags and got["a"].metadata.year == "2024" and got["b"].error
+    vectors = {r.id: list(r.embedding) for r in connectors.embed(docs, "id", "t", lambda texts: [[len(t), 1] for t in texts]).collect()}
+    assert vectors == {"a": [4.0, 1.0], "b": [5.0, 1.0]}
+
+
+def test_sinks(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.createDataFrame([(1, 'a "q";\nb', None), (2, "é", "x")], "k int, t string, n string").coalesce(1)
+    storage.write_delimited(rows, f"{root}/semi", bom=True)
+    body = next((tmp_path / "semi").glob("part-*.csv")).read_bytes()
+    assert body.startswith(b"\xef\xbb\xbfk;t;n\n")
+    back = files.read_delimited(spark, f"{root}/semi", ["k", "t", "n"]).orderBy("k").collect()
+    assert [(r.k, r.t, r.n) for r in back] == [("1", 'a "q";\nb', None), ("2", "é", "x")]
+    batched = spark.createDataFrame([(-1, 1, f"S{i:02d}", "n", f'text "{i}", and\nmore') for i in range(3)] + [(10, 12, "S9", "n", None)], "topic_id int, batch_id int, sample_id string, topic_name string, topic_text string")
+    assert storage.write_batch_files(batched, f"{root}/batches", ["sample_id", "topic_name", "topic_text"]) == 2
+    assert sorted(str(p.relative_to(tmp_path / "batches")) for p in (tmp_path / "batches").rglob("*.csv")) == ["topic_-1/topic_-1_batch_001.csv", "topic_10/topic_10_batch_012.csv"]
+    again = {r.sample_id: r for r in files.read_batches(spark, f"{root}/batches").collect()}
+    assert again["S01"].topic_text == 'text "1", and\nmore' and (again["S9"].topic_id, again["S9"].batch_id, again["S9"].topic_text) == (10, 12, None)
+    lines = spark.createDataFrame([("a", 2, "y"), ("a", 1, None), ("b", 1, "é")], "doc string, ordinal int, t string")
+    names = spark.createDataFrame([("a.jsonl",), ("b.jsonl",)], "name string")
+    assert storage.write_json_lines(lines, f"{root}/lines", F.concat("doc", F.lit(".jsonl")), names) == 2
+    assert [json.loads(x) for x in (tmp_path / "lines/a.jsonl").read_text().splitlines()] == [{"doc": "a", "t": None}, {"doc": "a", "t": "y"}]
+    assert "é" in (tmp_path / "lines/b.jsonl").read_text()
+    assert storage.write_json_lines(lines.where("doc = 'a'"), f"{root}/lines", F.concat("doc", F.lit(".jsonl")), names) == 1
+    assert not (tmp_path / "lines/b.jsonl").exists()
+    assert storage.write_json_documents(lines.where("doc = 'b'"), f"{root}/docs", F.lit("x/b.json"), F.to_json(F.struct("doc", "t"))) == 1
+    assert (tmp_path / "docs/x/b.json").read_text() == '{\n  "doc": "b",\n  "t": "é"\n}'
+    good, todo = storage.reuse(spark, spark.createDataFrame([(1,), (2,), (3,)], "k int"), spark.createDataFrame([(1, "ok"), (2, None)], "k int, v string"), ["k"], F.col("v") == "ok")
+    assert [r.k for r in good.collect()] == [1] and sorted(r.k for r in todo.collect()) == [2, 3]
+
+
+def test_article_files_and_command_line(spark, tmp_path, capsys):
+    from gristmill import cli
+
+    src, out = tmp_path / "tei", tmp_path / "out"
+    src.mkdir()
+    body = "The rules were applied to forty homes for one year and the savings were large enough to matter, said the 40 42 44 46 48."
+    (src / "article_1.grobid.tei.xml").write_text(ARTICLE.format(a="In this paper we present rules. " * 12, b=body))
+    (src / "article_2.xml").write_text("<TEI")
+    (src / "article_3.xml").write_text("<TEI><text><body/></text></TEI>")
+    (src / "article_4.xml").write_text('<TEI><text><body><div><head>Box 1</head><p>Aside.</p></div><p>Main.</p></body></text></TEI>')
+    args = ["articles", "--source", str(src), "--out", str(out)]
+    assert cli.JOBS["articles"](spark, cli.parser().parse_args([*args, "--all"])) == 1
+    said = capsys.readouterr().out
+    assert "files done: 2/4" in said and "- article_2: invalid XML" in said and "- article_3: no useful main content" in said
+    text = (out / "cleaned_markdown/article_1.md").read_text()
+    assert text.startswith("# Green homes\n\n## Abstract\n\nIn this paper we present rules.") and text.count(body) == 1
+    report = json.loads((out / "cleaning_reports/article_1.json").read_text())
+    assert report["counts"]["discard_reasons"] == {"duplicate_content": 2, "figure_content": 1} and report["title_found"]
+    assert report["counts"]["review_blocks"] == 0 and report["quality"]["raw_body_characters"] > report["quality"]["main_text_characters"] == len(body)
+    assert (out / "supplementary_markdown/article_4.md").read_text() == "# article_4 — Supplementary Content\n\n### Box 1\n\nAside.\n"
+    assert len((out / "discarded_blocks/article_1.jsonl").read_text().splitlines()) == 3 and not (out / "review_blocks/article_1.jsonl").exists()
+    (src / "article_4.xml").write_text("<TEI><text><body><p>Main.</p></body></text></TEI>")
+    assert cli.JOBS["articles"](spark, cli.parser().parse_args([*args, "--article", "4"])) == 0
+    assert not (out / "supplementary_markdown/article_4.md").exists() and "files done: 1/1" in capsys.readouterr().out
+    with pytest.raises(FileNotFoundError):
+        cli.JOBS["articles"](spark, cli.parser().parse_args([*args, "--article", "9"]))
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args([*args, "--article", "9", "--all"])
+    clustered = tmp_path / "clustered.csv"
+    clustered.write_text("topic_id,topic_name,topic_text\n" + "".join(f"{i % 2 - 1},name,text {i}\n" for i in range(7)))
+    assert cli.JOBS["batches"](spark, cli.parser().parse_args(["batches", "--source", str(clustered), "--out", str(tmp_path / "b"), "--rows", "2"])) == 0
+    assert len(list((tmp_path / "b").glob("topic_*/*.csv"))) == 4
+
+
+def test_labelling_run(spark, tmp_path):
+    from gristmill.operators import labelling as lab
 
-    inputs = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "k int, p string")
-    done = spark.createDataFrame([(3, "OLD", None)], "k int, response string, error string")
-    got = {r.k: (r.response, r.error) for r in files.label_pending(inputs, done, "k", "p", client).collect()}
-    assert got == {1: ("A", None), 2: (None, "ValueError: no"), 3: ("OLD", None)}
+    batches = spark.createDataFrame([(t, b, f"T{t}_S{s}", "n", f"text {s}") for t in (1, 2) for b in (1, 2) for s in (2 * b - 1, 2 * b)], "topic_id int, batch_id int, sample_id string, topic_name string, topic_text string")
+    context = {"llm_topic_name": "name", "topic_summary": "sum", "green_category": "cat", "global_green_relevance": "high"}
+    stored = spark.createDataFrame([(1, "old", "sum", "cat_1", "low"), (2, "bad", "sum", "Not Snake", "low")], lab.CONTEXT)
+
+    def topic_client(prompt):
+        return json.dumps({"topic_id": 2} | context)
+
+    contexts = lab.get_contexts(batches, batches, stored, topic_client, backoff=0, pause=0)
+    assert {r.topic_id: (r.llm_topic_name, r.error) for r in contexts.collect()} == {1: ("old", None), 2: ("name", None)}
+    row = lambda s: {"sample_id": s, "if_then_rule": f"IF {s}", "green_relevance": "low", "keep_for_rag": True}
+
+    def client(prompt):
+        ids = [line.split(": ")[1] for line in prompt.splitlines() if line.startswith("sample_id: ")]
+        return json.dumps({"rows": [row(i) for i in (ids[:1] if "T2_S3" in ids else ids)]})
+
+    old = spark.createDataFrame([(1, 1, (1, *context.values()), [("T1_S1", "IF old", "high", True), ("T1_S2", "IF old", "none", False)]), (1, 2, (1, *context.values()), [("T1_S3", "IF half", "high", True)])], "topic_id int, batch_id int, topic_context struct<topic_id: int, llm_topic_name: string, topic_summary: string, green_category: string, global_green_relevance: string>, rows array<struct<sample_id: string, if_then_rule: string, green_relevance: string, keep_for_rag: boolean>>")
+    made = lab.label_batches(batches, contexts, old, client, backoff=0, pause=0)
+    got = {(r.topic_id, r.batch_id): r for r in made.collect()}
+    assert got[1, 1].reused and got[1, 1].rows[0].if_then_rule == "IF old" and not got[1, 2].reused and got[1, 2].rows[1].if_then_rule == "IF T1_S4"
+    assert got[2, 1].error is None and got[2, 1].topic_context.llm_topic_name == "name" and got[2, 2].error == "missing: T2_S4" and got[2, 2].rows is None
+    flat = {r.sample_id: r for r in lab.flat_labels(made).collect()}
+    assert len(flat) == 6 and tuple(flat["T1_S3"].asDict()) == lab.FLAT and flat["T1_S3"].llm_topic_name == "old"
+    assert lab.write_documents(made, f"{tmp_path}/done") == 3 and lab.write_contexts(contexts, f"{tmp_path}/done") == 2
+    back = files.read_label_documents(spark, f"{tmp_path}/done/topic_*/topic_*_batch_*.json")
+    assert files.label_rows(back).count() == 6
+    with pytest.raises(ValueError, match="repeated sample_id: T1_S1"):
+        lab.label_batches(batches.union(batches.limit(1)), contexts, old, client)
+    assert lab.non_empty(batches.select("topic_id").distinct(), batches.where("topic_id = 1"), "topic_id").count() == 1
+    with pytest.raises(ValueError, match="no topic_id"):
+        lab.non_empty(batches, batches.limit(0), "topic_id")
 
 
 def test_incremental_collection(spark, tmp_path):
@@ -193,7 +387,7 @@ def test_article_report(spark):
     a = got["a"]
     assert a.title == "Green homes" and a.abstract == abstract.strip() and [c.score for c in a.candidates] == [9.5, -2.0]
     assert (a.main_blocks, a.discarded_blocks, a.block_kinds, a.discard_reasons) == (2, 3, {"heading": 1, "paragraph": 1}, {"duplicate_content": 2, "figure_content": 1})
-    assert got["b"].warnings == ["abstract_not_found", "abstract_not_selected"] and not got["b"].title_found
+    assert got["b"].warnings == ["abstract_not_found", "abstract_not_selected", "title_not_found"] and not got["b"].title_found
 
 
 def test_labelling(spark):
@@ -204,7 +398,9 @@ def test_labelling(spark):
     assert [r.v for r in contexts.select("topic_id", lab.context_verdict(F.col("topic_id")).alias("v")).orderBy("topic_id").collect()] == [None, "not_snake_case", "missing_topic_summary", "relevance"]
     prompt = lab.batch_prompts(samples, contexts).first().prompt
     assert "[1]\nsample_id: s1\ntopic_name: n\ntopic_text: t1\n\n[2]\nsample_id: s2" in prompt and prompt.endswith("Preserve every sample_id exactly.")
-    assert lab.topic_prompts(samples).first().prompt.startswith("Topic id: 1\nAutomatic topic name: n\nNumber of representative samples: 2")
+    assert prompt.startswith("Input file: topic_1/topic_1_batch_001.csv\nTopic id: 1\n\nFixed topic-level context:\nllm_topic_name: name\n")
+    asked = lab.topic_prompts(samples).first().prompt
+    assert asked.startswith("Topic id: 1\nAutomatic BERTopic topic name: n\nNumber of representative samples: 2\n\nRepresentative samples:\n\n[1]\n") and asked.endswith("text: t2\n\nInfer the topic-level context for this BERTopic cluster.")
     labels = spark.createDataFrame([("s1", "high", True), ("s1", "high", True), ("x", "odd", None)], "sample_id string, green_relevance string, keep_for_rag boolean")
     assert {(r.sample_id, r.problem) for r in lab.label_problems(samples, labels).collect()} == {("s2", "missing"), ("x", "extra"), ("s1", "repeated"), ("x", "relevance"), ("x", "keep_for_rag")}
 
