@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import column, shuffle_partitions, slices, texts, write_table
+from gristmill.llm.common import column, drop_path, shuffle_partitions, slices, texts, write_table
 from gristmill.llm.counting import PACKED, KeyCounts, packed_rows
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -24,7 +25,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-SHIFT = 58  # 64 buckets of terms
+SHIFT = 54  # 1024 buckets of terms
 Span = tuple[int, int, str]
 
 
@@ -106,15 +107,20 @@ def signed(text: str) -> int:
 # -------------------------------------------------------------------- co-occurrence
 
 
-def neighbours(text: str, span: Span, reach: int, width: int = 400) -> list[str]:
-    """The `reach` terms on each side of a span, from at most `width` characters, in lower case."""
-    left = [m[0].lower() for m in TERM.finditer(text, max(0, span[0] - width), span[0])]
-    right = [m[0].lower() for m in TERM.finditer(text, span[1], min(len(text), span[1] + width))]
-    if span[0] > width and left:
-        left = left[1:]  # may be cut
-    if span[1] + width < len(text) and right:
-        right = right[:-1]
-    return left[-reach:] + right[:reach]
+def neighbours(text: str, span: Span, reach: int, step: int = 256) -> list[str]:
+    """The `reach` terms on each side of a span, however far away, in lower case.
+
+    To the left the text is read in stretches that double until there are enough terms.
+    """
+    right = [m[0].lower() for m in islice(TERM.finditer(text, span[1]), reach)]
+    width, left = step, []
+    while True:
+        at = max(0, span[0] - width)
+        found = [m for m in TERM.finditer(text, at, span[0]) if m.start() > at or at == 0]  # one at the edge may be cut
+        left = [m[0].lower() for m in found[-reach:]]
+        if len(left) == reach or at == 0:
+            return left + right
+        width *= 2
 
 
 def _contexts(text_col: str, reach: int):
@@ -132,66 +138,73 @@ def _contexts(text_col: str, reach: int):
     return run
 
 
-def _document_counts(text_col: str):
-    """How many texts have each term, packed; group 0."""
+def _document_counts(text_col: str, table):
+    """How many texts have each term that the bit table lets pass, packed; group 0."""
 
     def run(batches):
-        held = KeyCounts()
+        bits, held = table.value, KeyCounts()
         for batch in slices(batches, (text_col,)):
             keys = [np.fromiter((signed(t) for t in {m.lower() for m in TERM.findall(text)}), np.int64) for text in texts(column(batch, text_col))]
-            held.add(0, np.concatenate(keys).view(np.uint64))
+            every = np.concatenate(keys).view(np.uint64)
+            at = every & np.uint64(len(bits) * 64 - 1)
+            held.add(0, every[bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1])
         yield from held.packed(SHIFT)
 
     return run
 
 
-def _pack_terms(batches):
-    """The terms asked for, packed; group 1."""
-    held = KeyCounts()
-    for batch in batches:
-        held.add(1, column(batch, "term").to_numpy().view(np.uint64))
-    yield from held.packed(SHIFT)
-
-
-def _pick(batches):
+def _sum(batches):
+    """The counts of each bucket's terms added up."""
     parts: dict[int, KeyCounts] = {}
     for batch in batches:
         for bucket, grp, keys, counts in packed_rows(batch):
             parts.setdefault(bucket, KeyCounts()).add_counts(grp, keys, counts)
     for held in parts.values():
-        if 1 in held.parts and 0 in held.parts:
-            keys, counts = held.merged(0)
-            wanted, _ = held.merged(1)
-            at = np.searchsorted(keys, wanted)
-            ok = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(wanted[ok].view(np.int64)), pa.array(counts[at[ok]])], names=["term", "n_term"])
+        keys, counts = held.merged(0)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["term", "n_term"])
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 8, min_support: int = 3, threshold: float = 0.9) -> DataFrame:
+def bit_table(terms: DataFrame, words: int) -> np.ndarray:
+    """64 * words bits, those set that the low bits of some `term` name."""
+    low = F.col("term").bitwiseAND(words * 64 - 1)
+    found = terms.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(term & 63 as int))")).alias("bits")).collect()  # `words` rows at most
+    table = np.zeros(words, np.uint64)
+    for r in found:
+        table[r["w"]] = np.uint64(r["bits"] & (1 << 64) - 1)
+    return table
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 8, min_support: int = 1, threshold: float = 0.9, bit_words: int = 1 << 16) -> DataFrame:
     """Pairs of a protected value and a term near it that discloses it: entity, term, disclosure.
 
     Around each protected value the `reach` terms on each side are its context. Equal contexts
     count once, so copies of a document are no evidence. With c contexts of the value that have
     the term, n(t) texts with the term, n(e) contexts of the value and N texts, the disclosure is
     PMI / IC = log2(c N / (n(t) n(e))) / log2(N / n(e)): 1 where the term gives the value away, 0
-    where it says nothing. Pairs with c >= `min_support` and disclosure >= `threshold` are kept.
+    where it says nothing. Pairs with c >= `min_support` and disclosure >= `threshold` are kept: a
+    name that stands beside one value and next to nowhere else is one, a common word is none.
+
+    Terms are counted over all texts; a table of 64 * bit_words bits, whatever the corpus, spares
+    most of those that stand near no value.
     """
     spark = docs.sparkSession
     seen = docs.select(text_col).mapInArrow(_contexts(text_col, reach), "entity long, term long, context long").distinct()
-    seen, _ = write_table(seen, "pii-contexts")
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= min_support)
-    pairs, _ = write_table(pairs, "pii-pairs")
+    seen, seen_path = write_table(seen, "pii-contexts")
+    pairs, pairs_path = write_table(seen.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= min_support), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     total = docs.count()
     entities = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    counts = docs.select(text_col).mapInArrow(_document_counts(text_col), PACKED)
-    wanted = pairs.select("term").distinct().mapInArrow(_pack_terms, PACKED)
-    terms = counts.unionByName(wanted).repartition(min(64, shuffle_partitions(spark)), "bucket").mapInArrow(_pick, "term long, n_term long")
+    table = spark.sparkContext.broadcast(bit_table(pairs.select("term"), bit_words))
+    partial = docs.select(text_col).mapInArrow(_document_counts(text_col, table), PACKED)
+    terms = partial.repartition(shuffle_partitions(spark), "bucket").mapInArrow(_sum, "term long, n_term long")
     scored = pairs.join(terms, "term").join(entities, "entity")
     pmi = F.log2(F.col("c") * F.lit(float(total)) / (F.greatest("n_term", "c") * F.col("n_entity")))
     ic = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return scored.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= threshold)
+    found = scored.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= threshold)
+    found, _ = write_table(found, "pii-disclosing")
+    drop_path(spark, seen_path, pairs_path)
+    return found
 
 
 # -------------------------------------------------------------------------- operator
@@ -212,12 +225,17 @@ def term_spans(text: str, base: list[Span], terms: dict[int, float]) -> list[tup
     return out
 
 
+def general(term: str) -> str:
+    """The class that stands for a term: a name, an abbreviation or a word, by its letters' case."""
+    return "<NAME>" if term.istitle() else "<ABBREVIATION>" if term.isupper() else "<WORD>"
+
+
 def sanitise(text: str, base: list[Span], terms: list[tuple[Span, float]], remove_at: float) -> str:
-    """Base spans give way to their kind, strongly disclosing terms to nothing, others to a general word.
+    """Base spans give way to their kind, strongly disclosing terms to nothing, others to their class.
 
     Overlapping spans are one, named by the first.
     """
-    spans = sorted([(a, b, f"<{k.upper()}>") for a, b, k in base] + [(a, b, "" if d >= remove_at else "<TERM>") for (a, b, _), d in terms])
+    spans = sorted([(a, b, f"<{k.upper()}>") for a, b, k in base] + [(a, b, "" if d >= remove_at else general(text[a:b])) for (a, b, _), d in terms])
     out, pos = [], 0
     for a, b, by in spans:
         if a >= pos:
@@ -226,6 +244,14 @@ def sanitise(text: str, base: list[Span], terms: list[tuple[Span, float]], remov
     return "".join(out) + text[pos:]
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, after as many underscores as no column is named so."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 FIELDS = [("n_email", T.LongType()), ("n_ip", T.LongType()), ("n_card", T.LongType()), ("n_phone", T.LongType()), ("n_term", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType()), ("sanitised", T.StringType())]
 
 
@@ -233,7 +259,7 @@ def find_pii(
     docs: DataFrame,
     text_col: str = "text",
     reach: int = 8,
-    min_support: int = 3,
+    min_support: int = 1,
     threshold: float = 0.9,
     remove_at: float = 0.98,
     broadcast_pairs: int = 200_000,
@@ -252,25 +278,27 @@ def find_pii(
     spark = docs.sparkSession
     taken = {n for n, _ in FIELDS}
     rows = docs.drop(*(c for c in docs.columns if c.lower() in taken))
-    pairs, _ = write_table(disclosing_terms(rows, text_col, reach, min_support, threshold), "pii-disclosing")
+    pairs = disclosing_terms(rows, text_col, reach, min_support, threshold)
     fits = pairs.limit(broadcast_pairs + 1).count() <= broadcast_pairs
     schema = T.StructType(rows.schema.fields + [T.StructField(n, t) for n, t in FIELDS])
     names, passed = schema.names, rows.columns
     known: dict[int, dict[int, float]] = {}
+    key, key2, listed = (free_name(n, passed) for n in ("_key", "_key2", "_terms"))
     if fits:
         for r in pairs.collect():  # broadcast_pairs at most
             known.setdefault(r["entity"], {})[r["term"]] = r["disclosure"]
     else:
-        keyed = rows.withColumns({"_key": F.xxhash64(text_col), "_key2": F.crc32(F.coalesce(text_col, F.lit("")).cast("binary"))})
-        found = keyed.select("_key", "_key2", text_col).mapInArrow(_entities(text_col), "_key long, _key2 long, entity long").distinct()
-        own = found.join(pairs, "entity").groupBy("_key", "_key2").agg(F.collect_set(F.struct("term", "disclosure")).alias("_terms"))
-        rows = keyed.join(own, ["_key", "_key2"], "left").select(*passed, "_terms")
+        keyed = rows.withColumns({key: F.xxhash64(text_col), key2: F.crc32(F.coalesce(text_col, F.lit("")).cast("binary"))})
+        found = keyed.select(F.col(key).alias("k"), F.col(key2).alias("k2"), F.col(text_col).alias("t")).mapInArrow(_entities, "k long, k2 long, entity long").distinct()
+        most = found.join(pairs, "entity").groupBy("k", "k2", "term").agg(F.max("disclosure").alias("disclosure"))
+        own = most.groupBy("k", "k2").agg(F.collect_list(F.struct("term", "disclosure")).alias(listed))
+        rows = keyed.join(own.withColumnsRenamed({"k": key, "k2": key2}), [key, key2], "left").select(*passed, listed)
     shared = spark.sparkContext.broadcast(known)
 
     def run(batches):
         lookup = shared.value
         for batch in slices(batches, (text_col,)):
-            extra = column(batch, "_terms").to_pylist() if not fits else [None] * batch.num_rows
+            extra = column(batch, listed).to_pylist() if not fits else [None] * batch.num_rows
             out = []
             for text, more in zip(texts(column(batch, text_col)), extra, strict=True):
                 base = base_spans(text)
@@ -289,12 +317,9 @@ def find_pii(
     return rows.mapInArrow(run, schema)
 
 
-def _entities(text_col: str):
-    def run(batches):
-        for batch in slices(batches, (text_col,)):
-            keys = zip(column(batch, "_key").to_pylist(), column(batch, "_key2").to_pylist(), texts(column(batch, text_col)), strict=True)
-            rows = [(a, b, value(text, s)) for a, b, text in keys for s in base_spans(text)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=["_key", "_key2", "entity"])
-
-    return run
+def _entities(batches):
+    for batch in slices(batches, ("t",)):
+        keys = zip(column(batch, "k").to_pylist(), column(batch, "k2").to_pylist(), texts(column(batch, "t")), strict=True)
+        rows = [(a, b, value(text, s)) for a, b, text in keys for s in base_spans(text)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=["k", "k2", "entity"])
