@@ -116,6 +116,12 @@ def topic_names(ranked: DataFrame, k: int = 4) -> DataFrame:
     return ranked.where(F.col("rank") <= k).groupBy("class").agg(F.concat_ws("_", F.col("class"), F.array_join(listed, "_")).alias("name"))
 
 
+def components(vectors: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFrame:
+    """id, p: the first principal components of every vector."""
+    rows = vectors.select(id_col, array_to_vector(F.col(vector_col).cast("array<double>")).alias("v"))
+    return PCA(k=dims, inputCol="v", outputCol="pc").fit(rows).transform(rows).select(id_col, vector_to_array("pc").alias("p"))
+
+
 def cluster(vectors: DataFrame, id_col: str, vector_col: str, k: int, dims: int, spread: float = 3.0, seed: int = 42) -> DataFrame:
     """id, topic_id, distance: k-means on principal components; a vector farther from its centre than
     the cluster's mean distance plus `spread` deviations is an outlier, -1."""

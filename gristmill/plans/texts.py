@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import blocks as bl
 from gristmill.functions import text as tx
+from gristmill.operators import density as dn
 from gristmill.operators import tables as ops
 from gristmill.operators import topics as tp
 from gristmill.plans.relational import ORACLE, QUERIES, query, spread, table  # noqa: F401  the registry that both modules fill
@@ -361,6 +362,13 @@ def embedding_clusters(spark, d):
     return tp.cluster(table(spark, d, "embeddings"), "vec_id", "embedding", k=10, dims=5)
 
 
+@query()
+def density_topics(spark, d):
+    """Topics of vectors by density: five principal components, clusters of 35 or more, the rest noise (-1)."""
+    reduced = tp.components(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
+    return dn.density_clusters(reduced, "vec_id", "p", min_size=35, min_samples=3)
+
+
 @query("""WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q, vec_id, round(list_cosine_similarity(e, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE vec_id <> q)
 SELECT q AS query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rn FROM s) WHERE rn <= 5""")
 def cosine_topk(spark, d):

@@ -2,12 +2,14 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gristmill.functions import blocks as bl
 from gristmill.functions import text as tx
+from gristmill.operators import density as dn
 from gristmill.operators import tables as ops
 from gristmill.operators import topics as tp
 from gristmill.sources import connectors, files, storage
@@ -390,6 +392,68 @@ def test_article_report(spark):
     assert got["b"].warnings == ["abstract_not_found", "abstract_not_selected", "title_not_found"] and not got["b"].title_found
 
 
+def brute_tree(points, k):
+    """The total weight of the spanning tree of mutual reachability, by Prim."""
+    d = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, k - 1]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    best, inside, total = reach[0].copy(), {0}, []
+    while len(inside) < len(points):
+        j = min((x for x in range(len(points)) if x not in inside), key=lambda x: best[x])
+        total.append(best[j])
+        inside.add(j)
+        best = np.minimum(best, reach[j])
+    return core, sorted(total)
+
+
+def test_density_tree():
+    rnd = np.random.default_rng(3)
+    points = np.concatenate([rnd.normal(0, 1, (40, 3)), rnd.integers(0, 3, (40, 3)).astype(float)])  # with many ties
+    core, want = brute_tree(points, 4)
+    every = np.arange(len(points))
+    assert np.allclose(dn.core_distances(points, every, 4, 16), core, atol=1e-6)
+    groups, tree = dn.Groups(len(points)), []
+    while len(tree) < len(points) - 1:
+        group = np.asarray([groups.root(i) for i in every])
+        to, far = dn.nearest_edges(points, core, group, every, 16)
+        done = set()
+        for p in np.lexsort((np.maximum(every, to), np.minimum(every, to), far)).tolist():
+            if group[p] not in done:
+                done.add(group[p])
+                if groups.join(p, int(to[p])):
+                    tree.append(far[p])
+    assert np.allclose(sorted(tree), want, atol=1e-6)
+
+
+def test_density_clusters(spark):
+    rnd = np.random.default_rng(5)
+    blobs = [rnd.normal(c, 0.3, (n, 2)) for c, n in (((0, 0), 80), ((6, 0), 60), ((0, 6), 50))]
+    noise = np.asarray([[20.0 + 5 * i, -20.0 + 3 * i] for i in range(6)])
+    points = np.concatenate([*blobs, noise])
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(None, [0.0, 0.0]), (999, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    got = {r.id: r.topic_id for r in dn.density_clusters(df, "id", "v", min_size=20, block=37).collect()}
+    assert len(got) == len(points) and {got[i] for i in range(190, 196)} == {-1}
+    for k, (a, b) in enumerate(((0, 80), (80, 140), (140, 190))):
+        own = [got[i] for i in range(a, b)]
+        assert own.count(k) >= 0.9 * len(own) and set(own) <= {k, -1}
+    assert {r.topic_id for r in dn.density_clusters(df.limit(5), "id", "v").collect()} <= {-1} and dn.density_clusters(df.limit(0), "id", "v").count() == 0
+    with pytest.raises(ValueError, match="cluster a sample"):
+        dn.density_clusters(df, "id", "v", max_points=10)
+
+
+def test_topic_terms_by_similarity(spark):
+    from gristmill.operators import topics as tp_
+
+    docs = spark.createDataFrame([("a", "solar panel light", [1.0, 0.0]), ("a", "solar lamp", [1.0, 0.2]), ("b", "rain water panel", [0.0, 1.0]), ("b", "rain the rule naïve x1y", [0.0, 1.0])], "c string, t string, v array<double>")
+    tf = tp_.terms(docs, "c", "t", tp_.stop_words(), 3)
+    assert {r.term for r in tf.where("class = 'b'").collect()} == {"rain", "water", "panel", "rain water", "water panel", "rain water panel"}
+    assert {r.term for r in tp_.vocabulary(tf, min_df=2, max_df=1.0).collect()} == {"panel"}
+    ranked = tp_.rerank(tp_.class_weights(tf, min_df=1, max_df=1.0), docs, "c", "t", "v", tp_.stop_words(), 3, top=2)
+    got = {(r["class"], r["rank"]): r.term for r in ranked.collect()}
+    assert got["b", 1] in ("rain", "rain water", "rain water panel", "water", "water panel") and got["a", 1].startswith(("solar", "lamp"))
+
+
 def test_labelling(spark):
     from gristmill.operators import labelling as lab
 
