@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-import unicodedata
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import SPACE, byte_table, column, drop_path, open_fs, range_hash, scratch, shuffle_partitions, slices, texts, utf8, window_hash, words
+from gristmill.llm.common import SPACE, byte_table, column, drop_path, mix, open_fs, range_hash, scratch, shuffle_partitions, slices, texts, unmix, utf8, window_hash, words
 from gristmill.llm.counting import PACKED, KeyCounts, packed_rows, sum_counts
 
 ORDER = 5
-BITS = 5  # 32 symbols
+BITS = 12  # 4096 symbols
 TOP = ORDER * BITS
-SHIFT = TOP - 6  # 64 buckets of n-grams
+SHIFT = 64 - 10  # 1024 buckets of n-grams, by hash
+OTHERS = 32  # the first symbol of letters beyond a-z
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _symbol_table: list[np.ndarray] = []
-_models: dict[str, dict[int, Model]] = {}
+_models: OrderedDict[tuple[str, int], Model] = OrderedDict()
 
 
 # ------------------------------------------------------------------ base statistics
@@ -81,25 +83,22 @@ def repeated_words(hashes: np.ndarray, first: np.ndarray, width: int = 8) -> np.
 
 
 def symbol_table() -> np.ndarray:
-    """Each code point's symbol: 0 space, 1-26 letters, 27 digits, 28 stops, 29 other, 30 and 31 letters of other scripts.
-
-    Latin letters count as their base letter. 32 symbols make 2**25 5-grams at most per language,
-    whatever the corpus, so counts, model and the memory of a scoring task are bounded.
-    """
+    """Each code point's symbol: 0 space, 1-26 letters a-z, 27 digit, 28 stop, 29 other; every other letter
+    in lower case has one of the symbols from OTHERS on, by a hash of its code point."""
     if not _symbol_table:
-        out = np.full(0x110000, 29, np.uint8)
+        out = np.full(0x110000, 29, np.uint16)
+        others = OTHERS + (mix(np.arange(0x110000, dtype=np.uint64)) % np.uint64((1 << BITS) - OTHERS)).astype(np.int64)
         for i in range(0x110000):
             c = chr(i)
             if c.isspace():
                 out[i] = 0
             elif c.isalpha():
-                base = unicodedata.normalize("NFD", c)[0].lower() if i < 0x2000 else ""
-                out[i] = ord(base) - 96 if "a" <= base <= "z" else 30 + i % 2
+                low = ord(c.lower()[0])
+                out[i] = low - 96 if 97 <= low <= 122 else others[low]
             elif c.isdigit():
                 out[i] = 27
             elif c in ".,;:!?":
                 out[i] = 28
-        out[ord("ß")] = 19
         _symbol_table.append(out)
     return _symbol_table[0]
 
@@ -121,10 +120,10 @@ def grams(batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (sym[1:] != 0) | (sym[:-1] != 0)
     keep[lead] = True
     own = np.repeat(np.arange(len(batch_texts), dtype=np.int32), lens)[keep]
-    sym = sym[keep].astype(np.uint32)
+    sym = sym[keep].astype(np.uint64)
     code = sym[ORDER - 1 :].copy()
     for k in range(1, ORDER):
-        code |= sym[ORDER - 1 - k : len(sym) - k] << np.uint32(BITS * k)
+        code |= sym[ORDER - 1 - k : len(sym) - k] << np.uint64(BITS * k)
     inside = own[: len(own) - ORDER + 1] == own[ORDER - 1 :]
     return code[inside], own[ORDER - 1 :][inside]
 
@@ -136,6 +135,10 @@ class Model:
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]]):
         self.grams, self.contexts = grams, contexts
 
+    @property
+    def size(self) -> int:
+        return sum(x.nbytes for level in (*self.grams, *self.contexts) for x in level)
+
     def bits(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
         """-log2 of each n-gram's probability; an unseen one backs off to the next shorter."""
         if order == 0:
@@ -146,8 +149,8 @@ class Model:
         miss = np.flatnonzero(~found)
         if len(miss):
             ctx_keys, ctx_cost = self.contexts[order - 1]
-            ctx, known = _find(ctx_keys, codes[miss] >> np.uint32(BITS))
-            lower = codes[miss] & np.uint32((1 << BITS * (order - 1)) - 1)
+            ctx, known = _find(ctx_keys, codes[miss] >> np.uint64(BITS))
+            lower = codes[miss] & np.uint64((1 << BITS * (order - 1)) - 1)
             out[miss] = self.bits(lower, order - 1) + np.where(known, ctx_cost[ctx] if len(ctx_cost) else 0.0, 0.0)
         return out
 
@@ -166,10 +169,10 @@ def fit(codes: np.ndarray, counts: np.ndarray) -> Model:
     n-gram. Discounts for one, two, and three or more follow from the counts of counts. The
     recursion ends in equal probabilities of all symbols.
     """
-    levels = [(codes.astype(np.uint32), counts.astype(np.float64))]
+    levels = [(codes, counts.astype(np.float64))]
     for order in range(ORDER - 1, 0, -1):
         longer, _ = levels[0]
-        shorter, n = np.unique(longer & np.uint32((1 << BITS * order) - 1), return_counts=True)
+        shorter, n = np.unique(longer & np.uint64((1 << BITS * order) - 1), return_counts=True)
         levels.insert(0, (shorter, n.astype(np.float64)))
     out, ctxs, lower_keys, lower_p = [], [], None, None
     for order, (keys, c) in enumerate(levels, 1):
@@ -177,7 +180,7 @@ def fit(codes: np.ndarray, counts: np.ndarray) -> Model:
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         d = [0.0, *(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) if a and b else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
         cut = np.asarray(d)[np.minimum(c, 3).astype(np.int64)]
-        ctx = keys >> np.uint32(BITS)
+        ctx = keys >> np.uint64(BITS)
         first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
         total, mass = np.add.reduceat(c, first), np.add.reduceat(cut, first)
         size = np.diff(np.concatenate([first, [len(keys)]]))
@@ -185,7 +188,7 @@ def fit(codes: np.ndarray, counts: np.ndarray) -> Model:
         if lower_p is None:
             below = np.full(len(keys), 1.0 / (1 << BITS))
         else:
-            below = lower_p[np.searchsorted(lower_keys, keys & np.uint32((1 << BITS * (order - 1)) - 1))]
+            below = lower_p[np.searchsorted(lower_keys, keys & np.uint64((1 << BITS * (order - 1)) - 1))]
         p = (c - cut) / np.repeat(total, size) + np.repeat(gamma, size) * below
         out.append((keys, -np.log2(p)))
         ctxs.append((ctx[first], -np.log2(np.maximum(gamma, 1e-12))))
@@ -200,45 +203,121 @@ def _fit_group(key, packed):
     held = KeyCounts()
     for batch in packed.to_batches():
         for _, grp, keys, counts in packed_rows(batch):
-            held.add_counts(grp, keys, counts)
+            held.add_counts(grp, unmix(keys), counts)
     grp = key[0].as_py()
     model = fit(*held.merged(grp))
-    rows = [(grp, i, what, k.astype("<u4").tobytes(), v.astype("<f4").tobytes()) for what, levels in (("gram", model.grams), ("context", model.contexts)) for i, (k, v) in enumerate(levels, 1)]
+    rows = [(grp, i, what, k.astype("<u8").tobytes(), v.astype("<f4").tobytes()) for what, levels in (("gram", model.grams), ("context", model.contexts)) for i, (k, v) in enumerate(levels, 1)]
     kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
     return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["grp", "ord", "what", "keys", "cost"])
 
 
-def load_models(path: str) -> dict[int, Model]:
-    """The models of a written table; kept by the Python worker, the last one only."""
-    if path not in _models:
-        _models.clear()
+def load_model(path: str, grp: int, model_bytes: int) -> Model:
+    """The model of one language of a written table. The Python worker keeps those used last, together
+    of `model_bytes` or a single one, so its memory does not follow the number of languages."""
+    if (path, grp) not in _models:
+        for old in [k for k in _models if k[0] != path]:
+            del _models[old]
         fs, root = open_fs(path)
-        held: dict[int, dict[str, list]] = {}
-        found = pads.dataset(root, format="parquet", filesystem=fs).to_table()
-        for grp, order, what, keys, cost in zip(*(found.column(c).to_pylist() for c in ("grp", "ord", "what", "keys", "cost")), strict=True):
-            levels = held.setdefault(grp, {"gram": [None] * ORDER, "context": [None] * ORDER})
-            levels[what][order - 1] = (np.frombuffer(keys, "<u4"), np.frombuffer(cost, "<f4"))
-        _models[path] = {g: Model(x["gram"], x["context"]) for g, x in held.items()}
-    return _models[path]
+        levels = {"gram": [None] * ORDER, "context": [None] * ORDER}
+        found = pads.dataset(f"{root}/grp={grp}", format="parquet", filesystem=fs).to_table()
+        for order, what, keys, cost in zip(*(found.column(c).to_pylist() for c in ("ord", "what", "keys", "cost")), strict=True):
+            levels[what][order - 1] = (np.frombuffer(keys, "<u8"), np.frombuffer(cost, "<f4"))
+        _models[path, grp] = Model(levels["gram"], levels["context"])
+        while len(_models) > 1 and sum(m.size for m in _models.values()) > model_bytes:
+            _models.popitem(last=False)
+    _models.move_to_end((path, grp))
+    return _models[path, grp]
+
+
+def lines_of(batch: pa.RecordBatch, text_col: str, lang_col: str, index: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The lines of a batch's texts, their languages' numbers, and a 64-bit key of language and line."""
+    lines, group, keys = [], [], []
+    for text, lang in zip(texts(column(batch, text_col)), column(batch, lang_col).to_pylist(), strict=True):
+        own, grp = text.split("\n"), index[lang]
+        lines += own
+        group += [grp] * len(own)
+        keys += [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), grp) for x in own]
+    return lines, np.asarray(group, np.int32), np.asarray(keys, np.uint64)
+
+
+def repeated_lines(docs: DataFrame, index: dict, text_col: str, lang_col: str, line_bits: int) -> np.ndarray:
+    """A bit for each of 2**line_bits cells, set where a line that occurs again has its key; of fixed size."""
+    words = (1 << line_bits) // 64 >> 64 - SHIFT  # of each bucket
+
+    def count(batches):
+        held = KeyCounts()
+        for batch in slices(batches, (text_col,)):
+            held.add(0, lines_of(batch, text_col, lang_col, index)[2])
+        yield from held.packed(SHIFT)
+
+    def mark(batches):
+        parts: dict[int, KeyCounts] = {}
+        for batch in batches:
+            for bucket, _, keys, counts in packed_rows(batch):
+                parts.setdefault(bucket, KeyCounts()).add_counts(0, keys, counts)
+        for bucket, held in parts.items():
+            keys, counts = held.merged(0)
+            bits, at = np.zeros(words, np.uint64), _line_cell(keys[counts > 1], line_bits) & (words * 64 - 1)
+            np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["bucket", "bits"])
+
+    spread = docs.select(text_col, lang_col).mapInArrow(count, PACKED).repartition(shuffle_partitions(docs.sparkSession), "bucket")
+    table = np.zeros((1 << 64 - SHIFT, words), np.uint64)
+    for r in spread.mapInArrow(mark, "bucket int, bits binary").collect():  # 2**line_bits bits in all
+        table[r["bucket"]] = np.frombuffer(r["bits"], np.uint64)
+    return table.ravel()
+
 
+def _line_cell(keys: np.ndarray, line_bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - line_bits)).astype(np.int64)
 
-def train_models(docs: DataFrame, langs: list[str | None], text_col: str, lang_col: str) -> str:
-    """Count the 5-grams of all texts per language, fit a model for each, and return the table's path."""
+
+def train_models(docs: DataFrame, langs: list[str | None], text_col: str, lang_col: str, line_bits: int = 24) -> str:
+    """Count the 5-grams of all distinct lines per language, fit a model for each, and return the table's path.
+
+    Lines that occur once are counted where they are. Only those whose cell says that they may occur
+    again are brought together to be counted once, so it is repeated lines that move, not texts.
+    """
     spark, index = docs.sparkSession, {v: i for i, v in enumerate(langs)}
+    shared = spark.sparkContext.broadcast(repeated_lines(docs, index, text_col, lang_col, line_bits))
+
+    def again(keys: np.ndarray) -> np.ndarray:
+        at = _line_cell(keys, line_bits)
+        return (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def add(held: KeyCounts, lines: list[str], group: np.ndarray) -> None:
+        code, own = grams(lines)
+        of = group[own]
+        for g in np.unique(of):
+            held.add(int(g), mix(code[of == g]))
 
     def count(batches):
         held = KeyCounts()
         for batch in slices(batches, (text_col,)):
-            code, own = grams(texts(column(batch, text_col)))
-            of = np.fromiter((index[v] for v in column(batch, lang_col).to_pylist()), np.int32, batch.num_rows)[own]
-            for g in np.unique(of):
-                held.add(int(g), code[of == g].astype(np.uint64))
+            lines, group, keys = lines_of(batch, text_col, lang_col, index)
+            once = np.flatnonzero(~again(keys))
+            add(held, [lines[i] for i in once.tolist()], group[once])
+        yield from held.packed(SHIFT)
+
+    def pick(batches):
+        for batch in slices(batches, (text_col,)):
+            lines, group, keys = lines_of(batch, text_col, lang_col, index)
+            some = np.flatnonzero(again(keys))
+            own = {(int(group[i]), lines[i]) for i in some.tolist()}
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in own], pa.int32()), pa.array([x for _, x in own], pa.string())], names=["grp", "line"])
+
+    def count_picked(batches):
+        held = KeyCounts()
+        for batch in slices(batches, ("line",)):
+            add(held, column(batch, "line").to_pylist(), column(batch, "grp").to_numpy())
         yield from held.packed(SHIFT)
 
-    partial = docs.select(text_col, lang_col).mapInArrow(count, PACKED)
-    counted = sum_counts(partial, min(64, shuffle_partitions(spark)), SHIFT)
+    rows = docs.select(text_col, lang_col)
+    partial = rows.mapInArrow(count, PACKED).unionByName(rows.mapInArrow(pick, "grp int, line string").distinct().mapInArrow(count_picked, PACKED))
+    counted = sum_counts(partial, shuffle_partitions(spark), SHIFT)
     path = scratch(spark, "kneser-ney")
-    counted.groupBy("grp").applyInArrow(_fit_group, MODEL_ROWS).write.parquet(path)
+    counted.groupBy("grp").applyInArrow(_fit_group, MODEL_ROWS).write.partitionBy("grp").parquet(path)
     return path
 
 
@@ -280,44 +359,49 @@ def judge_quality(
     lang_col: str = "lang",
     min_words: int = 20,
     max_repeat_percent: int = 30,
-    below: float = 8.0,
-    above: float = 8.0,
+    below: float = 4.0,
+    above: float = 4.0,
     least: float = 0.05,
-    max_languages: int = 1024,
+    model_bytes: int = 1 << 29,
+    line_bits: int = 24,
 ) -> DataFrame:
     """Count surface statistics of every whole text and decide by rules and perplexity bands.
 
     A text fails the base rules with fewer than `min_words` words or more than
     `max_repeat_percent` percent of them in repeated 8-word windows. Of the others those go whose
     bits a symbol under their language's model lie outside the language's band; perplexity is two
-    to that power. Models and bands count each distinct text of a language once, however many copies
-    there are; the models count those that fail too.
+    to that power. The models count each distinct line of a language once, so neither copies, near
+    copies nor passages that many texts share make themselves likely; the bands count each distinct
+    text once. The models count texts that fail too. A text's lines are scored apart, as they were counted.
 
     A null text counts as empty: no words, so it fails. A null language is a language of its own.
-    Every row, repeated ones too, is counted and judged by itself. An empty table gives no rows. Only the
-    three named columns are read.
+    Every row, repeated ones too, is counted and judged by itself. Limits belong to the band. An empty
+    table gives no rows. Only the three named columns are read. A worker holds models of
+    `model_bytes` together, or a single one; that of a language follows its distinct 5-grams. 2**line_bits
+    bits tell the lines that may occur again; fewer move more lines and change no result.
 
     Returns doc_id, the BASE counts, base_failed, kept, bits, bits_low, bits_high.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(max_languages + 1).collect()]
-    if len(langs) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    model = train_models(rows.select("text", "lang").distinct(), langs, "text", "lang")
+    langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]  # a row per language
+    model = train_models(rows.select("text", "lang"), langs, "text", "lang", line_bits)
     index = {v: i for i, v in enumerate(langs)}
 
     def score(batches):
-        models = load_models(model)
         for batch in slices(batches, ("text",)):
-            col = column(batch, "text")
-            code, own = grams(texts(col))
-            group = np.fromiter((index[v] for v in column(batch, "lang").to_pylist()), np.int32, batch.num_rows)
+            col, n = column(batch, "text"), batch.num_rows
+            split = [t.split("\n") for t in texts(col)]
+            code, line = grams([x for lines in split for x in lines])
+            own = np.repeat(np.arange(n), [len(lines) for lines in split])[line]
+            group = np.fromiter((index[v] for v in column(batch, "lang").to_pylist()), np.int32, n)
             of, cost = group[own], np.zeros(len(code))
-            for g in np.unique(group):
+            for g in np.unique(group).tolist():
                 at = np.flatnonzero(of == g)
-                cost[at] = models[int(g)].bits(code[at])
-            n = batch.num_rows
+                if not len(at):  # empty texts only; their language may have no model
+                    continue
+                distinct, place = np.unique(code[at], return_inverse=True)
+                cost[at] = load_model(model, g, model_bytes).bits(distinct)[place]
             mean = np.bincount(own, cost, n) / np.maximum(np.bincount(own, minlength=n), 1)
             names = ["doc_id", "lang", "text_hash", *(x.split()[0] for x in BASE.split(", ")), "bits"]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "lang"), column(batch, "text_hash"), *(pa.array(x.astype(np.int64)) for x in base_statistics(col)), pa.array(mean)], names=names)
