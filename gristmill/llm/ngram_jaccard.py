@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,6 +15,7 @@ from gristmill.llm.components import components
 from gristmill.llm.counting import PACKED, KeyCounts, packed_rows
 
 CELL_BITS = 20  # of the table of weights
+SALTS = 8  # parts of a run's members in joins
 PROFILE = 256  # parts of a set whose sizes bound its overlaps
 POSTINGS = "bucket int, size long, tokens binary, docs binary, sizes binary"
 
@@ -392,31 +395,42 @@ def _groups(batches, keys: tuple[str, ...]):
         yield last, pa.Table.from_batches(held)
 
 
-def cross_pairs(members: DataFrame, comps: DataFrame, nodes: DataFrame, percent: int, best: bool, block: int = 256) -> DataFrame:
+def cross_pairs(members: DataFrame, comps: DataFrame, nodes: DataFrame, percent: int, best: bool, block: int) -> DataFrame:
     """Pairs within the long runs whose ends are in different components so far and may yet link.
 
-    Runs of one component have none, and of runs with the same members one is enough. Runs are cut
-    into blocks by set, and a group of rows has two blocks, so no run gathers in one place. With
-    `best` each set has one partner of each group at most, the likeliest by its profile; without,
-    all pairs that their profiles allow.
+    Runs of one component have none, and of runs with the same members one is enough. A run is cut
+    by size into classes, of which a set can link with its own and the next only, and these into
+    blocks by set; a group of rows has two blocks, so no run gathers in one place, nor do its members
+    where they meet their run's facts, which are there SALTS times. With `best` each
+    set has one partner of each group at most, the likeliest by its profile; without, all pairs that
+    their profiles allow.
     """
+    width = max(math.log(100 / percent), 1e-9) * (1 + 1e-6)
     known = members.join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     facts = [F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), F.bit_xor("fp").alias("s1"), F.bit_xor(F.xxhash64("fp")).alias("s2")]
-    open_runs = known.groupBy("run").agg(*facts).where("x <> y").groupBy("m", "s1", "s2").agg(F.min("run").alias("run")).select("run", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    rows = known.join(open_runs, "run").join(nodes.select("fp", "profile"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    sides = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = sides.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "component", "profile")
-    ordered = keyed.repartition(shuffle_partitions(members.sparkSession), "run", "i", "j").sortWithinPartitions("run", "i", "j")
+    open_runs = known.groupBy("run").agg(*facts).where("x <> y").groupBy("m", "s1", "s2").agg(F.min("run").alias("run")).select("run")
+    rows = known.withColumns({"cls": F.floor(F.log("n") / width), "salt": F.pmod(F.xxhash64("fp", F.lit("salt")), F.lit(SALTS))})
+    parts = rows.groupBy("run", "cls").agg(F.ceil(F.count("*") / block).alias("blocks")).join(open_runs, "run")
+    salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    own = rows.join(salted, ["run", "cls", "salt"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks"))).drop("blocks")
+    near = own.withColumn("other", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    meets = near.join(salted.select("run", F.col("cls").alias("other"), "salt", F.col("blocks").alias("theirs")), ["run", "other", "salt"])
+    sides = meets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("theirs") - 1)).alias("j"))
+    first = F.when(F.col("cls") == F.col("other"), F.col("block") <= F.col("j")).otherwise(F.col("cls") < F.col("other"))
+    i, k = F.when(first, F.col("block")).otherwise(F.col("j")), F.when(first, F.col("j")).otherwise(F.col("block"))
+    keys = ("run", "lo", "hi", "i", "k")
+    keyed = sides.select("run", F.least("cls", "other").alias("lo"), F.greatest("cls", "other").alias("hi"), i.alias("i"), k.alias("k"), first.cast("int").alias("left"), "fp", "n", "component")
+    ordered = keyed.join(nodes.select("fp", "profile"), "fp").repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
         left, right, held = [], [], 0
-        for (_, i, j), table in _groups(batches, ("run", "i", "j")):
-            side, fp, n, comp = (table.column(c).to_numpy() for c in ("block", "fp", "n", "component"))
-            prof = profiles(table.column("profile"))
-            p, q = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        for (_, lo, hi, i, k), table in _groups(batches, keys):
+            side, fp, n, comp = (table.column(c).to_numpy() for c in ("left", "fp", "n", "component"))
+            prof, same = profiles(table.column("profile")), lo == hi and i == k
+            p, q = (np.arange(len(fp)),) * 2 if same else (np.flatnonzero(side == 1), np.flatnonzero(side == 0))
             for x in p.tolist():
                 y = q[comp[q] != comp[x]]
-                if i == j:
+                if same:
                     y = y[y > x]
                 y = y[may_link(prof[y], prof[x][None, :], n[y], n[x], percent)] if len(y) else y
                 if best and len(y) > 1:
@@ -439,7 +453,7 @@ def cross_pairs(members: DataFrame, comps: DataFrame, nodes: DataFrame, percent:
 # -------------------------------------------------------------------------------- operator
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 3, pivots: int = 2) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 3, pivots: int = 2, block: int = 256) -> DataFrame:
     """Group documents by links of Jaccard similarity percent / 100 or more of their shingle sets.
 
     Equal sets are one node from the start, so copies are never paired. Of every other set the n -
@@ -459,10 +473,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     Returns doc_id, n_shingles, component_id: the smallest id reachable by links, its own included.
     """
     with small_batches(docs.sparkSession):
-        return _jaccard_groups(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), k, percent, small, pivots)
+        return _jaccard_groups(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), k, percent, small, pivots, block)
 
 
-def _jaccard_groups(rows: DataFrame, k: int, percent: int, small: int, pivots: int) -> DataFrame:
+def _jaccard_groups(rows: DataFrame, k: int, percent: int, small: int, pivots: int, block: int) -> DataFrame:
     spark = rows.sparkSession
     described, _ = write_table(rows.mapInArrow(_describe(k, "doc_id", "text"), "doc_id long, n_shingles long, fp long, fp2 long, profile binary"), "jaccard-docs")
     known = rows.where("doc_id is not null")
@@ -481,7 +495,7 @@ def _jaccard_groups(rows: DataFrame, k: int, percent: int, small: int, pivots: i
         if step != "first":
             if members.isEmpty():
                 break
-            candidates = cross_pairs(members, comps, nodes, percent, best=step == "best").join(tried, ["a", "b"], "left_anti")
+            candidates = cross_pairs(members, comps, nodes, percent, best=step == "best", block=block).join(tried, ["a", "b"], "left_anti")
         pairs, path = write_table(candidates, "jaccard-pairs")
         paths.append(path)
         tried = pairs if tried is None else tried.union(pairs)
