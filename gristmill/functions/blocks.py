@@ -312,9 +312,9 @@ def walk(node: Node, at: Place) -> Iterator[dict]:
 
 
 def descend(node: Node, *roles: str) -> Iterator[Node]:
-    """All elements below that have one of the roles, in document order."""
+    """All elements below that have one of the roles, or any, in document order."""
     for child in node.children:
-        if child.role in roles:
+        if not roles or child.role in roles:
             yield child
         yield from descend(child, *roles)
 
@@ -378,6 +378,31 @@ def document_blocks(source: str | None, html: bool = False) -> list[dict]:
     return [b | {"body_chars": size} for b in out]
 
 
+COUNTED = ("p", "s", "note", "figure")
+
+
+def element_counts(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """id, n_p, n_s, n_note, n_figure, n_coords, error: how many elements of each name an XML document
+    has, and how many have coordinates; a document that cannot be read is a row with its error."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = [f"n_{n}" for n in (*COUNTED, "coords")]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for source in batch.column(1).to_pylist():
+                try:
+                    root = parse_xml(source or "")
+                    every = [root, *descend(root)]
+                    out.append((*(sum(e.role == n for e in every) for n in COUNTED), sum("coords" in e.attrs for e in every), None))
+                except ValueError as error:
+                    out.append((*[None] * len(names), str(error)))
+            kinds = (*[pa.int64()] * len(names), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=[id_col, *names, "error"])
+
+    return docs.select(id_col, F.col(source_col).cast("string").alias("_source")).mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{n} long" for n in names) + ", error string")
+
+
 def blocks_of(docs: DataFrame, id_col: str, source_col: str, html: bool = False) -> DataFrame:
     """A row per block; a document that cannot be read is one row with its error."""
     kind = docs.schema[id_col].dataType.simpleString()

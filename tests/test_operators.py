@@ -110,6 +110,12 @@ def test_reasons_and_warnings_of_blocks():
     assert {b["body_chars"] for b in blocks} == {len(bl.normalize(" ".join(bl.all_text(bl.parse_xml(WARNED.format(long=long)).find("text", "body")))))}
 
 
+def test_element_counts(spark):
+    source = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><p coords="1"><s>a</s><s coords="2">b</s></p><note><p/></note><figure coords=""/></TEI>'
+    got = {r.id: r for r in bl.element_counts(spark.createDataFrame([(1, source), (2, "<a"), (3, None)], "id long, x string"), "id", "x").collect()}
+    assert tuple(got[1])[1:] == (2, 2, 1, 1, 3, None) and got[2].error.startswith("invalid XML") and got[3].n_p is None
+
+
 def test_html_walk():
     page = "<!DOCTYPE html><html><head><title>T &amp; U</title></head><body><nav>n</nav><h1>H</h1><p>a<br>b<p>c<ul><li>x<li>y</ul><script>var a='</p>';</script></body></html>"
     got = [(b["kind"], b["text"]) for b in bl.document_blocks(page, html=True)]
