@@ -22,7 +22,7 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
 
 
 #: Rows of an Arrow batch: workers carry the memory of all stages.
-ROWS = 1000
+ROWS = 500
 #: A document goes whose share of known n-grams is below this part of its language's median.
 SHARE_OF_MEDIAN = 0.5
 
@@ -96,5 +96,5 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null text is one end id; repeated rows are packed each; an empty table gives no rows.
     """
     with small_batches(spark, ROWS):
-        packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1, batch_bytes=4 << 20, cached=100_000)
+        packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1, block_tokens=1 << 20, batch_bytes=1 << 20, cached=30_000)
         return write_table(packed, "packed")[0]
