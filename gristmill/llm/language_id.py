@@ -121,28 +121,40 @@ def _count(langs: list[str]):
     return run
 
 
-def _build(words: int, row_bits: int):
-    """The part of the filter of each bucket of n-grams; every n-gram is put in for every language that has it."""
-    rows = 1 << (row_bits - BUCKET_BITS)
+def _build(totals: np.ndarray, row_bits: int, ratio: float):
+    """The part of the filter of each bucket of n-grams; an n-gram is put in for the languages that have
+    it at `ratio` times the rate of the one that has it most."""
+    rows, words, size = 1 << (row_bits - BUCKET_BITS), (len(totals) + 63) // 64, np.maximum(totals, 1).astype(float)
 
     def run(batches):
-        parts: dict[int, np.ndarray] = {}
+        parts: dict[int, list] = {}
         for batch in batches:
-            for bucket, grp, keys, _ in packed_rows(batch):
-                table = parts.setdefault(bucket, np.zeros((rows, words), np.uint64))
-                for at in rows_of(keys, row_bits):
-                    np.bitwise_or.at(table, (at & (rows - 1), grp // 64), np.uint64(1 << grp % 64))
+            for bucket, grp, keys, counts in packed_rows(batch):
+                parts.setdefault(bucket, []).append((grp, keys, counts))
         for bucket in sorted(parts):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([parts[bucket].astype("<u8").tobytes()], pa.binary())], names=["bucket", "part"])
+            held = parts.pop(bucket)
+            every = np.unique(np.concatenate([k for _, k, _ in held]))
+            top = np.zeros(len(every))
+            for g, k, c in held:
+                at = np.searchsorted(every, k)
+                top[at] = np.maximum(top[at], c / size[g])
+            table = np.zeros((rows, words), np.uint64)
+            for g, k, c in held:
+                own = k[c / size[g] >= ratio * top[np.searchsorted(every, k)]]
+                for at in rows_of(own, row_bits):
+                    np.bitwise_or.at(table, (at & (rows - 1), g // 64), np.uint64(1 << g % 64))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([table.astype("<u8").tobytes()], pa.binary())], names=["bucket", "part"])
 
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_bits: int = 20, most_bits: int = 24) -> LanguageFilter:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_bits: int = 20, most_bits: int = 24, ratio: float = 0.1) -> LanguageFilter:
     """Collect the n-grams of every labelled text and build the filter of all languages.
 
-    Every n-gram of a language's texts is put in for it, so the filter returns all languages that
-    contain an n-gram. It has eight rows for each n-gram of the language that has most, at least
+    An n-gram is put in for the language in which it is most frequent and for all that have it at
+    `ratio` times that rate or more; with 0 for all languages that ever had it. Large corpora have
+    passages in other languages under every label, so that in the end every language has nearly
+    every n-gram once, and popcounts of bare occurrence tell nothing. The filter has eight rows for each n-gram of the language that has most, at least
     2**least_bits and at most 2**most_bits rows of 8 bytes for every 64 languages: that bounds
     what is collected and broadcast, whatever the corpus. Where that is too few, false positives
     grow, and the correction takes them out of the shares. Rows with a null language or null text
@@ -172,7 +184,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
         totals[r["grp"]], most = r["n"], max(most, r["d"])
     row_bits = min(most_bits, max(least_bits, (8 * most - 1).bit_length()))
     spread = counted.repartition(min(buckets, n), "bucket")
-    parts = spread.mapInArrow(_build(words, row_bits), "bucket int, part binary").collect()  # 2**row_bits rows in all
+    parts = spread.mapInArrow(_build(totals, row_bits, ratio), "bucket int, part binary").collect()  # 2**row_bits rows in all
     table = np.zeros((buckets, 1 << (row_bits - BUCKET_BITS), words), np.uint64)
     for r in parts:
         table[r["bucket"]] = np.frombuffer(r["part"], "<u8").reshape(table.shape[1:])
