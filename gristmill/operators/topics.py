@@ -59,8 +59,8 @@ def tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
 
 def terms(docs: DataFrame, class_col: str, text_col: str, stop: tuple[str, ...] = (), longest: int = 1) -> DataFrame:
     """class, term, n: how often each class has each run of up to `longest` words; stop words are left out first."""
-    words = tokens(F.col(text_col), stop)
-    return docs.select(F.col(class_col).alias("class"), F.explode(ngrams(words, longest) if longest > 1 else words).alias("term")).groupBy("class", "term").agg(F.count("*").alias("n"))
+    found = docs.select(F.col(class_col).alias("class"), tokens(F.col(text_col), stop).alias("words"))  # once a text, not once an n-gram
+    return found.select("class", F.explode(ngrams(F.col("words"), longest) if longest > 1 else F.col("words")).alias("term")).groupBy("class", "term").agg(F.count("*").alias("n"))
 
 
 def vocabulary(tf: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
@@ -95,7 +95,8 @@ def rerank(weights: DataFrame, docs: DataFrame, class_col: str, text_col: str, v
     vector = F.col(vector_col).cast("array<double>")
     known = docs.where(F.col(vector_col).isNotNull())
     center = _mean(known.select(F.col(class_col).alias("class"), vector.alias("v")), "class")
-    has = known.select(F.explode(F.array_distinct(ngrams(tokens(F.col(text_col), stop), longest))).alias("term"), vector.alias("v")).join(heavy.select("term").distinct(), "term")
+    words = known.select(tokens(F.col(text_col), stop).alias("words"), vector.alias("v"))
+    has = words.select(F.explode(F.array_distinct(ngrams(F.col("words"), longest))).alias("term"), "v").join(heavy.select("term").distinct(), "term")
     joined = heavy.join(_mean(has, "term").withColumnRenamed("mean", "tv"), "term").join(center, "class")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     cosine = F.try_divide(dot("tv", "mean"), F.sqrt(dot("tv", "tv")) * F.sqrt(dot("mean", "mean")))
