@@ -220,11 +220,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of each text, and each text's first word."""
+def words(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of each text, [^\\x20\\x09-\\x0D]+ or between the bytes of `space`, and each text's first."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    ink = ~SPACE[raw]
+    ink = ~space[raw]
     start = ink.copy()
     start[1:] &= ~ink[:-1]
     cuts = off[(off > 0) & (off < len(raw))]

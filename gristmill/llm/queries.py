@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontam, language_id, ngram_jaccard, packing, pii, quality, suffix_dedup, token_files, url_filter, warc
+from gristmill.llm import best_fit, decontam, divergence, language_id, merkle, ngram_jaccard, packing, pii, quality, suffix_dedup, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,20 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "cosine", "lcs", "lcs_share", "answered")
 
 
+def op11_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0)
+
+
+def op12_merkle_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    return merkle.merkle_proofs(table(spark, sf_dir, "documents"), altered={"text": F.translate("text", upper, upper.lower())}, when=tampered)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 QUERIES = {
     "op1_language_bits": op1_language_bits,
     "op2_warc_shards": op2_warc_shards,
@@ -70,6 +84,9 @@ QUERIES = {
     "op8_bucket_pointers": op8_bucket_pointers,
     "op9_disclosure_pii": op9_disclosure_pii,
     "op10_latent_decontamination": op10_latent_decontamination,
+    "op11_sum_of_squares": op11_sum_of_squares,
+    "op12_merkle_traversal": op12_merkle_traversal,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 PAGES_SQL = """
@@ -107,5 +124,60 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT
 FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
 """
 
+
+def _merkle_sql(levels: int = 12, top_levels: int = 6) -> str:
+    """The tree level by level: 8**levels rows of a language, 8**top_levels languages."""
+
+    def grow(name: str, first: str, n: int) -> str:
+        out = [f"{name}0 AS MATERIALIZED ({first})"]
+        for k in range(n):
+            runs = f"SELECT g, i // 8 AS r, list(h ORDER BY i) AS hs, any_value((n + 7) // 8) AS m FROM {name}{k} WHERE n > 1 GROUP BY g, i // 8"
+            out.append(f"{name}r{k} AS MATERIALIZED ({runs})")
+            out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT g, r AS i, sha256(array_to_string(hs, '')) AS h, m AS n FROM {name}r{k} UNION ALL SELECT g, i, h, n FROM {name}{k} WHERE n = 1)")
+        return ", ".join(out)
+
+    def climb(name: str, tree: str, first: str, n: int) -> str:
+        out = [f"{name}0 AS ({first})"]
+        for k in range(n):
+            place = "(p.i % 8 + 1)"
+            left, right = f"array_to_string(r.hs[:{place} - 1], '')", f"array_to_string(r.hs[{place} + 1:], '')"
+            cols = f"p.id, p.leaf, p.g0, p.g, CASE WHEN r.hs IS NULL THEN p.i ELSE p.i // 8 END AS i, CASE WHEN r.hs IS NULL THEN p.cur ELSE sha256(concat({left}, p.cur, {right})) END AS cur, CASE WHEN r.hs IS NULL THEN p.sib ELSE concat(p.sib, {left}, {right}) END AS sib"
+            out.append(f"{name}{k + 1} AS (SELECT {cols} FROM {name}{k} p LEFT JOIN {tree}r{k} r ON r.g = p.g AND r.r = p.i // 8)")
+        return ", ".join(out)
+
+    field = lambda c: f"coalesce(concat(octet_length(encode({c}::VARCHAR)), ':', {c}::VARCHAR), '-')"
+    leaf = lambda text: f"sha256(concat({', '.join([field(c) for c in ('doc_id', 'source', 'lang', 'n_chars')] + [text])}))"
+    step = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: ascii(substr(doc_id::VARCHAR, j, 1))::BIGINT)), lambda c, b: {step}))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    docs = f"SELECT doc_id AS id, coalesce('=' || lang, '') AS g, {leaf(field('text'))} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(field(lower))} END AS other FROM documents"
+    placed = "SELECT *, row_number() OVER (PARTITION BY g ORDER BY id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d"
+    tops = f"SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS n, g AS name FROM t{levels}"
+    start = "SELECT id, leaf, g AS g0, g, i, coalesce(other, leaf) AS cur, '' AS sib FROM s"
+    upper = f"SELECT p.id, p.leaf, p.g0, u.g, u.i, p.cur, p.sib FROM p{levels} p JOIN tops u ON u.name = p.g0"
+    return (
+        f"WITH d AS ({docs}), s AS MATERIALIZED ({placed}), {grow('t', 'SELECT g, i, leaf AS h, n FROM s', levels)}, tops AS MATERIALIZED ({tops}), {grow('u', 'SELECT g, i, h, n FROM tops', top_levels)}, "
+        f"{climb('p', 't', start, levels)}, {climb('q', 'u', upper, top_levels)} "
+        f"SELECT q.id AS doc_id, q.leaf, tops.h AS subroot, u{top_levels}.h AS root, sha256(q.sib) AS proof_sha256, q.cur AS folded_root, q.cur = u{top_levels}.h AS verified FROM q{top_levels} q JOIN tops ON tops.name = q.g0 CROSS JOIN u{top_levels}"
+    )
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+e AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER o + count(*) OVER o) AS p FROM e WINDOW o AS (PARTITION BY lang, source)),
+f AS (SELECT lang, term, sum(n) AS n FROM e GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER o + count(*) OVER o) AS q FROM f WINDOW o AS (PARTITION BY lang)),
+s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+a AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+UNION ALL SELECT p.lang, p.source, 'term', p.term, ((p.p - q.q) * (p.p - q.q) // q.q)::BIGINT FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM a)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
 #: DuckDB SQL with the same rows, where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {"op2_warc_shards": PAGES_SQL, "op3_jaccard_product": JACCARD_SQL, "op8_bucket_pointers": REPEATS_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc_shards": PAGES_SQL, "op3_jaccard_product": JACCARD_SQL, "op8_bucket_pointers": REPEATS_SQL, "op12_merkle_traversal": _merkle_sql(), "op13_source_divergence": DIVERGENCE_SQL}
