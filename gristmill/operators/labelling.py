@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.sources import connectors
 from gristmill.sources.connectors import RELEVANCE
+from gristmill.sources.ledger import ask_once
 from gristmill.sources.storage import batch_name, write_json_documents
 
 CONTEXT = "topic_id int, llm_topic_name string, topic_summary string, green_category string, global_green_relevance string"
@@ -99,13 +100,14 @@ def get_contexts(topics: DataFrame, samples: DataFrame, stored: DataFrame, clien
     """CONTEXT, error: for every topic its stored context, if that is valid, else one made now.
 
     `topics` has topic_id, `samples` the representative samples, `stored` contexts by topic_id. A topic
-    whose context cannot be made or is not valid has its error.
+    whose context cannot be made or is not valid has its error. Answers are kept in the `ledger` among the
+    options, and taken from it.
     """
     names = [x.split()[0] for x in CONTEXT.split(", ")]
     kept = stored.withColumn("_why", context_verdict(F.col("topic_id"))).where("_why is null").select(*names)
     missing = topics.select("topic_id").distinct().join(kept.select("topic_id"), "topic_id", "left_anti")
     prompts = topic_prompts(samples.join(missing, "topic_id", "left_semi"))
-    made = connectors.ask(prompts, "topic_id", "prompt", client, connectors.CONTEXT_SCHEMA, **options).withColumn("c", F.from_json("response", CONTEXT))
+    made = ask_once(prompts, "topic_id", "prompt", client, connectors.CONTEXT_SCHEMA, **options).withColumn("c", F.from_json("response", CONTEXT))
     flat = made.select(F.col("topic_id").alias("_topic"), "error", "c.*").withColumn("_why", context_verdict(F.col("_topic")))
     judged = flat.withColumn("error", F.coalesce("error", "_why")).withColumn("topic_id", F.col("_topic").cast("int"))
     return kept.withColumn("error", F.lit(None).cast("string")).unionByName(judged.select(*names, "error"))
@@ -141,7 +143,8 @@ def label_batches(batches: DataFrame, contexts: DataFrame, stored: DataFrame, cl
 
     A batch's samples must have distinct ids, else the job fails and names some. Stored documents
     that are valid are used again; for the others the model is asked under the topic's context, and
-    its answer is held against the schema and the batch. What fails is a row with its error.
+    its answer is held against the schema and the batch. What fails is a row with its error. Answers are
+    kept in the `ledger` among the options: a run that is killed and started again asks only what was not answered.
     """
     keys = ["topic_id", "batch_id"]
     repeated = batches.groupBy(*keys, "sample_id").count().where("count > 1").select("sample_id").limit(10).collect()  # ten at most
@@ -152,13 +155,12 @@ def label_batches(batches: DataFrame, contexts: DataFrame, stored: DataFrame, cl
     todo = batches.join(fine.select(*keys), keys, "left_anti")
     usable = contexts.where("error is null") if "error" in contexts.columns else contexts
     prompts = batch_prompts(todo, usable).withColumn("_key", F.concat_ws("/", *keys))
-    asked = connectors.ask(prompts, "_key", "prompt", client, connectors.BATCH_SCHEMA, **options)
+    asked = ask_once(prompts, "_key", "prompt", client, connectors.BATCH_SCHEMA, **options).drop("reused")
     parsed = asked.withColumn("rows", F.from_json("response", f"rows array<struct<{ROW.replace(' string', ': string').replace(' boolean', ': boolean')}>>")["rows"])
     context = F.struct("topic_id", *CONTEXT_FIELDS).cast("struct<topic_id: int, llm_topic_name: string, topic_summary: string, green_category: string, global_green_relevance: string>")
     known = usable.select(F.col("topic_id").alias("_t"), context.alias("topic_context"))
     every = todo.select(*keys).distinct().withColumn("_key", F.concat_ws("/", *keys)).join(parsed, "_key", "left").join(known, F.col("topic_id") == F.col("_t"), "left").drop("_t")
-    # an answer costs money and is not the same twice: it is asked for once and kept
-    made = every.select(*keys, "topic_context", "rows", F.when(F.col("topic_context").isNull(), "no context").otherwise(F.col("error")).alias("error")).cache()
+    made = every.select(*keys, "topic_context", "rows", F.when(F.col("topic_context").isNull(), "no context").otherwise(F.col("error")).alias("error"))
     judged = made.join(document_verdict(batches, made), keys).withColumn("error", F.coalesce("error", "verdict")).drop("verdict")
     fresh = judged.withColumns({"rows": F.when(F.col("error").isNull(), F.col("rows")), "reused": F.lit(False)})
     return fine.withColumns({"error": F.lit(None).cast("string"), "reused": F.lit(True)}).unionByName(fresh)
@@ -175,10 +177,10 @@ def flat_labels(documents: DataFrame) -> DataFrame:
 def write_documents(documents: DataFrame, root: str) -> int:
     """topic_<id>/topic_<id>_batch_<nnn>.json for every batch without an error."""
     good = documents.where("error is null")
-    return write_json_documents(good, root, batch_name("json"), F.to_json(F.struct("topic_context", "rows"), {"ignoreNullFields": "false"}))
+    return write_json_documents(good, root, batch_name("json"), F.to_json(F.struct("topic_context", "rows"), {"ignoreNullFields": "false"}), "labels")
 
 
 def write_contexts(contexts: DataFrame, root: str) -> int:
     """topic_<id>/topic_<id>_context.json for every topic without an error."""
     folder = F.format_string("topic_%d", F.col("topic_id"))
-    return write_json_documents(contexts.where("error is null"), root, F.concat(folder, F.lit("/"), folder, F.lit("_context.json")), F.to_json(F.struct("topic_id", *CONTEXT_FIELDS)))
+    return write_json_documents(contexts.where("error is null"), root, F.concat(folder, F.lit("/"), folder, F.lit("_context.json")), F.to_json(F.struct("topic_id", *CONTEXT_FIELDS)), "contexts")

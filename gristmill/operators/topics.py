@@ -7,9 +7,12 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.sources.storage import written
+
 
 def ngrams(words: Column, longest: int) -> Column:
     """All runs of 1 to `longest` words, joined by spaces."""
@@ -44,6 +47,7 @@ ENGLISH_STOP_WORDS = (
     "yours", "yourself", "yourselves",
 )
 MIN_DF, MAX_DF, LONGEST, TOP_WORDS = 4, 0.6, 3, 15
+REPRESENTATIVES, CANDIDATES = 5, 100
 
 
 def stop_words(general: tuple[str, ...] = ENGLISH_STOP_WORDS) -> tuple[str, ...]:
@@ -57,60 +61,99 @@ def tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
     return F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
 
 
+def _runs(docs: DataFrame, class_col: str, text_col: str, stop: tuple[str, ...], longest: int, *keys: str) -> DataFrame:
+    """class, the keys, term: every run of up to `longest` words of each text; a text with a word has the empty term besides."""
+    found = docs.select(F.col(class_col).alias("class"), *keys, tokens(F.col(text_col), stop).alias("words"))  # once a text, not once an n-gram
+    runs = ngrams(F.col("words"), longest) if longest > 1 else F.col("words")
+    return found.where(F.size("words") > 0).select("class", *keys, F.explode(F.concat(runs, F.array(F.lit("")))).alias("term"))
+
+
 def terms(docs: DataFrame, class_col: str, text_col: str, stop: tuple[str, ...] = (), longest: int = 1) -> DataFrame:
     """class, term, n: how often each class has each run of up to `longest` words; stop words are left out first."""
-    found = docs.select(F.col(class_col).alias("class"), tokens(F.col(text_col), stop).alias("words"))  # once a text, not once an n-gram
-    return found.select("class", F.explode(ngrams(F.col("words"), longest) if longest > 1 else F.col("words")).alias("term")).groupBy("class", "term").agg(F.count("*").alias("n"))
+    return _runs(docs, class_col, text_col, stop, longest).where("term != ''").groupBy("class", "term").agg(F.count("*").alias("n"))
+
+
+def term_table(docs: DataFrame, class_col: str, text_col: str, stop: tuple[str, ...] = (), longest: int = LONGEST, min_df: int = MIN_DF) -> DataFrame:
+    """class, term, n, freq, classes: the counts of the terms that at least `min_df` classes have, written once.
+
+    freq and classes are a term's totals. The empty term stands for each class that has a word at all, so
+    all that follows is read from this table; the texts are not counted again.
+    """
+    counts = _runs(docs, class_col, text_col, stop, longest).groupBy("class", "term").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("term")
+    shared = counts.withColumns({"freq": F.sum("n").over(own), "classes": F.count("*").over(own)})
+    return written(shared.where((F.col("classes") >= min_df) | (F.col("term") == "")), "terms")
+
+
+def _kept(table: DataFrame, max_df: float) -> DataFrame:
+    """The terms that at most the share `max_df` of the classes has."""
+    k = table.where("term = ''").agg(F.count("*").alias("k"))
+    return table.where("term != ''").join(F.broadcast(k), F.col("classes") <= max_df * F.col("k")).select("class", "term", "n", "freq")  # one row
 
 
-def vocabulary(tf: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
-    """term, freq: the terms of at least `min_df` classes and at most the share `max_df` of them, and their totals."""
-    classes = tf.select("class").distinct().count()
-    freq = tf.groupBy("term").agg(F.sum("n").alias("freq"), F.count("*").alias("classes"))
-    return freq.where((F.col("classes") >= min_df) & (F.col("classes") <= max_df * classes)).select("term", "freq")
+def vocabulary(table: DataFrame, max_df: float = MAX_DF) -> DataFrame:
+    """term, freq: the terms of a term table that at most the share `max_df` of its classes has, and their totals."""
+    return _kept(table, max_df).groupBy("term").agg(F.any_value("freq").alias("freq"))
 
 
-def class_weights(tf: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
-    """Class-based TF-IDF: sqrt(share of the class) * ln(1 + (A - f + 0.5) / (f + 0.5)).
+def class_weights(table: DataFrame, max_df: float = MAX_DF) -> DataFrame:
+    """class, term, n, idf, weight: class-based TF-IDF, sqrt(share of the class) * idf.
 
-    Over the terms of `vocabulary` alone; f is the term's total, A the mean number of terms of a
-    class. Terms with f >= A are left out.
+    idf is ln(1 + (A - f + 0.5) / (f + 0.5)), over the terms of `vocabulary` alone; f is the term's total, A
+    the mean number of terms of a class, a whole number. A term with f above A has a negative weight.
     """
-    kept = tf.join(vocabulary(tf, min_df, max_df), "term")
+    kept = _kept(table, max_df)
     totals = kept.groupBy("class").agg(F.sum("n").alias("total"))
-    mean = float(totals.agg(F.sum("total").cast("double") / F.count("*")).first()[0] or 0.0)
-    joined = kept.join(totals, "class").where(F.col("freq") < mean)
-    weight = F.sqrt(F.col("n").cast("double") / F.col("total")) * F.log(1 + (mean - F.col("freq") + 0.5) / (F.col("freq") + 0.5))
-    return joined.select("class", "term", "n", F.round(weight, 6).alias("weight"))
+    mean = totals.agg(F.floor(F.sum("total") / F.count("*")).alias("a"))
+    idf = F.log(1 + (F.col("a") - F.col("freq") + 0.5) / (F.col("freq") + 0.5))
+    joined = kept.join(totals, "class").join(F.broadcast(mean), F.lit(True)).withColumn("idf", idf)  # one row
+    return joined.select("class", "term", "n", "idf", (F.sqrt(F.col("n").cast("double") / F.col("total")) * F.col("idf")).alias("weight"))
 
 
-def rerank(weights: DataFrame, docs: DataFrame, class_col: str, text_col: str, vector_col: str, stop: tuple[str, ...] = (), longest: int = LONGEST, candidates: int = 30, top: int = TOP_WORDS) -> DataFrame:
+def document_terms(docs: DataFrame, weights: DataFrame, class_col: str, id_col: str, text_col: str, stop: tuple[str, ...] = (), longest: int = LONGEST) -> DataFrame:
+    """class, id, term, n, idf, weight: the weighted terms of each document, written once: a sparse matrix by rows of (document, term)."""
+    runs = _runs(docs.withColumn("_id", F.col(id_col)), class_col, text_col, stop, longest, "_id")
+    found = runs.where("term != ''").join(weights.select("class", "term", "idf", "weight"), ["class", "term"])
+    return written(found.groupBy("class", F.col("_id").alias("id"), "term").agg(F.count("*").alias("n"), F.any_value("idf").alias("idf"), F.any_value("weight").alias("weight")), "document-terms")
+
+
+def representatives(found: DataFrame, weights: DataFrame, per_class: int = REPRESENTATIVES) -> DataFrame:
+    """class, rank, id, similarity: each class's documents whose TF-IDF is nearest to the class's, by cosine.
+
+    A document's weights are sqrt(share) * idf over the vocabulary, like its class's. The products of the
+    sparse document by term and class by term matrices are added up by document; ties go to the smaller id.
+    """
+    own = F.sqrt(F.col("n").cast("double")) * F.col("idf")  # the document's length cancels out
+    products = found.groupBy("class", "id").agg(F.sum(own * F.col("weight")).alias("dot"), F.sum(own * own).alias("norm"))
+    sizes = weights.groupBy("class").agg(F.sum(F.col("weight") * F.col("weight")).alias("size"))
+    cosine = F.try_divide(F.col("dot"), F.sqrt(F.col("norm")) * F.sqrt(F.col("size")))
+    scored = products.join(sizes, "class").select("class", "id", F.round(F.coalesce(cosine, F.lit(0.0)), 6).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("similarity"), "id"))
+    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= per_class).select("class", "rank", "id", "similarity")
+
+
+def rerank(weights: DataFrame, found: DataFrame, vectors: DataFrame, per_class: int = REPRESENTATIVES, candidates: int = CANDIDATES, top: int = TOP_WORDS) -> DataFrame:
     """class, rank, term, similarity: a class's `candidates` heaviest terms by the cosine of their vectors and the class's.
 
-    A class's vector is the mean of its documents'. Without an encoder for single words, a term's is
-    the mean over all documents that have it. Ties go to the term in order.
+    `found` is the outcome of `document_terms`, `vectors` has id and v. A class's vector is the mean of
+    its representative documents'. Without an encoder for single words, a term's is the mean over all documents
+    that have it. Ties go to the term in order.
     """
-    order = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("weight"), "term"))
+    order = F.row_number().over(Window.partitionBy("class").orderBy(F.desc(F.round("weight", 6)), "term"))
     heavy = weights.withColumn("at", order).where(F.col("at") <= candidates).select("class", "term")
-    vector = F.col(vector_col).cast("array<double>")
-    known = docs.where(F.col(vector_col).isNotNull())
-    center = _mean(known.select(F.col(class_col).alias("class"), vector.alias("v")), "class")
-    words = known.select(tokens(F.col(text_col), stop).alias("words"), vector.alias("v"))
-    has = words.select(F.explode(F.array_distinct(ngrams(F.col("words"), longest))).alias("term"), "v").join(heavy.select("term").distinct(), "term")
-    joined = heavy.join(_mean(has, "term").withColumnRenamed("mean", "tv"), "term").join(center, "class")
+    known = vectors.where("v is not null").select("id", array_to_vector(F.col("v").cast("array<double>")).alias("v"))
+    chosen = representatives(found, weights, per_class).select("class", "id")
+    center = chosen.join(known, "id").groupBy("class").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("cv"))
+    has = found.join(heavy.select("term").distinct(), "term").select("term", "id").distinct()
+    of_term = has.join(known, "id").groupBy("term").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("tv"))
+    joined = heavy.join(of_term, "term").join(center, "class")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = F.try_divide(dot("tv", "mean"), F.sqrt(dot("tv", "tv")) * F.sqrt(dot("mean", "mean")))
+    cosine = F.try_divide(dot("tv", "cv"), F.sqrt(dot("tv", "tv")) * F.sqrt(dot("cv", "cv")))
     scored = joined.select("class", "term", F.round(F.coalesce(cosine, F.lit(0.0)), 5).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("similarity"), "term"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("class", "rank", "term", "similarity")
 
 
-def _mean(rows: DataFrame, key: str) -> DataFrame:
-    """key, mean: the mean of the vectors `v`, element by element."""
-    each = rows.select(key, F.posexplode("v").alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))
-    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("mean"))
-
-
 def topic_names(ranked: DataFrame, k: int = 4) -> DataFrame:
     """class, name: the class and the k first terms of its ranking, joined by underscores."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"])

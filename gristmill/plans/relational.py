@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions import schemas
 from gristmill.functions import text as tx
 from gristmill.operators import labelling as lab
 from gristmill.operators import tables as ops
-from gristmill.sources import files, storage
+from gristmill.sources import files, folders, storage
+from gristmill.sources.connectors import BATCH_SCHEMA
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -252,11 +254,19 @@ def label_coverage_anti(spark, d):
     return missing.unionByName(extra)
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role IS NULL OR role NOT IN ('user', 'assistant') THEN 'bad_role' WHEN text IS NULL OR text = '' THEN 'empty_text' WHEN turn < 0 THEN 'bad_turn' ELSE 'ok' END AS status FROM conversations""")
+@query("""SELECT conv_id, turn, array_to_string(list_sort(list_concat(CASE WHEN role = 'user' THEN ['$.rows[1].green_relevance: "user" is not allowed'] ELSE [] END, CASE WHEN turn % 3 = 0 THEN ['$.rows[1].keep_for_rag: missing'] ELSE [] END,
+CASE WHEN turn % 3 = 1 THEN ['$.rows[1].keep_for_rag: not boolean'] ELSE [] END, CASE WHEN text IS NULL THEN ['$.rows[1].if_then_rule: not string'] ELSE [] END, CASE WHEN conv_id % 4 = 0 THEN ['$.rows[0].note: unknown'] ELSE [] END)), '; ') AS problems FROM conversations""")
 def validate_rows(spark, d):
-    role_ok = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
-    status = F.when(~role_ok, "bad_role").when(F.coalesce(F.col("text"), F.lit("")) == "", "empty_text").when(F.col("turn") < 0, "bad_turn").otherwise("ok")
-    return table(spark, d, "conversations").select("conv_id", "turn", status.alias("status"))
+    """Turns as answers of a model, in JSON with various faults, against the strict schema of a batch."""
+    first = F.struct(F.lit("s").alias("sample_id"), F.lit("r").alias("if_then_rule"), F.lit("low").alias("green_relevance"), F.lit(True).alias("keep_for_rag"), F.when(F.col("conv_id") % 4 == 0, "n").alias("note"))
+    level = F.when(F.col("role") == "user", "user").otherwise("high")
+    keep = F.when(F.col("turn") % 3 == 1, ',"keep_for_rag":1').when(F.col("turn") % 3 == 2, ',"keep_for_rag":true').otherwise("")
+    listed = F.to_json(F.array("text"))
+    rule = F.substr(listed, F.lit(2), F.length(listed) - 2)
+    second = F.concat(F.lit('{"sample_id":"t","green_relevance":"'), level, F.lit('","if_then_rule":'), rule, keep, F.lit("}"))
+    answer = F.concat(F.lit('{"rows":['), F.to_json(first), F.lit(","), second, F.lit("]}"))
+    found = schemas.violations(answer, BATCH_SCHEMA)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(found), "; ").alias("problems"))
 
 
 @query("""WITH i AS (SELECT doc_id FROM documents WHERE lang = 'en'), l AS (SELECT doc_id, CASE quality WHEN 1 THEN 'high' ELSE 'None' END AS rel, CASE WHEN toxic = 0 THEN true END AS keep FROM labels)
@@ -298,6 +308,14 @@ def batch_files_round_trip(spark, d):
     return files.read_batches(spark, path).select("topic_id", "batch_id", "sample_id", "topic_name", F.md5(F.coalesce("topic_text", F.lit(""))).alias("text_md5"))
 
 
+@query(f"WITH {BATCHED_SQL} SELECT topic_id::INT AS topic_id, batch_id, sample_id, md5(text) AS text_md5 FROM b WHERE topic_id IN (-1, 2, 3)")
+def topic_files_selected(spark, d):
+    """Batch files again, but only the folders of the topics asked for are listed and read."""
+    path = storage.scratch(spark, "batches")
+    storage.write_batch_files(batched_turns(spark, d), path, ["sample_id", "topic_name", "topic_text"])
+    return folders.read_topics(spark, path, ops.parse_selection(["outlier", "2-3"])).select("topic_id", "batch_id", "sample_id", F.md5(F.coalesce("topic_text", F.lit(""))).alias("text_md5"))
+
+
 @query(f"WITH {BATCHED_SQL} SELECT topic_id::INT AS topic_id, 'topic ' || topic_id AS llm_topic_name, sample_id, md5(text) AS rule_md5 FROM b")
 def json_documents_round_trip(spark, d):
     """One pretty JSON document per batch, context and rows, read again and taken apart."""
@@ -310,12 +328,14 @@ def json_documents_round_trip(spark, d):
     return rows.select("topic_context.topic_id", "topic_context.llm_topic_name", "row.sample_id", F.md5("row.if_then_rule").alias("rule_md5"))
 
 
-@query("""SELECT n_nationkey, replace(lower(n_name), ' ', '_') AS category, CASE WHEN NOT regexp_full_match(replace(lower(n_name), ' ', '_'), '[a-z][a-z0-9_]*') THEN 'not_snake_case'
-WHEN n_regionkey NOT IN (0, 1, 2, 3) THEN 'bad_enum' ELSE 'ok' END AS verdict FROM nation""")
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN 'topic_id' WHEN n_nationkey % 5 = 1 THEN 'missing_topic_summary' WHEN n_nationkey % 4 = 2 THEN 'not_snake_case' WHEN n_regionkey = 4 THEN 'relevance' END AS verdict FROM nation""")
 def validate_context(spark, d):
-    category = F.replace(F.lower("n_name"), F.lit(" "), F.lit("_"))
-    verdict = F.when(~category.rlike(r"\A[a-z][a-z0-9_]*\z"), "not_snake_case").when(~F.col("n_regionkey").isin(0, 1, 2, 3), "bad_enum").otherwise("ok")
-    return table(spark, d, "nation").select("n_nationkey", category.alias("category"), verdict.alias("verdict"))
+    """Nations as contexts, with a fault of each kind in some."""
+    key = F.col("n_nationkey")
+    level = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "none", "huge"))), F.col("n_regionkey").cast("int") + 1)
+    category = F.when(key % 4 == 2, F.col("n_name")).otherwise(F.lower("n_name"))
+    made = table(spark, d, "nation").select("n_nationkey", F.when(key % 7 != 0, key).alias("topic_id"), F.col("n_name").alias("llm_topic_name"), F.when(key % 5 == 1, " ").otherwise(F.col("n_name")).alias("topic_summary"), category.alias("green_category"), level.alias("global_green_relevance"))
+    return made.select("n_nationkey", lab.context_verdict(key).alias("verdict"))
 
 
 RELEVANCE_SQL = "CASE quality WHEN 1 THEN ' High ' WHEN 0 THEN 'none' END"

@@ -11,6 +11,7 @@ from gristmill.operators import density as dn
 from gristmill.operators import tables as ops
 from gristmill.operators import topics as tp
 from gristmill.plans.relational import ORACLE, QUERIES, query, spread, table  # noqa: F401  the registry that both modules fill
+from gristmill.sources.storage import written
 
 # ------------------------------------------------------------- shared pieces of the SQL
 
@@ -302,21 +303,26 @@ STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP)
 NGRAM_SQL = rf"""w AS MATERIALIZED (SELECT source AS class, doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}') AND x NOT IN ({STOP_SQL})) AS t FROM documents),
 terms AS MATERIALIZED (SELECT class, doc_id, unnest(t) AS term FROM w UNION ALL SELECT class, doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM w
 UNION ALL SELECT class, doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM w)"""
-CTF_SQL = f"""{NGRAM_SQL}, tf AS (SELECT class, term, count(*) AS n FROM terms GROUP BY ALL), k AS (SELECT count(DISTINCT class) AS k FROM tf),
-f AS (SELECT term, sum(n) AS freq FROM tf GROUP BY term HAVING count(*) >= {tp.MIN_DF} AND count(*) <= {tp.MAX_DF}::DOUBLE * (SELECT k FROM k)),
-tv AS (SELECT class, term, n, freq FROM tf JOIN f USING (term)), tot AS (SELECT class, sum(n) AS total FROM tv GROUP BY class), avg_len AS (SELECT sum(total)::DOUBLE / count(*) AS a FROM tot),
-weighted AS (SELECT class, term, n, round(sqrt(n::DOUBLE / total) * ln(1 + (a - freq + 0.5) / (freq + 0.5)), 6) AS weight FROM tv JOIN tot USING (class), avg_len WHERE freq < a)"""
-RANK_SQL = f"""heavy AS (SELECT class, term FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY weight DESC, term) AS pos FROM weighted) WHERE pos <= 30),
-vec AS (SELECT doc_id, source AS class, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id),
-cv AS (SELECT class, list(x ORDER BY i) AS v FROM (SELECT class, i, avg(e[i]) AS x FROM vec, range(1, 65) r(i) GROUP BY class, i) GROUP BY class),
-has AS (SELECT DISTINCT doc_id, term FROM terms WHERE term IN (SELECT term FROM heavy)),
+CTF_SQL = f"""{NGRAM_SQL}, tf AS MATERIALIZED (SELECT class, term, count(*) AS n FROM terms GROUP BY ALL), k AS (SELECT count(DISTINCT class) AS k FROM tf),
+f AS MATERIALIZED (SELECT term, sum(n) AS freq FROM tf GROUP BY term HAVING count(*) >= {tp.MIN_DF} AND count(*) <= {tp.MAX_DF}::DOUBLE * (SELECT k FROM k)),
+tv AS (SELECT class, term, n, freq FROM tf JOIN f USING (term)), tot AS (SELECT class, sum(n) AS total FROM tv GROUP BY class), avg_len AS (SELECT floor(sum(total)::DOUBLE / count(*)) AS a FROM tot),
+idf AS (SELECT class, term, n, total, ln(1 + (a - freq + 0.5) / (freq + 0.5)) AS idf FROM tv JOIN tot USING (class), avg_len),
+weighted AS MATERIALIZED (SELECT class, term, n, idf, sqrt(n::DOUBLE / total) * idf AS weight FROM idf)"""
+REPRESENTATIVE_SQL = f"""dt AS MATERIALIZED (SELECT class, doc_id, term, count(*) AS n FROM terms WHERE term IN (SELECT term FROM f) GROUP BY ALL),
+prod AS (SELECT d.class, d.doc_id, sum(sqrt(d.n::DOUBLE) * w.idf * w.weight) AS dot, sum(d.n * w.idf * w.idf) AS norm FROM dt d JOIN weighted w ON w.class = d.class AND w.term = d.term GROUP BY ALL),
+sizes AS (SELECT class, sum(weight * weight) AS size FROM weighted GROUP BY class),
+rep AS (SELECT class, row_number() OVER (PARTITION BY class ORDER BY similarity DESC, doc_id) AS rank, doc_id, similarity FROM (SELECT class, doc_id, round(dot / (sqrt(norm) * sqrt(size)), 6) AS similarity FROM prod JOIN sizes USING (class)) QUALIFY rank <= {tp.REPRESENTATIVES})"""
+RANK_SQL = f"""{REPRESENTATIVE_SQL}, heavy AS (SELECT class, term FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(weight, 6) DESC, term) AS pos FROM weighted) WHERE pos <= {tp.CANDIDATES}),
+vec AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id),
+cv AS (SELECT class, list(x ORDER BY i) AS v FROM (SELECT class, i, avg(e[i]) AS x FROM rep JOIN vec USING (doc_id), range(1, 65) r(i) GROUP BY class, i) GROUP BY class),
+has AS (SELECT DISTINCT doc_id, term FROM dt WHERE term IN (SELECT term FROM heavy)),
 tvec AS (SELECT term, list(x ORDER BY i) AS v FROM (SELECT term, i, avg(e[i]) AS x FROM has JOIN vec USING (doc_id), range(1, 65) r(i) GROUP BY term, i) GROUP BY term),
 s AS (SELECT h.class, h.term, round(list_cosine_similarity(t.v, c.v), 5) AS similarity FROM heavy h JOIN tvec t USING (term) JOIN cv c ON c.class = h.class),
 ranked AS (SELECT class, row_number() OVER (PARTITION BY class ORDER BY similarity DESC, term) AS rank, term, similarity FROM s QUALIFY rank <= {tp.TOP_WORDS})"""
 
 
 def term_counts(spark, d):
-    return tp.terms(spread(table(spark, d, "documents").select("source", "text")), "source", "text", STOP, tp.LONGEST)
+    return tp.term_table(spread(table(spark, d, "documents").select("source", "text")), "source", "text", STOP)
 
 
 @query(f"WITH {CTF_SQL} SELECT term, freq::BIGINT AS n FROM f")
@@ -324,15 +330,28 @@ def ngram_counts(spark, d):
     return tp.vocabulary(term_counts(spark, d)).select("term", F.col("freq").alias("n"))
 
 
-@query(f"WITH {CTF_SQL} SELECT class, term, n, weight FROM weighted")
+@query(f"WITH {CTF_SQL} SELECT class, term, n, round(weight, 6) AS weight FROM weighted")
 def ctfidf(spark, d):
-    return tp.class_weights(term_counts(spark, d))
+    return tp.class_weights(term_counts(spark, d)).select("class", "term", "n", F.round("weight", 6).alias("weight"))
+
+
+def weighted_terms(spark, d):
+    """The weights of all classes' terms, and the documents' terms."""
+    weights = written(tp.class_weights(term_counts(spark, d)), "weights")
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return weights, tp.document_terms(docs, weights, "source", "doc_id", "text", STOP)
+
+
+@query(f"WITH {CTF_SQL}, {REPRESENTATIVE_SQL} SELECT class, rank, doc_id, similarity FROM rep")
+def topic_representatives(spark, d):
+    weights, found = weighted_terms(spark, d)
+    return tp.representatives(found, weights).withColumnRenamed("id", "doc_id")
 
 
 def ranked_terms(spark, d):
     """Each class's terms by similarity; the vectors are those of the documents of the same number."""
-    both = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return tp.rerank(tp.class_weights(term_counts(spark, d)), both, "source", "text", "embedding", STOP)
+    weights, found = weighted_terms(spark, d)
+    return tp.rerank(weights, found, table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
 
 
 @query(f"WITH {CTF_SQL}, {RANK_SQL} SELECT class, rank, term, similarity FROM ranked")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import inspect
 import json
+import math
 import os
 import time
 import urllib.request
@@ -12,6 +14,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,9 @@ CATEGORIES = (
     "energy_monitoring", "occupancy_based_control", "environmental_awareness", "scheduling_optimization",
 )
 
+#: Calls that may be under way at once.
+SLOTS = 8
+
 
 def strict_object(properties: dict[str, Any]) -> dict[str, Any]:
     """The JSON schema of an object that has all these fields and no others."""
@@ -50,7 +56,9 @@ def violations(value: Any, schema: Mapping[str, Any], at: str = "$") -> list[str
     kind = schema.get("type")
     if kind and (not isinstance(value, _TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
         return [f"{at}: not {kind}"]
-    out = [f"{at}: {value!r} is not allowed"] if "enum" in schema and value not in schema["enum"] else []
+    shown = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    allowed = "enum" not in schema or shown in [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in schema["enum"]]  # 1 is not true
+    out = [] if allowed else [f"{at}: {shown} is not allowed"]
     if kind == "array":
         for i, item in enumerate(value):
             out += violations(item, schema.get("items", {}), f"{at}[{i}]")
@@ -129,34 +137,72 @@ class ChatClient:
             return json.loads(response.read())["choices"][0]["message"]["content"]
 
 
-def ask(inputs: DataFrame, key: str, prompt: str, client: Callable[[str], str], schema: Mapping[str, Any], attempts: int = MAX_RETRIES, backoff: float = 2.0, pause: float = SLEEP_BETWEEN_REQUESTS_SECONDS) -> DataFrame:
+@dataclass(frozen=True)
+class Pace:
+    """When a service may be called: every `pause` seconds at most, however many tasks there are.
+
+    The prompts are dealt to `slots` partitions. Slot k of n calls at the instants start + (k + n * m) *
+    pause only, for whole m, so no two slots share one, and a slot that runs late misses its turns. Without a pause
+    nothing is dealt or delayed. Clocks should agree to less than a pause, and tasks should not
+    be run twice at a time (spark.speculation off, its default).
+    """
+
+    pause: float
+    slots: int = SLOTS
+    start: float = field(default_factory=time.time)
+
+    def dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        return rows.repartition(self.slots, key) if self.pause > 0 else rows
+
+    def turns(self, partition: int) -> Iterator[float]:
+        """The instants of a slot from now on; each is waited for."""
+        last = -1
+        while True:
+            if self.pause > 0:
+                slot = partition % self.slots
+                behind = (time.time() - self.start) / self.pause - slot
+                last = max(last + 1, math.ceil(behind / self.slots), 0)
+                time.sleep(max(0.0, self.start + (slot + last * self.slots) * self.pause - time.time()))
+            yield time.time()
+
+
+def answered(client: Callable[[str], str], text: str | None, schema: Mapping[str, Any], attempts: int, backoff: float, turns: Iterator[float]) -> tuple[str | None, str | None]:
+    """A client's answer to a prompt as plain JSON, or the last reason why there is none.
+
+    A call that raises or gives no valid answer is tried again up to `attempts` times, after backoff,
+    backoff**2, … seconds. Each call waits for its turn.
+    """
+    answer, error = None, "no prompt"
+    for n in range(1, attempts + 1 if text is not None else 1):
+        next(turns)
+        try:
+            answer, error = checked(client(text), schema)
+        except Exception as problem:  # noqa: BLE001  whatever a client raises is data here
+            answer, error = None, f"{type(problem).__name__}: {problem}"
+        if error is None:
+            break
+        if n < attempts and backoff:
+            time.sleep(backoff**n)
+    return answer, error
+
+
+def ask(inputs: DataFrame, key: str, prompt: str, client: Callable[[str], str], schema: Mapping[str, Any], attempts: int = MAX_RETRIES, backoff: float = 2.0, pause: float = SLEEP_BETWEEN_REQUESTS_SECONDS, slots: int = SLOTS) -> DataFrame:
     """key, response, error: a client's answer to each prompt, checked against a strict schema.
 
-    A call that raises or gives no valid answer is tried again up to `attempts` times, after
-    backoff, backoff**2, … seconds; `pause` seconds follow each success. A prompt that keeps failing is a
-    row with its error, not a failed job. The client is any callable that executors can unpickle.
+    The service is called every `pause` seconds at most (see `Pace`). A prompt that keeps failing is a row
+    with its error, not a failed job. The client is any callable that executors can unpickle. Nothing
+    is kept: whoever reads the outcome twice asks twice; `ledger.ask_once` asks once.
     """
+    pace = Pace(pause, slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = pace.turns(TaskContext.get().partitionId())
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                answer, error = None, "no prompt"
-                for n in range(1, attempts + 1 if text is not None else 1):
-                    try:
-                        answer, error = checked(client(text), schema)
-                    except Exception as problem:  # noqa: BLE001  whatever a client raises is data here
-                        answer, error = None, f"{type(problem).__name__}: {problem}"
-                    if error is None:
-                        time.sleep(pause)
-                        break
-                    if n < attempts:
-                        time.sleep(backoff**n if backoff else 0)
-                out.append((answer, error))
+            out = [answered(client, text, schema, attempts, backoff, turns) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], pa.string()) for i in (0, 1))], names=[key, "response", "error"])
 
     kind = inputs.schema[key].dataType.simpleString()
-    return inputs.select(key, prompt).mapInArrow(run, f"{key} {kind}, response string, error string")
+    return pace.dealt(inputs.select(key, prompt), key).mapInArrow(run, f"{key} {kind}, response string, error string")
 
 
 def article_metadata(articles: DataFrame, id_col: str, text_col: str, client: Callable[[str], str], **options) -> DataFrame:
@@ -170,46 +216,56 @@ def article_metadata(articles: DataFrame, id_col: str, text_col: str, client: Ca
 # ------------------------------------------------------------------ extraction services
 
 
-def supported(parameters: Mapping[str, Any], aliases: tuple[str, ...], required: bool = False) -> str | None:
-    """The first of an option's names that a client knows; none is an error where the option is required."""
-    found = next((a for a in aliases if a in parameters), None)
-    if found is None and required:
-        raise RuntimeError(f"the client has none of the options {', '.join(aliases)}")
-    return found
+# ---- fixed values: an option's names in different versions of the service's client, and its value
+
+SERVICE = "processFulltextDocument"
+CALL_OPTIONS = {
+    ("output", "output_path"): None,
+    ("generateIDs", "generate_ids"): True,
+    ("tei_coordinates", "teiCoordinates"): True,
+    ("segment_sentences", "segmentSentences"): True,
+    ("consolidate_header", "consolidateHeader"): False,
+    ("consolidate_citations", "consolidateCitations"): False,
+    ("include_raw_citations", "includeRawCitations"): False,
+    ("include_raw_affiliations", "includeRawAffiliations"): False,
+    ("markdown_output",): False,
+    ("json_output",): False,
+}
 
 
-#: An option's names in different versions of the service's client, and its value; the first is required.
-SERVICE_OPTIONS = (
-    (("output", "output_path"), None),
-    (("generateIDs", "generate_ids"), True),
-    (("tei_coordinates", "teiCoordinates"), True),
-    (("segment_sentences", "segmentSentences"), True),
-    (("consolidate_header", "consolidateHeader"), False),
-    (("consolidate_citations", "consolidateCitations"), False),
-    (("include_raw_citations", "includeRawCitations"), False),
-    (("include_raw_affiliations", "includeRawAffiliations"), False),
-    (("markdown_output",), False),
-    (("json_output",), False),
-)
+class Options:
+    """What to pass to a callable of unknown version: a table of names and values, held against its signature."""
 
+    def __init__(self, target: Callable[..., Any]):
+        self.target, self.names, self.chosen = target, frozenset(inspect.signature(target).parameters), {}
 
-def service_arguments(process: Callable[..., Any], input_dir: str, output_dir: str, workers: int = 1) -> dict[str, Any]:
-    """The arguments for an extraction client's `process`, under the names that its version knows."""
+    def always(self, **values: Any) -> Options:
+        self.chosen.update(values)
+        return self
+
+    def offer(self, table: Mapping[tuple[str, ...], Any], needed: bool = False) -> Options:
+        """Each value under the first of its names that the callable has; one it needs must be among them."""
+        for aliases, value in table.items():
+            usable = [a for a in aliases if a in self.names]
+            if usable:
+                self.chosen[usable[0]] = value
+            elif needed:
+                raise RuntimeError(f"{getattr(self.target, '__name__', self.target)} takes none of {', '.join(aliases)}")
+        return self
+
+
+def service_call(process: Callable[..., Any], input_dir: str, output_dir: str, workers: int = 1) -> Callable[[], Any]:
+    """An extraction client's `process` over a folder, ready to run, under the options that its version knows."""
     if workers < 1:
         raise ValueError("at least one worker")
-    known = inspect.signature(process).parameters
-    out: dict[str, Any] = {"service": "processFulltextDocument", "input_path": input_dir, "n": workers, "force": True}
-    for i, (aliases, value) in enumerate(SERVICE_OPTIONS):
-        if name := supported(known, aliases, required=i == 0):
-            out[name] = output_dir if i == 0 else value
-    return out
+    (output, _), *optional = CALL_OPTIONS.items()
+    options = Options(process).always(service=SERVICE, input_path=input_dir, n=workers, force=True)
+    return functools.partial(process, **options.offer({output: output_dir}, needed=True).offer(dict(optional)).chosen)
 
 
-def make_client(factory: Callable[..., Any], server: str, coordinates: tuple[str, ...] = (), timeout: int = 300) -> Any:
-    """An extraction client, given the settings that its constructor knows."""
-    known = inspect.signature(factory).parameters
-    optional = {"coordinates": list(coordinates), "timeout": timeout, "check_server": True}
-    return factory(grobid_server=server, **{k: v for k, v in optional.items() if k in known})
+def service_client(factory: Callable[..., Any], server: str, **settings: Any) -> Any:
+    """An extraction client for a server; settings that its version doesn't know are left out."""
+    return factory(**Options(factory).always(grobid_server=server).offer({(k,): v for k, v in settings.items()}).chosen)
 
 
 def extract(files: DataFrame, id_col: str, content_col: str, service: Callable[[bytes], str]) -> DataFrame:

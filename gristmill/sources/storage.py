@@ -32,6 +32,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/gristmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written in the shared folder and read again: it is made once, and its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     fs, path = pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
     return fs, path.rstrip("/")
@@ -123,13 +130,16 @@ def write_delimited(rows: DataFrame, path: str, sep: str = ";", bom: bool = Fals
 
 
 def write_batch_files(batched: DataFrame, root: str, columns: list[str], order: str = "sample_id") -> int:
-    """topic_<id>/topic_<id>_batch_<nnn>.csv for each batch of (topic_id, batch_id), with the named columns.
+    """topic_<id>/topic_<id>_batch_<nnn>.csv for each batch of (topic_id, batch_id), with the named columns; how many.
 
-    A batch is bounded by how it was made, so its rows fit one file and one task's memory.
+    A batch is bounded by how it was made, so its rows fit one file and one task's memory. The files replace those of
+    the last call, all or none (see `filesets.write_file_set`).
     """
+    from gristmill.sources.filesets import write_file_set
+
     grouped = batched.groupBy("topic_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct(*columns).alias("r")))).alias("rows"))
     body = csv_text(F.transform("rows", lambda x: x["r"]), columns)
-    return finish(write_texts(grouped.select(batch_name("csv").alias("name"), body.alias("body")), root))
+    return write_file_set(grouped.select(batch_name("csv").alias("name"), body.alias("body")), root, "batches")
 
 
 def batch_name(suffix: str) -> Column:
@@ -138,23 +148,27 @@ def batch_name(suffix: str) -> Column:
     return F.concat(folder, F.lit("/"), folder, F.format_string(f"_batch_%03d.{suffix}", F.col("batch_id").cast("int")))
 
 
-def write_json_documents(rows: DataFrame, root: str, name: Column, document: Column) -> int:
-    """A pretty JSON file for each row."""
-    return finish(write_texts(rows.select(name.alias("name"), pretty_json(document).alias("body")), root))
+def write_json_documents(rows: DataFrame, root: str, name: Column, document: Column, into: str = "documents") -> int:
+    """A pretty JSON file for each row, all or none, added to those of the set `into`; how many it has then."""
+    from gristmill.sources.filesets import write_file_set
+
+    return write_file_set(rows.select(name.alias("name"), pretty_json(document).alias("body")), root, into, replace=False)
 
 
 def write_json_lines(rows: DataFrame, root: str, name: Column, every: DataFrame | None = None) -> int:
-    """A JSON Lines file for each name: its rows in order of `ordinal`, nulls kept.
+    """A JSON Lines file for each name: its rows in order of `ordinal`, nulls kept; how many there are then.
 
-    `every` lists the names (in `name`) that may have no row now: their older files are removed.
+    `every` lists the names (in `name`) that may have no row now: their older files are removed. All or none is done.
     """
+    from gristmill.sources.filesets import write_file_set
+
     fields = [c for c in rows.columns if c != "ordinal"]
     line = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     lines = rows.select(name.alias("name"), F.struct("ordinal", line.alias("line")).alias("at")).groupBy("name").agg(F.array_sort(F.collect_list("at")).alias("lines"))
     texts = lines.select("name", F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n")).alias("body"))
     if every is not None:
         texts = every.select("name").distinct().join(texts, "name", "left")
-    return finish(write_texts(texts, root))
+    return write_file_set(texts, root, "lines", replace=False)
 
 
 def write_articles(articles: DataFrame, blocks: DataFrame, id_col: str, root: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Small tables for the edges that SQL cannot show."""
 
 import json
+import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,7 +93,7 @@ WARNED = """<TEI><teiHeader><titleStmt><title type="main"></title><title>Never</
 
 def test_reasons_and_warnings_of_blocks():
     long = " ".join(["word"] * 90)
-    blocks = bl.document_blocks(WARNED.format(long=long))
+    blocks = list(bl.document_blocks(WARNED.format(long=long)))
     assert [b["text"] for b in blocks[:2]] == ["Second", "Front abstract."]
     got = [(b["kind"], b["category"], b["reason"]) for b in blocks[2:]]
     assert got == [
@@ -226,14 +229,14 @@ def test_extraction_service(spark):
     def new(service, input_path, n, force, output_path, generate_ids=None, tei_coordinates=None, consolidate_header=None): ...
     def none(service, input_path, n, force): ...
 
-    assert connectors.service_arguments(old, "i", "o") == {"service": "processFulltextDocument", "input_path": "i", "n": 1, "force": True, "output": "o", "generateIDs": True, "segmentSentences": True}
-    got = connectors.service_arguments(new, "i", "o", 3)
+    assert connectors.service_call(old, "i", "o").keywords == {"service": "processFulltextDocument", "input_path": "i", "n": 1, "force": True, "output": "o", "generateIDs": True, "segmentSentences": True}
+    got = connectors.service_call(new, "i", "o", 3).keywords
     assert got["output_path"] == "o" and got["tei_coordinates"] is True and got["consolidate_header"] is False and got["n"] == 3
     with pytest.raises(RuntimeError, match="output_path"):
-        connectors.service_arguments(none, "i", "o")
+        connectors.service_call(none, "i", "o")
     with pytest.raises(ValueError, match="worker"):
-        connectors.service_arguments(old, "i", "o", 0)
-    made = connectors.make_client(lambda grobid_server, timeout=1: (grobid_server, timeout), "http://x")
+        connectors.service_call(old, "i", "o", 0)
+    made = connectors.service_client(lambda grobid_server, timeout=1: (grobid_server, timeout), "http://x", timeout=300, coordinates=["p"])
     assert made == ("http://x", 300)
     files_ = spark.createDataFrame([("a", b"1"), ("b", b"x")], "id string, c binary")
     out = {r.id: (r.source, r.error) for r in connectors.extract(files_, "id", "c", lambda c: f"<TEI n='{int(c)}'/>").collect()}
@@ -452,14 +455,48 @@ def test_topic_terms_by_similarity(spark):
     from gristmill.operators import topics as tp_
 
     docs = spark.createDataFrame([("a", "solar panel light", [1.0, 0.0]), ("a", "solar lamp", [1.0, 0.2]), ("b", "rain water panel", [0.0, 1.0]), ("b", "rain the rule naïve x1y", [0.0, 1.0])], "c string, t string, v array<double>")
+    docs = docs.withColumn("i", F.monotonically_increasing_id())
     tf = tp_.terms(docs, "c", "t", tp_.stop_words(), 3)
     assert {r.term for r in tf.where("class = 'b'").collect()} == {"rain", "water", "panel", "rain water", "water panel", "rain water panel"}
-    assert {r.term for r in tp_.vocabulary(tf, min_df=2, max_df=1.0).collect()} == {"panel"}
-    ranked = tp_.rerank(tp_.class_weights(tf, min_df=1, max_df=1.0), docs, "c", "t", "v", tp_.stop_words(), 3, top=2)
+    counted = tp_.term_table(docs, "c", "t", tp_.stop_words(), min_df=1)
+    assert {(r["class"], r.term, r.n) for r in counted.where("term != ''").collect()} == {(r["class"], r.term, r.n) for r in tf.collect()}
+    assert {r.term for r in tp_.vocabulary(tp_.term_table(docs, "c", "t", tp_.stop_words(), min_df=2), max_df=1.0).collect()} == {"panel"}
+    weights = tp_.class_weights(counted, max_df=1.0)
+    found = tp_.document_terms(docs, weights, "c", "i", "t", tp_.stop_words())
+    ranked = tp_.rerank(weights, found, docs.select(F.col("i").alias("id"), "v"), top=2)
     got = {(r["class"], r["rank"]): r.term for r in ranked.collect()}
     assert got["b", 1] in ("rain", "rain water", "rain water panel", "water", "water panel") and got["a", 1].startswith(("solar", "lamp"))
 
 
+def test_class_weights_and_representatives_by_brute_force(spark):
+    from gristmill.operators import topics as tp_
+
+    rnd = random.Random(3)
+    rows = [(i, f"c{i % 4}", " ".join(rnd.choice(["sun"] * 40 + "moon star sea rock tree leaf wind".split()) for _ in range(rnd.randint(0, 12)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "i long, c string, t string")
+    runs = lambda t: [" ".join(t.split()[a : a + n]) for n in (1, 2, 3) for a in range(len(t.split()) - n + 1)]
+    counts = {c: Counter(x for _, c2, t in rows if c2 == c for x in runs(t)) for c in ("c0", "c1", "c2", "c3")}
+    freq, classes = sum(counts.values(), Counter()), Counter(t for c in counts.values() for t in c)
+    for max_df in (0.6, 1.0):
+        kept = {t for t in freq if 2 <= classes[t] <= max_df * 4}
+        size = {c: sum(n for t, n in counts[c].items() if t in kept) for c in counts}
+        mean = math.floor(sum(size.values()) / sum(v > 0 for v in size.values()))
+        idf = {t: math.log(1 + (mean - freq[t] + 0.5) / (freq[t] + 0.5)) for t in kept}
+        want = {(c, t): math.sqrt(n / size[c]) * idf[t] for c in counts for t, n in counts[c].items() if t in kept}
+        weights = tp_.class_weights(tp_.term_table(docs, "c", "t", min_df=2), max_df)
+        assert {(r["class"], r.term): round(r.weight, 9) for r in weights.collect()} == {k: round(v, 9) for k, v in want.items()}
+        if max_df == 1.0:
+            assert min(want.values()) < 0  # a term with more than the mean's occurrences stays
+        near = {}
+        for i, c, t in rows:
+            own = {x: math.sqrt(n) * idf[x] for x, n in Counter(runs(t)).items() if x in kept}
+            norms = math.sqrt(sum(v * v for v in own.values())) * math.sqrt(sum(v * v for (c2, _), v in want.items() if c2 == c))
+            if own:
+                near.setdefault(c, []).append((-round(sum(v * want[c, x] for x, v in own.items()) / norms, 6), i))
+        found = tp_.representatives(tp_.document_terms(docs, weights, "c", "i", "t"), weights, 3)
+        assert {(r["class"], r["rank"]): (r.id, r.similarity) for r in found.collect()} == {(c, k): (i, -s) for c, x in near.items() for k, (s, i) in enumerate(sorted(x)[:3], 1)}
+
+
 def test_labelling(spark):
     from gristmill.operators import labelling as lab
 
