@@ -19,11 +19,10 @@ def ngrams(words: Column, longest: int) -> Column:
 
     def runs(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        found = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
+        joined = lambda i: F.concat(*(x for k in range(n) for x in (F.lit(" "), F.element_at(words, i + k))[k == 0 :]))
+        return F.when(F.size(words) >= n, F.transform(starts, joined)).otherwise(F.array().cast("array<string>"))
 
-    parts = [runs(n) for n in range(1, longest + 1)]
-    return F.flatten(F.array(*parts))
+    return F.concat(words, *(runs(n) for n in range(2, longest + 1)))
 
 
 # ---- fixed values: words of the rules' own vocabulary, left out of topics ------------------
@@ -64,8 +63,7 @@ def tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
 def _runs(docs: DataFrame, class_col: str, text_col: str, stop: tuple[str, ...], longest: int, *keys: str) -> DataFrame:
     """class, the keys, term: every run of up to `longest` words of each text; a text with a word has the empty term besides."""
     found = docs.select(F.col(class_col).alias("class"), *keys, tokens(F.col(text_col), stop).alias("words"))  # once a text, not once an n-gram
-    runs = ngrams(F.col("words"), longest) if longest > 1 else F.col("words")
-    return found.where(F.size("words") > 0).select("class", *keys, F.explode(F.concat(runs, F.array(F.lit("")))).alias("term"))
+    return found.where(F.size("words") > 0).select("class", *keys, F.explode(F.concat(ngrams(F.col("words"), longest), F.array(F.lit("")))).alias("term"))
 
 
 def terms(docs: DataFrame, class_col: str, text_col: str, stop: tuple[str, ...] = (), longest: int = 1) -> DataFrame:
