@@ -145,12 +145,12 @@ def _merkle_sql(levels: int = 12, top_levels: int = 6) -> str:
             out.append(f"{name}{k + 1} AS (SELECT {cols} FROM {name}{k} p LEFT JOIN {tree}r{k} r ON r.g = p.g AND r.r = p.i // 8)")
         return ", ".join(out)
 
-    field = lambda c: f"coalesce(concat(octet_length(encode({c}::VARCHAR)), ':', {c}::VARCHAR), '-')"
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
     leaf = lambda text: f"sha256(concat({', '.join([field(c) for c in ('doc_id', 'source', 'lang', 'n_chars')] + [text])}))"
     step = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
     crc = f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: ascii(substr(doc_id::VARCHAR, j, 1))::BIGINT)), lambda c, b: {step}))"
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    docs = f"SELECT doc_id AS id, coalesce('=' || lang, '') AS g, {leaf(field('text'))} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(field(lower))} END AS other FROM documents"
+    docs = f"SELECT doc_id AS id, coalesce('=' || lang, '') AS g, {leaf(field('text'))} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {leaf(field(lower))} END AS other FROM documents"
     placed = "SELECT *, row_number() OVER (PARTITION BY g ORDER BY id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d"
     tops = f"SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS n, g AS name FROM t{levels}"
     start = "SELECT id, leaf, g AS g0, g, i, coalesce(other, leaf) AS cur, '' AS sib FROM s"
