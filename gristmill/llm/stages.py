@@ -39,31 +39,40 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts have no letter and go; rows without a label teach nothing and are judged
     like all others; repeated rows are judged each; an empty table stays empty. Columns stay as they are.
     """
+    pred, score, share = (pii.free_name(n, docs.columns) for n in ("_lang_pred", "_lang_score", "_lang_share"))
     fold = F.xxhash64("text") % 2 == 0
     judged = None
     for side in (True, False):
         model = language_id.train(docs.where(fold != side))
-        part = language_id.identify(docs.where(fold == side), model, lang_out="_lang_pred", score_out="_lang_score", share_out="_lang_share")
+        part = language_id.identify(docs.where(fold == side), model, lang_out=pred, score_out=score, share_out=share)
         judged = part if judged is None else judged.unionByName(part)
     with small_batches(spark, ROWS):
         judged, _ = write_table(judged, "language-judged")
-    medians = judged.where("lang is not null and _lang_share > 0").groupBy("_lang_pred").agg(F.percentile_approx("_lang_share", 0.5).alias("m")).collect()  # a row per language
+    medians = judged.where(F.col("lang").isNotNull() & (F.col(share) > 0)).groupBy(pred).agg(F.percentile_approx(share, 0.5).alias("m")).collect()  # a row per language
     least = F.lit(0.0)
     for r in medians:
-        least = F.when(F.col("_lang_pred") == r["_lang_pred"], SHARE_OF_MEDIAN * r["m"]).otherwise(least)
-    kept = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & (F.col("_lang_share") >= least)
+        least = F.when(F.col(pred) == r[pred], SHARE_OF_MEDIAN * r["m"]).otherwise(least)
+    kept = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & (F.col(share) >= least)
     return judged.where(kept).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near copies the document with the smallest id; one row of each id."""
-    groups, _ = write_table(ngram_jaccard.jaccard_groups(docs, k=5, percent=80), "near-copies")
-    out = without(docs, groups.where("doc_id <> component_id"))
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    known = out.where("doc_id is not null").withColumn("_order", F.xxhash64("text"))
-    first = known.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "_order").alias("row"))
-    return first.select("row.*").unionByName(out.where("doc_id is null"))
+    """Keep of each group of near copies the document with the smallest id.
+
+    Every row is a document and is judged by its text alone: rows that share an id, or have none, go only if
+    they are copies, and of these the first row with the smallest id stays, one without an id last. Null and empty
+    texts are near nothing and stay; an empty table stays empty. Columns stay as they are.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        groups, _ = write_table(ngram_jaccard.jaccard_groups(docs, k=5, percent=80), "near-copies")
+        return without(docs, groups.where("doc_id <> component_id"))
+    row = pii.free_name("_row", docs.columns)
+    keyed, _ = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = ngram_jaccard.jaccard_groups(keyed, k=5, percent=80, id_col=row)
+    groups, _ = write_table(found.where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id"), "near-copies")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    first = groups.join(keyed.select("doc_id", row), row).groupBy("component_id").agg(F.min(order)[row].alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    return without(keyed, groups.join(first, "component_id").where(F.col(row) != F.col("_first")), row).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -271,3 +271,29 @@ def test_shares_are_exact_beyond_64_bits():
     counts = np.asarray([[rnd.randrange(int(t))] for (t,) in total.tolist()], np.int64)
     got = divergence.scaled_shares(counts, total)
     assert got.tolist() == [[1 + 10**9 * (c + 1) // t] for (c,), (t,) in zip(counts.tolist(), total.tolist(), strict=True)]
+
+
+# -------------------------------------------------------------------------------- pipeline
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    from gristmill.llm import stages
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.concat(F.lit(f"own {c} "), "doc_id") for c in ("_order", "_lang_share", "_lang_score", "_lang_pred", "_row", "_first", "_n", "component_id")})
+    docs = docs.unionByName(docs.where("doc_id < 3"))  # ids repeat
+    for stage in (stages.identify_language, stages.drop_near_duplicates, stages.decontaminate):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert out.exceptAll(docs).isEmpty() and out.count() > 100
+
+
+def test_no_text_is_lost_by_its_id(spark, sf):
+    from gristmill.llm import stages
+
+    texts = ["one two three four five six seven eight nine ten", "another text that has nothing to do with the first of them", "and a third one on its own with words that no other text has in it"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[0]), (3, texts[2]), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = Counter((r.doc_id, r.text) for r in stages.drop_near_duplicates(spark, docs, sf).collect())
+    assert got == Counter([(1, texts[0]), (1, texts[1]), (3, texts[2]), (4, None), (4, None), (5, "")])
+    unique = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate([texts[0], texts[0] + " ten", texts[1], None])], SCHEMA)
+    assert {r.doc_id for r in stages.drop_near_duplicates(spark, unique, sf).collect()} == {0, 2, 3}
