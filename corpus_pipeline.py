@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import stages
-from gristmill.llm.common import write_table
+from gristmill.llm.common import drop_path, write_table
 
 STAGES = [
     ("language_id", stages.identify_language),
@@ -20,8 +20,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's outcome is a written table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs, _ = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over the documents of sf_dir; each stage's outcome is a written table, which goes when the next is there."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        docs, path = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last:
+            drop_path(spark, last)
+        last = path
+    return docs
