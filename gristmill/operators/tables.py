@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +63,46 @@ def one_to_one_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return checked(left, "left").join(checked(right, "right"), key, "left")
 
 
+@dataclass(frozen=True)
+class JoinReport:
+    """What a join has seen, once it has run: rows, unmatched, left_repeats, right_repeats."""
+
+    left: Observation
+    right: Observation
+
+    @property
+    def get(self) -> dict[str, int]:
+        return self.left.get | self.right.get
+
+
+def reported_left(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, JoinReport]:
+    """A left join on a key that should be unique on both sides, and its report, which the query fills as it runs.
+
+    Of a repeated key of the right side one row is joined, so the left side's rows come out once each. The
+    report counts left rows, those without a partner, and on each side the rows whose key has others there. Each
+    side is moved once, for its counts and the join alike; nothing is counted in a query of its own. A null key
+    matches nothing and repeats nothing, and its rows are not moved.
+    """
+    n, m, at = (free_column(c, left, right) for c in ("_left_n", "_right_n", "_right_at"))
+    own, known = Window.partitionBy(key), F.col(key).isNotNull()
+    report = JoinReport(Observation(), Observation())
+    counted = right.where(known).withColumns({m: F.count("*").over(own), at: F.row_number().over(own.orderBy(key))})
+    rights = counted.observe(report.right, F.count_if(F.col(m) > 1).alias("right_repeats")).where(F.col(at) == 1).drop(at)
+    joined = left.where(known).withColumn(n, F.count("*").over(own)).join(rights, key, "left")
+    alone = left.where(~known).withColumn(n, F.lit(1).cast("long"))
+    every = joined.unionByName(alone, allowMissingColumns=True)
+    seen = every.observe(report.left, F.count("*").alias("rows"), F.count_if(F.col(m).isNull()).alias("unmatched"), F.count_if(F.col(n) > 1).alias("left_repeats"))
+    return seen.drop(n, m), report
+
+
+def free_column(name: str, *tables: DataFrame) -> str:
+    """A name that no column of the tables has, whatever its case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 # --------------------------------------------------------------- ordinals and batches
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
+from pyarrow import dataset
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.sources.storage import written
+from gristmill.operators.topic_model import TopicEstimator
+from gristmill.sources.storage import open_fs, scratch, written
 
 
 def ngrams(words: Column, longest: int) -> Column:
@@ -130,20 +133,24 @@ def representatives(found: DataFrame, weights: DataFrame, per_class: int = REPRE
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= per_class).select("class", "rank", "id", "similarity")
 
 
-def rerank(weights: DataFrame, found: DataFrame, vectors: DataFrame, per_class: int = REPRESENTATIVES, candidates: int = CANDIDATES, top: int = TOP_WORDS) -> DataFrame:
+def rerank(weights: DataFrame, found: DataFrame, vectors: DataFrame, per_class: int = REPRESENTATIVES, candidates: int = CANDIDATES, top: int = TOP_WORDS, term_vectors: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """class, rank, term, similarity: a class's `candidates` heaviest terms by the cosine of their vectors and the class's.
 
     `found` is the outcome of `document_terms`, `vectors` has id and v. A class's vector is the mean of
-    its representative documents'. Without an encoder for single words, a term's is the mean over all documents
-    that have it. Ties go to the term in order.
+    its representative documents'. `term_vectors` makes (term, tv) of the candidates (term), in the space of `vectors`, as
+    `WordVectors.of_terms` does; without it a term's vector is the mean over all documents that have it. Ties go
+    to the term in order.
     """
     order = F.row_number().over(Window.partitionBy("class").orderBy(F.desc(F.round("weight", 6)), "term"))
     heavy = weights.withColumn("at", order).where(F.col("at") <= candidates).select("class", "term")
     known = vectors.where("v is not null").select("id", array_to_vector(F.col("v").cast("array<double>")).alias("v"))
     chosen = representatives(found, weights, per_class).select("class", "id")
     center = chosen.join(known, "id").groupBy("class").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("cv"))
-    has = found.join(heavy.select("term").distinct(), "term").select("term", "id").distinct()
-    of_term = has.join(known, "id").groupBy("term").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("tv"))
+    if term_vectors:
+        of_term = term_vectors(heavy.select("term").distinct())
+    else:
+        has = found.join(heavy.select("term").distinct(), "term").select("term", "id").distinct()
+        of_term = has.join(known, "id").groupBy("term").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("tv"))
     joined = heavy.join(of_term, "term").join(center, "class")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     cosine = F.try_divide(dot("tv", "cv"), F.sqrt(dot("tv", "tv")) * F.sqrt(dot("cv", "cv")))
@@ -165,59 +172,52 @@ def components(vectors: DataFrame, id_col: str, vector_col: str, dims: int) -> D
 
 
 def cluster(vectors: DataFrame, id_col: str, vector_col: str, k: int, dims: int, spread: float = 3.0, seed: int = 42) -> DataFrame:
-    """id, topic_id, distance: k-means on principal components; a vector farther from its centre than
-    the cluster's mean distance plus `spread` deviations is an outlier, -1."""
-    rows = vectors.select(id_col, array_to_vector(F.col(vector_col).cast("array<double>")).alias("v"))
-    reduced = PCA(k=dims, inputCol="v", outputCol="p").fit(rows).transform(rows)
-    model = KMeans(k=k, seed=seed, featuresCol="p", predictionCol="topic").fit(reduced)
-    centers = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
-    placed = model.transform(reduced).withColumn("c", F.element_at(centers, F.col("topic") + 1))
-    distance = F.sqrt(F.aggregate(F.zip_with(vector_to_array("p"), "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    placed = placed.select(id_col, "topic", distance.alias("distance"))
-    stats = placed.groupBy("topic").agg(F.avg("distance").alias("m"), F.coalesce(F.stddev_samp("distance"), F.lit(0.0)).alias("s"))
-    joined = placed.join(F.broadcast(stats), "topic")  # k rows
-    return joined.select(id_col, F.when(F.col("distance") > F.col("m") + spread * F.col("s"), -1).otherwise(F.col("topic")).alias("topic_id"), "distance")
-
-
-def cosine_topk(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int, block: int = 1024) -> DataFrame:
-    """query_id, id, score: the k nearest other vectors of every query, exactly.
-
-    Queries are cut into blocks of at most `block`; each task multiplies its vectors with every
-    block and keeps k per query, and the tasks' candidates meet once.
+    """id, topic_id, distance: the topics of a model that is fitted to the vectors themselves (see `topic_model`)."""
+    model = TopicEstimator(k, dims, spread, seed).fit(vectors, vector_col)
+    return model.transform(vectors.select(id_col, vector_col), vector_col).select(id_col, "topic_id", "distance")
+
+
+def cosine_topk(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int, block: int = 1024, chunk: int = 16_384) -> DataFrame:
+    """query_id, id, score: the k nearest other vectors of every query, exactly; equal scores by id.
+
+    The queries are written once; a task holds `chunk` of its vectors and reads the queries past them, `block` at a
+    time, so neither the driver nor a task ever has them all. Each chunk leaves k candidates a query and its
+    ties; they meet once. Rows without an id or a vector take no part.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    wanted = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-
-    def search(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-
-        def run(batches):
-            qid, unit = shared.value
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, unit.shape[1]))
-                if not len(own):
-                    continue
-                score = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ unit.T, 6)
-                score[own[:, None] == qid[None, :]] = -np.inf
-                order = np.argsort(own, kind="stable")
-                score, ids_ = score[order], own[order]
-                least = np.partition(score, -k, axis=0)[-k] if len(ids_) > k else np.full(len(qid), -np.inf)
-                row, col = np.nonzero((score >= least) & np.isfinite(score))  # k per query, and ties with the last
-                yield pa.RecordBatch.from_arrays([pa.array(qid[col]), pa.array(ids_[row]), pa.array(score[row, col])], names=["query_id", "id", "score"])
-
-        return rows.mapInArrow(run, "query_id long, id long, score double")
-
-    found, held = None, []
-    for r in wanted.toLocalIterator():  # the query set, a block at a time
-        held.append((r["id"], r["v"]))
-        if len(held) == block:
-            part = search(np.asarray([i for i, _ in held]), np.asarray([v for _, v in held]))
-            found, held = part if found is None else found.unionByName(part), []
-    if held:
-        part = search(np.asarray([i for i, _ in held]), np.asarray([v for _, v in held]))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.limit(0).select(F.col("id").alias("query_id"), F.col("id").alias(id_col), F.lit(0.0).alias("score"))
+    shaped = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("_query")).where("id is not null and v is not null")
+    rows, path = shaped.select("id", "v"), scratch(vectors.sparkSession, "queries")
+    shaped.where("_query").select("id", "v").write.parquet(path)
+
+    def unit(col: pa.Array) -> np.ndarray:
+        x = np.stack(col.to_numpy(zero_copy_only=False))
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def nearest(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        fs, base = open_fs(path)
+        for batch in dataset.dataset(base, filesystem=fs, format="parquet").to_batches(batch_size=block):
+            if not batch.num_rows:
+                continue
+            wanted = batch.column(0).to_numpy()
+            score = np.round(x @ unit(batch.column(1)).T, 6)
+            score[ids[:, None] == wanted[None, :]] = -np.inf
+            least = np.partition(score, -k, axis=0)[-k] if len(ids) > k else np.full(len(wanted), -np.inf)
+            row, col = np.nonzero((score >= least) & np.isfinite(score))  # k per query, and ties with the last
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[col]), pa.array(ids[row]), pa.array(score[row, col])], names=["query_id", "id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), unit(batch.column(1))))
+                size += batch.num_rows
+            if size >= chunk:
+                yield from nearest(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield from nearest(*map(np.concatenate, zip(*held, strict=True)))
+
+    found = rows.mapInArrow(run, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rn", rank).where(F.col("rn") <= k).select("query_id", F.col("id").alias(id_col), "score")

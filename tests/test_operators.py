@@ -15,6 +15,7 @@ from gristmill.functions import text as tx
 from gristmill.operators import density as dn
 from gristmill.operators import tables as ops
 from gristmill.operators import topics as tp
+from gristmill.operators.topic_model import TopicEstimator, TopicModel
 from gristmill.sources import connectors, files, storage
 from gristmill.streaming.incremental import collect_new
 
@@ -140,6 +141,19 @@ def test_one_to_one_fails_on_repeats(spark):
     assert ops.one_to_one_left(left, right.limit(1), "k").count() == 2
 
 
+def test_a_join_reports_what_it_has_seen(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e"), (None, "f")], "k int, _left_n string")
+    right = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (9, "w"), (9, "v"), (None, "u")], "k int, r string")
+    joined, report = ops.reported_left(left, right, "k")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # one a side
+    got = sorted(map(tuple, joined.collect()), key=str)
+    assert len(got) == 6 and joined.columns == ["k", "_left_n", "r"]
+    assert {(k, r) for k, _, r in got} in ({(1, "x"), (2, y), (3, None), (None, None)} for y in "yz")
+    assert report.get == {"rows": 6, "unmatched": 3, "left_repeats": 2, "right_repeats": 4}
+    empty, report = ops.reported_left(left.limit(0), right, "k")
+    assert empty.count() == 0 and report.left.get["rows"] == 0
+
+
 def test_selection():
     assert ops.parse_selection(["1-3,7", "outliers"]) == {-1, 1, 2, 3, 7}
     assert ops.parse_selection(["all"]) is None
@@ -451,6 +465,40 @@ def test_density_clusters(spark):
         dn.density_clusters(df, "id", "v", max_points=10)
 
 
+def test_a_topic_model_is_written_and_read(spark, tmp_path):
+    rnd = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rnd.normal(i % 3 * 10, 1, 6)]) for i in range(90)] + [(200, [500.0] * 6), (201, None)]
+    vectors = spark.createDataFrame(rows, "id int, v array<double>").withColumn("distance", F.lit("own"))
+    estimator = TopicEstimator(k=3, dims=2, spread=2.0)
+    model = estimator.fit(vectors.where("id < 200"), "v")
+    model.write(f"{tmp_path}/model")
+    model.write(f"{tmp_path}/model")
+    again = TopicModel.read(spark, f"{tmp_path}/model")
+    place = lambda m: {r.id: (r.t, r.d) for r in m.transform(vectors, "v", "t", "d").collect()}
+    got = place(again)
+    assert got == place(model) and got[200][0] == -1 and got[201] == (None, None)
+    assert {len({got[i][0] for i in range(k, 90, 3)} - {-1}) for k in range(3)} == {1} and len({t for t, _ in got.values()}) == 5
+    alone = {r.id: (r.t, r.d) for i in (0, 200) for r in again.transform(vectors.where(f"id = {i}"), "v", "t", "d").collect()}
+    assert alone == {i: got[i] for i in (0, 200)}  # a row's topic does not depend on its company
+    vectors.write.parquet(f"{tmp_path}/in")
+    stream = again.transform(spark.readStream.schema(vectors.schema).parquet(f"{tmp_path}/in"), "v", "t", "d")
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert {r.id: (r.t, r.d) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == got
+    with pytest.raises(FileNotFoundError):
+        TopicModel.read(spark, f"{tmp_path}/none")
+
+
+def test_nearest_in_chunks(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(int(i), None if i == 7 else [float(x) for x in rnd.integers(-2, 3, 4)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "i long, v array<float>").repartition(3)
+    unit = {i: np.asarray(v) / max(np.linalg.norm(v), 1e-300) for i, v in rows if v}
+    want = {(q, i, s) for q in unit if q % 5 == 0 for s, i in sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in unit if i != q)[:4]}
+    for block, chunk in ((1024, 16_384), (3, 1)):
+        got = tp.cosine_topk(vectors, "i", "v", F.col("i") % 5 == 0, 4, block, chunk).collect()
+        assert {(r.query_id, r.i, round(-r.score, 6)) for r in got} == {(q, i, round(s, 6)) for q, i, s in want}
+
+
 def test_topic_terms_by_similarity(spark):
     from gristmill.operators import topics as tp_
 
