@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import blocks as bl
 from gristmill.functions import text as tx
+from gristmill.operators import articles as ar
 from gristmill.operators import density as dn
 from gristmill.operators import tables as ops
 from gristmill.operators import topics as tp
@@ -197,18 +198,6 @@ def best_candidate(spark, d):
     return scored.groupBy("source").agg(F.max("score").alias("score"), F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"))
 
 
-@query(f"""WITH {DOCS_SQL}, s AS (SELECT source, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY source ORDER BY {SCORE_SQL} DESC, doc_id) AS rn FROM d),
-g AS (SELECT source, max(score) FILTER (rn = 1) AS best, max(score) FILTER (rn = 2) AS second FROM s GROUP BY source)
-SELECT source, best, best - second AS gap, CASE WHEN best < 0 THEN 'low_confidence' WHEN best - second <= 1.5 THEN 'ambiguous' ELSE 'ok' END AS verdict FROM g""")
-def best_candidate_gap(spark, d):
-    scored = measured(docs(spark, d)).select("source", tx.abstract_score(text(), F.col("lang"), held()).alias("score")).groupBy("source", "score").agg(F.count("*").alias("n"))
-    two = scored.groupBy("source").agg(F.max("score").alias("best"), F.max_by("n", "score").alias("ties"))
-    second = scored.join(two, "source").where("score < best").groupBy("source").agg(F.max("score").alias("below"))
-    out = two.join(second, "source", "left").withColumn("second", F.when(F.col("ties") > 1, F.col("best")).otherwise(F.col("below")))
-    gap = F.col("best") - F.col("second")
-    return out.select("source", "best", gap.alias("gap"), F.when(F.col("best") < 0, "low_confidence").when(gap <= 1.5, "ambiguous").otherwise("ok").alias("verdict"))
-
-
 HEADING_SQL = f"trim({FOLD_SQL.format('split_part(text, chr(10), 1)')})"
 TITLE_LIST = ", ".join(f"'{t}'" for t in tx.EXCLUDED_TITLES)
 
@@ -243,12 +232,31 @@ LINE_SQL = f"""b AS (SELECT doc_id, lang, source, ordinal - 1 AS ordinal, t, {PA
 (SELECT doc_id, lang, source, list_transform(string_split(text, chr(10)), lambda x: {sql_strip("x")}) AS l FROM documents)) WHERE t <> '')"""
 
 
-@query(f"""WITH {LINE_SQL} SELECT doc_id, ordinal, md5(trim({FOLD_SQL.format("t")})) AS fingerprint, CASE WHEN length(trim({FOLD_SQL.format("t")})) >= 80 AND row_number() OVER (PARTITION BY doc_id, md5(trim({FOLD_SQL.format("t")})) ORDER BY ordinal) > 1 THEN 'duplicate_content' ELSE 'kept' END AS verdict FROM b""")
+def line_blocks(spark, d):
+    """The lines as blocks of a document: the first is a heading, short ones are quotes, the category is the parent's."""
+    kind = F.when(F.col("ordinal") == 0, "heading").when(F.length(text()) < 35, "quote").otherwise("paragraph")
+    rows = lines(spark, d).select("doc_id", "ordinal", kind.alias("kind"), text().alias("text"), parent().alias("category"), "lang")
+    return rows.withColumns({"reason": F.lit("kept"), "level": F.lit(2), "source_type": F.col("lang"), "error": F.lit(None).cast("string")})
+
+
+@query(f"""WITH {LINE_SQL}, s AS (SELECT doc_id, t, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY doc_id ORDER BY {SCORE_SQL} DESC, ordinal) AS rn FROM b),
+g AS (SELECT doc_id, count(*) AS n, max(score) FILTER (rn = 1) AS score, max(score) FILTER (rn = 2) AS second, max(t) FILTER (rn = 1) AS t FROM s GROUP BY doc_id)
+SELECT doc_id, md5(t) AS abstract_md5, score, n AS candidates, array_to_string(list_filter([CASE WHEN score - second <= 1.5 THEN 'ambiguous_abstract_selection' END, CASE WHEN score < 0 THEN 'low_confidence_abstract' END], lambda x: x IS NOT NULL), ',') AS warnings FROM g""")
+def best_candidate_gap(spark, d):
+    """The abstract chosen for each document, if every line of it were a candidate."""
+    candidates = line_blocks(spark, d).withColumn("kind", F.lit("abstract_candidate"))
+    chosen = ar.choose_abstract(candidates, "doc_id")
+    return chosen.select("doc_id", F.md5("abstract").alias("abstract_md5"), "score", F.size("candidates").cast("long").alias("candidates"), F.array_join("abstract_warnings", ",").alias("warnings"))
+
+
+@query(f"""WITH {LINE_SQL}, f AS (SELECT *, trim({FOLD_SQL.format("t")}) AS p FROM b), j AS (SELECT *, length(p) >= 80 AND ordinal > 0 AND parent <> 'discard' AS judged, max_by(p, ordinal) OVER (PARTITION BY doc_id) AS abstract FROM f),
+r AS (SELECT *, judged AND (p = abstract OR ordinal > min(ordinal) FILTER (judged) OVER (PARTITION BY doc_id, p)) AS repeated FROM j)
+SELECT doc_id, ordinal, CASE WHEN repeated THEN 'duplicate_content' ELSE 'kept' END AS reason, CASE WHEN repeated THEN 'discard' ELSE parent END AS category FROM r""")
 def block_dedupe(spark, d):
-    folded = lines(spark, d).select("doc_id", "ordinal", tx.normalize_heading(text()).alias("folded"))
-    rows = folded.select("doc_id", "ordinal", F.md5("folded").alias("fingerprint"), F.length("folded").alias("n"))
-    again = F.row_number().over(Window.partitionBy("doc_id", "fingerprint").orderBy("ordinal")) > 1
-    return rows.select("doc_id", "ordinal", "fingerprint", F.when((F.col("n") >= 80) & again, "duplicate_content").otherwise("kept").alias("verdict"))
+    """Lines that repeat an earlier one of their document or its abstract, which is taken to be the last line."""
+    blocks = line_blocks(spark, d)
+    abstracts = blocks.groupBy("doc_id").agg(F.max_by("text", "ordinal").alias("abstract"))
+    return ar.discard_repeats(blocks, "doc_id", abstracts).select("doc_id", "ordinal", "reason", "category")
 
 
 @query(f"""WITH {LINE_SQL}, c AS (SELECT doc_id, t, split_part({CLASSIFY_SQL}, ':', 1) AS category FROM b),
@@ -272,12 +280,11 @@ def block_kind_counts(spark, d):
     return counts.groupBy("lang").agg(kinds.alias("kinds")).select("lang", shown.alias("counts"))
 
 
-@query(f"""WITH {LINE_SQL}, r AS (SELECT doc_id, ordinal, CASE WHEN ordinal = 0 THEN '## ' || t WHEN length(t) < 35 THEN '> ' || t ELSE t END AS line FROM b)
-SELECT doc_id, md5(string_agg(line, chr(10) || chr(10) ORDER BY ordinal)) AS markdown_md5 FROM r GROUP BY doc_id""")
+@query(f"""WITH {LINE_SQL}, r AS (SELECT doc_id, ordinal, parent, CASE WHEN ordinal = 0 THEN '## ' || t WHEN length(t) < 35 THEN '> ' || t ELSE t END AS line FROM b WHERE parent <> 'discard')
+SELECT doc_id, md5(string_agg(line, chr(10) || chr(10) ORDER BY ordinal) FILTER (parent = 'main')) AS main_md5, md5(string_agg(line, chr(10) || chr(10) ORDER BY ordinal) FILTER (parent = 'supplementary')) AS supplementary_md5 FROM r GROUP BY doc_id""")
 def render_markdown(spark, d):
-    line = F.when(F.col("ordinal") == 0, F.concat(F.repeat(F.lit("#"), F.lit(2)), F.lit(" "), text())).when(F.length(text()) < 35, F.concat(F.lit("> "), text())).otherwise(text())
-    rows = lines(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("rows"))
-    return rows.select("doc_id", F.md5(F.array_join(F.transform("rows", lambda r: r["line"]), "\n\n")).alias("markdown_md5"))
+    made = ar.rendered(line_blocks(spark, d), "doc_id")
+    return made.select("doc_id", F.md5("main").alias("main_md5"), F.md5("supplementary").alias("supplementary_md5"))
 
 
 @query(
@@ -296,6 +303,20 @@ def html_blocks(spark, d):
     return found.select("page_id", "ordinal", "kind", "category", "reason", "level", F.array_join("section_path", " > ").alias("section"), "text", "error")
 
 
+def _title_sql(tag: str) -> str:
+    """The text of a page's first element of a name, where that has no element inside, normalised."""
+    text = f"regexp_replace(regexp_replace(replace(regexp_extract(html, '<{tag}>([^<]*)</{tag}>', 1), '&amp;', '&'), '\\s+', ' ', 'g'), ' ([,.;:!?%)\\]}}])', '\\1', 'g')"
+    return f"trim(regexp_replace({text}, '([(\\[{{]) ', '\\1', 'g'))"
+
+
+@query(f"""SELECT page_id, 'title' AS kind, {_title_sql('title')} AS text, '' AS section, 'title' AS reason FROM pages WHERE {_title_sql('title')} <> ''
+UNION ALL SELECT page_id, 'heading', {_title_sql('h1')}, {_title_sql('h1')}, 'inherited' FROM pages WHERE {_title_sql('h1')} <> ''""")
+def html_titles(spark, d):
+    """The titles and headings among the blocks of pages."""
+    found = bl.blocks_of(spread(table(spark, d, "pages").select("page_id", "html")), "page_id", "html", html=True)
+    return found.where("kind in ('title', 'heading')").select("page_id", "kind", "text", F.array_join("section_path", " > ").alias("section"), "reason")
+
+
 # -------------------------------------------------------------------------------- topics
 
 STOP = tp.stop_words()
