@@ -79,7 +79,7 @@ def clean_articles(spark: SparkSession, args: argparse.Namespace) -> int:
     blocks = blocks_of(docs, "article_id", "source")
     readable = blocks.where("error is null")
     repeats = ar.discard_repeats(readable, "article_id", ar.choose_abstract(readable, "article_id"))
-    return summary(storage.write_articles(ar.articles(blocks, "article_id"), repeats, "article_id", args.out), "article_id")
+    return summary(storage.write_articles(ar.articles(blocks, "article_id"), repeats, "article_id", args.out, docs), "article_id")
 
 
 def page_texts(spark: SparkSession, args: argparse.Namespace) -> int:

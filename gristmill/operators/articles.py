@@ -122,9 +122,11 @@ def report(blocks: DataFrame, id_col: str) -> DataFrame:
     return articles(blocks, id_col).where("error is null").drop("error", "markdown", "supplementary_markdown")
 
 
-def report_json(out: DataFrame) -> Column:
-    """The nested report document of a row of `articles`, as JSON."""
+def report_json(out: DataFrame, source: Column, main: Column, supplementary: Column) -> Column:
+    """The nested report document of a row of `articles`, as JSON, with where it was read and written; null without."""
     counts = F.struct("main_blocks", "supplementary_blocks", "discarded_blocks", "review_blocks", F.coalesce("block_kinds", F.create_map().cast("map<string,int>")).alias("block_kinds"), F.coalesce("discard_reasons", F.create_map().cast("map<string,int>")).alias("discard_reasons"))
     candidates = F.transform(F.coalesce("candidates", F.array().cast(out.schema["candidates"].dataType)), lambda c: F.struct(c["score"].alias("score"), c["word_count"].alias("word_count"), c["language"].alias("language"), c["preview"].alias("preview")))
     quality = F.struct("raw_body_characters", "main_text_characters", "main_text_ratio")
-    return F.to_json(F.struct(F.col(out.columns[0]).cast("string").alias("article_id"), "title_found", candidates.alias("abstract_candidates"), "selected_abstract_preview", counts.alias("counts"), quality.alias("quality"), "warnings"))
+    extra = F.when(F.col("supplementary_markdown").isNotNull(), supplementary)
+    fields = (F.col(out.columns[0]).cast("string").alias("article_id"), source.alias("source_tei"), main.alias("main_output"), extra.alias("supplementary_output"), "title_found", candidates.alias("abstract_candidates"), "selected_abstract_preview", counts.alias("counts"), quality.alias("quality"), "warnings")
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})

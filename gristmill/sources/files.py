@@ -58,11 +58,11 @@ def final_rules(rows: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".xml",)) -> DataFrame:
-    """Whole text files as (article_id, source), one row each."""
+    """Whole text files as (article_id, source, file_path), one row each."""
     rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("source"), F.col("_metadata.file_path").alias("file_path"))
     pattern = "|".join(s.replace(".", r"\.") for s in suffixes)
     name = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), rf"(\.grobid)?(\.tei)?({pattern})\z", "")
-    return rows.where(F.col("file_path").rlike(rf"({pattern})\z")).select(name.alias("article_id"), "source")
+    return rows.where(F.col("file_path").rlike(rf"({pattern})\z")).select(name.alias("article_id"), "source", "file_path")
 
 
 def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> list[str]:

@@ -171,22 +171,28 @@ def write_json_lines(rows: DataFrame, root: str, name: Column, every: DataFrame
     return write_file_set(texts, root, "lines", replace=False)
 
 
-def write_articles(articles: DataFrame, blocks: DataFrame, id_col: str, root: str) -> DataFrame:
+def write_articles(articles: DataFrame, blocks: DataFrame, id_col: str, root: str, sources: DataFrame | None = None) -> DataFrame:
     """The files of cleaned articles under `root`: Markdown, supplementary Markdown, report, discarded and
     review blocks; what an article no longer has is removed. Returns id, files, error.
 
-    `articles` is the outcome of `operators.articles.articles`, `blocks` that of `discard_repeats`. A
+    `articles` is the outcome of `operators.articles.articles`, `blocks` that of `discard_repeats`; `sources` may
+    name the file (id, file_path) that each was read from, for the reports. A
     document with an error has no files written and keeps its error.
     """
     from gristmill.operators.articles import report_json
 
     name = F.col(id_col).cast("string")
     good = articles.where("error is null")
+    if sources is None:
+        good = good.withColumn("_source", F.lit(None).cast("string"))
+    else:
+        good = good.join(sources.select(id_col, F.col("file_path").alias("_source")), id_col, "left")
     text = lambda folder, suffix, body: good.select(F.concat(F.lit(f"{folder}/"), name, F.lit(suffix)).alias("name"), body.alias("body"))
+    path = lambda folder: F.concat(F.lit(f"{root}/{folder}/"), name, F.lit(".md"))
     end = F.lit("\n")
     texts = text("cleaned_markdown", ".md", F.concat("markdown", end))
     texts = texts.unionByName(text("supplementary_markdown", ".md", F.concat("supplementary_markdown", end)))
-    texts = texts.unionByName(text("cleaning_reports", ".json", F.concat(pretty_json(report_json(good)), end)))
+    texts = texts.unionByName(text("cleaning_reports", ".json", F.concat(pretty_json(report_json(good, F.col("_source"), path("cleaned_markdown"), path("supplementary_markdown"))), end)))
     fields = ("kind", "text", "category", "reason", "level", "section_path", "source_tag", "source_type", "coords", "warnings")
     line = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     kept = F.col("category") != "discard"

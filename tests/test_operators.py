@@ -328,6 +328,8 @@ def test_article_files_and_command_line(spark, tmp_path, capsys):
     assert text.startswith("# Green homes\n\n## Abstract\n\nIn this paper we present rules.") and text.count(body) == 1
     report = json.loads((out / "cleaning_reports/article_1.json").read_text())
     assert report["counts"]["discard_reasons"] == {"duplicate_content": 2, "figure_content": 1} and report["title_found"]
+    assert report["source_tei"].endswith("/tei/article_1.grobid.tei.xml") and report["main_output"] == f"{out}/cleaned_markdown/article_1.md" and report["supplementary_output"] is None
+    assert json.loads((out / "cleaning_reports/article_4.json").read_text())["supplementary_output"] == f"{out}/supplementary_markdown/article_4.md"
     assert report["counts"]["review_blocks"] == 0 and report["quality"]["raw_body_characters"] > report["quality"]["main_text_characters"] == len(body)
     assert (out / "supplementary_markdown/article_4.md").read_text() == "# article_4 — Supplementary Content\n\n### Box 1\n\nAside.\n"
     assert len((out / "discarded_blocks/article_1.jsonl").read_text().splitlines()) == 3 and not (out / "review_blocks/article_1.jsonl").exists()
@@ -379,14 +381,24 @@ def test_labelling_run(spark, tmp_path):
         lab.non_empty(batches, batches.limit(0), "topic_id")
 
 
-def test_incremental_collection(spark, tmp_path):
+def test_incremental_collection(spark, tmp_path, monkeypatch):
+    from gristmill.streaming import incremental
+
     schema = spark.createDataFrame([], "k int, v string").schema
     src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     (tmp_path / "in").mkdir()
-    for name, rows in (("a", [{"k": 1, "v": "x"}, {"k": 2, "v": "y"}]), ("b", [{"k": 2, "v": "again"}, {"k": 3, "v": "z"}])):
+    looked = []
+    monkeypatch.setattr(incremental, "pending", lambda rows, done, key: looked.append(done) or ops.pending(rows, done, key))
+    late = [{"k": 1, "v": "late"}, {"k": 4, "v": "w"}]  # an id that comes once more, two batches later
+    for name, rows in (("a", [{"k": 1, "v": "x"}, {"k": 2, "v": "y"}]), ("b", [{"k": 2, "v": "again"}, {"k": 3, "v": "z"}]), ("c", late), ("d", [])):
         (tmp_path / "in" / f"{name}.json").write_text("\n".join(map(json.dumps, rows)))
         collect_new(spark, src, schema, out, check, "k").awaitTermination()
-    assert {r.k: r.v for r in spark.read.parquet(out).collect()} == {1: "x", 2: "y", 3: "z"}
+    assert {r.k: r.v for r in spark.read.parquet(out).collect()} == {1: "x", 2: "y", 3: "z", 4: "w"} and spark.read.parquet(out).count() == 4
+    plan = looked[-2]._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<k:int>" in plan and "PartitionFilters: [" in plan and "key_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    again = f"{tmp_path}/check2"  # a checkpoint that is lost: all files come once more
+    collect_new(spark, src, schema, out, again, "k").awaitTermination()
+    assert spark.read.parquet(out).count() == 4
 
 
 def test_ngrams_and_nearest(spark):
