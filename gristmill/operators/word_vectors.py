@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ from gristmill.sources.storage import open_fs, written
 
 #: Words up to which the model is broadcast to the texts.
 BROADCAST_WORDS = 50_000
+#: Entries of the matrix in one part, and those multiplied at a time.
+PART, CHUNK = 1 << 20, 1 << 15
 
 
 def cooccurrence(docs: DataFrame, text_col: str, window: int, stop: tuple[str, ...] = ()) -> DataFrame:
@@ -40,10 +43,29 @@ def information(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return both.select("a", "b", m.alias("m")).where("m > 0")
 
 
-def _times(entries: DataFrame, x: DataFrame, name: str) -> DataFrame:
-    """term, v: the product of the sparse matrix (a, b, m) and the rows (term, v)."""
-    joined = entries.join(x.withColumnRenamed("term", "b"), "b")
-    summed = joined.groupBy(F.col("a").alias("term")).agg(Summarizer.sum(array_to_vector("v"), F.col("m")).alias("s"))
+def _product(entries: pa.Table, rows: pa.Table) -> pa.Table:
+    """The entries (a, b, m) of one part of the words b times those words' rows, summed by a."""
+    x = np.stack(rows.column("v").combine_chunks().to_numpy(zero_copy_only=False)) if rows.num_rows else None
+    at = pc.index_in(entries.column("b"), rows.column("term").combine_chunks()).combine_chunks() if x is not None else None
+    if at is None or not entries.num_rows:
+        return pa.table({"term": pa.array([], pa.string()), "v": pa.array([], pa.list_(pa.float64()))})
+    coded = entries.column("a").combine_chunks().dictionary_encode()
+    code, m, at = coded.indices.to_numpy(), entries.column("m").to_numpy(), at.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    out = np.zeros((len(coded.dictionary), x.shape[1]))
+    for lo in range(0, len(order), CHUNK):
+        o = order[lo : lo + CHUNK]
+        first = np.flatnonzero(np.concatenate([[True], code[o][1:] != code[o][:-1]]))
+        out[code[o][first]] += np.add.reduceat(m[o][:, None] * x[at[o].astype(np.int64)], first, axis=0)
+    return pa.table({"term": coded.dictionary, "v": pa.array(list(out), pa.list_(pa.float64()))})
+
+
+def _times(entries: DataFrame, x: DataFrame, parts: int, name: str) -> DataFrame:
+    """term, v: the product of the sparse matrix (a, b, m) and the rows (term, v), by parts of the words b."""
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int").alias("part")
+    left, right = entries.select("a", "b", "m", part("b")), x.select("term", "v", part("term"))
+    made = left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(_product, "term string, v array<double>")
+    summed = made.groupBy("term").agg(Summarizer.sum(array_to_vector("v")).alias("s"))
     return written(summed.select("term", vector_to_array("s").alias("v")), name)
 
 
@@ -143,13 +165,13 @@ def fit_words(docs: DataFrame, text_col: str, dims: int = 64, window: int = 4, m
     vocabulary = written(counts.where(F.col("n") >= min_count), "vocabulary")
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
     entries = written(information(cooccurrence(docs, text_col, window, stop), vocabulary), "information")
-    k = dims + spare
+    k, parts = dims + spare, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // PART)
     signs = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.when(F.xxhash64("term", i, F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0))
-    y = _times(entries, vocabulary.select("term", signs.alias("v")), "range")
+    y = _times(entries, vocabulary.select("term", signs.alias("v")), parts, "range")
     for _ in range(rounds):
-        y = _times(entries, _orthogonal(y, k, "basis"), "range")
+        y = _times(entries, _orthogonal(y, k, "basis"), parts, "range")
     q = _orthogonal(y, k, "basis")
-    values, axes = np.linalg.eigh(_gram(q, _times(entries, q, "range"), k))
+    values, axes = np.linalg.eigh(_gram(q, _times(entries, q, parts, "range"), k))
     best = np.argsort(-values, kind="stable")[:dims]
     turned = _turned(q, axes[:, best] * np.sqrt(np.maximum(values[best], 0)), "vectors")
     zero = F.array(*[F.lit(0.0)] * dims)

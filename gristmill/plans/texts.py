@@ -9,8 +9,10 @@ from gristmill.functions import blocks as bl
 from gristmill.functions import text as tx
 from gristmill.operators import articles as ar
 from gristmill.operators import density as dn
+from gristmill.operators import neighbour_map as nm
 from gristmill.operators import tables as ops
 from gristmill.operators import topics as tp
+from gristmill.operators import word_vectors as wv
 from gristmill.plans.relational import ORACLE, QUERIES, query, spread, table  # noqa: F401  the registry that both modules fill
 from gristmill.sources.storage import written
 
@@ -413,3 +415,23 @@ def density_topics(spark, d):
 SELECT q AS query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rn FROM s) WHERE rn <= 5""")
 def cosine_topk(spark, d):
     return tp.cosine_topk(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 5)
+
+
+@query()
+def embedding_neighbours(spark, d):
+    """About the 30 nearest vectors of each, by random partitions and neighbours of neighbours."""
+    found = nm.neighbour_graph(table(spark, d, "embeddings"), "vec_id", "embedding", k=30)
+    return found.select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour_id"), F.round("distance", 6).alias("distance"))
+
+
+@query()
+def embedding_map(spark, d):
+    """Five coordinates of each vector in which its neighbours stay near it."""
+    return nm.neighbour_map(table(spark, d, "embeddings"), "vec_id", "embedding", dims=5, k=30)
+
+
+@query()
+def text_vectors(spark, d):
+    """A vector of each document from the words of all documents."""
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    return wv.fit_words(rows, "text").embed(rows, "doc_id", "text")
