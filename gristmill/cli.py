@@ -1,4 +1,4 @@
-"""Command line: clean articles, extract page texts, split topics into batches, build the final rules.
+"""Command line: clean articles, extract page texts, split topics into batches, label them, build the final rules.
 
 A file that fails does not stop the others; a summary at the end names it, and the exit code is 1.
 """
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from gristmill.functions.blocks import blocks_of
 from gristmill.functions.text import normalize_article_id
 from gristmill.operators import articles as ar
+from gristmill.operators import labelling as lab
 from gristmill.operators import tables as ops
-from gristmill.sources import connectors, files, storage
+from gristmill.sources import connectors, files, folders, storage
+from gristmill.sources.ledger import Ledger
 
 TEI = (".grobid.tei.xml", ".tei.xml", ".xml")
 
@@ -43,6 +45,13 @@ def parser() -> argparse.ArgumentParser:
     service.add_argument("--workers", type=int, default=1, help="files in work at once")
     batches = job("batches", "clustered rules to one file per batch", chosen=False)
     batches.add_argument("--rows", type=int, default=100, help="rows of a batch at most")
+    label = job("label", "contexts of topics and labels of their batches by a chat model", chosen=False)
+    label.add_argument("--topics", nargs="+", required=True, help="numbers, ranges like 2-5, outlier, or all")
+    label.add_argument("--context-prompt", required=True, help="file of the instructions for a topic's context")
+    label.add_argument("--batch-prompt", required=True, help="file of the instructions for a batch")
+    label.add_argument("--client", help="module:function(system, schema_name, schema) that gives a client; else the chat service")
+    label.add_argument("--samples", type=int, default=10, help="samples that a context is inferred from")
+    label.add_argument("--pause", type=float, default=connectors.SLEEP_BETWEEN_REQUESTS_SECONDS, help="seconds between calls of the service")
     job("rules", "label documents to the final rules", chosen=False)
     return top
 
@@ -116,6 +125,21 @@ def split_batches(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def label_topics(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Contexts and labels of the chosen topics, those that are there and valid used again; answers are kept in `_answers`."""
+    make = loaded(args.client) if args.client else lambda system, name, schema: connectors.ChatClient(connectors.load_key(), system, name, schema)
+    of_topic = make(connectors.load_prompt(args.context_prompt), "topic_context", connectors.CONTEXT_SCHEMA)
+    of_batch = make(connectors.load_prompt(args.batch_prompt), "batch_labels", connectors.BATCH_SCHEMA)
+    batches = folders.read_topics(spark, args.source, ops.parse_selection(args.topics)).drop("file_path")
+    options = {"ledger": Ledger(spark, f"{args.out}/_answers"), "pause": args.pause}
+    samples = ops.quota_sample(batches, "topic_id", "batch_id", "sample_id", args.samples)
+    contexts = lab.get_contexts(batches, samples, files.read_contexts(spark, args.out), of_topic, **options)
+    made = lab.label_batches(batches, contexts, files.read_labelled(spark, args.out), of_batch, **options)
+    print(f"topics with a context: {lab.write_contexts(contexts, args.out)}")
+    print(f"labelled batches: {lab.write_documents(made, args.out)}")
+    return summary(made.select(F.concat_ws("/", "topic_id", "batch_id").alias("batch"), "error"), "batch")
+
+
 def final_rules(spark: SparkSession, args: argparse.Namespace) -> int:
     rules = files.final_rules(files.label_rows(files.read_label_documents(spark, args.source)))
     rules.write.mode("overwrite").json(args.out)
@@ -123,7 +147,7 @@ def final_rules(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
-JOBS = {"articles": clean_articles, "pages": page_texts, "extract": extract_files, "batches": split_batches, "rules": final_rules}
+JOBS = {"articles": clean_articles, "pages": page_texts, "extract": extract_files, "batches": split_batches, "label": label_topics, "rules": final_rules}
 
 
 def main(argv: Sequence[str] | None = None) -> int:

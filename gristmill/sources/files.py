@@ -35,6 +35,29 @@ def read_label_documents(spark: SparkSession, path: str) -> DataFrame:
     return reader.json(path).select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
+def _found(spark: SparkSession, root: str, pattern: str) -> bool:
+    """Whether any file under the root has a name of the pattern."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
+def read_contexts(spark: SparkSession, root: str) -> DataFrame:
+    """The contexts topic_*/topic_*_context.json under root; none is an empty table."""
+    pattern = "topic_*/topic_*_context.json"
+    if not _found(spark, root, pattern):
+        return spark.createDataFrame([], CONTEXT)
+    return spark.read.schema(CONTEXT).option("multiLine", True).json(f"{root}/{pattern}").where("topic_id is not null")
+
+
+def read_labelled(spark: SparkSession, root: str) -> DataFrame:
+    """topic_id, batch_id, topic_context, rows of the label documents topic_*/topic_*_batch_*.json under root; none is an empty table."""
+    pattern = "topic_*/topic_*_batch_*.json"
+    found = read_label_documents(spark, f"{root}/{pattern}") if _found(spark, root, pattern) else spark.createDataFrame([], BATCH_DOCUMENT).withColumn("file_path", F.lit("topic_0/none"))
+    own = F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in ("sample_id", "if_then_rule", "green_relevance", "keep_for_rag"))))
+    return found.select(topic_of_path(F.col("file_path")).alias("topic_id"), F.regexp_extract("file_path", r"_batch_(\d+)\.json\z", 1).try_cast("int").alias("batch_id"), "topic_context", own.alias("rows"))
+
+
 def label_rows(documents: DataFrame) -> DataFrame:
     """A row per label with its order (file_path, pos); a document without context or rows is an error."""
     whole = F.col("topic_context").isNotNull() & F.col("rows").isNotNull()

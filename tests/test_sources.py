@@ -270,3 +270,42 @@ def test_batches_of_an_earlier_run_go(spark, tmp_path):
     assert storage.write_batch_files(made, str(tmp_path), columns) == 5
     assert storage.write_batch_files(made.where("batch_id < 3"), str(tmp_path), columns) == 2
     assert {r.batch_id for r in files.read_batches(spark, str(tmp_path)).collect()} == {1, 2}
+
+
+# ------------------------------------------------------------------------- command line
+
+
+def made_client(system, name, schema):
+    """A client that counts its calls in the folder that its instructions name."""
+
+    def answer(prompt):
+        os.makedirs(system, exist_ok=True)
+        with open(f"{system}/{time.time_ns()}", "w"):
+            pass
+        ids = [line.split(": ")[1] for line in prompt.splitlines() if line.startswith("sample_id: ")]
+        if name == "topic_context":
+            topic = next(line.split(": ")[1] for line in prompt.splitlines() if line.startswith("Topic id: "))
+            return json.dumps({"topic_id": int(topic), "llm_topic_name": f"name {topic}", "topic_summary": "s", "green_category": "cat_a", "global_green_relevance": "high"})
+        return json.dumps({"rows": [{"sample_id": i, "if_then_rule": f"IF {i}", "green_relevance": "low", "keep_for_rag": True} for i in (ids[:1] if "T12_B2_0" in ids else ids)]})
+
+    return answer
+
+
+def test_labelling_from_the_command_line(spark, batches, tmp_path, capsys):
+    from gristmill import cli
+
+    for name in ("topic", "batch"):
+        (tmp_path / f"{name}.txt").write_text(f"{tmp_path}/calls-{name}\n")
+    out = str(tmp_path / "out")
+    args = ["label", "--source", batches, "--out", out, "--context-prompt", f"{tmp_path}/topic.txt", "--batch-prompt", f"{tmp_path}/batch.txt", "--client", f"{__name__}:made_client", "--pause", "0"]
+    calls = lambda: [len(list(tmp_path.glob(f"calls-{n}/*"))) for n in ("topic", "batch")]
+    assert cli.JOBS["label"](spark, cli.parser().parse_args([*args, "--topics", "3", "outlier"])) == 0 and calls() == [2, 6]
+    assert cli.JOBS["label"](spark, cli.parser().parse_args([*args, "--topics", "3", "outlier"])) == 0 and calls() == [2, 6]
+    capsys.readouterr()
+    assert cli.JOBS["label"](spark, cli.parser().parse_args([*args, "--topics", "3,12"])) == 1 and calls() == [3, 9]
+    said = capsys.readouterr().out
+    assert "files done: 5/6" in said and "- 12/2: missing: T12_B2_1" in said and "labelled batches: 8" in said
+    rows = files.final_rules(files.label_rows(files.read_label_documents(spark, f"{out}/topic_*/topic_*_batch_*.json")))
+    assert rows.count() == 0 and files.read_labelled(spark, out).count() == 8
+    with pytest.raises(PySparkException, match="no such topic_id.*99"):
+        cli.JOBS["label"](spark, cli.parser().parse_args([*args, "--topics", "99"]))
