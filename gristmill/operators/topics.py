@@ -50,6 +50,8 @@ ENGLISH_STOP_WORDS = (
 )
 MIN_DF, MAX_DF, LONGEST, TOP_WORDS = 4, 0.6, 3, 15
 REPRESENTATIVES, CANDIDATES = 5, 100
+#: Weights of terms that are broadcast to the texts, some 60 bytes each.
+BROADCAST_TERMS = 1_000_000
 
 
 def stop_words(general: tuple[str, ...] = ENGLISH_STOP_WORDS) -> tuple[str, ...]:
@@ -114,7 +116,9 @@ def class_weights(table: DataFrame, max_df: float = MAX_DF) -> DataFrame:
 def document_terms(docs: DataFrame, weights: DataFrame, class_col: str, id_col: str, text_col: str, stop: tuple[str, ...] = (), longest: int = LONGEST) -> DataFrame:
     """class, id, term, n, idf, weight: the weighted terms of each document, written once: a sparse matrix by rows of (document, term)."""
     runs = _runs(docs.withColumn("_id", F.col(id_col)), class_col, text_col, stop, longest, "_id")
-    found = runs.where("term != ''").join(weights.select("class", "term", "idf", "weight"), ["class", "term"])
+    known = weights.select("class", "term", "idf", "weight")
+    known = F.broadcast(known) if weights.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else known
+    found = runs.where("term != ''").join(known, ["class", "term"])
     return written(found.groupBy("class", F.col("_id").alias("id"), "term").agg(F.count("*").alias("n"), F.any_value("idf").alias("idf"), F.any_value("weight").alias("weight")), "document-terms")
 
 
