@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import schemas
 from gristmill.functions import text as tx
+from gristmill.functions.blocks import element_counts
 from gristmill.operators import labelling as lab
 from gristmill.operators import tables as ops
-from gristmill.sources import files, folders, storage
-from gristmill.sources.connectors import BATCH_SCHEMA
+from gristmill.sources import files, folders, ledger, storage
+from gristmill.sources.connectors import BATCH_SCHEMA, strict_object
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -316,6 +319,47 @@ def topic_files_selected(spark, d):
     return folders.read_topics(spark, path, ops.parse_selection(["outlier", "2-3"])).select("topic_id", "batch_id", "sample_id", F.md5(F.coalesce("topic_text", F.lit(""))).alias("text_md5"))
 
 
+@query("SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations")
+def json_lines_round_trip(spark, d):
+    """A JSON Lines file for each conversation, its turns in order, read again."""
+    path = storage.scratch(spark, "lines")
+    rows = table(spark, d, "conversations").select("conv_id", "role", "text", F.col("turn").alias("ordinal"), "turn")
+    storage.write_json_lines(rows, path, F.format_string("conv_%d.jsonl", "conv_id"))
+    back = spark.read.schema("conv_id long, turn long, role string, text string").json(f"{path}/*.jsonl")
+    return back.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query("""SELECT conv_id, count(*) AS n_p, count(*) AS n_s, count(*) FILTER (role = 'user') AS n_note, 1::BIGINT AS n_figure, count(*) FILTER (turn % 2 = 0) AS n_coords FROM conversations GROUP BY conv_id""")
+def xml_element_counts(spark, d):
+    """Conversations as TEI documents, and the counts of their elements."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")):
+        body = F.regexp_replace(body, mark, entity)
+    paragraph = F.concat(F.when(F.col("turn") % 2 == 0, '<p coords="1"><s>').otherwise("<p><s>"), body, F.lit("</s></p>"))
+    one = F.when(F.col("role") == "user", F.concat(F.lit("<note>"), paragraph, F.lit("</note>"))).otherwise(paragraph)
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", one.alias("x")))).alias("turns"))
+    source = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><figure/>'), F.array_join(F.transform("turns", lambda t: t["x"]), ""), F.lit("</body></text></TEI>"))
+    return element_counts(turns.select("conv_id", source.alias("source")), "conv_id", "source").select("conv_id", "n_p", "n_s", "n_note", "n_figure", "n_coords")
+
+
+class Echo:
+    """A client that answers a prompt "conv <n>" by n."""
+
+    model, system = "echo", ""
+
+    def __call__(self, prompt: str) -> str:
+        return json.dumps({"n": int(prompt.split()[1])})
+
+
+@query("SELECT conv_id, '{\"n\": ' || conv_id || '}' AS response, conv_id % 2 = 0 AS reused FROM (SELECT DISTINCT conv_id FROM conversations)")
+def answers_asked_once(spark, d):
+    """Half of the conversations are asked about, then all: the ledger has the former's answers already."""
+    prompts = table(spark, d, "conversations").select("conv_id", F.format_string("conv %d", "conv_id").alias("prompt")).distinct()
+    book, schema = ledger.Ledger(spark, storage.scratch(spark, "ledger")), strict_object({"n": {"type": "integer"}})
+    ledger.ask_once(prompts.where("conv_id % 2 = 0"), "conv_id", "prompt", Echo(), schema, book, pause=0)
+    return ledger.ask_once(prompts, "conv_id", "prompt", Echo(), schema, book, pause=0).where("error is null").select("conv_id", "response", "reused")
+
+
 @query(f"WITH {BATCHED_SQL} SELECT topic_id::INT AS topic_id, 'topic ' || topic_id AS llm_topic_name, sample_id, md5(text) AS rule_md5 FROM b")
 def json_documents_round_trip(spark, d):
     """One pretty JSON document per batch, context and rows, read again and taken apart."""

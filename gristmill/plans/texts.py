@@ -14,6 +14,7 @@ from gristmill.operators import tables as ops
 from gristmill.operators import topics as tp
 from gristmill.operators import word_vectors as wv
 from gristmill.plans.relational import ORACLE, QUERIES, query, spread, table  # noqa: F401  the registry that both modules fill
+from gristmill.sources import storage
 from gristmill.sources.storage import written
 
 # ------------------------------------------------------------- shared pieces of the SQL
@@ -305,6 +306,24 @@ def html_blocks(spark, d):
     return found.select("page_id", "ordinal", "kind", "category", "reason", "level", F.array_join("section_path", " > ").alias("section"), "text", "error")
 
 
+@query(f"""WITH b AS (SELECT conv_id, turn AS ordinal, {sql_strip("text")} AS t FROM conversations WHERE {sql_strip("text")} <> ''), f AS (SELECT *, trim({FOLD_SQL.format("t")}) AS p FROM b), j AS (SELECT *, length(p) >= 80 AND ordinal > 0 AS judged FROM f),
+r AS (SELECT *, coalesce(judged AND ordinal > min(ordinal) FILTER (judged) OVER (PARTITION BY conv_id, p), false) AS repeated FROM j),
+m AS (SELECT conv_id, string_agg(CASE WHEN ordinal = 0 THEN '## ' || t ELSE t END, chr(10) || chr(10) ORDER BY ordinal) FILTER (NOT repeated) AS md, count(*) FILTER (repeated) AS n FROM r GROUP BY conv_id)
+SELECT conv_id, md5({sql_strip("regexp_replace(md, chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")} || chr(10)) AS markdown_md5, n AS discarded FROM m""")
+def article_files_round_trip(spark, d):
+    """Conversations as articles, their first turn a heading: Markdown and reports written, and read again."""
+    path, none = storage.scratch(spark, "articles"), F.lit(None).cast("string")
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("ordinal"), tx.strip(F.col("text")).alias("text")).where("text <> ''")
+    facts = {"kind": F.when(F.col("ordinal") == 0, "heading").otherwise("paragraph"), "category": F.lit("main"), "reason": F.lit("main_content"), "level": F.lit(2), "section_path": F.array().cast("array<string>"), "warnings": F.array().cast("array<string>"), "body_chars": F.length("text").cast("long")}
+    blocks = turns.withColumns(facts | {c: none for c in ("source_tag", "source_type", "coords", "error")})
+    made = written(ar.articles(blocks, "conv_id"), "articles")
+    storage.write_articles(made, ar.discard_repeats(blocks, "conv_id", ar.choose_abstract(blocks, "conv_id")), "conv_id", path).agg(F.sum("files"), F.min("error")).first()
+    key = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.\w+\z", 1).cast("long").alias("conv_id")
+    texts = spark.read.text(f"{path}/cleaned_markdown/*.md", wholetext=True).select(key, F.md5("value").alias("markdown_md5"))
+    reports = spark.read.schema("counts struct<discarded_blocks: long>").option("multiLine", True).json(f"{path}/cleaning_reports/*.json").select(key, F.col("counts.discarded_blocks").alias("discarded"))
+    return texts.join(reports, "conv_id")
+
+
 def _title_sql(tag: str) -> str:
     """The text of a page's first element of a name, where that has no element inside, normalised."""
     text = f"regexp_replace(regexp_replace(replace(regexp_extract(html, '<{tag}>([^<]*)</{tag}>', 1), '&amp;', '&'), '\\s+', ' ', 'g'), ' ([,.;:!?%)\\]}}])', '\\1', 'g')"
