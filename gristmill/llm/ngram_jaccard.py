@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import LOWER, byte_table, column, drop_path, mix, range_hash, shuffle_partitions, slices, small_batches, utf8, window_hash, words, write_table
-from gristmill.llm.components import components
+from gristmill.llm.components import components, spanning
 from gristmill.llm.counting import PACKED, KeyCounts, packed_rows
 
 CELL_BITS = 20  # of the table of weights
@@ -88,23 +88,6 @@ def bucket_bits(spark) -> int:
     return min(CELL_BITS, max(6, (4 * shuffle_partitions(spark) - 1).bit_length()))
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which links a spanning forest of them needs, the first that joins two trees each."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    keep = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = root(x), root(y)
-        parent[max(x, y)] = min(x, y)
-        keep.append(x != y)
-    return np.asarray(keep, bool)
-
-
 # --------------------------------------------------------- weights: which n-grams are frequent
 
 
