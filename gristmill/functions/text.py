@@ -164,8 +164,8 @@ def word_count(c: Column) -> Column:
 
 def numeric_ratio(c: Column) -> Column:
     """Share of the tokens between white space that hold a digit; 0 without tokens."""
-    tokens = F.regexp_count(c, F.lit(f"{INK}+"))
-    digits = F.regexp_count(c, F.lit(rf"{INK}*[0-9]{INK}*"))
+    tokens = F.regexp_count(c, F.lit(f"{INK}++"))
+    digits = F.regexp_count(c, F.lit(f"[0-9]{INK}*+"))  # from a token's first digit to its end, so each character is read once
     return F.when(tokens > 0, digits.cast("double") / tokens).otherwise(0.0)
 
 

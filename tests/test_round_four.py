@@ -21,3 +21,21 @@ def test_titles_with_cut_references_are_those_of_the_sql(spark, tmp_path):
     con = saved(spark, str(tmp_path), "pages", pages, "page_id long, html string")
     got = sorted(map(tuple, texts.QUERIES["html_titles"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(texts.ORACLE["html_titles"]).fetchall()) and len(got) == 2 * len(heads)
+
+
+def test_numeric_ratio_reads_each_character_once(spark):
+    """A token of many letters without a digit takes no time that grows with its square."""
+    import re
+    import time
+
+    from gristmill.functions import text as tx
+
+    cases = ["", " ", "a1 b 22\t3c4\x85x", "1", "no digits", "4　5 a 4b5c6", "a" * 30 + "9 " * 3]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i long, t string")
+    got = {r.i: r.x for r in df.select("i", tx.numeric_ratio(F.col("t")).alias("x")).collect()}
+    for i, t in enumerate(cases):
+        tokens = re.findall(f"[^{re.escape(tx.WS_CHARS)}]+", t)
+        assert got[i] == (sum(any(c in "0123456789" for c in x) for x in tokens) / len(tokens) if tokens else 0.0)
+    start = time.perf_counter()
+    assert spark.range(1).select(tx.numeric_ratio(F.repeat(F.lit("a"), 400_000)).alias("x")).first()[0] == 0.0
+    assert time.perf_counter() - start < 20
