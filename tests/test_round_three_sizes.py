@@ -24,3 +24,34 @@ def test_texts_get_vectors_without_moving_words(spark, monkeypatch):
     for r in docs.join(made, "i").collect():
         want = sum(one[w] * (1e-3 / (1e-3 + counts[w] / total)) for w in r.t.split())
         assert np.abs(np.asarray(r.embedding) - want / np.linalg.norm(want)).max() < 1e-5
+
+
+def test_only_shared_runs_are_counted(spark, monkeypatch):
+    from collections import Counter, defaultdict
+
+    from gristmill.operators import shared_runs as sr
+
+    said = "one two three four five six".split()
+    rows = [(f"c{i % 6}", [said[(i * j + j * j) % 6] for j in range(i % 9)] + [f"only{chr(97 + i)}"] * 2) for i in range(24)] + [("c0", []), ("c1", None), (None, said)]
+    words = spark.createDataFrame(rows, "class string, words array<string>").repartition(3)
+    runs = lambda t: [" ".join(t[a : a + n]) for n in (1, 2, 3) for a in range(len(t) - n + 1)]
+    counts, classes = Counter((c, x) for c, t in rows for x in runs(t or [])), defaultdict(set)
+    for c, x in counts:
+        classes[x].add(c)
+    for size in (sr.RUNS, 3):
+        monkeypatch.setattr(sr, "RUNS", size)
+        got = Counter()
+        for r in sr.counted(words, ["class"], 3, sr.shared(words, 3, 4)).collect():
+            got[r["class"], r.term] += r.n
+        assert {k: n for k, n in got.items() if k[1]}.items() >= {k: n for k, n in counts.items() if len(classes[k[1]]) >= 4}.items()
+        assert not any("only" in x for _, x in got) and all(n == counts[k] for k, n in got.items() if k[1])
+        assert {c: n for (c, x), n in got.items() if not x} == Counter(c for c, t in rows if t)
+
+
+def test_documents_of_several_texts(spark):
+    from gristmill.operators import topics as tp
+
+    docs = spark.createDataFrame([(1, "a", "red red blue"), (1, "a", "red sky"), (2, "a", "sky"), (3, "b", "blue sky sea")], "i long, c string, t string")
+    weights = tp.class_weights(tp.term_table(docs, "c", "t", min_df=1), max_df=1.0)
+    found = {(r["class"], r.id, r.term): r.n for r in tp.document_terms(docs, weights, "c", "i", "t").collect()}
+    assert found["a", 1, "red"] == 3 and found["a", 1, "red sky"] == 1 and found["b", 3, "blue sky sea"] == 1 and ("a", 1, "blue red") not in found
