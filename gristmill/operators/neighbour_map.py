@@ -18,13 +18,22 @@ GRAPH = "id long, other long, distance double"
 A, B = 1.9328, 0.7905
 
 
+#: Middle vectors whose neighbours are compared in one group, and rows of a comparison.
+MIDDLES, ASKING = 64, 512
+
+
 def _stack(col: pa.Array) -> np.ndarray:
-    return np.stack(col.to_numpy(zero_copy_only=False)) if len(col) else np.zeros((0, 0))
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+
+
+def _unit(col: pa.Array) -> np.ndarray:
+    x = _stack(col)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def _nearest(rows: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
-    each = rows.groupBy("id", "other").agg(F.min("distance").alias("distance"))
+    each = rows.repartition("id").groupBy("id", "other").agg(F.min("distance").alias("distance"))  # moved once
     return each.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
@@ -37,46 +46,65 @@ def neighbour_graph(vectors: DataFrame, id_col: str, vector_col: str, k: int = 3
     neighbours of its `wide` nearest. A larger `trees` or `leaf` raises the recall. Ids should be distinct; rows without an id or a vector take no part;
     a vector of zeros is at distance 1 from all.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).where("id is not null and v is not null")
     rows = written(rows, "graph-rows")
     total = rows.count()
     planes = max(0, math.ceil(math.log2(max(total, 1) / leaf)))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _stack(batch.column(1))
-            if not len(x):
+            if not batch.num_rows:
                 continue
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            x = _unit(batch.column(1))
             for t in range(trees):
                 normals = np.random.default_rng([seed, t]).standard_normal((x.shape[1], planes))
                 code = ((x @ normals > 0) << np.arange(planes)).sum(axis=1) if planes else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), pa.array([t] * len(x), pa.int32()), pa.array(code.astype(np.int64))], names=["id", "v", "tree", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t] * len(x), pa.int32()), pa.array(code.astype(np.int64))], names=["id", "v", "tree", "cell"])
 
-    placed = written(rows.mapInArrow(cells, "id long, v array<double>, tree int, cell long"), "graph-cells")
+    placed = rows.mapInArrow(cells, f"id long, v {kind}, tree int, cell long")
     sizes = placed.groupBy("tree", "cell").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id", "tree"), F.col("parts")).cast("int")
-    dealt = placed.join(sizes, ["tree", "cell"]).withColumn("part", part)
+    dealt = placed.join(written(sizes, "graph-sizes"), ["tree", "cell"]).withColumn("part", part)
 
     def pairs(cell: pa.Table) -> pa.Table:
-        ids, x = cell.column("id").to_numpy(), _stack(cell.column("v").combine_chunks())
+        ids, x = cell.column("id").to_numpy(), _unit(cell.column("v").combine_chunks())
         distance = 1 - x @ x.T
         np.fill_diagonal(distance, np.inf)
         n = min(k, len(ids) - 1)
         near = np.argpartition(distance, n - 1, axis=1)[:, :n] if n > 0 else np.zeros((len(ids), 0), np.int64)
         return pa.table({"id": np.repeat(ids, n), "other": ids[near].ravel(), "distance": np.take_along_axis(distance, near, 1).ravel()})
 
+    def further(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("middle", "ascending"), ("id", "ascending"), ("bound", "descending")]).combine_chunks()  # one that does not ask has no bound: last
+        middle, ids, bound, x = group.column("middle").to_numpy(), group.column("id").to_numpy(), group.column("bound").to_numpy(), _unit(group.column("v").combine_chunks())
+        first = np.concatenate([[True], (middle[1:] != middle[:-1]) | (ids[1:] != ids[:-1])])
+        middle, ids, bound, x = middle[first], ids[first], bound[first], x[first]
+        ends, out = np.flatnonzero(np.concatenate([middle[1:] != middle[:-1], [True]])) + 1, []
+        for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+            asking = lo + np.flatnonzero(bound[lo:hi] > -2)
+            for at in (asking[i : i + ASKING] for i in range(0, len(asking), ASKING)):
+                distance = 1 - x[at] @ x[lo:hi].T
+                distance[np.arange(len(at)), at - lo] = np.inf
+                if hi - lo > k:
+                    least = np.partition(distance, k - 1, axis=1)[:, k - 1]
+                    row, col = np.nonzero(distance <= np.minimum(least, bound[at])[:, None])
+                else:
+                    row, col = np.nonzero((distance <= bound[at][:, None]) & np.isfinite(distance))
+                out.append((ids[at][row], ids[lo + col], distance[row, col]))
+        made = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pa.table(dict(zip(("id", "other", "distance"), made, strict=True)))
+
     graph = written(_nearest(dealt.groupBy("tree", "cell", "part").applyInArrow(pairs, GRAPH), k), "graph")
-    own = placed.where("tree = 0").select("id", "v")
     for _ in range(rounds):
-        rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
-        short = graph.withColumn("_rank", rank).where(F.col("_rank") <= wide).select("id", "other")
-        both = short.unionByName(short.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
-        further = short.join(both.select(F.col("id").alias("other"), F.col("other").alias("third")), "other").where("id != third").select("id", F.col("third").alias("other")).distinct()
-        new = further.join(graph.select("id", "other"), ["id", "other"], "left_anti")
-        met = new.join(own, "id").join(own.select(F.col("id").alias("other"), F.col("v").alias("w")), "other")
-        dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        graph = written(_nearest(graph.unionByName(met.select("id", "other", (1 - dot).alias("distance"))), k), "graph")
+        own = Window.partitionBy("id")
+        rank = F.row_number().over(own.orderBy("distance", "other"))
+        bound = F.when(F.count("*").over(own) < k, F.lit(4.0)).otherwise(F.max("distance").over(own))
+        short = written(graph.withColumns({"_rank": rank, "bound": bound}).where(F.col("_rank") <= wide).select("id", "other", "bound"), "short")
+        members = short.select(F.col("other").alias("middle"), "id", "bound").unionByName(short.select(F.col("id").alias("middle"), F.col("other").alias("id"), F.lit(-4.0).alias("bound")))
+        met = members.join(rows, "id").withColumn("_group", F.pmod(F.xxhash64("middle"), F.lit(max(1, total // MIDDLES))))
+        new = met.groupBy("_group").applyInArrow(further, GRAPH)
+        graph = written(_nearest(graph.unionByName(new), k), "graph")
     return graph
 
 

@@ -56,3 +56,24 @@ def test_documents_of_several_texts(spark):
     weights = tp.class_weights(tp.term_table(docs, "c", "t", min_df=1), max_df=1.0)
     found = {(r["class"], r.id, r.term): r.n for r in tp.document_terms(docs, weights, "c", "i", "t").collect()}
     assert found["a", 1, "red"] == 3 and found["a", 1, "red sky"] == 1 and found["b", 3, "blue sky sea"] == 1 and ("a", 1, "blue red") not in found
+
+
+def shuffled(spark) -> int:
+    """Bytes that all tasks so far have written for shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_vectors_are_not_sent_pair_by_pair(spark):
+    from gristmill.operators import neighbour_map as nm
+
+    n, dims = 1500, 64
+    x = np.random.default_rng(5).standard_normal((n, dims))
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "i long, v array<float>").repartition(3)
+    before, threshold = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many vectors
+    try:
+        found = nm.neighbour_graph(rows, "i", "v", 30, leaf=128).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(found) == 30 * n and shuffled(spark) - before < 14_000 * n
