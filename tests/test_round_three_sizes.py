@@ -1,6 +1,7 @@
 """What the queries move and hold while their tables grow."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gristmill.operators import word_vectors as wv
 
@@ -77,3 +78,26 @@ def test_vectors_are_not_sent_pair_by_pair(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert len(found) == 30 * n and shuffled(spark) - before < 14_000 * n
+
+
+def peak_mb(spark) -> int:
+    """The most memory that a Python worker has had."""
+
+    def run(batches):
+        import resource
+
+        for batch in batches:
+            yield batch.from_arrays([[resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024] * batch.num_rows], names=["mb"])
+
+    return spark.range(64).repartition(16).mapInArrow(run, "mb long").agg(F.max("mb")).first()[0]
+
+
+def test_scores_of_a_chunk_are_few_at_a_time(spark):
+    from gristmill.operators import topics as tp
+
+    rnd = np.random.default_rng(6).integers(-9, 9, (12_000, 8))
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(rnd)], "i long, v array<float>").coalesce(1).cache()
+    rows.count()
+    before = peak_mb(spark)
+    assert tp.cosine_topk(rows, "i", "v", F.col("i") % 10 == 0, 3).count() == 3600
+    assert peak_mb(spark) - before < 150
