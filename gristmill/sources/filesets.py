@@ -16,8 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from gristmill.sources.storage import open_fs
 
-#: Renames at a time.
-THREADS = 16
+#: Renames at a time, and texts that a task is handed at a time.
+THREADS, FILES = 16, 32
 JOURNAL, MANIFESTS, STAGING = "_COMMIT.json", "_MANIFESTS", "_staging"
 
 
@@ -113,7 +113,7 @@ class FileSetWriter(DataSourceArrowWriter):
         fs.create_dir(own, recursive=True)
         for batch in iterator:
             at = {f.name: i for i, f in enumerate(batch.schema)}
-            for name, body in zip(batch.column(at["name"]).to_pylist(), batch.column(at["body"]).to_pylist(), strict=True):
+            for name, body in zip(batch.column(at["name"]).to_pylist(), (b.as_py() for b in batch.column(at["body"])), strict=True):
                 if not name or name.startswith(("/", "_")) or ".." in name.split("/"):
                     raise ValueError(f"not a name in the set: {name!r}")
                 staged = None if body is None else f"{own}/{len(entries)}"
@@ -172,5 +172,11 @@ def write_file_set(rows: DataFrame, root: str, name: str = "files", replace: boo
     spark = rows.sparkSession
     register(spark)
     shaped = rows.select(F.col(name_col).cast("string").alias("name"), F.col(body_col).cast("string").alias("body"))
-    shaped.write.format("file_set").mode("overwrite" if replace else "append").option("set", name).save(root)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(FILES))
+    try:
+        shaped.write.format("file_set").mode("overwrite" if replace else "append").option("set", name).save(root)
+    finally:
+        spark.conf.set(key, before)
     return len(manifest(root, name))

@@ -101,3 +101,21 @@ def test_scores_of_a_chunk_are_few_at_a_time(spark):
     before = peak_mb(spark)
     assert tp.cosine_topk(rows, "i", "v", F.col("i") % 10 == 0, 3).count() == 3600
     assert peak_mb(spark) - before < 150
+
+
+def test_batch_files_without_rows_in_python(spark, tmp_path):
+    import csv
+    import io
+
+    from gristmill.sources import storage
+
+    texts = [None, "", " a", 'say "x"', "a,b", "a;b", "line\nend", "cr\r", "ü€", "'q'", "\\", '"']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "a int, b string").groupBy().agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("r"))
+    for columns, sep in ((["a", "b"], ","), (["b"], ";"), (["b", "a"], "|")):
+        made = rows.select(storage.csv_text(F.col("r"), columns, sep).alias("t"))
+        assert "Python" not in plan(made)
+        out = io.StringIO()
+        writer = csv.writer(out, delimiter=sep, lineterminator="\n")
+        writer.writerows([columns, *([("" if t is None else t) if c == "b" else i for c in columns] for i, t in enumerate(texts))])
+        assert made.first().t == out.getvalue()
+    assert spark.range(2).select(storage.csv_text(F.when(F.col("id") == 0, F.array(F.struct(F.lit("x").alias("b")))), ["b"]).alias("t")).where("t is null").count() == 1
