@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from gristmill.sources.storage import open_fs
+from gristmill.sources.storage import open_fs, small_batches
 
 #: Renames at a time, and texts that a task is handed at a time.
 THREADS, FILES = 16, 32
@@ -172,11 +172,6 @@ def write_file_set(rows: DataFrame, root: str, name: str = "files", replace: boo
     spark = rows.sparkSession
     register(spark)
     shaped = rows.select(F.col(name_col).cast("string").alias("name"), F.col(body_col).cast("string").alias("body"))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(FILES))
-    try:
+    with small_batches(spark, FILES):
         shaped.write.format("file_set").mode("overwrite" if replace else "append").option("set", name).save(root)
-    finally:
-        spark.conf.set(key, before)
     return len(manifest(root, name))
